@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitplane
+from . import bitplane, chat, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as bit-plane files and read back."""
     return bitplane.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query()
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 35-word window that starts anywhere else go."""
+    return substring.dedup(table(spark, sf_dir, "documents"), window=35, text=False)
+
+
+@query()
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that holds control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    return chat.read_back(chat.conversations(chat.linear(rows.unionByName(more)))).withColumnRenamed("tree_id", "conv_id")
+
+
+@query()
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, equal payloads as revisits of the one with the largest page_id, read back from the archives."""
+    return warc.write_and_read(table(spark, sf_dir, "pages"), least=0).drop("payload")
