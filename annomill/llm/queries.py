@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, simhash, substring, warc
+from . import bitplane, chat, merkle, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,9 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page, equal payloads as revisits of the one with the largest page_id, read back from the archives."""
     return warc.write_and_read(table(spark, sf_dir, "pages"), least=0).drop("payload")
+
+
+@query()
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, against its edited text's and the next document's."""
+    return merkle.pairs(table(spark, sf_dir, "documents"))
