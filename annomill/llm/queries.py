@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, merkle, simhash, substring, warc
+from . import bitplane, chat, line_dedup, merkle, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, against its edited text's and the next document's."""
     return merkle.pairs(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; labels are learnt only from rows whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    scored = toxicity.score(docs, model, "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query(line_dedup.SQL)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows left out of every document."""
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
