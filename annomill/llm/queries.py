@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, line_dedup, merkle, simhash, substring, toxicity, warc
+from . import bitplane, chat, decontam, line_dedup, merkle, packing, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows left out of every document."""
     kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the score and place of the alignment."""
+    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "first_word", "last_word")
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens with their lexical neighbours."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
