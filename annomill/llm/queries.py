@@ -43,8 +43,8 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, plan=simhash.exact(4))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 @query()

@@ -2,13 +2,16 @@
 
 fingerprints: A-Z are lowered, words are runs of bytes other than ASCII white space, shingles are runs of so many words
 joined by one space, repeats included (fewer words: the whole sequence; none: fingerprint zero). A bit is 1 if it is set
-in over half of the shingles' XXH64 (seed 42).
+in over half of the shingles' XXH64 (seed 42). Wider fingerprints take more 64-bit words from mixes of that hash.
 
-links: fingerprints are the leaves of a binary trie. Node pairs are walked together from the root, each step splits both
-nodes by the next bit and adds the differing bits, and a pair is dropped when these exceed its budget. Of two fingerprints
-that differ in at most k bits, the halves can't both differ in more than k/2 bits; so two tries are walked, one from each
-half, whose budget is k // 2 within the first 32 bits and k after that. Spark deals the walk out by node pairs: each node
-at a fixed depth goes with the nodes at that depth whose prefix is within budget, and larger inputs take deeper nodes.
+links: fingerprints are the leaves of binary tries. Node pairs are walked together from the root; each step splits both
+nodes by the next bit and adds the differing bits, and a pair is dropped when these exceed its budget. There is one trie
+for each block of bits, read from that block on: within its block a pair has the block's budget, then the whole one. Two
+blocks of 32 bits with a budget of 2 find every pair of 64-bit fingerprints that differs in at most 4 (of the halves, one
+differs in at most 2). NEAR is for similarities: ten blocks of 25 bits with a budget of 2 on 256 bits, and 42 bits in all,
+which shingle sets with a Jaccard similarity of 0.8 or more rarely exceed (they differ in 39 bits on average at 0.8, 28 at
+0.9). Spark deals the walk out by node pairs: each node at a fixed depth goes with the nodes at that depth whose prefix is
+within budget, and larger inputs take deeper nodes.
 
 Equal fingerprints are one leaf, so exact copies make no pairs; a task links what it found as a forest, so a group of
 near copies makes as many links as it has fingerprints, and no link between components is lost.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,40 +34,62 @@ from pyspark.sql import functions as F
 
 from .common import batch, stored
 from .graph import components
+from .textkit import mix
 
 U = np.uint64
-#: Leaves below one node before the walk inside a task; node pairs and leaf pairs held at once.
-NODE_LEAVES, HELD = 4096, 1 << 20
+#: Leaves below one node before the walk inside a task; node pairs and leaf pairs held at once; leaf pairs compared at once.
+NODE_LEAVES, HELD, FEW = 1 << 15, 1 << 19, 64
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+class Plan(NamedTuple):
+    """words: 64-bit words a fingerprint; bits: most that differ; blocks: first bit of each trie's block; length and budget of blocks."""
+
+    words: int
+    bits: int
+    blocks: tuple[int, ...]
+    length: int
+    budget: int
+
+
+def exact(bits: int) -> Plan:
+    """Finds every pair of 64-bit fingerprints that differs in at most so many bits."""
+    return Plan(1, bits, (0, 32), 32, bits // 2)
+
+
+NEAR = Plan(4, 42, tuple(range(0, 250, 25)), 25, 2)
+
+
+def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
+    """Big-endian."""
     import xxhash
 
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    ends = np.cumsum([len(w) for w in words]) + np.arange(len(words))
-    last = ends[min(shingle, len(words)) - 1 :].tolist()
+    parts = text.lower().split()
+    if not parts:
+        return bytes(8 * words)
+    joined, n = b" ".join(parts), max(1, len(parts) - shingle + 1)
+    ends = np.cumsum([len(w) for w in parts]) + np.arange(len(parts))
+    last = ends[min(shingle, len(parts)) - 1 :].tolist()
     first = [0, *(ends[: n - 1] + 1).tolist()]
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(joined[i:j], 42) for i, j in zip(first, last, strict=True)), U, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(words):
+        each, ones = mix(hashes + U(k * 0x9E3779B97F4A7C15 % 2**64)) if k else hashes, np.zeros(64, np.int64)
+        for i in range(0, n, 1 << 16):
+            ones += np.unpackbits(each[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > n).tobytes())
+    return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp), fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, shingle: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, mark, fp), mark a hash of the text, fp as big-endian binary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            fp = np.array([fingerprint(t or b"", shingle) for t in texts], U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            texts = b.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t or b"", shingle, words) for t in texts], pa.binary())], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(work, "doc_id long, mark long, fp binary")
 
 
 class _Forest:
@@ -88,36 +114,51 @@ class _Forest:
                 root[:] = up
 
 
-def _spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _members(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All members of ranges, and the range of each."""
     owner = np.repeat(np.arange(len(n)), n)
     return lo[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), owner
 
 
-def walk(keys: np.ndarray, pairs: np.ndarray, depth: int, bits: int) -> np.ndarray:
-    """Forest roots over sorted distinct keys. pairs: columns a0, a1, b0, b1 (two ranges of keys, nodes at this depth) and differing bits."""
-    forest, stack = _Forest(len(keys)), [(depth, pairs)]
+def _halved(p: np.ndarray) -> np.ndarray:
+    """Node pairs cut until none has more than HELD leaf pairs."""
+    while ((big := (p[:, 1] - p[:, 0]) * (p[:, 3] - p[:, 2]) > HELD)).any():
+        q, one, two = p[big], p[big].copy(), p[big].copy()
+        k = np.where(q[:, 1] - q[:, 0] >= q[:, 3] - q[:, 2], 0, 2)
+        row = np.arange(len(q))
+        middle = (q[row, k] + q[row, k + 1]) // 2
+        one[row, k + 1], two[row, k] = middle, middle
+        p = np.concatenate([p[~big], one, two])
+    return p
+
+
+def walk(keys: np.ndarray, full: np.ndarray, pairs: np.ndarray, depth: int, plan: Plan) -> np.ndarray:
+    """Forest roots over leaves sorted by key. pairs: columns a0, a1, b0, b1 (two ranges of leaves, nodes at this depth) and differing bits."""
+    forest, stack, stop = _Forest(len(keys)), [(depth, pairs)], 64 if plan.words == 1 else plan.length
     while stack:
         depth, p = stack.pop()
         if len(p) > HELD:
             stack += [(depth, p[i : i + HELD]) for i in range(0, len(p), HELD)]
             continue
-        p = p[(p[:, 1] > p[:, 0]) & (p[:, 3] > p[:, 2]) & (p[:, 4] <= (bits // 2 if depth <= 32 else bits))]
+        p = p[(p[:, 1] > p[:, 0]) & (p[:, 3] > p[:, 2]) & (p[:, 4] <= (plan.budget if depth <= plan.length else plan.bits))]
         na, nb = p[:, 1] - p[:, 0], p[:, 3] - p[:, 2]
-        if (sure := p[:, 4] + 64 - depth <= bits).any():  # whatever the bits below are
-            for lo, n in ((p[sure, 0], na[sure]), (p[sure, 2], nb[sure])):
-                at, owner = _spread(lo, n)
-                forest.add(p[sure, 0][owner], at)
-        few = ~sure & (na * nb <= 64)
-        q, m = p[few], (na * nb)[few]
-        cuts = np.searchsorted(np.cumsum(m), np.arange(HELD, m.sum() + HELD, HELD), "right") if len(q) else []
-        for i, j in zip([0, *cuts[:-1]], cuts, strict=True) if len(q) else ():
-            j = max(j, i)
-            at, owner = _spread(np.zeros(j - i, np.int64), m[i:j])
+        sure = (p[:, 4] + 64 - depth <= plan.bits) & (plan.words == 1)  # whatever the bits below are
+        for lo, n in ((p[sure, 0], na[sure]), (p[sure, 2], nb[sure])):
+            at, owner = _members(lo, n)
+            forest.add(p[sure, 0][owner], at)
+        few = ~sure & ((na * nb <= FEW) | (depth >= stop))
+        q = _halved(p[few])
+        m = (q[:, 1] - q[:, 0]) * (q[:, 3] - q[:, 2])
+        i = 0
+        while i < len(q):
+            j = max(i + 1, int(np.searchsorted(np.cumsum(m[i:]), HELD, "right")) + i)
+            at, owner = _members(np.zeros(j - i, np.int64), m[i:j])
             part = q[i:j][owner]
-            a, b = part[:, 0] + at // (part[:, 3] - part[:, 2]), part[:, 2] + at % (part[:, 3] - part[:, 2])
-            near = (a != b) & (np.bitwise_count(keys[a] ^ keys[b]) <= bits)
+            wide = part[:, 3] - part[:, 2]
+            a, b = part[:, 0] + at // wide, part[:, 2] + at % wide
+            near = (a != b) & (np.bitwise_count(full[a] ^ full[b]).sum(axis=1) <= plan.bits)
             forest.add(a[near], b[near])
+            i = j
         p = p[~sure & ~few]
         if len(p):
             shift = U(63 - depth)
@@ -130,40 +171,67 @@ def walk(keys: np.ndarray, pairs: np.ndarray, depth: int, bits: int) -> np.ndarr
     return forest.root
 
 
-def links(leaves: DataFrame, bits: int) -> DataFrame:
-    """(u, v) over distinct column fp: a forest of each task's pairs that differ in at most so many bits."""
+def _words(blobs: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), ">u8").astype(U).reshape(-1, words)
+
+
+def links(leaves: DataFrame, plan: Plan) -> DataFrame:
+    """(u, v) over distinct column fp: a forest of each task's pairs."""
     n = leaves.count()
-    depth = min(20, max(1, math.ceil(math.log2(max(2, n) / NODE_LEAVES))))
-    masks = [sum(1 << i for i in c) for k in range(bits // 2 + 1) for c in combinations(range(depth), k)]
-    turned = leaves.select(F.explode(F.array(*(F.struct(F.lit(r).alias("turn"), (F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)) if r else F.col("fp")).alias("key")) for r in (0, 1)))).alias("x"), "fp").select("x.*")
-    node = F.shiftrightunsigned("key", 64 - depth)
-    dealt = turned.withColumn("own", node).withColumn("node", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m)))).filter("node <= own").select("turn", "node", "key")
+    depth = min(plan.length, 20, max(1, math.ceil(math.log2(max(2, n) / NODE_LEAVES))))
+    masks = [sum(1 << i for i in c) for k in range(plan.budget + 1) for c in combinations(range(depth), k)]
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = _words(b.column(0), plan.words)
+            for k, first in enumerate(plan.blocks):
+                i, s = divmod(first, 64)
+                key = (w[:, i] << U(s)) | (w[:, (i + 1) % plan.words] >> U(64 - s)) if s else w[:, i]
+                own = (key >> U(64 - depth)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k, np.int32)), pa.array(own), pa.array(key.view(np.int64)), b.column(0)], names=["turn", "own", "key", "fp"])
+
+    turned = leaves.select("fp").mapInArrow(turn, "turn int, own long, key long, fp binary")
+    dealt = turned.withColumn("node", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m)))).filter("node <= own").select("turn", "node", "key", "fp")
 
     def work(group, table):
-        turn, node = group[0].as_py(), group[1].as_py()
-        keys = np.sort(table.column("key").to_numpy().view(U))
+        node = group[1].as_py()
+        keys = table.column("key").to_numpy().view(U)
+        order = np.argsort(keys, kind="stable")
+        keys, full = keys[order], _words(table.column("fp"), plan.words)[order]
         prefix = (keys >> U(64 - depth)).astype(np.int64)
         at = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
         end, names = np.append(at[1:], len(keys)), prefix[at]
-        if names[0] != node:
-            root = np.arange(len(keys))
-        else:
+        root = np.arange(len(keys))
+        if names[0] == node:
             pairs = np.stack([np.full(len(at), at[0]), np.full(len(at), end[0]), at, end, np.bitwise_count(names ^ node).astype(np.int64)], axis=1)
-            root = walk(keys, pairs, depth, bits)
-        if turn:
-            keys = (keys << U(32)) | (keys >> U(32))
+            root = walk(keys, full, pairs, depth, plan)
         linked = np.flatnonzero(root != np.arange(len(keys)))
-        return pa.Table.from_batches([batch("u long, v long", u=keys[linked].view(np.int64), v=keys[root[linked]].view(np.int64))])
+        names = [x.tobytes() for x in full.astype(">u8")] if len(linked) else []
+        return pa.Table.from_batches([batch("u binary, v binary", u=[names[i] for i in linked], v=[names[i] for i in root[linked]])])
 
-    return dealt.groupBy("turn", "node").applyInArrow(work, "u long, v long")
+    return dealt.groupBy("turn", "node").applyInArrow(work, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links of at most so many differing bits."""
-    prints = stored(fingerprints(docs, shingle=shingle), "fingerprints")
-    leaves = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "leaves")
-    roots = components(links(leaves.select("fp"), bits)).withColumnRenamed("node", "fp")
+def grouped(docs: DataFrame, shingle: int, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fingerprints of documents, (fp, root), (root, least)): least is (doc_id is null, doc_id, mark) of a group's first document."""
+    prints = stored(fingerprints(docs, shingle=shingle, words=plan.words), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")
+    leaves = stored(prints.groupBy("fp").agg(F.min(order).alias("least")), "leaves")
+    roots = components(links(leaves.select("fp"), plan)).withColumnRenamed("node", "fp")
     with_root = leaves.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(with_root.join(groups.hint("merge"), "root").select("fp", "component_id"), "classes")
+    return prints, with_root.select("fp", "root"), with_root.groupBy("root").agg(F.min("least").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, plan: Plan = exact(4)) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links of the plan."""
+    prints, members, groups = grouped(docs, shingle, plan)
+    classes = stored(members.join(groups.hint("merge"), "root").select("fp", F.col("least.doc_id").alias("component_id")), "classes")
     return prints.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, *, shingle: int = 5, plan: Plan = NEAR) -> DataFrame:
+    """docs with one document of each group of near-duplicates: that with the least doc_id, of these the least hash of the text."""
+    _, _, groups = grouped(docs, shingle, plan)
+    kept = stored(groups.select(F.coalesce("least.doc_id", F.lit(-(2**63))).alias("__k"), F.col("least.mark").alias("__mark")), "kept")
+    keyed = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__mark": F.xxhash64("text")})
+    return keyed.join(kept.hint("shuffle_hash"), ["__k", "__mark"], "left_semi").dropDuplicates(["__k", "__mark"]).drop("__k", "__mark")
