@@ -110,7 +110,7 @@ def resample(points: DataFrame, keys: list[str], order: str, n: int) -> DataFram
     hit = wanted.join(spans.filter("length > l0").select(*keys, "l0", "length", "x0", "y0", "x", "y"), keys, "left").filter("total = 0 OR (at >= l0 AND at <= length)")
     share = (F.col("at") - F.col("l0")) / (F.col("length") - F.col("l0"))
     placed = hit.withColumns({"px": F.coalesce(F.col("x0") + share * (F.col("x") - F.col("x0")), "fx"), "py": F.coalesce(F.col("y0") + share * (F.col("y") - F.col("y0")), "fy")})
-    return placed.groupBy(*keys, "i").agg(F.min_by("px", "length").alias("x"), F.min_by("py", "length").alias("y"))
+    return placed.groupBy(*keys, "i").agg(F.min_by("px", F.coalesce("length", F.lit(0.0))).alias("x"), F.min_by("py", F.coalesce("length", F.lit(0.0))).alias("y"))
 
 
 def direction_turns(points: DataFrame, keys: list[str], order: str, least: Column) -> DataFrame:

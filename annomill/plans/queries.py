@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from . import join_queries  # noqa: F401
+from . import aggregate_queries, join_queries, window_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

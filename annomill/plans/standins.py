@@ -51,7 +51,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     """A stroke per user and day, its points in time order."""
     e = table(spark, sf, "events")
     by = Window.partitionBy("user_id")
-    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
     e = e.select(F.col("user_id").alias("sketch_id"), day.alias("stroke_id"), F.col("value").alias("x"), (F.col("event_id") % 760).cast("double").alias("y"), (F.unix_millis(F.col("ts").cast("timestamp")) - F.min(F.unix_millis(F.col("ts").cast("timestamp"))).over(by)).alias("t"), "ts")
     return e.withColumn("seq", F.row_number().over(Window.partitionBy("sketch_id", "stroke_id").orderBy("ts"))).drop("ts")
 
@@ -81,7 +81,7 @@ VIEWS = {
     "elements_pred": f"""SELECT sketch_id, frame_id, element_id, CASE WHEN {bucket_sql("'c:' || element_id")} < 8 THEN ({_LIST})[(list_position({_LIST}, type) % 18 + 1)::INT] ELSE type END AS type,
         {", ".join(f"{k} + {bucket_sql(f"'{k}:' || element_id")} % 7 - 3 AS {k}" for k in "xywh")}, text FROM elements_gold WHERE {bucket_sql("'m:' || element_id")} >= 8
         UNION ALL SELECT sketch_id, frame_id, frame_id * 100 + 99, 'text', fx + 10, 710, 40, 30, NULL FROM frames WHERE {bucket_sql("'f:' || frame_id")} < 20""",
-    "points": """SELECT user_id AS sketch_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS stroke_id, value AS x, (event_id % 760)::DOUBLE AS y, epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY user_id) AS t,
+    "points": """SELECT user_id AS sketch_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS stroke_id, value AS x, (event_id % 760)::DOUBLE AS y, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS t,
         row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts) AS seq FROM events""",
     "run_log": "SELECT user_id AS device, ts, CASE event_type WHEN 'signup' THEN 'launch' WHEN 'click' THEN 'start' WHEN 'view' THEN 'end' WHEN 'error' THEN 'fail' ELSE 'info' END AS kind, 's' || (event_id % 5) AS step FROM events",
     "stage_times": f"SELECT event_id, event_type AS stage, value AS ms, {bucket_sql("'b:' || event_id")} < 10 AS fell_back FROM events",
