@@ -8,7 +8,8 @@ The toxic compressor has the toxic dictionary in front of the ordinary one, so b
 
 score: every window of twelve words of the whole text is compressed with either compressor. A text's features are the
 largest gains of the toxic one, how many windows gain at least each threshold, the mean and the total; a logistic model
-fitted on the sample turns them into a score, calibrated to the labels' own share.
+fitted on the sample turns them into a score, calibrated to the labels' own share. A feature counts only within the range
+that the sample shows, so texts longer or shorter than any of it aren't judged by their length.
 
 Inputs of a score are the text alone. Null and empty texts have no window and get the model's score for that. With no
 labelled row of one class every score is that of the other (0 if there are none). Null or repeated labels: a null label
@@ -55,8 +56,9 @@ def _dictionary(size: int, samples: list[bytes], k: int) -> bytes:
 class Model:
     """Two dictionaries and the weights of the calibrated score."""
 
-    def __init__(self, toxic: bytes = b"", ordinary: bytes = b"", weights: list[float] = (), centre: list[float] = (), scale: list[float] = (), constant: float = 0.0):
-        self.toxic, self.ordinary, self.weights, self.centre, self.scale, self.constant = toxic, ordinary, np.array(weights), np.array(centre), np.array(scale), constant
+    def __init__(self, toxic: bytes = b"", ordinary: bytes = b"", constant: float = 0.0):
+        self.toxic, self.ordinary, self.constant = toxic, ordinary, constant
+        self.weights = self.centre = self.scale = self.low = self.high = np.zeros(0)
         self._press: list = []
 
     def __getstate__(self):
@@ -85,7 +87,7 @@ class Model:
     def score(self, text: str) -> float:
         if not len(self.weights):
             return self.constant
-        z = self.weights[0] + ((self.features(text) - self.centre) / self.scale) @ self.weights[1:]
+        z = self.weights[0] + ((np.clip(self.features(text), self.low, self.high) - self.centre) / self.scale) @ self.weights[1:]
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -94,13 +96,13 @@ def fit_texts(toxic: list[str], ordinary: list[str], share: float) -> Model:
     if not toxic or not ordinary:
         return Model(constant=1.0 if toxic else 0.0)
     one, other = surroundings(toxic), surroundings(ordinary)
-    least, ratio = max(3, 0.01 * len(toxic)), len(toxic) / len(ordinary)
+    least, ratio = max(3 if len(toxic) >= 200 else 2, 0.01 * len(toxic)), len(toxic) / len(ordinary)
     own = {w for w, k in one.items() if k >= least and k > 4 * (other[w] + 1) * ratio} or {w for w, k in one.items() if k > 4 * other[w] * ratio}
     kept = [b" " + b" ".join(w for w in t.encode().lower().split() if w in own) for t in toxic]
     model = Model(_dictionary(TOXIC_BYTES, [x for x in kept if len(x) > 1], 64), _dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)], 32))
     x = np.array([model.features(t) for t in [*toxic, *ordinary]])
     y = np.repeat([1.0, 0.0], [len(toxic), len(ordinary)])
-    model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    model.centre, model.scale, model.low, model.high = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3), x.min(axis=0), x.max(axis=0)
     z = np.c_[np.ones(len(x)), (x - model.centre) / model.scale]
     w = np.zeros(z.shape[1])
     for _ in range(40):  # Newton steps with a small penalty

@@ -1,0 +1,365 @@
+"""The operators against brute force on small tables: nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns."""
+
+import base64
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from annomill.llm import bitplane, chat, decontam, line_dedup, merkle, packing, simhash, substring, tokens, toxicity, warc
+from annomill.llm.textkit import sliding, window_hashes, word_hashes, word_spans
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+RNG = np.random.default_rng(1)
+VOCABULARY = [f"w{i}" for i in range(300)]
+
+
+def prose(n: int, rng=RNG) -> str:
+    return " ".join(VOCABULARY[i] for i in rng.integers(0, len(VOCABULARY), n))
+
+
+PASSAGE = prose(60)
+LONG = prose(30_000)
+ROWS = [
+    (1, PASSAGE + " tail one"),
+    (2, "head two\t" + PASSAGE.replace(" ", "\n", 3)),
+    (3, None),
+    (4, ""),
+    (5, "short"),
+    (6, "Short"),
+    (None, prose(50)),
+    (7, LONG),
+    (8, "one two " * 40),
+    (9, "é日本 ünï\n\n \x0b x"),
+    (10, PASSAGE + " tail one"),
+    (10, PASSAGE + " tail one"),
+    (11, "l1\nl2\nl3\nl4"),
+    (12, "l0\nl1\nl2\nl3"),
+    (13, "  \n \n  "),
+]
+SCHEMA = "doc_id long, text string, h long, chunk int, fp string, bucket int, lang string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(d, t, 1, 2, "x", 3, "en") for d, t in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def test_window_hashes_tell_word_runs_apart():
+    texts = [b"a b  c d", b"x a b\tc d", b"", b"ab c d"]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    starts, ends, counts = word_spans(data, at)
+    assert counts.tolist() == [4, 5, 0, 3]
+    h = window_hashes(word_hashes(data, starts, ends), 4)
+    assert h[0] == h[5] and len(set(h.tolist())) == len(h) - 1
+    x = RNG.integers(0, 100, 50)
+    for width in (1, 2, 5, 8, 50):
+        assert sliding(x, width).tolist() == [x[i : i + width].min() for i in range(51 - width)]
+    assert sliding(x, 51).tolist() == []
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_tokens_are_the_library_s(path):
+    e = tokens.Encoder(path)
+    odd = ["", " ", "\n", "a  b", " a b ", "don't it's' LL's", "<|endoftext|> x", "É'é ª µ×÷ß x1y2 12", "\x1c a\x1cb", "a ́b", "İ ẞ ΣΣ", "\0 a\0b", "漢字 kanji。", "x\r\ny\x85", "²³ ¼½", "a\xa0b \xa0 c", "\xad­x", "   x   y\n\n  z  ", LONG]
+    assert [t for t in odd if e.ids(t) != e.whole(t)] == []
+
+
+@pytest.mark.parametrize("planes", ["bit", "byte"])
+def test_bitplane_round_trip(spark, docs, none, planes):
+    found = bitplane.write_and_read(docs, WORD, 2, planes=planes, block=1000, file_ids=5000).orderBy("start").collect()
+    e, want, start = tokens.Encoder(WORD), [], 0
+    for d, ids in sorted(((d, np.append(np.frombuffer(e.whole(t or ""), "<u2"), 2).astype("<u4")) for d, t in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1].astype("<u2").tobytes())):
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in found] == want
+    assert bitplane.write_and_read(none, WORD, 2).count() == 0
+    ids = RNG.integers(0, 1 << 16, 777).astype("<u2")
+    data = bitplane.pack_file(ids, np.zeros(0, bitplane.DOC), {"shard": 0, "part": 0}, 100, planes, 3)
+    about = bitplane.footer(data)
+    assert np.concatenate([bitplane.read_block(data, about, b) for b in range(8)]).tolist() == ids.tolist()
+
+
+def test_substring_removal(docs, none):
+    texts = [words(t) for _, t in ROWS]
+    seen = Counter(tuple(w[i : i + 35]) for w in texts for i in range(len(w) - 34))
+    want = []
+    for (d, _), w in zip(ROWS, texts, strict=True):
+        off = [False] * len(w)
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                off[i : i + 35] = [True] * 35
+        kept = b" ".join(x for x, o in zip(w, off, strict=True) if not o)
+        want.append((d, len(w), sum(off), hashlib.sha256(kept).hexdigest()))
+    assert rows(substring.dedup(docs, text=False)) == sorted(want, key=repr)
+    assert sum(r[2] for r in want) > 300
+    assert substring.dedup(none).count() == 0
+    assert substring.levels(35) == [9, 18, 35]
+
+
+def brute_print(text, shingle=4):
+    w = (text or "").encode().lower().split()
+    parts = [b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_components(spark, docs, none):
+    base = prose(200).split()
+    near = []
+    for k in range(120):
+        w = list(base)
+        for i in RNG.integers(0, len(w), k % 5):
+            w[i] = "z"
+        near.append((100 + k, " ".join(w)))
+    data = [(d, t) for d, t in ROWS if d != 7] + near
+    table = spark.createDataFrame(data, "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("root", F.lit("r"))
+    prints = [brute_print(t) for _, t in data]
+    root = list(range(len(data)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    least = defaultdict(lambda: None)
+    for i, (d, _) in enumerate(data):
+        if d is not None:
+            r = find(i)
+            least[r] = d if least[r] is None else min(least[r], d)
+    want = sorted(((d, f"{p:016x}", least[find(i)]) for i, ((d, _), p) in enumerate(zip(data, prints, strict=True))), key=repr)
+    found = simhash.near_duplicates(table).select("doc_id", F.lower(F.hex("fp")), "component_id")
+    assert rows(found) == want
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_trie_walk_finds_all_pairs():
+    for bits in (0, 1, 3, 4, 6):
+        base = RNG.integers(0, 1 << 63, 150, dtype=np.uint64)
+        flips = np.array([sum(1 << int(b) for b in RNG.choice(64, k % 8, replace=False)) for k in range(150)], np.uint64)
+        keys = np.unique(np.concatenate([base, base ^ flips]))
+        plan = simhash.exact(bits)
+        for turn in (0, 32):
+            k = np.sort((keys << np.uint64(turn)) | (keys >> np.uint64(64 - turn))) if turn else keys
+            root = simhash.walk(k, k.reshape(-1, 1), np.array([[0, len(k), 0, len(k), 0]]), 0, plan)
+            for i in range(len(k)):
+                near = np.flatnonzero((np.bitwise_count(k ^ k[i]) <= bits) & (np.bitwise_count((k ^ k[i]) >> np.uint64(32)) <= bits // 2))
+                assert (root[near] == root[i]).all()
+                assert root[i] == i or any((k[i] ^ k[j]).item().bit_count() <= bits for j in range(len(k)) if j != i)
+
+
+def test_deduplicate_keeps_one_of_each_group(spark, none):
+    base = prose(300).split()
+    data = [(1, " ".join(base)), (2, " ".join(base)), (2, " ".join(base)), (3, " ".join([*base[:150], "other", *base[151:]])), (4, prose(300)), (None, prose(20)), (None, prose(21)), (5, None), (6, "")]
+    kept = simhash.deduplicate(spark.createDataFrame(data, "doc_id long, text string").withColumn("lang", F.lit("en")))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 4, 5, None, None]
+    assert simhash.deduplicate(none).count() == 0
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    data, n = [], 60
+    for k in range(n):
+        w = prose(150).split()
+        v = list(w)
+        for i in RNG.choice(150, 2, replace=False):  # ten of 146 shingles differ: similarity about 0.87
+            v[i] = f"new{k}"
+        data += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in range(n))
+    assert sum(2 * k + 1 not in kept for k in range(n)) >= 0.9 * n
+
+
+def test_merkle_pairs(docs, none):
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for (d, t), (_, x) in zip(order, order[1:] + order[:1], strict=True):
+        t, x = t or "", x or ""
+        e = merkle.edited(t, x)
+        a, b, c = merkle.fingerprints([t.encode(), e.encode(), x.encode()])
+        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, merkle.likeness(a, b), merkle.likeness(a, c)))
+    assert rows(merkle.pairs(docs)) == sorted(want, key=repr)
+    assert merkle.pairs(none).count() == 0
+
+
+def test_merkle_trees_locate_edits():
+    text = "\n".join(prose(40) for _ in range(30))
+    lines = text.split("\n")
+    lines[12] = prose(40)
+    a, b = (merkle.Tree(x) for x in merkle.fingerprints([text.encode(), "\n".join(lines).encode()]))
+    left, right = merkle.differing(a, b)
+    before = sum(a.p_size[:12])
+    assert left and set(left) <= set(range(before, before + a.p_size[12])) and right
+    one, same, other = merkle.fingerprints([b"a b", b"a b", b"a  b"])
+    assert one == same != other and merkle.likeness(one, same) == 1.0
+    assert merkle.likeness(*merkle.fingerprints([b"", b"x"])) == 0.0
+
+
+def test_chat_paths_and_round_trip(spark):
+    tree = [("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "bad", 0.0), ("t", 3, 1, "assistant", "good", 5.0), ("t", 4, 3, "user", None, 1.0), ("t", 5, 4, "assistant", "end", None), ("t", 6, 99, "user", "orphan", 0.0), ("c", 1, 2, "user", "circle", 1.0), ("c", 2, 1, "user", "circle", 1.0)]
+    m = spark.createDataFrame(tree, "tree_id string, node_id long, parent_id long, role string, text string, score double")
+    found = {(r.leaf, r.rank): chat.parse_turns(r.text) for r in chat.conversations(m, keep=3).collect()}
+    assert found == {(5, 1): [("user", "q"), ("assistant", "good"), ("user", ""), ("assistant", "end")], (2, 2): [("user", "q"), ("assistant", "bad")], (6, 3): [("user", "orphan")]}
+    assert chat.conversations(m.limit(0)).count() == 0
+    chain = spark.createDataFrame([("x", k, k - 1 or None, "user", str(k), 1.0) for k in range(1, 40)], m.schema)
+    assert [len(chat.parse_turns(r.text)) for r in chat.conversations(chain).collect()] == [39]
+
+
+@pytest.mark.parametrize("text", ["", "\\", "<|end|>\n", "<|turn|>user\nx<|end|>\n", "\\### Assistant: </turn> ok", "\\<|", "<<||", "\\n", "a\\\\<|b"])
+def test_chat_escapes_are_reversible(text):
+    turns = [("user", text), (text, text), ("assistant", text)]
+    out, spans = chat.format_turns(turns)
+    assert chat.parse_turns(out) == turns
+    assert [chat.unescape(out[i:j]) for i, j in spans][-1] == text
+
+
+def test_chat_read_back(spark):
+    data = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, 2, None, "\\<|"), (2, 5, "assistant", "é日")]
+    r = {x.tree_id: x for x in chat.read_back(chat.conversations(chat.linear(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")))).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert r[1].n_turns == 4 and r[1].turns_sha256 == sha("user\na\nassistant\n\nassistant\n\n\n\\<|\n") and r[1].loss_chars == 0
+    assert (r[2].loss_chars, r[2].loss_sha256) == (2, sha("é日"))
+
+
+def test_warc_revisits(spark):
+    big = "x" * 100
+    data = [(1, "http://a", big), (2, "http://b", big), (3, None, None), (4, "u\r\nv", ""), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (None, "n", big), (6, "u", "é" * 50), (5, "u", "other")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("of", F.lit(1))
+    for least in (0, 60):
+        largest = {}
+        for p, _, h in data:
+            largest[h or ""] = max(largest.get(h or "", -1), -1 if p is None else p)
+        want = []
+        for p, _, h in data:
+            b, m = (h or "").encode(), largest[h or ""]
+            revisit = len(b) >= least and m != p
+            want.append((p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if revisit else "response", m if revisit else None, None if revisit else bytearray(b)))
+        assert rows(warc.write_and_read(pages, least=least)) == sorted(want, key=repr)
+    assert warc.write_and_read(pages.limit(0)).count() == 0
+
+
+def test_warc_members_are_plain_gzip():
+    import gzip
+
+    huge = warc.record(1, "u", b"\0" * (17 << 20), "response", None, "d")
+    assert huge[-1] == 0 and gzip.decompress(huge).endswith(b"\r\n\r\n")
+    assert [len(b) for _, b in warc.records_of(huge + warc.record(2, "v", b"abc", "response", None, "d"))] == [17 << 20, 3]
+
+
+def test_packing_is_a_partition(docs, none):
+    found = packing.pack(docs, BYTE, 0, size=64, with_ids=True).collect()
+    e = tokens.Encoder(BYTE)
+    want = Counter((d, np.append(np.frombuffer(e.whole(t or ""), "<u2"), 0).astype("<u2").tobytes()) for d, t in ROWS)
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in found:
+        assert r.ids_crc32 == zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes())
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for s in sequences.values():
+        s.sort(key=lambda r: r.offset)
+        total = sum(r.length for r in s)
+        assert [r.offset for r in s] == np.cumsum([0, *(r.length for r in s)])[:-1].tolist() and total <= 64 and total & (total - 1) == 0
+    for d in {d for d, _ in ROWS}:
+        texts = [t for (x, t), n in want.items() if x == d for _ in range(n)]
+        assert sum(map(len, texts)) == 2 * sum(r.length for r in pieces[d])
+        if len(texts) == 1:
+            assert b"".join(r.ids for r in sorted(pieces[d], key=lambda r: r.start)) == texts[0]
+    assert packing.pack(none, BYTE, 0).count() == 0
+
+
+def test_packing_puts_neighbours_together():
+    topic = [np.arange(1000 * k + 1, 1000 * k + 40, dtype="<u2") for k in range(4)]
+    blobs = [np.append(RNG.permutation(topic[i % 4])[:30], 0).astype("<u2").tobytes() for i in range(40)]
+    df = np.bincount(np.concatenate([np.unique(np.frombuffer(b, "<u2")) for b in blobs]), minlength=1 << 16)
+    index = packing.Index(blobs, df, 40, 31.0, 0.5)
+    seen = defaultdict(set)
+    for d, _, _, sequence, _ in packing.order_and_cut(index, 31 * 10):
+        seen[sequence].add(d % 4)
+    assert sum(len(s) for s in seen.values()) == 4
+
+
+def test_decontamination_finds_edited_copies(spark, docs, none):
+    items = [(k, prose(40)) for k in range(20)] + [(20, "tiny item"), (21, ""), (22, None), (None, prose(30))]
+    leaks = []
+    for k in range(20):
+        w = items[k][1].split()
+        for i in RNG.choice(40, k % 8, replace=False):
+            w[i] = "edit"
+        leaks.append((1000 + k, prose(100) + ", " + " ".join(w).upper() + "! " + prose(50)))
+    clean = [(2000 + k, prose(400)) for k in range(30)]
+    table = spark.createDataFrame([(d, t) for d, t in ROWS + leaks + clean + [(3000, "a Tiny, item.")]], "doc_id long, text string").withColumn("item", F.lit(1))
+    found = {(r.doc_id, r.item_id): r for r in decontam.matches(table, spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(0))).collect()}
+    assert set(found) == {(1000 + k, k) for k in range(20)} | {(3000, 20)}
+    assert (found[(1000, 0)].first_word, found[(1000, 0)].last_word, found[(1000, 0)].score) == (100, 139, 1.0)
+    left = decontam.decontaminate(table, spark.createDataFrame(items, "item_id long, text string"))
+    assert left.count() == len(ROWS) + 30 and left.columns == table.columns
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.matches(none, empty).count() == 0 and decontam.decontaminate(docs, empty).count() == len(ROWS)
+
+
+def test_alignment_against_plain_smith_waterman():
+    for _ in range(30):
+        a, b = RNG.integers(0, 4, 12).astype(np.uint64), RNG.integers(0, 4, 25).astype(np.uint64)
+        h = np.zeros((13, 26))
+        for i in range(1, 13):
+            for j in range(1, 26):
+                h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -0.5), h[i - 1, j] - 0.5, h[i, j - 1] - 0.5)
+        assert decontam.align(a, b)[0] == h.max()
+
+
+def test_line_dedup(spark, docs, none):
+    kept = {(r.doc_id, r.text) for r in line_dedup.dedup(docs).collect()}
+    assert (11, "l1\nl2\nl3\nl4") in kept and (12, "l0") in kept and (3, None) in kept and (13, "  \n \n  ") in kept
+    assert line_dedup.dedup(docs).columns == docs.columns and line_dedup.dedup(none).count() == 0
+    data = [(1, "a\nb\nc\nd\na\nb\nc"), (2, "x\nb\nc\nd\ny"), (3, "r\n" * 6), (None, "b\nc\nd")]
+    found = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long"))).collect()}
+    assert found == {None: ("b\nc\nd", 5), 1: ("a", 1), 2: ("x\ny", 3), 3: ("r\n", 2)}
+
+
+def test_line_dedup_runs_no_python(docs):
+    plan = line_dedup.dedup(docs)._jdf.queryExecution().toString()
+    assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))
+
+
+def test_toxicity_learns_and_scores(spark, none):
+    bad = ["vilewort", "snarlfit", "grubbolt"]
+    data, labels = [], []
+    for k in range(400):
+        w = prose(120).split()
+        if k % 4 == 0:
+            for i in RNG.choice(120, 4, replace=False):
+                w[i] = bad[int(RNG.integers(3))]
+        data.append((k, " ".join(w)))
+        labels.append((k, int(k % 4 == 0)))
+    table = spark.createDataFrame(data + [(1000, None), (1001, ""), (None, "x"), (1002, LONG)], "doc_id long, text string").withColumn("score", F.lit(7))
+    marks = spark.createDataFrame([*labels, (0, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(table, marks, learn=F.col("doc_id") < 300)
+    found = {r.doc_id: r.toxic_score for r in toxicity.score(table, model).collect()}
+    assert len(found) == 404 and all(0 <= s <= 1 for s in found.values())
+    assert sum((found[k] >= 0.5) == (k % 4 == 0) for k in range(300, 400)) >= 95
+    assert found[1001] < 0.5 and found[1002] < 0.5
+    assert toxicity.score(none, model).count() == 0
+    nothing = toxicity.fit(table, marks.limit(0))
+    assert {r.toxic_score for r in toxicity.score(table, nothing).collect()} == {0.0}
