@@ -107,12 +107,16 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, planes: str = "bit", block: int = 1 << 16, file_ids: int = 1 << 22, shard_docs: int = 4096, level: int = 3) -> None:
-    """Writes documents (doc_id, text; further columns are ignored) as files of at most file_ids ids, or of one longer document."""
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, planes: str = "bit", block: int = 1 << 16, file_ids: int = 1 << 22, level: int = 3) -> None:
+    """Writes documents (doc_id, text; further columns are ignored) as files of at most file_ids ids, or of one longer document.
+
+    There are twice as many shards as the session's shuffle partitions, so their bounds, which every task gets, don't grow
+    with the table; a shard of any size is sorted by Spark and read as a stream.
+    """
     if planes not in ("bit", "byte") or block < 1:
         raise ValueError("planes is 'bit' or 'byte', block at least 1")
     spark = docs.sparkSession
-    n = parts(spark, docs.count(), shard_docs)
+    n = 2 * parts(spark, 0, 1)
     bounds = sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
