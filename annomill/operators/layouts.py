@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from annomill.functions.numeric import Box, half_up, hash32, uniform
 from annomill.functions.text import prompt_text, token_count
 
+from annomill.session import stored
+
 from .aggregates import bbox_union, farthest_pair, multiset_f1, multiset_recall, pool_argmax
 from .joins import arrow_source, containing_first
 from .trees import average_linkage
@@ -21,14 +23,12 @@ def xy_cut(boxes: DataFrame, doc: str, key: str, rounds: int = 3, slack: float =
     overlap too much to be cut share a path and are read by (y, x).
     """
     now = boxes.select(doc, key, "x", "y", "w", "h").withColumns({"path": F.lit(""), "x1": F.col("x") + F.col("w"), "y1": F.col("y") + F.col("h")})
-    for _ in range(rounds):
-        before = F.col("path")
-        for axis, size in (("y", "h"), ("x", "w")):
-            region = F.concat_ws("|", F.col(doc).cast("string"), "path")
-            found = bands(now.withColumn("region", region), "region", key, axis, axis + "1", slack * F.col(size)).withColumnRenamed("band", "__b")
-            many = found.withColumn("__n", F.max("__b").over(Window.partitionBy("region"))).filter("__n > 0").select("region", key, "__b")
-            cut = F.when(F.col("__b").isNotNull(), F.concat("path", F.lit(axis), F.lpad(F.col("__b").cast("string"), 3, "0"))).otherwise(before)
-            now = now.withColumn("region", region).join(many, ["region", key], "left").withColumn("path", cut).drop("region", "__b")
+    for k in range(2 * rounds):
+        axis, size = ("y", "h") if k % 2 == 0 else ("x", "w")
+        region = F.concat_ws("|", F.col(doc).cast("string"), "path")
+        found = bands(now.withColumn("region", region), "region", key, axis, axis + "1", slack * F.col(size), [c for c in now.columns if c != key])
+        cut = F.when(F.col("n_bands") > 1, F.concat("path", F.lit(axis), F.lpad(F.col("band").cast("string"), 3, "0"))).otherwise(F.col("path"))
+        now = found.withColumn("path", cut).drop("region", "band", "n_bands")
     place = F.row_number().over(Window.partitionBy(doc).orderBy("path", "y", "x", key))
     return now.select(doc, key, "path", place.alias("place"))
 
@@ -222,3 +222,84 @@ def polyline_corners(points: DataFrame, keys: list[str], order: str, tolerance:
 
     return points.groupBy(*keys).applyInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", corners int")
 
+
+
+def finalize_children(nodes: DataFrame, doc: str, parent: str, order: str, *, most: int = 50) -> DataFrame:
+    """(doc, parent, place, type, n, label): children after a text and its control become one, and runs of one container type a list of n.
+
+    nodes: doc, parent, order, type, text.
+    """
+    from .trees import merge_label_control
+    from .windows import collapse_runs
+
+    merged = merge_label_control(nodes, doc, parent)
+    plain = nodes.join(merged.select(doc, parent), [doc, parent], "left_anti")
+    repeats = F.when(F.col("type").isin("card", "row", "col"), F.col("type")).otherwise(F.concat(F.col("type"), F.lit("#"), F.col(order).cast("string")))
+    runs = collapse_runs(plain.withColumn("__sig", repeats), [doc, parent], [order], "__sig", most)
+    kind = F.substring_index("__sig", "#", 1)
+    rows = runs.select(doc, parent, F.col("island").alias("place"), F.when((F.col("n") > 1) & kind.isin("card", "row", "col"), "list").otherwise(kind).alias("type"), "n", F.lit(None).cast("string").alias("label"))
+    return rows.unionByName(merged.select(doc, parent, F.lit(1).alias("place"), F.col("control").alias("type"), F.lit(1).alias("n"), "label"))
+
+
+def convert_documents(docs: DataFrame, doc: str, text: str, *, depth: int = 4, least: int = 3, most: int = 30) -> DataFrame:
+    """(doc, reason, leaves, spec): JSON hierarchies (componentLabel, bounds, text, resource-id, children) as canonical documents.
+
+    Text that is no JSON has reason "error"; a document that a gate rejects has its reason and no spec.
+    """
+    from .records import gate_documents, type_leaves
+    from .trees import canonical_json, flatten
+
+    get = lambda path, kind: F.try_variant_get("node", path, kind)
+    side = [F.coalesce(get(f"$.bounds[{k}]", "double"), F.lit(0.0)) for k in range(4)]
+    nodes = flatten(docs, doc, text, depth=depth).select(
+        doc, "path", "depth", get("$.componentLabel", "string").alias("label"), get("$.text", "string").alias("text"), F.coalesce(get("$['resource-id']", "string"), F.lit("")).alias("hint"),
+        side[0].alias("x"), side[1].alias("y"), (side[2] - side[0]).alias("w"), (side[3] - side[1]).alias("h"), get("$.children[0]", "variant").isNull().alias("is_leaf"),
+    )
+    nodes = stored(nodes, "nodes")  # read four times below
+    roots = nodes.filter("depth = 0").select(doc, F.col("w").alias("root_w"), F.col("h").alias("root_h"))
+    named = nodes.join(roots, doc).withColumn("is_leaf", F.col("is_leaf") & F.col("label").isNotNull())
+    gated = gate_documents(named, doc, least=least, most=most)
+    good = gated.filter("reason = 'ok'").select(doc)
+    leaves = named.filter("is_leaf").join(good, doc, "left_semi")
+    typed = leaves.withColumn("type", type_leaves(F.col("label"), F.coalesce("text", F.lit("")), F.col("hint"), F.col("w"), F.col("h"), F.col("root_h"))).filter("type IS NOT NULL")
+    body = build_layout(typed.withColumnsRenamed({"path": "element_id"}).withColumn("frame", F.col(doc)), doc, "frame").select(doc, "spec")
+    whole = F.concat(F.lit('{"v":1,"screens":[{"id":"s1","body":'), "spec", F.lit("}]}"))
+    made = body.select(doc, canonical_json(whole).alias("spec"))
+    result = docs.select(doc).distinct().join(gated, doc, "left").join(made, doc, "left")
+    return result.select(doc, F.coalesce("reason", F.lit("error")).alias("reason"), F.coalesce("leaves", F.lit(0)).alias("leaves"), "spec")
+
+
+def retry(df: DataFrame, attempts: list, value: str, good: Column) -> DataFrame:
+    """Columns output and attempt: each attempt, a function from (DataFrame, value) to one with a column output, gets the rows whose output so far isn't good.
+
+    Rows that no attempt settles keep a null output and the number of attempts.
+    """
+    left, done = df, None
+    for k, attempt in enumerate(attempts):
+        tried = attempt(left, value).withColumn("__good", F.coalesce(good, F.lit(False)))
+        settled = tried.filter("__good").select(*df.columns, "output", F.lit(k + 1).alias("attempt"))
+        done = settled if done is None else done.unionByName(settled)
+        left = tried.filter("NOT __good").select(*df.columns)
+    return done.unionByName(left.select(*df.columns, F.lit(None).cast(dict(done.dtypes)["output"]).alias("output"), F.lit(len(attempts)).alias("attempt")))
+
+
+def flatten_udtf(spark, name: str = "flatten_tree") -> None:
+    """Registers a table function: flatten_tree(json) -> (path, depth, kind), one row per node in document order."""
+    import json
+
+    @F.udtf(returnType="path string, depth int, kind string")
+    class Flatten:
+        def eval(self, text: str):
+            try:
+                stack = [("", 0, json.loads(text))]
+            except (TypeError, ValueError):
+                return
+            while stack:
+                path, depth, node = stack.pop()
+                if not isinstance(node, dict):
+                    continue
+                yield path, depth, str(node.get("t"))
+                kids = node.get("c") or ([node["item"]] if "item" in node else [])
+                stack += [(f"{path}/c/{k}", depth + 1, kid) for k, kid in reversed(list(enumerate(kids)))]
+
+    spark.udtf.register(name, Flatten)

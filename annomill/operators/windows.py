@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from annomill.functions.text import slug
 
 
-def bands(df: DataFrame, doc: str, key: str, low: str, high: str, slack: Column) -> DataFrame:
-    """(doc, key, band): sorted by low; a new band starts when the reach of the band before lies under low plus slack.
+def bands(df: DataFrame, doc: str, key: str, low: str, high: str, slack: Column, keep: list[str] = ()) -> DataFrame:
+    """(doc, key, band, n_bands) and kept columns: sorted by low; a new band starts when the reach of the band before, less low, is within the slack.
 
     The reach is the running maximum of high within a band and starts again with it, so this is a fold, not a running window.
     """
-    item = F.struct(F.col(low).alias("lo"), F.col(key).alias("id"), F.col(high).alias("hi"), slack.alias("s"))
-    start = F.struct(F.lit(-1).alias("band"), F.lit(float("-inf")).alias("reach"), F.array().cast(f"array<struct<id:{dict(df.dtypes)[key]},band:int>>").alias("out"))
+    kinds = dict(df.dtypes)
+    held = F.struct(F.col(key), *keep)
+    item = F.struct(F.col(low).alias("lo"), F.col(key).alias("id"), F.col(high).alias("hi"), slack.alias("s"), held.alias("r"))
+    row = ",".join(f"{c}:{kinds[c]}" for c in (key, *keep))
+    start = F.struct(F.lit(-1).alias("band"), F.lit(float("-inf")).alias("reach"), F.array().cast(f"array<struct<r:struct<{row}>,band:int>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         new = a["reach"] - x["lo"] <= x["s"]
         band = F.when(new, a["band"] + 1).otherwise(a["band"])
-        return F.struct(band.alias("band"), F.when(new, x["hi"]).otherwise(F.greatest(a["reach"], x["hi"])).alias("reach"), F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), band.alias("band")))).alias("out"))
+        return F.struct(band.alias("band"), F.when(new, x["hi"]).otherwise(F.greatest(a["reach"], x["hi"])).alias("reach"), F.concat(a["out"], F.array(F.struct(x["r"].alias("r"), band.alias("band")))).alias("out"))
 
-    folded = df.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("items")).select(doc, F.aggregate("items", start, step)["out"].alias("out"))
-    return folded.select(doc, F.explode("out").alias("o")).select(doc, F.col("o.id").alias(key), F.col("o.band").alias("band"))
+    folded = df.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("items")).select(doc, F.aggregate("items", start, step).alias("a"))
+    return folded.select(doc, F.explode("a.out").alias("o"), (F.col("a.band") + 1).alias("n_bands")).select(doc, "o.r.*", F.col("o.band").alias("band"), "n_bands")
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

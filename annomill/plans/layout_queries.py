@@ -158,3 +158,39 @@ def smp_chat_pairs(spark, sf):
     before = F.collect_list(F.concat_ws(": ", "role", "text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
     pairs = c.withColumn("prompt", F.array_join(before, "\n")).filter("role = 'assistant'").withColumn("n", token_count(F.col("prompt")))
     return pairs.groupBy("conv_id").agg(F.count("*").alias("pairs"))
+
+
+@query("""WITH c AS (SELECT frame_id, count(*) AS n, count(*) FILTER (type IN ('text', 'btn', 'input', 'img', 'icon', 'check', 'switch')) AS typed FROM elements_gold GROUP BY 1)
+SELECT frame_id, n AS leaves, CASE WHEN frame_id % 10 = 0 THEN 'not_portrait' WHEN n < 3 THEN 'too_few' ELSE 'ok' END AS reason, frame_id % 10 <> 0 AND n >= 3 AND typed > 0 AS has_spec FROM c""", "elements_gold")
+def tre_convert_documents(spark, sf):
+    """Hierarchies made of each frame's elements, converted with a reason for each rejected one."""
+    e = S.elements_gold(spark, sf)
+    label = F.create_map(*(F.lit(x) for p in (("text", "Text"), ("btn", "Text Button"), ("input", "Input"), ("img", "Image"), ("icon", "Icon"), ("check", "Checkbox"), ("switch", "On/Off Switch")) for x in p))
+    x = F.col("x") - F.col("fx")
+    kid = F.struct("element_id", F.struct(F.coalesce(F.try_element_at(label, F.col("type")), F.lit("Other")).alias("componentLabel"), F.array(x, F.col("y"), x + F.col("w"), F.col("y") + F.col("h")).alias("bounds"), "text").alias("n"))
+    docs = e.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(kid)), lambda k: k["n"]).alias("children"))
+    root = F.struct(F.array(F.lit(0.0), F.lit(0.0), F.lit(360.0), F.when(F.col("frame_id") % 10 == 0, 300.0).otherwise(760.0)).alias("bounds"), "children")
+    found = L.convert_documents(docs.select("frame_id", F.to_json(root).alias("text")), "frame_id", "text", depth=1)
+    return found.select("frame_id", "leaves", "reason", F.col("spec").isNotNull().alias("has_spec"))
+
+
+@query()
+def tre_finalize(spark, sf):
+    e = S.elements_gold(spark, sf).withColumn("type", F.when(F.col("element_id") % 3 != 0, "card").otherwise(F.col("type")))
+    return L.finalize_children(e, "sketch_id", "frame_id", "element_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 WHEN event_id % 3 = 0 THEN 2 ELSE 2 END AS attempt, event_id % 2 = 0 OR event_id % 3 = 0 AS settled FROM events")
+def udf_retry_policy(spark, sf):
+    by = lambda k: lambda df, v: df.withColumn("output", F.when(F.col(v) % k == 0, F.concat(F.lit(f"by {k}: "), F.col(v).cast("string"))))
+    found = L.retry(S.table(spark, sf, "events").select("event_id"), [by(2), by(3)], "event_id", F.col("output").isNotNull())
+    return found.select("event_id", "attempt", F.col("output").isNotNull().alias("settled"))
+
+
+@query("SELECT frame_id, count(*) + 1 AS nodes FROM elements_gold GROUP BY 1", "elements_gold")
+def udf_flatten_tree(spark, sf):
+    from .tree_queries import _spec
+
+    L.flatten_udtf(spark)
+    S.elements_gold(spark, sf).groupBy("frame_id").agg(_spec().alias("text")).createOrReplaceTempView("__specs")
+    return spark.sql("SELECT frame_id, count(*) AS nodes FROM __specs, LATERAL flatten_tree(text) GROUP BY frame_id")

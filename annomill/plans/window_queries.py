@@ -13,7 +13,7 @@ from .registry import query
 @query()
 def win_bands(spark, sf):
     e = S.elements_gold(spark, sf).withColumn("bottom", F.col("y") + F.col("h"))
-    return W.bands(e, "sketch_id", "element_id", "y", "bottom", 0.15 * F.col("h"))
+    return W.bands(e, "sketch_id", "element_id", "y", "bottom", 0.15 * F.col("h")).drop("n_bands")
 
 
 @query()
