@@ -44,21 +44,29 @@ def dangling(links: DataFrame, targets: DataFrame, link: str, target: str) -> Da
     return links.join(targets.select(F.col(target).alias(link)), link, "left_anti")
 
 
-def same_group_peers(rows: DataFrame, key: str, group: str, *, seed: str, share: int, most: int = 2) -> DataFrame:
-    """(key, peer, rank): for a share (in percent) of rows up to `most` other rows of the group, chosen by hash.
+def same_group_peers(rows: DataFrame, key: str, group: str, *, seed: str, share: int, most: int = 2, pools: int = 64) -> DataFrame:
+    """(key, rank, peer): for a share (in percent) of rows up to `most` (1 or 2) other rows of the group, chosen by hash.
 
-    The pick is the next rows in hash order within the group, round its end, so a large group makes no pairs.
+    The pick is the next rows in hash order within the group, round its end, so a large group makes no pairs. A row that is
+    alone in its group gets the next such row of its hash pool.
     """
     from pyspark.sql import Window
 
     mark = hash32(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
-    ring = Window.partitionBy(group).orderBy("mark", key)
-    r = rows.select(key, group).withColumn("mark", mark)
-    whole = Window.partitionBy(group).orderBy("mark", key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = r.withColumns({"n": F.count("*").over(Window.partitionBy(group)), "picked": F.col("mark") % 100 < share})
-    nexts = [F.coalesce(F.lead(key, k).over(ring), F.nth_value(key, 1).over(whole) if k == 1 else F.when(F.lead(key, k - 1).over(ring).isNull(), F.nth_value(key, 2).over(whole)).otherwise(F.nth_value(key, 1).over(whole))) for k in range(1, most + 1)]
-    out = out.withColumn("peers", F.array(*nexts)).filter("picked")
-    return out.select(key, F.posexplode("peers").alias("rank", "peer"), "n").filter((F.col("rank") < F.col("n") - 1) & F.col("peer").isNotNull()).select(key, (F.col("rank") + 1).alias("rank"), "peer")
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def following(df: DataFrame, by: list[str]) -> DataFrame:
+        ring = Window.partitionBy(*by).orderBy("mark", key)
+        first = [F.nth_value(key, k).over(ring.rowsBetween(*whole)) for k in (1, 2)]
+        nexts = [F.coalesce(F.lead(key, 1).over(ring), first[0]), F.coalesce(F.lead(key, 2).over(ring), F.when(F.lead(key, 1).over(ring).isNull(), first[1]).otherwise(first[0]))]
+        out = df.withColumns({"n": F.count("*").over(Window.partitionBy(*by)), "peers": F.array(*nexts[:most])})
+        return out
+
+    grouped = following(rows.select(key, group).withColumn("mark", mark), [group])
+    alone = following(grouped.filter("n = 1").select(key, "mark").withColumn("pool", F.col("mark") % pools), ["pool"]).withColumn("peers", F.slice("peers", 1, 1))
+    both = grouped.filter("n > 1").select(key, "mark", "n", "peers").unionByName(alone.select(key, "mark", "n", "peers")).filter(F.col("mark") % 100 < share)
+    listed = both.select(key, F.posexplode("peers").alias("rank", "peer"), "n").filter((F.col("rank") < F.col("n") - 1) & F.col("peer").isNotNull())
+    return listed.select(key, (F.col("rank") + 1).alias("rank"), "peer")
 
 
 def index_deref(index: Column, values: Column) -> Column:

@@ -191,11 +191,11 @@ def test_links_go_to_other_screens(spark):
 
 
 def test_peers_are_others_of_the_group(spark):
-    rows = spark.createDataFrame([(k, k % 5 if k < 50 else 99) for k in range(51)], "id int, g int")
-    got = J.same_group_peers(rows, "id", "g", seed="s", share=100).collect()
+    rows = spark.createDataFrame([(k, k % 5 if k < 50 else k) for k in range(60)], "id int, g int")
+    got = J.same_group_peers(rows, "id", "g", seed="s", share=100, pools=1).collect()
     group = {r.id: r.g for r in rows.collect()}
-    assert all(r.id != r.peer and group[r.id] == group[r.peer] for r in got)
-    assert len(got) == 100 and len({(r.id, r.peer) for r in got}) == 100
+    assert all(r.id != r.peer for r in got) and len({(r.id, r.peer) for r in got}) == len(got) == 110
+    assert all(group[r.id] == group[r.peer] for r in got if r.id < 50) and {r.peer for r in got if r.id >= 50} == set(range(50, 60))
 
 
 def test_metrics_by_properties(spark):
