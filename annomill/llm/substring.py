@@ -9,7 +9,8 @@ sub-windows, so a window whose choice is unique in the corpus can't repeat, and
 shuffles one hash for about each 14 words and the last only hashes of windows that may repeat.
 
 Documents are shuffled once, into chunks by a hash of id and text; the three levels and the result read that exchange
-(Spark reuses it). Each chunk sends each distinct hash once, with its number of places; a hash has at most one row per
+(Spark reuses it). The number of chunks follows the table and bounds what a function holds; the number of partitions is the
+session's. Each chunk sends each distinct hash once, with its number of places; a hash has at most one row per
 chunk, so very frequent passages make no large group. Repeated hashes go back to the chunks that sent them.
 
 Null text has no words. Repeated rows are documents of their own and so repeat each other. An empty table gives no rows.
@@ -86,8 +87,9 @@ def _sent(chunk: int, texts: pa.Table, window: int, length: int, below: int | No
 
 def mark(docs: DataFrame, window: int, chunk_docs: int = 1500) -> tuple[DataFrame, DataFrame]:
     """(documents dealt into chunks, (chunk, h) of the hashes of windows that repeat)."""
-    n = parts(docs.sparkSession, docs.count(), chunk_docs)
-    chunks = with_chunk(docs.select(F.col("doc_id").cast("long"), "text"), n, "doc_id", "text").repartition(n, "chunk")
+    spark = docs.sparkSession
+    n = parts(spark, docs.count(), chunk_docs)
+    chunks = with_chunk(docs.select(F.col("doc_id").cast("long"), "text"), n, "doc_id", "text").repartition(parts(spark, 0, 1), "chunk")
     steps = levels(window)
 
     schema, again = "chunk int, h long, places int", None
