@@ -188,13 +188,11 @@ def ag_leaf_count(spark, sf):
     return A.leaf_count(o.unionByName(leaf), "doc", "node", "parent")
 
 
-@query("""WITH p AS (SELECT user_id, event_id AS i, value AS x, (event_id % 760)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), q AS (SELECT * FROM p WHERE k <= 20),
-d AS (SELECT a.user_id, a.i, b.i AS j, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM q a JOIN q b ON a.user_id = b.user_id AND a.i < b.i) SELECT user_id, i, j, round(d2, 4) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d2 DESC, i, j) AS r FROM d) WHERE r = 1""")
+@query("""WITH d AS (SELECT a.sketch_id, a.stroke_id, a.seq AS i, b.seq AS j, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM points a JOIN points b ON a.sketch_id = b.sketch_id AND a.stroke_id = b.stroke_id AND a.seq < b.seq)
+SELECT sketch_id, stroke_id, i::INT AS i, j::INT AS j, round(d2, 4) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY sketch_id, stroke_id ORDER BY d2 DESC, i, j) AS r FROM d) WHERE r = 1""", "points")
 def ag_farthest_pair(spark, sf):
-    from annomill.operators.windows import top_per_group
-
-    p = S.table(spark, sf, "events").select("user_id", F.col("event_id").alias("i"), F.col("value").alias("x"), (F.col("event_id") % 760).cast("double").alias("y"))
-    return A.farthest_pair(top_per_group(p, ["user_id"], ["i"], 20).drop("rank"), ["user_id"], "i").select("user_id", "i", "j", F.round("d2", 4).alias("d2"))
+    found = A.farthest_pair(S.points(spark, sf), ["sketch_id", "stroke_id"], "seq")
+    return found.select("sketch_id", "stroke_id", "i", "j", F.round("d2", 4).alias("d2"))
 
 
 @query("SELECT type, count(DISTINCT sketch_id) AS docs FROM elements_gold GROUP BY 1", "elements_gold")

@@ -127,10 +127,8 @@ def tre_decode_elements(spark, sf):
 
 @query()
 def ag_arrow_ends(spark, sf):
-    from annomill.operators.windows import top_per_group
-
-    p = top_per_group(S.points(spark, sf), ["sketch_id"], ["t", "stroke_id", "seq"], 15).withColumn("is_end", F.col("seq") == 1)
-    return L.arrow_ends(p.select("sketch_id", F.col("rank").alias("o"), "x", "y", "is_end"), ["sketch_id"], "o")
+    p = S.points(spark, sf).withColumn("is_end", F.col("seq") % 2 == 1)
+    return L.arrow_ends(p.select("sketch_id", "stroke_id", "seq", "x", "y", "is_end"), ["sketch_id", "stroke_id"], "seq")
 
 
 @query()

@@ -18,7 +18,7 @@ def win_bands(spark, sf):
 
 @query()
 def win_row_group(spark, sf):
-    return W.row_group(S.elements_gold(spark, sf).filter("frame_id % 2 = 0"), "frame_id", "element_id")
+    return W.row_group(S.elements_gold(spark, sf), "frame_id", "element_id")
 
 
 @query()
