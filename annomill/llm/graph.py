@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is two aggregations and two joins over links; nothing is collected, and each round's links are written to the
-shared folder, so lineage stays short and lost executors cost one round at most.
+Each step is an aggregation and a join over links; nothing is collected, and each result is written to the shared folder,
+so lineage stays short and lost executors cost one step at most. As both sides of a join are then read from files, Spark
+can split the links of a node that very many others link to over several tasks.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ def components(links: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stored(both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = stored(small.filter("u != v").distinct(), "links")
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
