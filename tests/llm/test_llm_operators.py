@@ -300,6 +300,37 @@ def test_packing_puts_neighbours_together():
     assert sum(len(s) for s in seen.values()) == 4
 
 
+def test_packing_finds_neighbours_among_all_documents(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    for k in range(2000):  # 40 topics of 50 documents; a random shard of 100 holds two or three of each
+        own = rng.integers(0, 25, 40) + 25 * (k % 40)
+        data.append((k, " ".join(f"{chr(97 + w % 26)}{chr(97 + w // 26 % 26)}{chr(97 + w // 676)}q{w}" for w in own)))
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+
+    def packed():
+        return sorted((r.sequence_id, r.offset, r.doc_id, r.length) for r in packing.pack(table, BYTE, 0, shard_docs=100).collect())
+
+    found = packed()
+    topics, shards = defaultdict(Counter), Counter()
+    for sequence, _, doc, length in found:
+        topics[sequence][doc % 40] += length
+        shards[sequence >> 32] += length
+    assert sum(max(c.values()) for c in topics.values()) > 0.7 * sum(r[3] for r in found)
+    assert len(shards) == 20 and max(shards.values()) < 2 * sum(shards.values()) / 20
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert packed() == found
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_packing_splits_a_hot_cell(spark):
+    table = spark.createDataFrame([(k, "one text") for k in range(1000)], "doc_id long, text string")
+    shards = Counter(r.sequence_id >> 32 for r in packing.pack(table, BYTE, 0, size=64, shard_docs=100).select("doc_id", "sequence_id").distinct().collect())
+    assert len(shards) == 10 and max(shards.values()) < 200
+
+
 def test_decontamination_finds_edited_copies(spark, docs, none):
     items = [(k, prose(40)) for k in range(20)] + [(20, "tiny item"), (21, ""), (22, None), (None, prose(30))]
     leaks = []
