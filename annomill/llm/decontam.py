@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-grams as seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-grams as seeds, then Smith-Waterman alignment of words.
 
 Words are lower-case runs of letters and digits. A Bloom filter of the items' n-grams, of a fixed size however many there
-are, goes to every task, so only n-grams of documents that may be an item's become rows. Their counts over all documents
-say which n-grams of an item are rare: its rarer half, and any with a count of at most `rare`. Documents and items that
-share a rare n-gram are aligned: within the document's words around the seeds the best local alignment scores 1 for a
-match and -1/2 for a mismatch or gap, and the score over the item's number of words tells a copy, edited or not.
+are, goes to every task, so only n-grams of documents that may be an item's become rows. Every n-gram of an item is a seed,
+however often it stands in the corpus, so a document is judged the same in a corpus of any size; an n-gram's places in a
+document become one row before the join. Documents and items that share an n-gram are aligned, unless the document's words
+around the seeds hold too few of the item's for the score: there the best local alignment scores 1 for a match and -1/2
+for a mismatch or gap, and the score over the item's number of words tells a copy, edited or not. A copy without n words in
+a row left unedited has no seed and is not found.
 
 An item of fewer than n words is seeded by its whole sequence; one of none matches nothing. Null text is empty. Rows equal
 in doc_id and text get the same pairs, once a row; the same holds for items. Empty tables give no rows.
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, pieces, raw, stored
@@ -90,7 +92,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     return best, *end
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, rare: int = 100, least: float = 0.5) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, least: float = 0.5) -> DataFrame:
     """(doc_id, mark, item_id, score, first_word, last_word) of documents that hold an item, whole or edited; mark is a hash of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "items")
@@ -111,12 +113,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, rare: int = 10
                     yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(place[k]), pa.array(h[k].view(np.int64))], names=["doc_id", "mark", "at", "h"])
 
     hits = stored(docs.mapInArrow(look, "doc_id long, mark long, at long, h long"), "hits")
-    counted = seeds.join(hits.groupBy("h").agg(F.count("*").alias("n")).hint("merge"), "h")
-    item = Window.partitionBy("item", "mark")
-    ranked = counted.withColumn("rank", F.row_number().over(item.orderBy("n", "place"))).withColumn("all", F.count("*").over(item))
-    chosen = ranked.filter((F.col("n") <= rare) | (2 * F.col("rank") <= F.col("all") + 1)).select("h", "item", F.col("mark").alias("item_mark"), "place", "words")
-    start = F.col("at") - F.col("place")
-    pairs = hits.join(chosen.hint("merge"), "h").groupBy("doc_id", "mark", "item", "item_mark").agg(F.min(start).alias("low"), F.max(start + F.col("words")).alias("high"), F.max("words").alias("words"))
+    spans = stored(hits.groupBy("doc_id", "mark", "h").agg(F.min("at").alias("first"), F.max("at").alias("last")), "spans")
+    chosen = seeds.select("h", "item", F.col("mark").alias("item_mark"), "place", "words")
+    low, high = F.min(F.col("first") - F.col("place")), F.max(F.col("last") - F.col("place") + F.col("words"))
+    pairs = spans.join(chosen.hint("merge"), "h").groupBy("doc_id", "mark", "item", "item_mark").agg(low.alias("low"), high.alias("high"), F.max("words").alias("words"))
     texts = items.select(F.col("item").alias("id"), F.col("mark").alias("of"), F.col("text").alias("item_text"))
     with_item = pairs.join(texts.hint("merge"), F.col("item").eqNullSafe(F.col("id")) & (F.col("item_mark") == F.col("of")))
     wanted = with_item.select(F.col("doc_id").alias("in_doc"), F.col("mark").alias("in_mark"), F.col("item").alias("item_id"), "item_text", "low", "high", "words")
@@ -130,6 +130,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, rare: int = 10
                 slack = max(2, count // 2)
                 first = max(0, low - slack)
                 words, sought = text_words(text)[first : high + slack], text_words(item_text)
+                if np.isin(sought, words).sum() < least * len(sought):  # no more words than these can match
+                    continue
                 score, i, j = align(sought, words)
                 if score >= least * len(sought):
                     _, _, back = align(sought[:i][::-1], words[:j][::-1])

@@ -350,6 +350,17 @@ def test_decontamination_finds_edited_copies(spark, docs, none):
     assert decontam.matches(none, empty).count() == 0 and decontam.decontaminate(docs, empty).count() == len(ROWS)
 
 
+def test_decontamination_finds_parts_of_an_item_that_is_copied_often(spark):
+    rng = np.random.default_rng(7)
+    item = prose(40, rng).split()
+    broken = [w if i >= 20 or i % 4 < 3 else "edit" for i, w in enumerate(item)]  # no four words in a row left in the first half
+    data = [(k, prose(30, rng) + " " + " ".join(item)) for k in range(150)]
+    data += [(200, prose(30, rng) + " " + " ".join(item[:20])), (201, prose(30, rng) + " " + " ".join(item[20:])), (202, " ".join(broken)), (203, prose(400, rng)), (204, " ".join(item[:10]))]
+    found = {r.doc_id: r.score for r in decontam.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(found) == {*range(150), 200, 201, 202}
+    assert found[0] == 1.0 and found[200] >= 0.5 and found[201] >= 0.5
+
+
 def test_alignment_against_plain_smith_waterman():
     for _ in range(30):
         a, b = RNG.integers(0, 4, 12).astype(np.uint64), RNG.integers(0, 4, 25).astype(np.uint64)
