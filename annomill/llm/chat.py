@@ -13,7 +13,8 @@ In roles and texts a backslash is put before each backslash and between "<" and
 control string can occur inside a turn, and the text is found again exactly. loss_spans has, for each assistant turn, the
 code points [start, end) of its escaped text.
 
-A parent that isn't there makes its child a root; nodes on or below a cycle are on no path. Null role or text is empty,
+Rows with a null tree id are one tree, as joins compare it within a struct, which is never null; rows with a null node id
+are on no path. A parent that isn't there makes its child a root; nodes on or below a cycle are on no path. Null role or text is empty,
 null score 0. Of rows with one tree and node id, the least (parent, role, text) counts. An empty table gives no rows.
 """
 
@@ -59,9 +60,19 @@ def parse_turns(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in TURN.finditer(text)]
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """tree_id as a struct of itself, so that null ids meet in joins."""
+    return df.withColumn("tree_id", F.struct("tree_id"))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """_keyed backwards."""
+    return df.withColumn("tree_id", F.col("tree_id.tree_id"))
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree_id, leaf, node_id, up): up is the number of steps from the leaf to the node."""
-    nodes = stored(messages.groupBy("tree_id", "node_id").agg(F.min("parent_id").alias("parent_id")), "nodes")
+    nodes = stored(_keyed(messages).groupBy("tree_id", "node_id").agg(F.min("parent_id").alias("parent_id")), "nodes")
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"))
     #: only parents that exist; null ids equal no other
     jumps = stored(nodes.join(known.hint("merge"), ["tree_id", "parent_id"]).select("tree_id", "node_id", F.col("parent_id").alias("ancestor")), "jumps")
@@ -79,14 +90,14 @@ def paths(messages: DataFrame) -> DataFrame:
     else:  # what still has ancestors this far up runs in a circle
         endless = jumps.select("tree_id", F.col("node_id").alias("leaf")).distinct()
         members = members.join(endless.hint("merge"), ["tree_id", "leaf"], "left_anti")
-    return members
+    return _plain(members)
 
 
 def conversations(messages: DataFrame, *, keep: int | None = 1) -> DataFrame:
     """(tree_id, leaf, rank, n_turns, score, text, loss_spans): the chosen branches, formatted."""
-    said = messages.groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))).alias("x"))
-    on_path = stored(paths(messages), "paths").join(said.hint("merge"), ["tree_id", "node_id"])
-    branches = on_path.groupBy("tree_id", "leaf").agg(F.avg("x.score").alias("score"), F.count("*").alias("n_turns"), F.collect_list(F.struct((-F.col("up")).alias("at"), "x.role", "x.text")).alias("turns"))
+    said = _keyed(messages).groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))).alias("x"))
+    on_path = _keyed(stored(paths(messages), "paths")).join(said.hint("merge"), ["tree_id", "node_id"])
+    branches = _plain(on_path.groupBy("tree_id", "leaf").agg(F.avg("x.score").alias("score"), F.count("*").alias("n_turns"), F.collect_list(F.struct((-F.col("up")).alias("at"), "x.role", "x.text")).alias("turns")))
     if keep is not None:
         branches = branches.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf"))).filter(F.col("rank") <= keep)
     else:

@@ -243,6 +243,12 @@ def test_chat_read_back(spark):
     assert (r[2].loss_chars, r[2].loss_sha256) == (2, sha("é日"))
 
 
+def test_chat_keeps_a_null_conversation(spark):
+    data = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")]
+    found = chat.conversations(chat.linear(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.tree_id: chat.parse_turns(r.text) for r in found} == {None: [("user", "a"), ("assistant", "b")], 1: [("user", "c")]}
+
+
 def test_warc_revisits(spark):
     big = "x" * 100
     data = [(1, "http://a", big), (2, "http://b", big), (3, None, None), (4, "u\r\nv", ""), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (None, "n", big), (6, "u", "é" * 50), (5, "u", "other")]
