@@ -156,18 +156,34 @@ def test_simhash_components(spark, docs, none):
 
 
 def test_trie_walk_finds_all_pairs():
-    for bits in (0, 1, 3, 4, 6):
+    for bits, n in ((0, 1), (1, 1), (3, 1 << 20), (4, 1), (4, 1 << 24), (4, 1 << 30), (4, 1 << 36), (6, 1 << 22)):
         base = RNG.integers(0, 1 << 63, 150, dtype=np.uint64)
         flips = np.array([sum(1 << int(b) for b in RNG.choice(64, k % 8, replace=False)) for k in range(150)], np.uint64)
-        keys = np.unique(np.concatenate([base, base ^ flips]))
-        plan = simhash.exact(bits)
-        for turn in (0, 32):
-            k = np.sort((keys << np.uint64(turn)) | (keys >> np.uint64(64 - turn))) if turn else keys
-            root = simhash.walk(k, k.reshape(-1, 1), np.array([[0, len(k), 0, len(k), 0]]), 0, plan)
-            for i in range(len(k)):
-                near = np.flatnonzero((np.bitwise_count(k ^ k[i]) <= bits) & (np.bitwise_count((k ^ k[i]) >> np.uint64(32)) <= bits // 2))
-                assert (root[near] == root[i]).all()
-                assert root[i] == i or any((k[i] ^ k[j]).item().bit_count() <= bits for j in range(len(k)) if j != i)
+        leaves = np.unique(np.concatenate([base, base ^ flips]))
+        plan = simhash.exact(bits, n)
+        found = set()
+        for trie, order in enumerate(plan.orders):
+            keys = simhash._keys(leaves.reshape(-1, 1), order)
+            at = np.argsort(keys)
+            for node in np.unique(keys >> np.uint64(64 - plan.depth)) if plan.depth else [0]:
+                own = at[keys[at] >> np.uint64(64 - plan.depth) == node] if plan.depth else at
+                forest = simhash.Forest(len(own))
+                simhash.walk(keys[own], leaves[own].reshape(-1, 1), plan, trie, forest)
+                found |= {(int(own[i]), int(own[g])) for i, g in enumerate(forest.group) if i != g}
+        root = simhash.Forest(len(leaves))
+        if found:
+            root.add(*np.array(sorted(found)).T)
+        want = simhash.Forest(len(leaves))
+        want.add(*np.nonzero(np.bitwise_count(leaves[:, None] ^ leaves[None, :]) <= bits))
+        assert (root.group == want.group).all()
+        assert len(plan.orders) == {1: 5, 1 << 24: 5, 1 << 30: 15, 1 << 36: 35}.get(n if bits == 4 else 0, len(plan.orders))
+
+
+def test_tries_follow_the_number_of_leaves():
+    for n in (100, 10**5, 10**7, 10**9):
+        plan = simhash.similar(0.8, n)
+        assert simhash.met(0.8, plan.depth, len(plan.orders)) >= 0.95 and n / 2**plan.depth <= simhash.NODE
+        assert len(plan.orders) <= 3 * max(1, n / simhash.NODE) ** 0.35
 
 
 def test_deduplicate_keeps_one_of_each_group(spark, none):
@@ -179,17 +195,55 @@ def test_deduplicate_keeps_one_of_each_group(spark, none):
     assert simhash.deduplicate(none).count() == 0
 
 
-def test_wide_fingerprints_find_similar_texts(spark):
-    data, n = [], 60
+def edit_to(words, similarity, rng):
+    """A copy whose five-word shingles have about this similarity: single words replaced until it is reached from above."""
+    out = list(words)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    one = sets(words)
+    for i in rng.permutation(len(out)):
+        before, out[i] = out[i], f"new{rng.integers(1 << 30)}"
+        two = sets(out)
+        if len(one & two) / len(one | two) < similarity:
+            out[i] = before
+            return out, len(one & sets(out)) / len(one | sets(out))
+    return out, 0.0
+
+
+@pytest.mark.parametrize("node", [1 << 13, 64])
+def test_similar_texts_are_found_and_others_left_alone(spark, monkeypatch, node):
+    """Recall at the stated similarity is at least 0.9, and no pair below it is linked, also where nodes are small and tries many."""
+    monkeypatch.setattr(simhash, "NODE", node)
+    rng, data, n = np.random.default_rng(3), [], 150
+    levels = {}
     for k in range(n):
-        w = prose(150).split()
-        v = list(w)
-        for i in RNG.choice(150, 2, replace=False):  # ten of 146 shingles differ: similarity about 0.87
-            v[i] = f"new{k}"
+        w = prose(int(rng.integers(60, 400)), rng).split()
+        v, s = edit_to(w, (0.70, 0.75, 0.8, 0.85)[k % 4], rng)
+        levels[2 * k + 1] = s
         data += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert all(2 * k in kept for k in range(n))
-    assert sum(2 * k + 1 not in kept for k in range(n)) >= 0.9 * n
+    assert all(d in kept for d, s in levels.items() if s < 0.8)
+    for low, high in ((0.8, 0.85), (0.85, 1.0)):
+        here = [d for d, s in levels.items() if low <= s < high]
+        assert len(here) > 25 and sum(d not in kept for d in here) >= 0.9 * len(here)
+
+
+def test_near_copies_in_a_large_group(spark, monkeypatch):
+    """Nodes beyond MOST are cut into salts, and no link is lost."""
+    monkeypatch.setattr(simhash, "MOST", 64)
+    rng = np.random.default_rng(4)
+    base = prose(200, rng).split()
+    data = []
+    for k in range(400):
+        w = list(base)
+        w[int(rng.integers(200))] = f"new{k}"
+        data.append((k, " ".join(w)))
+    data += [(1000 + k, prose(100, rng)) for k in range(50)]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(table).collect()) == [0, *range(1000, 1050)]
+    one = rows(simhash.near_duplicates(table))
+    monkeypatch.setattr(simhash, "MOST", 1 << 15)
+    assert one == rows(simhash.near_duplicates(table))
 
 
 def test_merkle_pairs(docs, none):
