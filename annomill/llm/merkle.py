@@ -1,15 +1,20 @@
 """Merkle-tree fingerprints of texts.
 
-A text is cut into paragraphs at line feeds, a paragraph into spans, and paragraphs are gathered into sections. Cuts depend
-on content alone (a span ends after a word whose hash is divisible by 8, or after 32 words; a section after a paragraph
-whose digest is divisible by 4), so an edit moves no cut far from it. A span's digest is over all its bytes, white space too; a
-paragraph's over its spans' digests, a section's over its paragraphs', the root's over the sections'.
-
-The fingerprint is the tree as a string: root, grain, sections, paragraphs and spans (truncated digests and child counts).
-Equal texts have equal fingerprints and roots tell different texts apart; where roots differ, branches with equal digests
-are passed over and the rest is the place of the edit. likeness() is the share of spans in common, by the larger text.
-Texts of under 256 words have each word as a span, texts of under 16 words also each code point, so that small edits
-show; these are compared in order, and the larger grain of two texts decides.
+One tree for texts of every size. Each place between two code points has a strength that depends on the text around it
+alone, so an edit moves no cut far from it: inside a paragraph the number of trailing zero bits of a hash of the last four code
+points (one in two places has 1 or more, one in four 2 or more, and so on, 15 at most); at the end of a paragraph (after line
+feeds) 16 more than that of a hash of the paragraph. Nodes of level k lie between places of strength k or more: runs of code points
+below, paragraphs at level 16, sections (paragraphs gathered up to one whose hash ends in two zero bits) at level 18, the
+whole text on top. Where a text repeats itself and no place stands out, more than eight children in a row (but a paragraph's) are
+gathered by fours. A node's digest is over its children's digests, so equal digests mean equal texts, white space too.
+
+The fingerprint is the root (128 bits, over the top digest and a second one of the code points) and the upper part of the tree: its
+leaves are the largest nodes of at most 2^grain code points (or of level 1), grain being the least for which there are at
+most LEAVES, so its size has a bound however long the text is. A node has its length and 16 bits of its digest. Equal texts have
+equal fingerprints, roots tell different texts apart; where roots differ, differing() descends from the top, passes over
+branches with equal digests, and compares the leaves below the others at the coarser grain of the two. There a leaf is common if it
+and a neighbour are, so that a short run that chance has put into both texts isn't. likeness() is the common share of code
+points, by the larger text.
 
 Null text is empty; two empty texts have likeness 1, an empty and another one 0. In pairs(), rows are ordered by doc_id (a
 null one first), equal doc_ids by text; a single row is its own next. An empty table gives no rows.
@@ -21,7 +26,6 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -30,19 +34,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch
-from .textkit import BYTE_BASE, WORD_BASE, inverse, mix, powers, word_hashes, word_spans
+from .textkit import BYTE_BASE, WORD_BASE, inverse, mix, powers
 
 U = np.uint64
-SPAN, LONGEST, SECTION, WORDS, CODE_POINTS = 8, 32, 4, 256, 16
+#: Levels of the tree; that of paragraphs; leaves of a fingerprint; children of a node in a row of many.
+TOP, PARAGRAPH, LEAVES, FEW = 24, 16, 64, 4
 
 
 def _digests(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A digest for each range of the values."""
     sums = np.zeros(len(values) + 1, U)
-    np.cumsum((values.astype(U) + U(1)) * powers(base, max(1, len(values))), out=sums[1:]) if len(values) else None
+    np.cumsum((values + U(1)) * powers(base, max(1, len(values))), out=sums[1:]) if len(values) else None
     return mix((sums[ends] - sums[starts]) * powers(inverse(base), len(values) + 1)[starts] + (ends - starts).astype(U) * U(0x2545F4914F6CDD1D))
 
 
+def _zeros(h: np.ndarray, most: int) -> np.ndarray:
+    """Trailing zero bits, and most at most."""
+    low = h & (~h + U(1))
+    return np.minimum(np.bitwise_count(low - U(1)), most).astype(np.int8)
+
+
+def levels(points: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(digest, end) of the nodes of each level, from code points (level 0) to whole texts, of several texts that end at these places."""
+    n = len(points)
+    x = mix(points.astype(U) + U(1))
+    around = x.copy()
+    place = np.arange(n) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
+    for k in (1, 2, 3):
+        around[k:] += np.where(place[k:] >= k, x[:-k], U(0)) * U(2 * k + 1)
+    strength = _zeros(mix(around), PARAGRAPH - 1)
+    #: a paragraph ends with the last of its line feeds
+    feed = points == 10
+    last = np.flatnonzero(feed & ~np.append(feed[1:], False)) if n else np.zeros(0, np.int64)
+    stops = np.unique(np.concatenate([last, ends[ends > 0] - 1]))
+    paragraph = _digests(x, BYTE_BASE, np.append(0, stops[:-1] + 1), stops + 1) if len(stops) else x[:0]
+    strength[stops] = PARAGRAPH + _zeros(paragraph, TOP - PARAGRAPH - 1)
+    strength[ends[ends > 0] - 1] = TOP
+    out, digest, end = [(x, np.arange(1, n + 1))], x, np.arange(1, n + 1)
+    for k in range(1, TOP + 1):
+        strong = strength[end - 1] >= k
+        if k not in (PARAGRAPH, TOP):
+            cut = np.flatnonzero(strong)
+            size = np.diff(cut, prepend=-1)
+            place = np.arange(len(end)) - np.repeat(cut - size + 1, size)
+            strong |= (np.repeat(size, size) > 2 * FEW) & (place % FEW == FEW - 1)
+        cut = np.flatnonzero(strong)
+        if len(cut) < len(end):
+            begin = np.append(0, cut[:-1] + 1)
+            digest, end = np.where(begin == cut, digest[cut], _digests(digest, WORD_BASE, begin, cut + 1)), end[cut]  # an only child stands for its parent
+        out.append((digest, end))
+    return out
+
+
 def _text(b: bytes) -> str:
     return base64.b64encode(b, b"-_").decode().rstrip("=")
 
@@ -51,115 +94,113 @@ def _bytes(s: str) -> bytes:
     return base64.b64decode(s + "=" * (-len(s) % 4), b"-_")
 
 
-def _short(x: np.ndarray, n: int) -> str:
-    return _text(np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes())
-
-
-def fingerprints(texts: list[bytes]) -> list[str]:
-    """The fingerprint of each text (UTF-8)."""
+def fingerprints(texts: list[str]) -> list[str]:
+    """The fingerprint of each text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     at = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    starts, ends, counts = word_spans(data, at)
-    hashes = word_hashes(data, starts, ends)
-    first = np.cumsum(counts) - counts
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    new_doc = np.zeros(len(starts), bool)
-    new_doc[first[counts > 0]] = True
-    new_paragraph = new_doc.copy()
-    new_paragraph[1:] |= lines[starts[1:]] != lines[starts[:-1]]
-    new_span = new_paragraph.copy()
-    new_span[1:] |= hashes[:-1] % U(SPAN) == 0
-    place = np.arange(len(starts))
-    new_span |= (place - np.maximum.accumulate(np.where(new_span, place, 0))) % LONGEST == 0
-
-    def spans(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Digests of the byte ranges that start at these words; the first of a document starts with the document."""
-        begin = np.where(new_doc[which], at[np.searchsorted(at, starts[which], "right") - 1], starts[which])
-        doc = np.searchsorted(at, starts[which], "right") - 1
-        end = np.append(begin[1:], at[-1]) if len(which) else begin
-        return _digests(data, BYTE_BASE, begin, np.minimum(end, at[doc + 1])), doc
-
-    leaf, leaf_doc = spans(np.flatnonzero(new_span))
-    word, _ = spans(np.arange(len(starts)))
-    p_at = np.flatnonzero(new_paragraph[new_span])
-    paragraph = _digests(leaf, WORD_BASE, p_at, np.append(p_at[1:], len(leaf))) if len(p_at) else leaf[:0]
-    p_doc, p_size = leaf_doc[p_at], np.diff(np.append(p_at, len(leaf)))
-    s_new = np.ones(len(p_at), bool)
-    s_new[1:] = (paragraph[:-1] % U(SECTION) == 0) | (p_doc[1:] != p_doc[:-1])
-    s_at = np.flatnonzero(s_new)
-    section = _digests(paragraph, WORD_BASE, s_at, np.append(s_at[1:], len(p_at))) if len(s_at) else paragraph[:0]
-    s_doc, s_size = p_doc[s_at], np.diff(np.append(s_at, len(p_at)))
-    n = len(texts)
-    of = lambda doc: np.searchsorted(doc, np.arange(n + 1))
-    l_of, p_of, s_of, out = of(leaf_doc), of(p_doc), of(s_doc), []
-    for d, text in enumerate(texts):
-        ls, ps, ss = slice(l_of[d], l_of[d + 1]), slice(p_of[d], p_of[d + 1]), slice(s_of[d], s_of[d + 1])
-        blank = text if not counts[d] else b""
-        root = hashlib.blake2b(section[ss].tobytes() + len(text).to_bytes(8, "little") + blank, digest_size=16).hexdigest()
-        grain = 2 if counts[d] >= WORDS else 1 if counts[d] >= CODE_POINTS else 0
-        parts = [root, str(grain), _short(section[ss], 4), _text(s_size[ss].astype("<u4").tobytes()), _short(paragraph[ps], 4), _text(p_size[ps].astype("<u4").tobytes()), _short(leaf[ls], 3)]
-        if grain < 2:
-            parts.append(_short(word[first[d] : first[d] + counts[d]], 3))
-        if grain < 1:
-            points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-            parts.append(_short(mix(points.astype(U) + U(1)), 3))
-        out.append(".".join(parts))
+    tree, n = levels(points, at[1:]), len(texts)
+    second = _digests(points.astype(U), BYTE_BASE ^ 0x5DEECE66C, at[:-1], at[1:])
+    #: of each node: text, place, length, its parent's length, whether it is of the lowest level
+    found, bottom = [], (tree[1][1], np.diff(tree[1][1], prepend=0))
+    for k in range(1, TOP + 1):
+        digest, end = tree[k]
+        length = np.diff(end, prepend=0)
+        above = np.diff(tree[k + 1][1], prepend=0)[np.searchsorted(tree[k + 1][1], end)] if k < TOP else np.full(len(end), 1 << 62)
+        own = (length < above) | (k == TOP)
+        found.append(np.stack([np.searchsorted(at, end[own] - length[own], "right") - 1, end[own] - length[own], length[own], above[own], bottom[1][np.searchsorted(bottom[0], end[own])] == length[own], digest[own].view(np.int64)], axis=1))
+    text, start, length, above, lowest, digest = np.concatenate(found).T
+    #: leaves of a text are the largest nodes of at most 2^grain code points; their number by grain
+    small, large = np.ceil(np.log2(length)).astype(np.int64), np.minimum(np.ceil(np.log2(above)).astype(np.int64), 62)
+    change = np.zeros((n, 64), np.int64)
+    np.add.at(change, (text, np.where(lowest, 0, small)), 1)
+    np.add.at(change, (text, large), -1)
+    grain = np.argmax(np.cumsum(change, axis=1) <= LEAVES, axis=1)
+    kept = large > grain[text]
+    text, start, length, digest, leaf = text[kept], start[kept], length[kept], digest[kept], (lowest | (small <= grain[text]))[kept]
+    order = np.lexsort((-length, start, text))
+    first = np.searchsorted(text[order], np.arange(n + 1))
+    sizes, digests = ((length << 1) | leaf)[order].astype("<u4"), digest[order].astype("<u2")
+    top, full = np.zeros(n, np.int64), first[1:] > first[:-1]
+    top[full] = digest[order][first[:-1][full]]
+    out = []
+    for d in range(n):
+        root = hashlib.blake2b(top[d : d + 1].tobytes() + second[d : d + 1].tobytes() + len(texts[d]).to_bytes(8, "little"), digest_size=16).digest()
+        size = sizes[first[d] : first[d + 1]]
+        wide = len(texts[d]) >= 1 << 15
+        out.append(_text(root) + "." + _text(bytes([int(grain[d]), wide]) + size.astype("<u4" if wide else "<u2").tobytes() + digests[first[d] : first[d + 1]].tobytes()))
     return out
 
 
 class Tree:
-    """A fingerprint read back."""
+    """A fingerprint read back: nodes in order, parents first, as (place, length, whether a leaf, digest)."""
 
     def __init__(self, fingerprint: str):
-        self.root, grain, sections, s_size, paragraphs, p_size, *grains = fingerprint.split(".")
-        self.grain = int(grain)
-        raw = lambda s, k: [b[i : i + k] for b in [_bytes(s)] for i in range(0, len(b), k)]
-        self.sections, self.paragraphs = raw(sections, 4), raw(paragraphs, 4)
-        self.s_size, self.p_size = (np.frombuffer(_bytes(x), "<u4").tolist() for x in (s_size, p_size))
-        self.grains = {2 - k: raw(g, 3) for k, g in enumerate(grains)}
-
-
-def differing(a: Tree, b: Tree) -> tuple[list[int], list[int]]:
-    """The places of the spans of either tree that lie below differing sections and paragraphs."""
+        self.root, rest = fingerprint.split(".")
+        data = _bytes(rest)
+        self.grain, kind = data[0], "<u4" if data[1] else "<u2"
+        n = (len(data) - 2) // (6 if data[1] else 4)
+        sizes = np.frombuffer(data, kind, n, 2).tolist()
+        digests = np.frombuffer(data, "<u2", n, len(data) - 2 * n).tolist()
+        self.nodes, at = [], 0
+        for size, digest in zip(sizes, digests, strict=True):
+            self.nodes.append((at, size >> 1, bool(size & 1), digest))
+            at += (size >> 1) * (size & 1)
+        self.length = at
+
+    def keys(self) -> Counter:
+        return Counter((n, d) for _, n, _, d in self.nodes)
+
+    def common(self, keys: Counter, grain: int) -> tuple[list[tuple[int, int, int]], list[bool]]:
+        """The leaves (place, length, digest) at a grain, and which of them lie below a branch whose key is among these."""
+        left, leaves, same, until = Counter(keys), [], [], 0
+        skip = 0
+        for at, n, leaf, digest in self.nodes:
+            if at < skip:
+                continue
+            end = leaf or n <= 1 << grain
+            if at >= until and not end and left[n, digest] > 0:
+                left[n, digest] -= 1
+                until = at + n
+            if end:
+                leaves.append((at, n, digest))
+                same.append(at < until)
+                skip = at + n
+        return leaves, same
+
+
+def differing(a: Tree, b: Tree) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The places [start, end) of either text, in code points, that differ: leaves below differing branches, but those that
+    are the other's too and have a neighbour in common."""
+    if a.root == b.root:
+        return [], []
+    grain = max(a.grain, b.grain)
+    sides = [a.common(b.keys(), grain), b.common(a.keys(), grain)]
+    couples = [[x for x in zip([None, *(d[1:] for d in leaves)], [*(d[1:] for d in leaves), None], strict=True)] for leaves, _ in sides]
     out = []
-    for x, y in ((a, b), (b, a)):
-        s_left, p_left = Counter(y.sections), Counter(y.paragraphs)
-        paragraph, span, found = 0, 0, []
-        for digest, n in zip(x.sections, x.s_size, strict=True):
-            same = s_left[digest] > 0
-            s_left[digest] -= same
-            for k in range(paragraph, paragraph + n):
-                if same:
-                    p_left[x.paragraphs[k]] -= 1
-                    span += x.p_size[k]
-                    continue
-                if p_left[x.paragraphs[k]] > 0:
-                    p_left[x.paragraphs[k]] -= 1
+    for (leaves, same), own, other in zip(sides, couples, couples[::-1], strict=True):
+        left, hit = Counter(other), []
+        for c in own:
+            hit.append(left[c] > 0)
+            left[c] -= 1
+        ranges: list[tuple[int, int]] = []
+        for i, (at, n, _) in enumerate(leaves):
+            if not (same[i] or hit[i] or hit[i + 1]):
+                if ranges and ranges[-1][1] == at:
+                    ranges[-1] = (ranges[-1][0], at + n)
                 else:
-                    found += range(span, span + x.p_size[k])
-                span += x.p_size[k]
-            paragraph += n
-        out.append(found)
+                    ranges.append((at, at + n))
+        out.append(ranges)
     return out[0], out[1]
 
 
 def likeness(one: str, two: str) -> float:
-    """0 (nothing in common) to 1 (equal)."""
-    if one[:32] == two[:32]:
-        return 1.0
+    """0 (nothing in common) to 1 (equal, and only then)."""
     a, b = Tree(one), Tree(two)
-    grain = max(a.grain, b.grain)
-    if grain not in a.grains or grain not in b.grains:
-        return 0.0
-    x, y = a.grains[grain], b.grains[grain]
-    most = max(len(x), len(y))
-    if not x or not y:
-        return 0.0
-    if grain < 2:
-        return min(1.0, sum(m.size for m in SequenceMatcher(None, x, y, False).get_matching_blocks()) / most)
-    left, right = differing(a, b)
-    same = most - max(len(left), len(right))
-    return max(0.0, min(1.0, (same + (Counter(x[i] for i in left) & Counter(y[i] for i in right)).total()) / most))
+    if a.root == b.root:
+        return 1.0
+    left = [sum(j - i for i, j in r) for r in differing(a, b)]
+    most = max(a.length, b.length)
+    return max(0, min(a.length - left[0], b.length - left[1], most - 1)) / most
 
 
 def edited(text: str, following: str) -> str:
@@ -197,8 +238,7 @@ def pairs(docs: DataFrame) -> DataFrame:
         texts = [t for _, t in held]
         changed = [edited(t, x) for t, x in zip(texts, [*texts[1:], following], strict=True)]
         raw = [t.encode() for t in changed]
-        prints = fingerprints([t.encode() for t in [*texts, following]])
-        after = fingerprints(raw)
+        prints, after = fingerprints([*texts, following]), fingerprints(changed)
         return batch(schema, doc_id=[d for d, _ in held], n_chars=[len(t) for t in texts], edited_sha256=[hashlib.sha256(b).hexdigest() for b in raw], fingerprint=prints[:-1], edited_fingerprint=after, near_edited=[likeness(a, b) for a, b in zip(prints, after, strict=False)], near_next=[likeness(a, b) for a, b in zip(prints, prints[1:], strict=False)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,4 +263,4 @@ def pairs(docs: DataFrame) -> DataFrame:
                     held.append((d, text))
                     size += len(text)
 
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", "k", "text").mapInArrow(work, schema)
+    return rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", "extra", "k", "text").mapInArrow(work, schema)

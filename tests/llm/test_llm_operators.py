@@ -246,29 +246,127 @@ def test_near_copies_in_a_large_group(spark, monkeypatch):
     assert one == rows(simhash.near_duplicates(table))
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_digest(values, base):
+    total = sum((v + 1) * pow(base, i, 1 << 64) for i, v in enumerate(values))
+    return plain_mix((total + len(values) * 0x2545F4914F6CDD1D) & M64)
+
+
+def plain_merkle(text):
+    """The fingerprint by plain loops over nodes (place, length, digest, children)."""
+    zeros = lambda h, most: min(most, (h & -h).bit_length() - 1 if h else 64)
+    x = [plain_mix(ord(c) + 1) for c in text]
+    strength = [zeros(plain_mix((x[i] + sum(x[i - k] * (2 * k + 1) for k in (1, 2, 3) if k <= i)) & M64), 15) for i in range(len(x))]
+    begin = 0
+    for i in range(len(x)):
+        if i + 1 == len(x) or (text[i] == "\n" and text[i + 1] != "\n"):
+            strength[i] = 16 + zeros(plain_digest(x[begin : i + 1], merkle.BYTE_BASE), 7)
+            begin = i + 1
+    nodes = [(i, 1, v, []) for i, v in enumerate(x)]
+    for k in range(1, 25):
+        groups, now = [], []
+        for node in nodes:
+            now.append(node)
+            last = node[0] + node[1] == len(x)
+            if last or k < 24 and strength[node[0] + node[1] - 1] >= k:
+                groups.append(now)
+                now = []
+        if k not in (16, 24):
+            groups = [part for g in groups for part in ([g[i : i + 4] for i in range(0, len(g), 4)] if len(g) > 8 else [g])]
+        merged = [g[0] if len(g) == 1 else (g[0][0], sum(n[1] for n in g), plain_digest([n[2] for n in g], merkle.WORD_BASE), g) for g in groups]
+        nodes = [(*n[:3], []) for n in merged] if k == 1 else merged
+    tops = nodes
+
+    def kept(node, grain):
+        leaf = not node[3] or node[1] <= 1 << grain
+        return [(node[1], leaf, node[2])] + ([] if leaf else [y for c in node[3] for y in kept(c, grain)])
+
+    grain = next(g for g in range(64) if sum(leaf for t in tops for _, leaf, _ in kept(t, g)) <= 64)
+    found = [y for t in tops for y in kept(t, grain)]
+    wide = len(text) >= 1 << 15
+    size = np.array([n << 1 | leaf for n, leaf, _ in found], "<u4" if wide else "<u2").tobytes()
+    digests = np.array([d & 0xFFFF for _, _, d in found], "<u2").tobytes()
+    second = plain_digest([ord(c) for c in text], merkle.BYTE_BASE ^ 0x5DEECE66C)
+    top = tops[0][2] if tops else 0
+    root = hashlib.blake2b(top.to_bytes(8, "little") + second.to_bytes(8, "little") + len(text).to_bytes(8, "little"), digest_size=16).digest()
+    plain = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    return plain(root) + "." + plain(bytes([grain, wide]) + size + digests)
+
+
+def plain_edit(text, following):
+    n = len(text) // 4
+    return (text[:-n] if n else text) + following[:n]
+
+
+MERKLE_TEXTS = ["", "a", "ab", "\n", "\n\n a\n", "éé日本 x", "short text", "And " * 500, "one line\n" * 90, prose(12), prose(40), "\n".join(prose(9) for _ in range(40)), prose(300) + "\n\n" + prose(5)]
+
+
+def test_merkle_fingerprints_against_plain_loops():
+    assert merkle.fingerprints(MERKLE_TEXTS) == [plain_merkle(t) for t in MERKLE_TEXTS]
+    assert merkle.fingerprints(MERKLE_TEXTS[::-1])[::-1] == [merkle.fingerprints([t])[0] for t in MERKLE_TEXTS]
+    assert max(len(f) for f in merkle.fingerprints([LONG, "x" * 100_000, "x\n" * 50_000])) < 3000
+
+
 def test_merkle_pairs(docs, none):
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    prints = {t or "": plain_merkle(t or "") if len(t or "") < 10_000 else merkle.fingerprints([t])[0] for _, t in ROWS}
     want = []
     for (d, t), (_, x) in zip(order, order[1:] + order[:1], strict=True):
         t, x = t or "", x or ""
-        e = merkle.edited(t, x)
-        a, b, c = merkle.fingerprints([t.encode(), e.encode(), x.encode()])
-        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, merkle.likeness(a, b), merkle.likeness(a, c)))
-    assert rows(merkle.pairs(docs)) == sorted(want, key=repr)
+        e = plain_edit(t, x)
+        f = plain_merkle(e) if len(e) < 10_000 else merkle.fingerprints([e])[0]
+        want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), prints[t], f))
+    found = merkle.pairs(docs).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == sorted(want, key=repr)
+    by_print = {}
+    for (d, t), (_, x) in zip(order, order[1:] + order[:1], strict=True):
+        by_print[prints[t or ""]] = (t or "", x or "")
+    for r in found:
+        t, x = by_print[r.fingerprint]
+        e = plain_edit(t, x)
+        assert (r.near_edited == 1) == (t == e)
+        if len(t) > 200 and len(e) == len(t):  # about the share of code points left as they were
+            assert abs(r.near_edited - 0.75) < 0.12
     assert merkle.pairs(none).count() == 0
 
 
+def test_merkle_likeness_is_the_common_share():
+    rng = np.random.default_rng(11)
+    for n in (8, 30, 100, 400, 3000):
+        w = prose(n, rng).split()
+        for share in (0.1, 0.5, 0.9):
+            k = int(n * share)
+            other = w[:k] + prose(n - k, rng).split()
+            one, two = "\n".join(" ".join(x) for x in (w[: n // 2], w[n // 2 :])), "\n".join(" ".join(x) for x in (other[: n // 2], other[n // 2 :]))
+            same = next((i for i, (p, q) in enumerate(zip(one, two, strict=False)) if p != q), min(len(one), len(two))) / max(len(one), len(two))
+            assert abs(merkle.likeness(*merkle.fingerprints([one, two])) - same) < 0.2
+    assert all(merkle.likeness(*merkle.fingerprints([prose(50, rng), prose(50, rng)])) < 0.2 for _ in range(50))
+
+
 def test_merkle_trees_locate_edits():
-    text = "\n".join(prose(40) for _ in range(30))
-    lines = text.split("\n")
+    lines = [prose(40) for _ in range(30)]
+    text = "\n".join(lines)
+    begin = sum(len(x) + 1 for x in lines[:12])
+    end = begin + len(lines[12])
     lines[12] = prose(40)
-    a, b = (merkle.Tree(x) for x in merkle.fingerprints([text.encode(), "\n".join(lines).encode()]))
-    left, right = merkle.differing(a, b)
-    before = sum(a.p_size[:12])
-    assert left and set(left) <= set(range(before, before + a.p_size[12])) and right
-    one, same, other = merkle.fingerprints([b"a b", b"a b", b"a  b"])
-    assert one == same != other and merkle.likeness(one, same) == 1.0
-    assert merkle.likeness(*merkle.fingerprints([b"", b"x"])) == 0.0
+    other = "\n".join(lines)
+    for one, two in ((text, other), (other, text)):
+        left, right = merkle.differing(*(merkle.Tree(x) for x in merkle.fingerprints([one, two])))
+        assert left and right and min(i for i, _ in left) >= begin - 200
+        assert max(j for _, j in left) <= end + 400 and max(j for _, j in right) <= end + 400
+    one, same, other = merkle.fingerprints(["a b", "a b", "a  b"])
+    assert one == same != other and merkle.likeness(one, same) == 1.0 and merkle.likeness(one, other) < 1
+    assert merkle.likeness(*merkle.fingerprints(["", "x"])) == 0.0 and merkle.likeness(*merkle.fingerprints(["", ""])) == 1.0
 
 
 def test_chat_paths_and_round_trip(spark):
