@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, parts, shared_dir
+from .common import batch, parts, shared_dir, stored
 from .tokens import Encoder
 
 HEAD, TAIL = b"BPL1", b"BPL\n"
@@ -146,7 +146,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, planes
             yield flush()
 
     ids = tokenised(docs, tokenizer, end_id, bounds)
-    ordered = ids.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = ids.repartitionById(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     files = ordered.mapInArrow(build, "file binary").select(F.col("file").cast("string").alias("value"))
     files.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
 
@@ -155,11 +155,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files alone. ids_crc32 is over little-endian unsigned 32-bit ids."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
-    def heads(batches):
-        for b in batches:
-            found = [footer(x) for x in b.column(0).to_pylist()]
-            yield batch("shard int, part int, n_ids long", **{k: [f[k] for f in found] for k in ("shard", "part", "n_ids")})
-
     def rows(batches):
         for b in batches:
             for data in b.column(0).to_pylist():
@@ -181,11 +176,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 yield batch(OUT, shard=np.full(m, about["shard"]), part=np.full(m, about["part"]), doc_id=pa.array(docs["id"], pa.int64(), mask=docs["has_id"] == 0), at=docs["at"], n_tokens=docs["n"], ids_crc32=np.array(crcs, np.int64))
 
     OUT = "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long"
-    index = files.mapInArrow(heads, "shard int, part int, n_ids long")
-    #: One row per file; its running sum is the only ordered pass over all files.
-    base = index.withColumn("base", F.sum("n_ids").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)))
-    found = files.mapInArrow(rows, OUT).join(base.drop("n_ids").hint("shuffle_hash"), ["shard", "part"])
-    return found.select("doc_id", (F.coalesce("base", F.lit(0)) + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    #: every file is read once; its documents' counts give the places of files in a shard, and shards, whose number has a bound, are summed up in one task
+    found = stored(files.mapInArrow(rows, OUT), "documents")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    index = found.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n"))
+    shards = index.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(before(Window.orderBy("shard"))), F.lit(0)).alias("first"))
+    inside = index.select("shard", "part", F.coalesce(F.sum("n").over(before(Window.partitionBy("shard").orderBy("part"))), F.lit(0)).alias("base"))
+    places = inside.join(shards.hint("shuffle_hash"), "shard").select("shard", "part", (F.col("first") + F.col("base")).alias("base"))
+    return found.join(places.hint("shuffle_hash"), ["shard", "part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:

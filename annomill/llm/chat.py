@@ -95,13 +95,18 @@ def paths(messages: DataFrame) -> DataFrame:
 
 def conversations(messages: DataFrame, *, keep: int | None = 1) -> DataFrame:
     """(tree_id, leaf, rank, n_turns, score, text, loss_spans): the chosen branches, formatted."""
-    said = _keyed(messages).groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))).alias("x"))
-    on_path = _keyed(stored(paths(messages), "paths")).join(said.hint("merge"), ["tree_id", "node_id"])
-    branches = _plain(on_path.groupBy("tree_id", "leaf").agg(F.avg("x.score").alias("score"), F.count("*").alias("n_turns"), F.collect_list(F.struct((-F.col("up")).alias("at"), "x.role", "x.text")).alias("turns")))
+    said = stored(_keyed(messages).groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))).alias("x")), "said")
+    on_path = _keyed(stored(paths(messages), "paths"))
+    #: ranked by scores alone; texts join the chosen branches
+    scored = on_path.join(said.select("tree_id", "node_id", "x.score").hint("merge"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n_turns"))
     if keep is not None:
-        branches = branches.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf"))).filter(F.col("rank") <= keep)
+        chosen = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf"))).filter(F.col("rank") <= keep)
     else:
-        branches = branches.withColumn("rank", F.lit(None).cast("int"))
+        chosen = scored.withColumn("rank", F.lit(None).cast("int"))
+    chosen = stored(chosen, "chosen")
+    kept = on_path.join(chosen.select("tree_id", "leaf").hint("merge"), ["tree_id", "leaf"]).join(said.hint("merge"), ["tree_id", "node_id"])
+    turns = kept.groupBy("tree_id", "leaf").agg(F.collect_list(F.struct((-F.col("up")).alias("at"), "x.role", "x.text")).alias("turns"))
+    branches = _plain(chosen.join(turns.hint("merge"), ["tree_id", "leaf"]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

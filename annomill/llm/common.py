@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir. Only where that is unset, as in tests, an own folder is made and set."""
+    """A new path in the folder named by spark.checkpoint.dir. Where that is unset, a local session makes its own; elsewhere it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -26,7 +28,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: cuts lineage, survives lost executors, gives true sizes."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes what stored() wrote, once nothing reads it any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def parts(spark: SparkSession, rows: int, rows_each: int) -> int:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pieces, raw, stored
+from .common import batch, fresh, pieces, raw, stored
 from .textkit import window_hashes, word_hashes, word_spans
 
 U = np.uint64
@@ -144,5 +144,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, least: float =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold an item."""
-    bad = stored(matches(docs, benchmark, **options).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "leaks")
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left_anti")
+    own, mark = fresh(docs, "leak_id"), fresh(docs, "leak_mark")
+    bad = stored(matches(docs, benchmark, **options).select(F.col("doc_id").alias(own), F.col("mark").alias(mark)).distinct(), "leaks")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"]) == F.col(mark)), "left_anti")

@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is an aggregation and a join over links; nothing is collected, and each result is written to the shared folder,
-so lineage stays short and lost executors cost one step at most. As both sides of a join are then read from files, Spark
+so lineage stays short and lost executors cost one step at most; a step's tables are removed after it. As both sides of a join are then read from files, Spark
 can split the links of a node that very many others link to over several tasks.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,9 +21,10 @@ def components(links: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = stored(both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = stored(small.filter("u != v").distinct(), "links")
+        nearest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(nearest.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        before, now = now, stored(small.filter("u != v").distinct(), "links")
+        forget(before, least, large, nearest)
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LINES = "__lines"
+from .common import fresh
 
 
 def windows(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -39,17 +39,18 @@ def later(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def dedup(docs: DataFrame, size: int = 3, *, report: bool = False) -> DataFrame:
     """docs with the lines of later occurrences left out; with report, columns n_lines and n_removed too."""
-    places = later(docs, size).withColumnsRenamed({"id": "__id", "mark": "__mark", "places": "__places"})
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
-    joined = docs.join(places.hint("shuffle_hash"), on, "left").withColumn(LINES, F.split("text", "\n"))
-    covered = F.flatten(F.transform("__places", lambda p: F.sequence(p, p + (size - 1))))
-    rest = F.array_except(F.sequence(F.lit(1), F.size(LINES)), covered)
-    changed = F.col("__places").isNotNull()
-    text = F.when(changed, F.array_join(F.transform(rest, lambda i: F.element_at(LINES, i)), "\n")).otherwise(F.col("text"))
+    own, mark, where, lines = (fresh(docs, x) for x in ("later_id", "later_mark", "later_places", "later_lines"))
+    places = later(docs, size).withColumnsRenamed({"id": own, "mark": mark, "places": where})
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"]) == F.col(mark))
+    joined = docs.join(places.hint("shuffle_hash"), on, "left").withColumn(lines, F.split("text", "\n"))
+    covered = F.flatten(F.transform(where, lambda p: F.sequence(p, p + (size - 1))))
+    rest = F.array_except(F.sequence(F.lit(1), F.size(lines)), covered)
+    changed = F.col(where).isNotNull()
+    text = F.when(changed, F.array_join(F.transform(rest, lambda i: F.element_at(lines, i)), "\n")).otherwise(F.col("text"))
     out = [text.alias("text") if c == "text" else F.when(changed, F.char_length(text)).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     if report:
-        n = F.when(F.col("text").isNull(), 0).otherwise(F.size(LINES))
-        out += [n.cast("long").alias("n_lines"), F.when(changed, F.size(LINES) - F.size(rest)).otherwise(0).cast("long").alias("n_removed")]
+        n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+        out += [n.cast("long").alias("n_lines"), F.when(changed, F.size(lines) - F.size(rest)).otherwise(0).cast("long").alias("n_removed")]
     return joined.select(*out)
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pieces, raw, stored
+from .common import fresh, pieces, raw, stored
 from .graph import components
 from .textkit import mix, window_hashes, word_hashes, word_spans
 
@@ -434,7 +434,7 @@ def deduplicate(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
     prints = stored(fingerprints(docs, shingle=shingle, sets=True), "fingerprints")
     leaves = _leaves(prints)
     single, _, groups = grouped(leaves, similar_links(prints, leaves, similarity))
-    firsts = single.select("least").unionByName(groups.select("least"))
-    kept = stored(firsts.select(F.coalesce("least.doc_id", F.lit(-(2**63))).alias("__near_id"), F.col("least.mark").alias("__near_mark")), "kept")
-    keyed = docs.withColumns({"__near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__near_mark": F.xxhash64("text")})
-    return keyed.join(kept.hint("shuffle_hash"), ["__near_id", "__near_mark"], "left_semi").dropDuplicates(["__near_id", "__near_mark"]).drop("__near_id", "__near_mark")
+    firsts, own, mark = single.select("least").unionByName(groups.select("least")), fresh(docs, "near_id"), fresh(docs, "near_mark")
+    kept = stored(firsts.select(F.coalesce("least.doc_id", F.lit(-(2**63))).alias(own), F.col("least.mark").alias(mark)), "kept")
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), mark: F.xxhash64("text")})
+    return keyed.join(kept.hint("shuffle_hash"), [own, mark], "left_semi").dropDuplicates([own, mark]).drop(own, mark)

@@ -123,13 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: tuple[int, int] = (1000, 30
     taken = []
     for label, n in ((1, most[0]), (0, most[1])):
         chosen = known.filter((F.col("toxic") > 0).cast("int") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").collect()  # n rows at most, so broadcast holds too
-        taken.append([r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))][:n])
+        found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # chosen has n rows at most, and so has the result
+        taken.append([r["text"] for r in sorted(found.collect())])
     return fit_texts(*taken, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
-    """docs with one more column."""
+    """docs with one more column; one of that name before is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,4 +141,5 @@ def score(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    docs = docs.drop(name)
     return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

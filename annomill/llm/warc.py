@@ -2,12 +2,13 @@
 
 resolve: only headers (page_id, digest, length) are shuffled, by payload digest. Of equal payloads of at least `least`
 bytes, the one with the largest page_id is the response and the others revisit it; smaller ones are all responses.
-write: each page's record is built with fresh headers (revisits have no block) and compressed as a gzip member of its own,
-as the format advises. A member ends in 0x00 (the high byte of a length below 16 MiB; a larger record is followed by an
-empty member), so members are rows of a text table whose line separator is that byte: Spark's own writer and committer
-put valid archives into any store. read: archives come through Spark's binaryFile source and are parsed by length alone.
+write: each page's record is built with fresh headers (the date is that of writing; revisits have no block; the payload's length is
+in X-Payload-Length, which revisits need) and compressed as a gzip member of its own, as the format advises. Members are gathered
+into archives of about file_bytes. A member ends in 0x00 (the high byte of a length below 16 MiB; a larger record is followed by an
+empty member), so archives are rows of a text table whose line separator is that byte: Spark's own writer and committer put
+them into any store. read: archives come through Spark's binaryFile source and are parsed by length alone, in one pass.
 
-Null html is an empty payload. Rows with one page_id are each kept; equal rows are all responses. A null page_id sorts
+Null html is an empty payload. Rows with one page_id are each kept, with the same WARC-Record-ID; equal rows are all responses. A null page_id sorts
 below any other, and a record without one has no WARC-Record-ID of its own. An empty table gives no archive and no rows.
 """
 
@@ -17,6 +18,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,33 +59,48 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     return member if member[-1] == 0 else member + EMPTY_MEMBER
 
 
-def write(pages: DataFrame, path: str, *, least: int = 0, records: int = 2000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Archives of at most so many records."""
+def write(pages: DataFrame, path: str, *, least: int = 0, file_bytes: int = 32 << 20, date: str | None = None) -> None:
+    """Archives that end with the record which brings them to so many bytes; date: of the records, now by default."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html")).withColumn("digest", F.sha1("html"))
     types = resolve(pages.select("page_id", "digest", F.octet_length("html").alias("length")), least=least)
     types = types.withColumnsRenamed({"page_id": "id", "digest": "of"})
     typed = pages.join(types.hint("merge"), pages["page_id"].eqNullSafe(types["id"]) & (pages["digest"] == types["of"])).select("page_id", "url", "html", "record_type", "refers_to")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                rows = zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True)
-                yield batch("member binary", member=[record(*x, date)[:-1] for x in rows])
+                for x in zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True):
+                    held.append(record(*x, date))
+                    size += len(held[-1])
+                    if size >= file_bytes:
+                        yield batch("archive binary", archive=[b"".join(held)[:-1]])
+                        held, size = [], 0
+        if held:
+            yield batch("archive binary", archive=[b"".join(held)[:-1]])
 
-    members = typed.mapInArrow(work, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
+    archives = typed.mapInArrow(work, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive."""
-    while data:
-        out, rest = [], data
-        un = zlib.decompressobj(31)
-        out.append(un.decompress(rest))
-        data = un.unused_data
-        if not out[0]:
+    view, at = memoryview(data), 0
+    while at < len(view):
+        un, out = zlib.decompressobj(31), []
+        while not un.eof:
+            part = view[at : at + (1 << 14)]
+            if not part:
+                raise ValueError("archive is cut off")
+            out.append(un.decompress(part))
+            at += len(part)
+        at -= len(un.unused_data)
+        member = b"".join(out)
+        if not member:
             continue
-        head, _, tail = out[0].partition(END)
+        head, _, tail = member.partition(END)
         version, *lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines)
         n = int(headers["Content-Length"])

@@ -563,3 +563,66 @@ def test_toxicity_learns_and_scores(spark, none):
     assert toxicity.score(none, model).count() == 0
     nothing = toxicity.fit(table, marks.limit(0))
     assert {r.toxic_score for r in toxicity.score(table, nothing).collect()} == {0.0}
+
+
+def test_packing_finds_neighbours_in_small_tables():
+    rng = np.random.default_rng(8)
+    blobs = [np.append(rng.permutation(np.arange(1000 * (i % 4) + 1, 1000 * (i % 4) + 40))[:30], 0).astype("<u2").tobytes() for i in range(36)]
+    df = np.bincount(np.concatenate([np.unique(np.frombuffer(b, "<u2")) for b in blobs]), minlength=1 << 16)
+    index = packing.Index(blobs, df, 36, 31.0, 0.05)
+    for d in range(36):
+        ranked = packing._best(index.scores(d), 9)
+        assert {int(r) % 4 for r in ranked} == {d % 4} and ranked[0] == d
+
+
+def test_packing_ranks_by_bm25():
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(1, 60, int(rng.integers(5, 80))) for _ in range(50)]
+    blobs = [x.astype("<u2").tobytes() for x in texts]
+    n, mean = len(texts), float(np.mean([len(x) for x in texts]))
+    df = Counter(int(t) for x in texts for t in set(x.tolist()))
+    index = packing.Index(blobs, np.array([df[t] for t in range(1 << 16)]), n, mean, 1.0)
+    for d in (0, 7, 49):
+        want = [sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in set(texts[d].tolist()) if (f := int((x == t).sum()))) for x in texts]
+        assert np.allclose(index.scores(d), want)
+        assert packing._best(index.scores(d), 10).tolist() == sorted(range(n), key=lambda i: (-round(want[i], 9), i))[:10]
+
+
+def test_warc_archives_are_cut_by_bytes_and_read_in_one_pass(spark, tmp_path):
+    import os
+    import time
+
+    pages = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 256), 50) AS html").repartition(1)
+    warc.write(pages, str(tmp_path / "w"), file_bytes=20_000)
+    sizes = [os.path.getsize(tmp_path / "w" / f) for f in os.listdir(tmp_path / "w") if f.startswith("part-")]
+    assert len(sizes) > 3 and max(sizes) < 30_000
+    assert warc.read(spark, str(tmp_path / "w")).count() == 300
+    member = warc.record(1, "u", b"x" * 300, "response", None, "d")
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        assert sum(1 for _ in warc.records_of(member * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records_of(member[:-5]))
+
+
+def test_column_names_may_clash(spark):
+    names = ["near_id", "near_mark", "later_id", "later_mark", "later_places", "later_lines", "leak_id", "leak_mark", "id", "mark", "toxic_score"]
+    table = spark.createDataFrame([(1, "a\nb\nc\nd " + PASSAGE), (2, "x\na\nb\nc"), (3, None)], "doc_id long, text string")
+    for n in names:
+        table = table.withColumn(n, F.lit(5))
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").withColumn("mark", F.lit(1))
+    for out in (line_dedup.dedup(table), simhash.deduplicate(table), decontam.decontaminate(table, items)):
+        assert out.columns == table.columns and {tuple(r[n] for n in names) for r in out.collect()} == {(5,) * len(names)}
+    assert [r.doc_id for r in decontam.decontaminate(table, items).orderBy("doc_id").collect()] == [2, 3]
+    scored = toxicity.score(table, toxicity.Model(constant=0.25))
+    assert scored.columns.count("toxic_score") == 1 and {r.toxic_score for r in scored.collect()} == {0.25}
+
+
+def test_chat_ranks_branches(spark):
+    data = [(1, 0, None, "user", "root", 0.0)] + [(1, 10 * b + k, 10 * b + k - 1 if k > 1 else 0, "assistant", f"{b}-{k}", float(s)) for b, s in ((1, 1), (2, 3), (3, 3), (4, 2)) for k in range(1, 4)]
+    found = chat.conversations(spark.createDataFrame(data, "tree_id long, node_id long, parent_id long, role string, text string, score double"), keep=3).collect()
+    assert [(r.rank, r.leaf, r.n_turns) for r in sorted(found, key=lambda r: r.rank)] == [(1, 23, 4), (2, 33, 4), (3, 43, 4)]
+    assert chat.parse_turns(next(r.text for r in found if r.rank == 2)) == [("user", "root"), ("assistant", "3-1"), ("assistant", "3-2"), ("assistant", "3-3")]
