@@ -96,18 +96,19 @@ def iou_pairs(gold: DataFrame, pred: DataFrame, doc: str, *, least: float = 0.5,
     return both.filter(near).withColumn("iou", iou(g, p, pad)).filter(F.col("iou") >= least)
 
 
-def greedy_match(pairs: DataFrame, doc: str, gold: str, pred: str, score: str) -> DataFrame:
-    """One-to-one matches per document, best score first (ties: larger pred, then larger gold)."""
-    pair = F.struct(F.col(score).alias("s"), F.col(pred).alias("p"), F.col(gold).alias("g"))
+def greedy_match(pairs: DataFrame, doc: str, gold: str, pred: str, score: str, keep: list[str] = ()) -> DataFrame:
+    """One-to-one matches per document, best score first (ties: larger pred, then larger gold), with further columns of the pairs."""
+    pair = F.struct(F.col(score).alias("s"), F.col(pred).alias("p"), F.col(gold).alias("g"), *keep)
     ordered = F.reverse(F.array_sort(F.collect_list(pair)))
     kind = dict(pairs.dtypes)
-    empty = F.array().cast(f"array<struct<s:{kind[score]},p:{kind[pred]},g:{kind[gold]}>>")
+    more = "".join(f",{c}:{kind[c]}" for c in keep)
+    empty = F.array().cast(f"array<struct<s:{kind[score]},p:{kind[pred]},g:{kind[gold]}{more}>>")
 
     def step(acc: Column, x: Column) -> Column:
         return F.when(F.exists(acc, lambda a: (a["p"] == x["p"]) | (a["g"] == x["g"])), acc).otherwise(F.concat(acc, F.array(x)))
 
     found = pairs.groupBy(doc).agg(ordered.alias("o")).withColumn("m", F.aggregate("o", empty, step))
-    return found.select(doc, F.explode("m").alias("m")).select(doc, F.col("m.g").alias(gold), F.col("m.p").alias(pred), F.col("m.s").alias(score))
+    return found.select(doc, F.explode("m").alias("m")).select(doc, F.col("m.g").alias(gold), F.col("m.p").alias(pred), F.col("m.s").alias(score), *(F.col("m")[c].alias(c) for c in keep))
 
 
 def containing_first(points: DataFrame, boxes: DataFrame, doc: str, key: str, box: str, ordinal: str) -> DataFrame:

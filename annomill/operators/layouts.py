@@ -129,14 +129,22 @@ def score_documents(gold: DataFrame, pred: DataFrame, docs: DataFrame, doc: str,
     return out.select(doc, F.col("ok").cast("double").alias("schema_valid"), zero("type_f1").alias("type_f1"), F.when(F.col("__links"), zero("link_f1")).alias("link_f1"), zero("label_recall").alias("label_recall"), same.alias("screens_correct"))
 
 
-def extract_slots(nodes: DataFrame, doc: str, height: float, width: float) -> DataFrame:
-    """Column slot: the first bar near the top, one at the bottom, an icon at the bottom right, else the body. nodes: key, type, x, y, w, h."""
-    b, first = Box.of(), F.row_number().over(Window.partitionBy(doc, "__s").orderBy("y", "x", "element_id"))
-    slot = (
-        F.when((F.col("type") == "appbar") & (b.y < 0.15 * height), "appbar").when((F.col("type") == "bottomnav") & (b.cy > 0.5 * height), "bottomnav")
-        .when(F.col("type").isin("fab", "icon") & (b.cx > 0.5 * width) & (b.cy > 0.5 * height) & (b.w < 0.2 * width), "fab").otherwise("body")
-    )
-    return nodes.withColumn("__s", slot).withColumn("slot", F.when((F.col("__s") == "body") | (first == 1), F.col("__s")).otherwise("body")).drop("__s")
+def extract_slots(nodes: DataFrame, doc: str, height: Column | float, width: Column | float) -> DataFrame:
+    """Column slot: the first toolbar in the top 15 %, the first bottom navigation, the first add or edit icon at the bottom right, with what lies below them; else the body.
+
+    nodes: path, place (document order), label, icon, x, y, w, h. A node below a bar has the bar's slot.
+    """
+    b = Box.of()
+    floating = F.col("label").isin("Icon", "Image") & F.col("icon").isin("add", "edit") & (b.cx > 0.7 * width) & (b.cy > 0.75 * height) & (b.w < 0.2 * width)
+    own = F.when((F.col("label") == "Toolbar") & (b.y < 0.15 * height), "appbar").when(F.col("label") == "Bottom Navigation", "bottomnav").when(floating, "fab")
+    first = F.row_number().over(Window.partitionBy(doc, "__s").orderBy("place"))
+    marked = nodes.withColumn("__s", own).withColumn("__s", F.when(first == 1, F.col("__s")))
+    whole = Window.partitionBy(doc)
+    at = lambda s: F.max(F.when(F.col("__s") == s, F.col("path"))).over(whole)
+    below = lambda s: F.coalesce(F.col("path").startswith(F.concat(F.col("__" + s), F.lit("/"))), F.lit(False))
+    placed = marked.withColumns({"__appbar": at("appbar"), "__bottomnav": at("bottomnav")})
+    slot = F.coalesce(F.col("__s"), F.when(below("appbar"), "appbar").when(below("bottomnav"), "bottomnav").otherwise("body"))
+    return placed.withColumn("slot", slot).drop("__s", "__appbar", "__bottomnav")
 
 
 def sanitize_children(nodes: DataFrame, doc: str, parent: str, order: str, *, depth: int = 9, row: int = 5, other: int = 40) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annomill.functions.text import slug
+from annomill.session import stored
 
 
 def bands(df: DataFrame, doc: str, key: str, low: str, high: str, slack: Column, keep: list[str] = ()) -> DataFrame:
@@ -63,21 +64,35 @@ def row_group(df: DataFrame, doc: str, key: str) -> DataFrame:
 
 
 def dedupe_names(df: DataFrame, doc: str, order: str, title: str) -> DataFrame:
-    """(doc, order, name, title): slugs of titles, unique in the document by suffixes _2, _3 and so on."""
-    shown = F.when(F.coalesce(title, F.lit("")) != "", F.col(title))
-    item = F.struct(F.col(order).alias("k"), shown.alias("t"))
-    start = F.array().cast(f"array<struct<k:{dict(df.dtypes)[order]},name:string,title:string>>")
+    """(doc, order, name, title): slugs of titles, unique in the document by suffixes _2, _3 and so on.
 
-    def step(a: Column, i: Column) -> Column:
-        number = F.size(a) + 1
-        shown = F.coalesce(i["t"], F.concat(F.lit("Screen "), number.cast("string")))
-        base = F.left(F.coalesce(F.nullif(slug(shown), F.lit("")), F.concat(F.lit("screen"), number.cast("string"))), F.lit(28))
-        names = F.concat(F.array(base), F.transform(F.sequence(F.lit(2), number + 1), lambda n: F.concat(base, F.lit("_"), n.cast("string"))))
-        free = F.filter(names, lambda n: ~F.exists(a, lambda x: x["name"] == n))[0]
-        return F.concat(a, F.array(F.struct(i["k"].alias("k"), free.alias("name"), F.left(shown, F.lit(40)).alias("title"))))
+    The k-th row of a slug gets suffix _k. Only where such a name is another title's own slug does the order of all rows
+    matter; those documents alone are numbered row by row.
+    """
+    place = Window.partitionBy(doc).orderBy(order)
+    named = df.select(doc, order, F.when(F.coalesce(title, F.lit("")) != "", F.col(title)).alias("shown")).withColumn("number", F.row_number().over(place))
+    named = named.withColumn("shown", F.coalesce("shown", F.concat(F.lit("Screen "), F.col("number").cast("string"))))
+    base = F.left(F.coalesce(F.nullif(slug(F.col("shown")), F.lit("")), F.concat(F.lit("screen"), F.col("number").cast("string"))), F.lit(28))
+    named = named.withColumn("base", base).withColumn("k", F.row_number().over(Window.partitionBy(doc, "base").orderBy(order)))
+    named = named.withColumn("name", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string"))))
+    twice = named.filter("k > 1").select(doc, "name").join(named.filter("k = 1").select(doc, F.col("base").alias("name")).hint("merge"), [doc, "name"], "left_semi").select(doc).distinct()
+    kinds = dict(df.dtypes)
 
-    folded = df.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("items")).select(doc, F.aggregate("items", start, step).alias("out"))
-    return folded.select(doc, F.explode("out").alias("o")).select(doc, F.col("o.k").alias(order), F.col("o.name").alias("name"), F.col("o.title").alias("title"))
+    plain = named.join(twice.hint("merge"), doc, "left_anti").select(doc, order, "name", F.left("shown", F.lit(40)).alias("title"))
+    rest = named.join(twice.hint("merge"), doc, "left_semi").select(doc, order, "base", F.left("shown", F.lit(40)).alias("title"))
+    return plain.unionByName(rest.groupBy(doc).applyInPandas(lambda pdf: _numbered(pdf, doc, order), f"{doc} {kinds[doc]}, {order} {kinds[order]}, name string, title string"))
+
+
+def _numbered(pdf, doc: str, order: str):
+    """A document's rows in order, each with the first name that is free."""
+    pdf, used, names = pdf.sort_values(order), set(), []
+    for base in pdf["base"]:
+        name, k = base, 2
+        while name in used:
+            name, k = f"{base}_{k}", k + 1
+        used.add(name)
+        names.append(name)
+    return pdf.assign(name=names)[[doc, order, "name", "title"]]
 
 
 def renumber(df: DataFrame, doc: str, order: list, name: str = "number") -> DataFrame:
@@ -86,7 +101,7 @@ def renumber(df: DataFrame, doc: str, order: list, name: str = "number") -> Data
 
 def reading_order(df: DataFrame, doc: str, key: str) -> DataFrame:
     """Row by row, then by x."""
-    rows = row_group(df, doc, key).join(df.select(doc, key, "x"), [doc, key])
+    rows = row_group(df, doc, key).join(df.select(doc, key, "x").hint("merge"), [doc, key])
     return renumber(rows, doc, ["row", "x", key], "place").select(doc, key, "row", "place")
 
 
@@ -104,13 +119,16 @@ def arc_length(points: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def resample(points: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """(keys, i, x, y): n equally spaced points along each line, by linear interpolation; a single point is repeated."""
+    """(keys, i, x, y): n equally spaced points along each line, by linear interpolation; a single point is repeated.
+
+    Places are held within the line's length, so rounding can't lose the last one.
+    """
     along = arc_length(points, keys, order)
     w = Window.partitionBy(*keys).orderBy(order)
     spans = along.withColumns({"l0": F.lag("length").over(w), "x0": F.lag("x").over(w), "y0": F.lag("y").over(w)})
     total = along.groupBy(*keys).agg(F.max("length").alias("total"), F.min_by("x", order).alias("fx"), F.min_by("y", order).alias("fy"))
-    wanted = total.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at", F.col("total") * F.col("i") / (n - 1))
-    hit = wanted.join(spans.filter("length > l0").select(*keys, "l0", "length", "x0", "y0", "x", "y"), keys, "left").filter("total = 0 OR (at >= l0 AND at <= length)")
+    wanted = total.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at", F.least(F.col("total") * F.col("i") / (n - 1), "total"))
+    hit = wanted.join(spans.filter("length > l0").select(*keys, "l0", "length", "x0", "y0", "x", "y").hint("merge"), keys, "left").filter("total = 0 OR (at >= l0 AND at <= length)")
     share = (F.col("at") - F.col("l0")) / (F.col("length") - F.col("l0"))
     placed = hit.withColumns({"px": F.coalesce(F.col("x0") + share * (F.col("x") - F.col("x0")), "fx"), "py": F.coalesce(F.col("y0") + share * (F.col("y") - F.col("y0")), "fy")})
     return placed.groupBy(*keys, "i").agg(F.min_by("px", F.coalesce("length", F.lit(0.0))).alias("x"), F.min_by("py", F.coalesce("length", F.lit(0.0))).alias("y"))
@@ -168,16 +186,29 @@ def synthetic_time(strokes: DataFrame, doc: str, key: str, band: float, speed: f
     return strokes.select(doc, key, before.alias("start"))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Places from 0 within each group, however large: rows are cut into ranges of the order, a range's rows are numbered in one task, and the ranges before are added.
+
+    The order's columns tell the rows of a group apart, else equal rows may swap places.
+    """
+    ranged = stored(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))  # a row per group and range
+    base = before.withColumn("__base", F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)) - 1
+    return ranged.withColumn("__in", inside).join(base.hint("shuffle_hash"), [*by, "__range"]).withColumn(name, F.col("__base") + F.col("__in")).drop("__range", "__base", "__in").select(*df.columns, name)
+
+
 def shard_index(df: DataFrame, split: str, order: list[str], size: int) -> DataFrame:
-    """Place within the split and number of its shard."""
-    place = F.row_number().over(Window.partitionBy(split).orderBy(*order)) - 1
-    return df.withColumn("place", place).withColumn("shard", F.floor(F.col("place") / size).cast("int"))
+    """Place within the split and number of its shard. order starts with what tells rows of a split apart."""
+    placed = numbered(df, [split], order)
+    return placed.withColumn("shard", F.floor(F.col("place") / size).cast("int"))
 
 
-def length_buckets(df: DataFrame, key: str, length: str, *, seed: str, chunk: int, batch: int, chunks: int) -> DataFrame:
-    """Batches of similar lengths: rows are dealt into chunks by hash, sorted by length within a chunk, and cut into batches."""
+def length_buckets(df: DataFrame, key: str, length: str, *, seed: str, batch: int, chunk: int) -> DataFrame:
+    """Batches of similar lengths: rows are dealt by hash into chunks of about `chunk` rows, sorted by length within a chunk, and cut into batches."""
     from annomill.functions.numeric import hash32
 
+    chunks = max(1, -(-df.count() // chunk))
     of = lambda salt, k: hash32(F.concat_ws(":", F.lit(f"{seed}/{salt}"), k.cast("string")))
     dealt = df.withColumn("chunk", (of("row", F.col(key)) % chunks).cast("int"))
     place = F.row_number().over(Window.partitionBy("chunk").orderBy(length, key)) - 1

@@ -14,8 +14,7 @@ from .registry import query
 
 def _matched(spark, sf):
     pairs = J.iou_pairs(S.elements_gold(spark, sf), S.elements_pred(spark, sf), "sketch_id")
-    best = J.greedy_match(pairs, "sketch_id", "element_id", "p_element_id", "iou")
-    return best.join(pairs.drop("iou"), ["sketch_id", "element_id", "p_element_id"])
+    return J.greedy_match(pairs, "sketch_id", "element_id", "p_element_id", "iou", ["type", "p_type", *"xywh", *("p_" + c for c in "xywh")])
 
 
 @query("SELECT type, count(*) AS n FROM elements_gold GROUP BY type", "elements_gold")

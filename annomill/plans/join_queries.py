@@ -95,7 +95,7 @@ def jn_greedy_match(spark, sf):
     return J.greedy_match(pairs, "sketch_id", "element_id", "p_element_id", "iou").select("sketch_id", "element_id", "p_element_id", F.round("iou", 6).alias("iou"))
 
 
-@query("SELECT e.sketch_id, element_id, frame_id AS in_frame, true AS inside FROM elements_gold e", "elements_gold")
+@query("SELECT e.sketch_id, element_id, frame_id AS in_frame, y + h / 2 <= 760 AS inside FROM elements_gold e", "elements_gold")
 def jn_containing_first(spark, sf):
     f = S.frames(spark, sf).select("sketch_id", F.col("frame_id").alias("in_frame"), "ord", F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fw").alias("w"), F.col("fh").alias("h"))
     points = S.elements_gold(spark, sf).select("sketch_id", "element_id", (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py"))

@@ -96,11 +96,30 @@ def ag_score_documents(spark, sf):
     return found.select("sketch_id", "schema_valid", F.round("type_f1", 9).alias("type_f1"), "screens_correct")
 
 
-@query("""WITH s AS (SELECT *, CASE WHEN type = 'appbar' AND y < 114 THEN 'appbar' WHEN type = 'bottomnav' AND y + h / 2 > 380 THEN 'bottomnav' WHEN type IN ('fab', 'icon') AND x - fx + w / 2 > 180 AND y + h / 2 > 380 AND w < 120 THEN 'fab' ELSE 'body' END AS s FROM elements_gold)
-SELECT element_id, CASE WHEN s = 'body' OR row_number() OVER (PARTITION BY frame_id, s ORDER BY y, x, element_id) = 1 THEN s ELSE 'body' END AS slot FROM s""", "elements_gold")
+HIERARCHY = """h AS (SELECT frame_id, element_id, k, row_number() OVER (PARTITION BY frame_id ORDER BY k) AS place, x - fx AS x, y, w / CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS w, h,
+['Toolbar', 'Bottom Navigation', 'Icon', 'Image', 'Text'][((element_id // 100000 * 7 + k * 3) % 5 + 1)::INT] AS label, ['add', 'edit', 'menu'][((element_id // 100000 + k) % 3 + 1)::INT] AS icon, CASE WHEN k % 4 = 0 THEN '/' || k ELSE '/' || (k - k % 4) || '/' || k END AS path
+FROM (SELECT *, element_id % 100000 AS k FROM elements_gold))"""
+
+
+def _hierarchy(spark, sf):
+    """Elements as a hierarchy: each fourth of a frame is the parent of the next three."""
+    e = S.elements_gold(spark, sf).withColumn("k", F.col("element_id") % 100_000)
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    order, k = F.floor(F.col("element_id") / 100_000), F.col("k")
+    parent = F.concat(F.lit("/"), (k - k % 4).cast("string"))
+    return e.select(
+        "frame_id", "element_id", (k + 1).alias("place"), (F.col("x") - F.col("fx")).alias("x"), "y", (F.col("w") / F.when(k % 3 == 0, 2).otherwise(1)).alias("w"), "h",
+        pick(["Toolbar", "Bottom Navigation", "Icon", "Image", "Text"], order * 7 + k * 3).alias("label"), pick(["add", "edit", "menu"], order + k).alias("icon"), F.when(k % 4 == 0, parent).otherwise(F.concat(parent, F.lit("/"), k.cast("string"))).alias("path"),
+    )
+
+
+@query(f"""WITH {HIERARCHY}, s AS (SELECT *, CASE WHEN label = 'Toolbar' AND y < 114 THEN 'appbar' WHEN label = 'Bottom Navigation' THEN 'bottomnav'
+WHEN label IN ('Icon', 'Image') AND icon IN ('add', 'edit') AND x + w / 2 > 252 AND y + h / 2 > 570 AND w < 72 THEN 'fab' END AS own FROM h),
+f AS (SELECT *, CASE WHEN own IS NOT NULL AND row_number() OVER (PARTITION BY frame_id, own ORDER BY place) = 1 THEN own END AS s FROM s),
+b AS (SELECT frame_id, s AS slot, path AS bar FROM f WHERE s IN ('appbar', 'bottomnav'))
+SELECT element_id, coalesce(s, (SELECT min(b.slot) FROM b WHERE b.frame_id = f.frame_id AND starts_with(f.path, b.bar || '/')), 'body') AS slot FROM f""", "elements_gold")
 def tre_extract_slots(spark, sf):
-    e = S.elements_gold(spark, sf).withColumn("x", F.col("x") - F.col("fx"))
-    return L.extract_slots(e, "frame_id", 760.0, 600.0).select("element_id", "slot")
+    return L.extract_slots(_hierarchy(spark, sf), "frame_id", 760.0, 360.0).select("element_id", "slot")
 
 
 @query("SELECT element_id, place::INT AS place FROM (SELECT element_id, row_number() OVER (PARTITION BY frame_id ORDER BY element_id) AS place, frame_id % 2 = 0 AS is_row FROM elements_gold) WHERE place <= CASE WHEN is_row THEN 5 ELSE 40 END", "elements_gold")

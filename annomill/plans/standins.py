@@ -17,20 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three frames of each sketch."""
+    """A frame per order; each three orders of a customer in a row are a sketch."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    orders = table(spark, sf, "orders").withColumn("ord", F.row_number().over(order) - 1).filter("ord < 3")
-    return orders.select(F.col("o_custkey").alias("sketch_id"), F.col("o_orderkey").alias("frame_id"), "ord", (500.0 * F.col("ord")).alias("fx"), F.lit(0.0).alias("fy"), F.lit(360.0).alias("fw"), F.lit(760.0).alias("fh"))
+    orders = table(spark, sf, "orders").withColumn("place", F.row_number().over(order) - 1).withColumn("ord", F.col("place") % 3)
+    return orders.select((F.col("o_custkey") + 10_000_000_000 * F.floor(F.col("place") / 3)).alias("sketch_id"), F.col("o_orderkey").alias("frame_id"), "ord", (500.0 * F.col("ord")).alias("fx"), F.lit(0.0).alias("fy"), F.lit(360.0).alias("fw"), F.lit(760.0).alias("fh"))
 
 
 def elements_gold(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    lines = table(spark, sf, "lineitem").withColumn("k", F.row_number().over(order) - 1).filter("k < 14")
+    lines = table(spark, sf, "lineitem").withColumn("k", F.row_number().over(order) - 1)
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("l_partkey") % 18).cast("int") + 1)
     e = frames(spark, sf).join(lines, F.col("frame_id") == F.col("l_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
     return e.select(
-        "sketch_id", "frame_id", "fx", (F.col("l_orderkey") * 100 + F.col("k")).alias("element_id"), kind.alias("type"),
+        "sketch_id", "frame_id", "fx", (F.col("l_orderkey") * 100_000 + F.col("k")).alias("element_id"), kind.alias("type"),
         (F.col("fx") + 10 + 170 * (F.col("k") % 2)).alias("x"), (10.0 + 100 * F.floor(F.col("k") / 2)).alias("y"),
         (100.0 + F.col("l_partkey") % 50).alias("w"), (40.0 + F.col("l_suppkey") % 40).alias("h"), F.when(kind.isin(TEXT_TYPES), F.col("p_name")).alias("text"),
     )
@@ -43,7 +43,7 @@ def elements_pred(spark: SparkSession, sf: str) -> DataFrame:
     index = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))
     kept = g.filter(b("m:") >= 8).withColumn("type", F.when(b("c:") < 8, F.element_at(F.array(*map(F.lit, TYPES)), (index % 18 + 1).cast("int"))).otherwise(F.col("type")))
     kept = kept.withColumns({k: F.col(k) + b(f"{k}:") % 7 - 3 for k in "xywh"}).select("sketch_id", "frame_id", "element_id", "type", "x", "y", "w", "h", "text")
-    false = frames(spark, sf).filter(b("f:", "frame_id") < 20).select("sketch_id", "frame_id", (F.col("frame_id") * 100 + 99).alias("element_id"), F.lit("text").alias("type"), (F.col("fx") + 10).alias("x"), F.lit(710.0).alias("y"), F.lit(40.0).alias("w"), F.lit(30.0).alias("h"), F.lit(None).cast("string").alias("text"))
+    false = frames(spark, sf).filter(b("f:", "frame_id") < 20).select("sketch_id", "frame_id", (F.col("frame_id") * 100_000 + 99_999).alias("element_id"), F.lit("text").alias("type"), (F.col("fx") + 10).alias("x"), F.lit(710.0).alias("y"), F.lit(40.0).alias("w"), F.lit(30.0).alias("h"), F.lit(None).cast("string").alias("text"))
     return kept.unionByName(false)
 
 
@@ -74,13 +74,13 @@ def bucket_sql(s: str) -> str:
 
 
 VIEWS = {
-    "frames": "SELECT o_custkey AS sketch_id, o_orderkey AS frame_id, ord, 500.0::DOUBLE * ord AS fx, 0.0::DOUBLE AS fy, 360.0::DOUBLE AS fw, 760.0::DOUBLE AS fh FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord FROM orders) WHERE ord < 3",
-    "elements_gold": f"""SELECT sketch_id, frame_id, fx, l_orderkey * 100 + k AS element_id, ({_LIST})[(l_partkey % 18 + 1)::INT] AS type, fx + 10 + 170 * (k % 2) AS x, (10 + 100 * (k // 2))::DOUBLE AS y,
+    "frames": "SELECT o_custkey + 10000000000 * (place // 3) AS sketch_id, o_orderkey AS frame_id, place % 3 AS ord, 500.0::DOUBLE * (place % 3) AS fx, 0.0::DOUBLE AS fy, 360.0::DOUBLE AS fw, 760.0::DOUBLE AS fh FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders)",
+    "elements_gold": f"""SELECT sketch_id, frame_id, fx, l_orderkey * 100000 + k AS element_id, ({_LIST})[(l_partkey % 18 + 1)::INT] AS type, fx + 10 + 170 * (k % 2) AS x, (10 + 100 * (k // 2))::DOUBLE AS y,
         (100 + l_partkey % 50)::DOUBLE AS w, (40 + l_suppkey % 40)::DOUBLE AS h, CASE WHEN ({_LIST})[(l_partkey % 18 + 1)::INT] IN {_TEXT} THEN p_name END AS text
-        FROM frames JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS k FROM lineitem) WHERE k < 14) l ON frame_id = l_orderkey LEFT JOIN part ON l_partkey = p_partkey""",
+        FROM frames JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS k FROM lineitem)) l ON frame_id = l_orderkey LEFT JOIN part ON l_partkey = p_partkey""",
     "elements_pred": f"""SELECT sketch_id, frame_id, element_id, CASE WHEN {bucket_sql("'c:' || element_id")} < 8 THEN ({_LIST})[(list_position({_LIST}, type) % 18 + 1)::INT] ELSE type END AS type,
         {", ".join(f"{k} + {bucket_sql(f"'{k}:' || element_id")} % 7 - 3 AS {k}" for k in "xywh")}, text FROM elements_gold WHERE {bucket_sql("'m:' || element_id")} >= 8
-        UNION ALL SELECT sketch_id, frame_id, frame_id * 100 + 99, 'text', fx + 10, 710, 40, 30, NULL FROM frames WHERE {bucket_sql("'f:' || frame_id")} < 20""",
+        UNION ALL SELECT sketch_id, frame_id, frame_id * 100000 + 99999, 'text', fx + 10, 710, 40, 30, NULL FROM frames WHERE {bucket_sql("'f:' || frame_id")} < 20""",
     "points": """SELECT user_id AS sketch_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS stroke_id, value AS x, (event_id % 760)::DOUBLE AS y, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS t,
         row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts) AS seq FROM events""",
     "run_log": "SELECT user_id AS device, ts, CASE event_type WHEN 'signup' THEN 'launch' WHEN 'click' THEN 'start' WHEN 'view' THEN 'end' WHEN 'error' THEN 'fail' ELSE 'info' END AS kind, 's' || (event_id % 5) AS step FROM events",

@@ -66,7 +66,7 @@ def win_arc_length(spark, sf):
 
 @query("""WITH d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM points WINDOW w AS (PARTITION BY sketch_id, stroke_id ORDER BY seq)),
 l AS (SELECT *, sum(step) OVER (PARTITION BY sketch_id, stroke_id ORDER BY seq) AS len FROM d), s AS (SELECT *, lag(len) OVER (PARTITION BY sketch_id, stroke_id ORDER BY seq) AS l0 FROM l),
-t AS (SELECT sketch_id, stroke_id, max(len) AS total, arg_min(x, seq) AS fx, arg_min(y, seq) AS fy FROM s GROUP BY ALL), w AS (SELECT *, total * i / 7 AS at0 FROM t, generate_series(0, 7) g(i)),
+t AS (SELECT sketch_id, stroke_id, max(len) AS total, arg_min(x, seq) AS fx, arg_min(y, seq) AS fy FROM s GROUP BY ALL), w AS (SELECT *, least(total * i / 7, total) AS at0 FROM t, generate_series(0, 7) g(i)),
 h AS (SELECT w.*, s.l0, s.len, s.x0, s.y0, s.x, s.y, row_number() OVER (PARTITION BY w.sketch_id, w.stroke_id, i ORDER BY s.len) AS k FROM w LEFT JOIN s ON s.sketch_id = w.sketch_id AND s.stroke_id = w.stroke_id AND s.len > s.l0 AND at0 BETWEEN s.l0 AND s.len)
 SELECT sketch_id, stroke_id, i::INT AS i, round(coalesce(x0 + (at0 - l0) / (len - l0) * (x - x0), fx), 4) AS x, round(coalesce(y0 + (at0 - l0) / (len - l0) * (y - y0), fy), 4) AS y FROM h WHERE k = 1 AND (total = 0 OR l0 IS NOT NULL)""", "points")
 def win_resample(spark, sf):
@@ -105,10 +105,10 @@ def win_shard_index(spark, sf):
     return W.shard_index(S.table(spark, sf, "documents"), "lang", ["doc_id"], 500).select("doc_id", "shard", "place")
 
 
-@query("""WITH d AS (SELECT doc_id, n_chars, (('0x' || substr(sha1('b/row:' || doc_id), 1, 8))::BIGINT % 8)::INT AS chunk FROM documents), p AS (SELECT *, ((row_number() OVER (PARTITION BY chunk ORDER BY n_chars, doc_id) - 1) // 16)::INT AS batch FROM d)
+@query("""WITH d AS (SELECT doc_id, n_chars, (('0x' || substr(sha1('b/row:' || doc_id), 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM documents) + 199) // 200))::INT AS chunk FROM documents), p AS (SELECT *, ((row_number() OVER (PARTITION BY chunk ORDER BY n_chars, doc_id) - 1) // 16)::INT AS batch FROM d)
 SELECT doc_id, chunk, batch, ('0x' || substr(sha1('b/batch:' || chunk || '/' || batch), 1, 8))::BIGINT AS turn FROM p""")
 def win_length_buckets(spark, sf):
-    return W.length_buckets(S.table(spark, sf, "documents"), "doc_id", "n_chars", seed="b", chunk=50, batch=16, chunks=8).select("doc_id", "chunk", "batch", "turn")
+    return W.length_buckets(S.table(spark, sf, "documents"), "doc_id", "n_chars", seed="b", chunk=200, batch=16).select("doc_id", "chunk", "batch", "turn")
 
 
 @query("""WITH l AS (SELECT *, sum((kind = 'launch')::INT) OVER (PARTITION BY device ORDER BY ts) AS life FROM run_log), n AS (SELECT * FROM l QUALIFY life = max(life) OVER (PARTITION BY device)),
