@@ -48,23 +48,26 @@ def line_group(words: DataFrame, doc: str, key: str) -> DataFrame:
     return folded.select(doc, F.explode("out").alias("o")).select(doc, F.col("o.id").alias(key), F.col("o.line").alias("line"))
 
 
-def greedy_diverse(docs: DataFrame, key: str, kinds: str, *, k: int, pool: int, seed: str, enough: int = 4, luck: float = 0.3) -> DataFrame:
-    """k documents in hash order, each accepted if it has a kind seen fewer than `enough` times (else with a little luck).
+def greedy_diverse(docs: DataFrame, key: str, kinds: str, *, k: int, seed: str, pool: int = 400, enough: int = 4, luck: float = 0.3) -> DataFrame:
+    """(place, key): k documents in hash order, each accepted if it has a kind seen fewer than `enough` times (else with a little luck).
 
-    Accepting depends on what was accepted before, so it is one fold; it runs over the first `pool` documents in hash order,
-    which is the operator's stated bound.
+    Accepting depends on what was accepted before. The driver looks at `pool` documents at a time, in hash order, and goes on
+    to the next ones until k are found or none is left; it holds a pool, k keys and a count per kind.
     """
-    first = docs.select(F.struct(hash32(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("o"), F.col(key).alias("id"), F.col(kinds).alias("t")).alias("s")).orderBy("s.o", "s.id").limit(pool)
-    item_type = dict(docs.dtypes)[key]
-    start = F.struct(F.array().cast(f"array<{item_type}>").alias("out"), F.array().cast("array<string>").alias("seen"))
-
-    def step(a: Column, d: Column) -> Column:
-        new = F.exists(d["t"], lambda t: F.size(F.filter(a["seen"], lambda s: s == t)) < enough)
-        take = (F.size(a["out"]) < k) & (new | (uniform(seed + "/luck", d["id"]) < luck))
-        return F.when(take, F.struct(F.concat(a["out"], F.array(d["id"])).alias("out"), F.concat(a["seen"], F.array_distinct(d["t"])).alias("seen"))).otherwise(a)
-
-    picked = first.agg(F.array_sort(F.collect_list("s")).alias("items")).select(F.aggregate("items", start, step)["out"].alias("out"))
-    return picked.select(F.posexplode("out").alias("place", key))
+    place = F.struct(hash32(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("o"), F.col(key).alias("id"))
+    marked = stored(docs.select(place.alias("p"), F.col(kinds).alias("t"), uniform(seed + "/luck", F.col(key)).alias("u")), "marked")
+    kind, picked, seen, last = dict(docs.dtypes)[key], [], {}, None
+    while len(picked) < k:
+        left = marked if last is None else marked.filter(F.col("p") > F.struct(F.lit(last[0]).alias("o"), F.lit(last[1]).cast(kind).alias("id")))
+        found = left.orderBy("p").limit(pool).collect()
+        for r in found:
+            if len(picked) < k and (r.u < luck or any(seen.get(t, 0) < enough for t in r.t)):
+                picked.append(r.p.id)
+                seen |= {t: seen.get(t, 0) + 1 for t in set(r.t)}
+        if len(found) < pool:
+            break
+        last = (found[-1].p.o, found[-1].p.id)
+    return docs.sparkSession.createDataFrame(list(enumerate(picked)), f"place long, {key} {kind}")
 
 
 def format_elements(elements: DataFrame, frames: DataFrame, arrows: DataFrame, doc: str) -> DataFrame:
@@ -199,10 +202,10 @@ def build_layout(elements: DataFrame, doc: str, frame: str) -> DataFrame:
     return rows.groupBy(doc, frame).agg(F.concat(F.lit('{"t":"col","c":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "node"))), lambda x: x["node"]), ","), F.lit("]}")).alias("spec"))
 
 
-def task_set(docs: DataFrame, doc: str, examples: DataFrame, *, k: int, pool: int, seed: str) -> DataFrame:
+def task_set(docs: DataFrame, doc: str, examples: DataFrame, *, k: int, seed: str) -> DataFrame:
     """(source, doc): example documents and a diverse pick of documents with 4 to 10 leaves. docs: doc, kinds, leaves."""
     good = docs.filter(F.col("leaves").between(4, 10))
-    picked = greedy_diverse(good, doc, "kinds", k=k, pool=pool, seed=seed).select(F.lit("sampled").alias("source"), doc)
+    picked = greedy_diverse(good, doc, "kinds", k=k, seed=seed).select(F.lit("sampled").alias("source"), doc)
     return examples.select(F.lit("example").alias("source"), doc).unionByName(picked)
 
 

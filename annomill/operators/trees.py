@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,16 +205,24 @@ def average_linkage(affinity: DataFrame, doc: str, least: float = 0.5) -> DataFr
     kind = dict(affinity.dtypes)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = {(min(i, j), max(i, j)): v for i, j, v in zip(pdf["i"], pdf["j"], pdf["p"], strict=True)}
-        clusters = [[k] for k in sorted({*pdf["i"], *pdf["j"]})]
-        mean = lambda a, b: sum(p.get((min(i, j), max(i, j)), 0.0) for i in a for j in b) / (len(a) * len(b))
-        while len(clusters) > 1:
-            v, a, b = max((mean(clusters[a], clusters[b]), -a, -b) for a in range(len(clusters)) for b in range(a + 1, len(clusters)))
-            if v <= least:
+        ids = np.array(sorted({*pdf["i"], *pdf["j"]}))
+        total = np.zeros((len(ids), len(ids)))  # affinities summed between clusters; a pair that isn't there counts 0
+        total[np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])] = pdf["p"]
+        total = np.triu(total + np.tril(total, -1).T, 1)
+        size, cluster = np.ones(len(ids)), np.arange(len(ids))
+        while len(ids) > 1:
+            mean = total / (size[:, None] * size)
+            a, b = np.unravel_index(mean.argmax(), mean.shape)
+            if mean[a, b] <= least:
                 break
-            clusters[-a] += clusters.pop(-b)
-        rows = [(k, min(c)) for c in clusters for k in c]
-        return pd.DataFrame({doc: pdf[doc].iloc[0], "i": [k for k, _ in rows], "cluster": [c for _, c in rows]})
+            both = total + total.T
+            joined = both[a] + both[b]
+            joined[[a, b]] = 0
+            total[a, a + 1 :], total[:a, a] = joined[a + 1 :], joined[:a]
+            total[b, :], total[:, b] = 0, 0
+            size[a] += size[b]
+            cluster[cluster == b] = a
+        return pd.DataFrame({doc: pdf[doc].iloc[0], "i": ids, "cluster": ids[cluster]})
 
     return affinity.groupBy(doc).applyInPandas(work, f"{doc} {kind[doc]}, i {kind['i']}, cluster {kind['i']}")
 

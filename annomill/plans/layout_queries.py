@@ -23,20 +23,43 @@ def _arrows(spark, sf):
     return arrows(spark, sf).withColumns({"hx": F.col("tx") + 500, "hy": F.col("ty")})
 
 
-@query()
+def xy_sql(doc: str, rounds: int) -> str:
+    """Bands of y and x by turns, each round within the regions of the one before."""
+    from .window_queries import bands_sql
+
+    parts = [f"n0 AS (SELECT {doc}, element_id, x, y, w, h, '' AS path FROM elements_gold)"]
+    for k in range(2 * rounds):
+        a, size = ("y", "h") if k % 2 == 0 else ("x", "w")
+        parts.append(bands_sql(f"b{k}", f"SELECT *, {doc} || '|' || path AS region, {a} AS lo, {a} + {size} AS hi, 0.15 * {size} AS s FROM n{k}", "region", "lo, element_id"))
+        parts.append(f"n{k + 1} AS (SELECT {doc}, element_id, x, y, w, h, CASE WHEN max(band) OVER (PARTITION BY region) > 0 THEN path || '{a}' || lpad(band::VARCHAR, 3, '0') ELSE path END AS path FROM b{k})")
+    return ", ".join(parts) + f", cut AS (SELECT {doc}, element_id, path, row_number() OVER (PARTITION BY {doc} ORDER BY path, y, x, element_id) AS place FROM n{2 * rounds})"
+
+
+@query(f"WITH RECURSIVE {xy_sql('frame_id', 2)} SELECT frame_id, element_id, path, place::INT AS place FROM cut", "elements_gold")
 def win_xy_cut(spark, sf):
     return L.xy_cut(S.elements_gold(spark, sf), "frame_id", "element_id", rounds=2)
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT frame_id, quantile_cont(h, 0.5) / 2 AS m FROM elements_gold GROUP BY 1), i AS (SELECT frame_id, element_id, y + h / 2 AS c, m, row_number() OVER (PARTITION BY frame_id ORDER BY y + h / 2, x, element_id) AS k FROM elements_gold JOIN m USING (frame_id)),
+r AS (SELECT frame_id, element_id, k, 0 AS line, c AS first FROM i WHERE k = 1 UNION ALL SELECT i.frame_id, i.element_id, i.k, CASE WHEN i.c - first <= m THEN line ELSE line + 1 END, CASE WHEN i.c - first <= m THEN first ELSE i.c END FROM r JOIN i ON i.frame_id = r.frame_id AND i.k = r.k + 1)
+SELECT frame_id, element_id, line::INT AS line FROM r""", "elements_gold")
 def win_line_group(spark, sf):
     return L.line_group(S.elements_gold(spark, sf), "frame_id", "element_id")
 
 
-@query()
+def diverse_sql(docs: str, seed: str, k: int) -> str:
+    """docs: (frame_id, kinds). Documents in hash order, one a step, until k are taken."""
+    u = f"('0x' || substr(sha1('{seed}/luck:' || frame_id), 1, 8))::BIGINT / 4294967296"
+    return f"""d AS (SELECT frame_id, kinds, {u} AS luck, row_number() OVER (ORDER BY ('0x' || substr(sha1('{seed}:' || frame_id), 1, 8))::BIGINT, frame_id) AS k FROM ({docs})),
+f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS out, []::VARCHAR[] AS seen UNION ALL SELECT k, CASE WHEN take THEN list_append(out, frame_id) ELSE out END, CASE WHEN take THEN list_concat(seen, kinds) ELSE seen END
+FROM (SELECT d.*, f.out, f.seen, luck < 0.3 OR len([t FOR t IN kinds IF len([s FOR s IN seen IF s = t]) < 4]) > 0 AS take FROM f JOIN d ON d.k = f.k + 1 WHERE len(f.out) < {k})),
+picked AS (SELECT unnest(out) AS frame_id, generate_subscripts(out, 1) - 1 AS place FROM (SELECT arg_max(out, k) AS out FROM f))"""
+
+
+@query(f"WITH RECURSIVE {diverse_sql('SELECT frame_id, list(DISTINCT type) AS kinds FROM elements_gold GROUP BY 1', 'pick', 25)} SELECT place::INT AS place, frame_id FROM picked", "elements_gold")
 def top_greedy_diverse(spark, sf):
     kinds = S.elements_gold(spark, sf).groupBy("frame_id").agg(F.collect_set("type").alias("kinds"))
-    return L.greedy_diverse(kinds, "frame_id", "kinds", k=25, pool=400, seed="pick")
+    return L.greedy_diverse(kinds, "frame_id", "kinds", k=25, seed="pick").select(F.col("place").cast("int").alias("place"), "frame_id")
 
 
 FORMAT = """WITH n AS (SELECT e.*, f.ord, row_number() OVER (PARTITION BY e.sketch_id ORDER BY f.ord, floor(y + 0.5), floor(x + 0.5), element_id) AS number FROM elements_gold e JOIN frames f ON e.sketch_id = f.sketch_id AND e.frame_id = f.frame_id),
@@ -50,7 +73,13 @@ def fn_format_elements(spark, sf):
     return L.format_elements(S.elements_gold(spark, sf).drop("frame_id", "fx"), _frames(spark, sf), none, "sketch_id")
 
 
-@query()
+@query(f"""{FORMAT}, a AS (SELECT sketch_id, min(frame_id) FILTER (ord = 0) AS arrow, 10.0 + (min(frame_id) FILTER (ord = 0)) % 300 AS tx, 10.0 + 7 * ((min(frame_id) FILTER (ord = 0)) % 100) AS ty FROM frames GROUP BY 1 HAVING count(*) >= 2),
+e AS (SELECT a.sketch_id, n.frame_id, n.number, tx BETWEEN x - 14.4 AND x + w + 14.4 AND ty BETWEEN y - 14.4 AND y + h + 14.4 AS hit, w * h AS area, sqrt(greatest(x - tx, 0, tx - x - w) ** 2 + greatest(y - ty, 0, ty - y - h) ** 2) AS far, element_id FROM a JOIN n ON n.sketch_id = a.sketch_id),
+src AS (SELECT * FROM e WHERE hit OR far < 54 QUALIFY row_number() OVER (PARTITION BY sketch_id ORDER BY NOT hit, CASE WHEN hit THEN area ELSE far END, element_id) = 1),
+tgt AS (SELECT a.sketch_id, f.frame_id, f.ord FROM a JOIN frames f ON f.sketch_id = a.sketch_id QUALIFY row_number() OVER (PARTITION BY a.sketch_id ORDER BY NOT (tx + 500 BETWEEN fx AND fx + fw AND ty BETWEEN fy AND fy + fh),
+CASE WHEN tx + 500 BETWEEN fx AND fx + fw AND ty BETWEEN fy AND fy + fh THEN f.ord ELSE sqrt(greatest(fx - tx - 500, 0, tx + 500 - fx - fw) ** 2 + greatest(fy - ty, 0, ty - fy - fh) ** 2) END, f.ord) = 1),
+m AS (SELECT * FROM l UNION ALL SELECT src.sketch_id, 1073741824, 1, 'L ' || number || '>S' || (tgt.ord + 1) FROM src JOIN tgt ON tgt.sketch_id = src.sketch_id AND tgt.frame_id <> src.frame_id)
+SELECT sketch_id, string_agg(s, chr(10) ORDER BY a, b) AS prompt FROM m GROUP BY 1""", "frames", "elements_gold")
 def fn_format_with_links(spark, sf):
     return L.format_elements(S.elements_gold(spark, sf).drop("frame_id", "fx"), _frames(spark, sf), _arrows(spark, sf), "sketch_id")
 
@@ -139,12 +168,15 @@ def tre_decode_elements(spark, sf):
     p = S.points(spark, sf)
     strokes = p.groupBy("sketch_id", F.col("stroke_id").alias("i")).agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
     ids = strokes.select("sketch_id", "i")
-    pairs = ids.join(ids.select("sketch_id", F.col("i").alias("j")), "sketch_id").filter("i < j AND j <= i + 3").withColumn("p", uniform("link", F.col("sketch_id"), F.col("i"), F.col("j")))
+    pairs = ids.join(ids.select("sketch_id", F.col("i").alias("j")), "sketch_id").filter("i < j").withColumn("p", uniform("link", F.col("sketch_id"), F.col("i"), F.col("j")))
     kinds = ids.withColumn("type", F.explode(F.array(*map(F.lit, ["btn", "none", "text"])))).withColumn("p", uniform("kind", F.col("sketch_id"), F.col("i"), F.col("type")))
     return L.decode_elements(strokes, pairs, kinds, "sketch_id").select("sketch_id", "cluster", "type", F.round("score", 6).alias("score"), "x", "y", "w", "h")
 
 
-@query()
+@query("""WITH d AS (SELECT a.sketch_id, a.stroke_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM points a JOIN points b ON a.sketch_id = b.sketch_id AND a.stroke_id = b.stroke_id AND a.seq < b.seq
+QUALIFY row_number() OVER (PARTITION BY a.sketch_id, a.stroke_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 DESC, a.seq, b.seq) = 1),
+v AS (SELECT d.*, count(*) FILTER (sqrt((p.x - ax) ** 2 + (p.y - ay) ** 2) < 0.2 * sqrt(d2)) > count(*) FILTER (sqrt((p.x - bx) ** 2 + (p.y - b_y) ** 2) < 0.2 * sqrt(d2)) AS swap FROM d LEFT JOIN points p ON p.sketch_id = d.sketch_id AND p.stroke_id = d.stroke_id AND p.seq % 2 = 1 GROUP BY ALL)
+SELECT sketch_id, stroke_id, CASE WHEN swap THEN bx ELSE ax END AS tx, CASE WHEN swap THEN b_y ELSE ay END AS ty, CASE WHEN swap THEN ax ELSE bx END AS hx, CASE WHEN swap THEN ay ELSE b_y END AS hy FROM v""", "points")
 def ag_arrow_ends(spark, sf):
     p = S.points(spark, sf).withColumn("is_end", F.col("seq") % 2 == 1)
     return L.arrow_ends(p.select("sketch_id", "stroke_id", "seq", "x", "y", "is_end"), ["sketch_id", "stroke_id"], "seq")
@@ -155,13 +187,22 @@ def tre_build_layout(spark, sf):
     return L.build_layout(S.elements_gold(spark, sf), "sketch_id", "frame_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT frame_id, list(DISTINCT type) AS kinds, count(*) AS leaves FROM elements_gold GROUP BY 1), {diverse_sql('SELECT frame_id, kinds FROM t WHERE leaves BETWEEN 4 AND 10', 'task', 20)}
+SELECT 'example' AS source, frame_id FROM t JOIN orders ON o_orderkey = frame_id WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'sampled', frame_id FROM picked""", "elements_gold")
 def tre_build_task_set(spark, sf):
+    """Urgent orders' frames are the examples."""
     docs = S.elements_gold(spark, sf).groupBy("frame_id").agg(F.collect_set("type").alias("kinds"), F.count("*").alias("leaves"))
-    return L.task_set(docs, "frame_id", docs.filter("frame_id % 200 = 0"), k=20, pool=400, seed="task")
+    urgent = S.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("frame_id"))
+    return L.task_set(docs, "frame_id", docs.join(urgent, "frame_id", "left_semi"), k=20, seed="task")
 
 
-@query()
+CORNERS = """g AS (SELECT sketch_id, stroke_id, 1 AS i, max(seq) AS j, {tolerance} AS tol FROM {points} GROUP BY ALL),
+seg AS (SELECT * FROM g UNION ALL SELECT sketch_id, stroke_id, unnest([i, m.k]), unnest([m.k, j]), tol FROM (SELECT s.sketch_id, s.stroke_id, s.i, s.j, s.tol,
+max({{'d': abs((b.x - a.x) * (a.y - p.y) - (a.x - p.x) * (b.y - a.y)) / greatest(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), 1e-12), 'n': -p.seq, 'k': p.seq}}) AS m FROM seg s JOIN {points} a ON a.sketch_id = s.sketch_id AND a.stroke_id = s.stroke_id AND a.seq = s.i
+JOIN {points} b ON b.sketch_id = s.sketch_id AND b.stroke_id = s.stroke_id AND b.seq = s.j JOIN {points} p ON p.sketch_id = s.sketch_id AND p.stroke_id = s.stroke_id AND p.seq > s.i AND p.seq < s.j GROUP BY ALL) WHERE m.d > tol)"""
+
+
+@query(f"WITH RECURSIVE {CORNERS.format(points='points', tolerance='10.0')} SELECT sketch_id, stroke_id, ((count(*) - 1) // 2)::INT AS corners FROM seg GROUP BY ALL", "points")
 def fn_polyline_corners(spark, sf):
     return L.polyline_corners(S.points(spark, sf), ["sketch_id", "stroke_id"], "seq", 10.0)
 
@@ -191,7 +232,12 @@ def tre_convert_documents(spark, sf):
     return found.select("frame_id", "leaves", "reason", F.col("spec").isNotNull().alias("has_spec"))
 
 
-@query()
+@query("""WITH e AS (SELECT sketch_id, frame_id, element_id, CASE WHEN element_id % 3 <> 0 THEN 'card' ELSE type END AS type, text FROM elements_gold),
+m AS (SELECT sketch_id, frame_id, max(type) FILTER (type IN ('switch', 'check')) AS control, max(text) FILTER (type = 'text') AS label FROM e GROUP BY ALL HAVING count(*) = 2 AND count(*) FILTER (type = 'text') = 1 AND count(*) FILTER (type IN ('switch', 'check')) = 1),
+p AS (SELECT *, CASE WHEN type IN ('card', 'row', 'col') THEN type ELSE type || '#' || element_id END AS sig FROM e WHERE (sketch_id, frame_id) NOT IN (SELECT sketch_id, frame_id FROM m)),
+n AS (SELECT *, CASE WHEN lag(sig) OVER (PARTITION BY sketch_id, frame_id ORDER BY element_id) IS NOT DISTINCT FROM sig THEN 0 ELSE 1 END AS new FROM p), i AS (SELECT *, sum(new) OVER (PARTITION BY sketch_id, frame_id ORDER BY element_id) AS island FROM n)
+SELECT sketch_id, frame_id, island::INT AS place, CASE WHEN count(*) > 1 THEN 'list' ELSE split_part(any_value(sig), '#', 1) END AS type, least(count(*), 50)::INT AS n, NULL::VARCHAR AS label FROM i GROUP BY sketch_id, frame_id, island
+UNION ALL SELECT sketch_id, frame_id, 1, control, 1, label FROM m""", "elements_gold")
 def tre_finalize(spark, sf):
     e = S.elements_gold(spark, sf).withColumn("type", F.when(F.col("element_id") % 3 != 0, "card").otherwise(F.col("type")))
     return L.finalize_children(e, "sketch_id", "frame_id", "element_id")

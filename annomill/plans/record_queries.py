@@ -68,10 +68,10 @@ def prj_token_budget(spark, sf):
     return R.token_budget(S.table(spark, sf, "benchmark").withColumn("completion", F.lit("")), "text", "completion", 50).select("item_id", "status")
 
 
-@query("SELECT sketch_id, count(*) AS n FROM points GROUP BY 1 HAVING count(*) BETWEEN 1 AND 25", "points")
+@query("SELECT sketch_id, count(*) AS n FROM points GROUP BY 1 HAVING count(*) BETWEEN 1 AND 110", "points")
 def prj_length_filter(spark, sf):
     lists = S.points(spark, sf).groupBy("sketch_id").agg(F.collect_list("x").alias("xs"))
-    return R.length_filter(lists, "xs", 1, 25).select("sketch_id", F.size("xs").cast("long").alias("n"))
+    return R.length_filter(lists, "xs", 1, 110).select("sketch_id", F.size("xs").cast("long").alias("n"))
 
 
 @query("SELECT event_id, value FROM events WHERE event_type <> 'view'")
@@ -194,7 +194,10 @@ def smp_augment_documents(spark, sf):
     return P.augment_children(S.elements_gold(spark, sf), [("radio", 0.4), ("fab", 0.2)], doc="sketch_id", order="element_id", kind="type", seed="a", most=10).select("sketch_id", "type", "ord")
 
 
-@query()
+@query(f"""WITH g AS (SELECT sketch_id, frame_id, ord, count(*) OVER (PARTITION BY sketch_id) AS n FROM frames),
+c AS (SELECT sketch_id, frame_id, element_id, row_number() OVER (PARTITION BY sketch_id, frame_id ORDER BY ('0x' || substr(sha1('l:' || element_id), 1, 8))::BIGINT, element_id) AS k FROM elements_gold WHERE type IN ('btn', 'card', 'text')),
+p AS (SELECT c.*, ord, n FROM c JOIN g USING (sketch_id, frame_id) WHERE n > 1 AND (k = 1 OR (k = 2 AND {U("'l/two:' || sketch_id || ':' || frame_id")} < 0.5)))
+SELECT p.sketch_id, p.element_id, t.frame_id AS go FROM p JOIN g t ON t.sketch_id = p.sketch_id AND t.ord = (p.ord + 1 + ('0x' || substr(sha1('l/to:' || element_id), 1, 8))::BIGINT % (p.n - 1)) % p.n""", "frames", "elements_gold")
 def smp_add_links(spark, sf):
     return P.add_links(S.elements_gold(spark, sf), S.frames(spark, sf), doc="sketch_id", key="element_id", screen="frame_id", kinds=["btn", "card", "text"], seed="l")
 

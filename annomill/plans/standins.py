@@ -96,6 +96,8 @@ def with_views(body: str, *names: str) -> str:
         wanted += [x for x in [*NEEDS.get(n, []), n] if x not in wanted]
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}" if head else body
     if body.upper().startswith("WITH "):
         return f"WITH {head}, {body[5:]}" if head else body
     return f"WITH {head} {body}" if head else body

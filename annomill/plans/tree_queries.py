@@ -97,7 +97,11 @@ def _stable(c: str):
     return F.regexp_replace(c, r'"s":"body","v":("[^"]*")', r'"v":$1,"s":"body"')
 
 
-@query()
+LETTER = "chr((65 + list_position(['" + "', '".join(S.TYPES) + "'], {kind}))::INT)"
+
+
+@query("""WITH t AS (SELECT frame_id, element_id, CASE WHEN element_id % 11 = 0 THEN 'divider' ELSE type END AS a, CASE WHEN (element_id + 3) % 11 = 0 THEN 'divider' ELSE type END AS b FROM elements_gold)
+SELECT frame_id, 1 - levenshtein(string_agg(""" + LETTER.format(kind="a") + ", '' ORDER BY element_id), string_agg(" + LETTER.format(kind="b") + ", '' ORDER BY element_id)) / (count(*) + 1) AS similarity FROM t GROUP BY 1", "elements_gold")
 def udf_tree_similarity(spark, sf):
     """Similarity of each frame's tree to a changed one; equal pairs are scored once."""
     e = S.elements_gold(spark, sf)
@@ -118,11 +122,13 @@ def prj_extract_json(spark, sf):
     return S.table(spark, sf, "events").select("event_id", T.extract_json(F.concat(F.lit("out: "), "props", F.lit("."))).alias("json"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT sketch_id, element_id, x, y, w, h FROM elements_gold WHERE type <> 'btn'),
+p AS (SELECT a.sketch_id, a.element_id AS a, b.element_id AS b FROM t a JOIN t b ON a.sketch_id = b.sketch_id AND a.element_id <> b.element_id WHERE least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) >= 0.5 * least(a.h, b.h) AND greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) < 60),
+r AS (SELECT sketch_id, element_id AS a, element_id AS b FROM t UNION SELECT r.sketch_id, r.a, p.b FROM r JOIN p ON p.sketch_id = r.sketch_id AND p.a = r.b) SELECT sketch_id, a AS element_id, min(b) AS component FROM r GROUP BY 1, 2""", "elements_gold")
 def jn_same_line_groups(spark, sf):
     from annomill.operators.joins import same_line_pairs
 
-    e = S.elements_gold(spark, sf).select("sketch_id", "element_id", "x", "y", "w", "h")
+    e = S.elements_gold(spark, sf).filter("type <> 'btn'").select("sketch_id", "element_id", "x", "y", "w", "h")
     return R.connected(same_line_pairs(e, "sketch_id", "element_id", 60.0), e, "sketch_id", "element_id")
 
 
@@ -132,7 +138,7 @@ def tre_group_strokes(spark, sf):
 
     p = S.points(spark, sf).select("sketch_id", "stroke_id").distinct()
     a, b = p.select("sketch_id", F.col("stroke_id").alias("i")), p.select("sketch_id", F.col("stroke_id").alias("j"))
-    return R.average_linkage(a.join(b, "sketch_id").filter("i < j AND j <= i + 4").withColumn("p", uniform("link", F.col("sketch_id"), F.col("i"), F.col("j"))), "sketch_id")
+    return R.average_linkage(a.join(b, "sketch_id").filter("i < j").withColumn("p", uniform("link", F.col("sketch_id"), F.col("i"), F.col("j"))), "sketch_id")
 
 
 GEO = """WITH d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step FROM points WINDOW w AS (PARTITION BY sketch_id, stroke_id ORDER BY seq)),

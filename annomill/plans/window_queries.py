@@ -10,25 +10,47 @@ from . import standins as S
 from .registry import query
 
 
-@query()
+def bands_sql(name: str, rows: str, doc: str, by: str) -> str:
+    """A fold as recursion over places: rows (doc, lo, hi, s, and more) in the order `by` get their band; a step's rows are all documents' next ones."""
+    return f"""{name}_i AS (SELECT *, row_number() OVER (PARTITION BY {doc} ORDER BY {by}) AS k FROM ({rows})),
+{name} AS (SELECT *, 0 AS band, hi AS reach FROM {name}_i WHERE k = 1 UNION ALL SELECT i.*, CASE WHEN reach - i.lo <= i.s THEN band + 1 ELSE band END, CASE WHEN reach - i.lo <= i.s THEN i.hi ELSE greatest(reach, i.hi) END
+FROM {name} r JOIN {name}_i i ON i.{doc} = r.{doc} AND i.k = r.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {bands_sql('b', 'SELECT sketch_id, element_id, y AS lo, y + h AS hi, 0.15 * h AS s FROM elements_gold', 'sketch_id', 'lo, element_id')} SELECT sketch_id, element_id, band::INT AS band FROM b", "elements_gold")
 def win_bands(spark, sf):
     e = S.elements_gold(spark, sf).withColumn("bottom", F.col("y") + F.col("h"))
     return W.bands(e, "sketch_id", "element_id", "y", "bottom", 0.15 * F.col("h")).drop("n_bands")
 
 
-@query()
+def rows_sql(doc: str) -> str:
+    joins = "least(y1, i.y + i.h) - greatest(y0, i.y) > 0.5 * least(i.h, y1 - y0)"
+    return f"""i AS (SELECT {doc}, element_id, x, y, h, row_number() OVER (PARTITION BY {doc} ORDER BY y, x, element_id) AS k FROM elements_gold),
+r AS (SELECT {doc}, element_id, x, k, 0 AS row, y AS y0, y + h AS y1 FROM i WHERE k = 1 UNION ALL SELECT i.{doc}, i.element_id, i.x, i.k, CASE WHEN {joins} THEN row ELSE row + 1 END,
+CASE WHEN {joins} THEN least(y0, i.y) ELSE i.y END, CASE WHEN {joins} THEN greatest(y1, i.y + i.h) ELSE i.y + i.h END FROM r JOIN i ON i.{doc} = r.{doc} AND i.k = r.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {rows_sql('frame_id')} SELECT frame_id, element_id, row::INT AS row FROM r", "elements_gold")
 def win_row_group(spark, sf):
     return W.row_group(S.elements_gold(spark, sf), "frame_id", "element_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {rows_sql('sketch_id')} SELECT sketch_id, element_id, row::INT AS row, row_number() OVER (PARTITION BY sketch_id ORDER BY row, x, element_id)::INT AS place FROM r", "elements_gold")
 def win_reading_order(spark, sf):
     return W.reading_order(S.elements_gold(spark, sf), "sketch_id", "element_id")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT sketch_id, element_id, row_number() OVER (PARTITION BY sketch_id ORDER BY element_id) AS k, CASE WHEN element_id % 7 = 0 THEN '9' || text WHEN element_id % 7 = 1 THEN split_part(text, ' ', 1) || ' 2' ELSE split_part(text, ' ', 1) END AS text FROM elements_gold),
+s AS (SELECT *, coalesce(text, 'Screen ' || k) AS shown FROM t), u AS (SELECT *, regexp_replace(regexp_replace(lower(shown), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM s),
+i AS (SELECT *, left(CASE WHEN slug = '' THEN 'screen' || k WHEN regexp_matches(slug, '^[a-z]') THEN slug ELSE 's_' || slug END, 28) AS base FROM u),
+r AS (SELECT sketch_id, element_id, k, shown, base AS name, [base] AS used FROM i WHERE k = 1 UNION ALL
+SELECT sketch_id, element_id, k, shown, name, list_append(used, name) FROM (SELECT i.sketch_id, i.element_id, i.k, i.shown, used, ([x FOR x IN list_concat([base], [base || '_' || n FOR n IN generate_series(2, i.k + 1)]) IF NOT list_contains(used, x)])[1] AS name FROM r JOIN i ON i.sketch_id = r.sketch_id AND i.k = r.k + 1))
+SELECT sketch_id, element_id, name, left(shown, 40) AS title FROM r""", "elements_gold")
 def win_dedupe_names(spark, sf):
-    return W.dedupe_names(S.elements_gold(spark, sf).select("sketch_id", "element_id", "text"), "sketch_id", "element_id", "text")
+    """First words of texts as names, some with a number of their own, some after a digit."""
+    word, turn = F.split_part("text", F.lit(" "), F.lit(1)), F.col("element_id") % 7
+    text = F.when(turn == 0, F.concat(F.lit("9"), "text")).when(turn == 1, F.concat(word, F.lit(" 2"))).otherwise(word)
+    return W.dedupe_names(S.elements_gold(spark, sf).select("sketch_id", "element_id", text.alias("text")), "sketch_id", "element_id", "text")
 
 
 @query("""WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -73,7 +95,13 @@ def win_resample(spark, sf):
     return W.resample(S.points(spark, sf), ["sketch_id", "stroke_id"], "seq", 8).select("sketch_id", "stroke_id", "i", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query()
+TURNS = """i AS (SELECT sketch_id, stroke_id, seq AS k, y, {least} AS s FROM {points}),
+r AS (SELECT sketch_id, stroke_id, k, y AS anchor, 0 AS dir, 0 AS turns FROM i WHERE k = 1 UNION ALL
+SELECT i.sketch_id, i.stroke_id, i.k, CASE WHEN abs(i.y - anchor) >= s OR (sign(i.y - anchor) = dir AND dir <> 0) THEN i.y ELSE anchor END, CASE WHEN abs(i.y - anchor) >= s THEN sign(i.y - anchor) ELSE dir END,
+turns + CASE WHEN abs(i.y - anchor) >= s AND dir <> 0 AND sign(i.y - anchor) <> dir THEN 1 ELSE 0 END FROM r JOIN i ON i.sketch_id = r.sketch_id AND i.stroke_id = r.stroke_id AND i.k = r.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {TURNS.format(least='5.0', points='points')} SELECT sketch_id, stroke_id, arg_max(turns, k)::INT AS turns FROM r GROUP BY ALL", "points")
 def win_direction_turns(spark, sf):
     return W.direction_turns(S.points(spark, sf), ["sketch_id", "stroke_id"], "seq", F.lit(5.0))
 
@@ -89,9 +117,13 @@ def win_line_count(spark, sf):
     return W.line_count(S.elements_gold(spark, sf), "sketch_id", "y", 18.0)
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT frame_id, element_id, x, y, row_number() OVER (PARTITION BY frame_id ORDER BY y, x, element_id) AS k FROM elements_gold WHERE x - fx < 100 AND element_id % 5 <> 0),
+i AS (SELECT p.*, coalesce(abs(q.x - p.x) < 18 AND abs(r.x - p.x) < 18 AND r.y - p.y < 250, false) AS good FROM p LEFT JOIN p q ON q.frame_id = p.frame_id AND q.k = p.k + 1 LEFT JOIN p r ON r.frame_id = p.frame_id AND r.k = p.k + 2),
+f AS (SELECT frame_id, element_id, k, good AS taken, CASE WHEN good THEN k + 2 ELSE 0 END AS used FROM i WHERE k = 1 UNION ALL
+SELECT i.frame_id, i.element_id, i.k, i.k > used AND good, CASE WHEN i.k > used AND good THEN i.k + 2 ELSE used END FROM f JOIN i ON i.frame_id = f.frame_id AND i.k = f.k + 1) SELECT frame_id, element_id FROM f WHERE taken""", "elements_gold")
 def win_triples(spark, sf):
-    return W.triples(S.elements_gold(spark, sf), "frame_id", "element_id", 18.0, 250.0)
+    """The left column of each frame, with gaps."""
+    return W.triples(S.elements_gold(spark, sf).filter("x - fx < 100 AND element_id % 5 <> 0"), "frame_id", "element_id", 18.0, 250.0)
 
 
 @query("SELECT sketch_id, element_id, round(coalesce(sum(w / 0.5 + 120) OVER (PARTITION BY sketch_id ORDER BY floor(y / 80), x, element_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS start FROM elements_gold", "elements_gold")
