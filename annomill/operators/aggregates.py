@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annomill.session import stored
+
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
     """Counts, the most frequent first (ties: by key)."""
@@ -16,17 +20,41 @@ def split_summary(df: DataFrame, split: str, entity: str, ok: Column) -> DataFra
     return df.groupBy(split).agg(F.count("*").alias("n"), F.count_distinct(entity).alias("entities"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))
 
 
+def ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, first, n, total): each distinct value of a group, the place of its first row, its rows and the group's.
+
+    Equal values are one row before the shuffle; distinct ones are cut into ranges, counted range by range, and the ranges
+    before are added. So neither a group nor a frequent value is one task's work.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    ranged = stored(counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, value).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*keys, "__range").agg(F.sum("n").alias("__n"))  # a row per group and range
+    w = Window.partitionBy(*keys)
+    base = sums.withColumns({"__base": F.coalesce(F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("__n").over(w)}).drop("__n")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__in", inside).join(base.hint("shuffle_hash"), [*keys, "__range"]).select(*keys, value, (F.col("__base") + F.col("__in")).alias("first"), "n", "total")
+
+
+def at_shares(ranked: DataFrame, keys: list[str], value: str, at: dict[str, float], **more: Column) -> DataFrame:
+    """Exact quantiles of ranks() with linear interpolation, and further aggregates over the distinct values."""
+    def of(q: float) -> Column:
+        place = q * (F.col("total") - 1)
+        pick = lambda p: F.max(F.when((F.col("first") <= p) & (p < F.col("first") + F.col("n")), F.col(value)))
+        low, high = pick(F.floor(place)), pick(F.ceil(place))
+        return low + (high - low) * (q * (F.max("total") - 1) - F.floor(q * (F.max("total") - 1)))
+
+    return ranked.groupBy(*keys).agg(*(of(q).alias(name) for name, q in at.items()), *(c.alias(name) for name, c in more.items()))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, and the maximum; NaN values don't count."""
-    good = df.filter(~F.isnan(value))
-    return good.groupBy(*keys).agg(*(F.percentile(value, q).alias(name) for name, q in at.items()), F.max(value).alias("most"))
+    return at_shares(ranks(df.filter(~F.isnan(value) & F.col(value).isNotNull()), keys, value), keys, value, at, most=F.max(value))
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The value at place n // 2 of the sorted ones, without interpolation."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"__k": F.row_number().over(w.orderBy(value)), "__n": F.count("*").over(w)})
-    return ranked.filter(F.col("__k") == F.floor(F.col("__n") / 2) + 1).select(*keys, F.col(value).alias("median"))
+    place = F.floor(F.col("total") / 2)
+    return ranks(df, keys, value).filter((F.col("first") <= place) & (place < F.col("first") + F.col("n"))).select(*keys, F.col(value).alias("median"))
 
 
 def class_share(df: DataFrame, key: str) -> DataFrame:
@@ -126,13 +154,14 @@ def bbox_union(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stage_latency(df: DataFrame, stage: str, ms: str) -> DataFrame:
-    return df.groupBy(stage).agg(F.percentile(ms, 0.5).alias("median_ms"), F.count("*").alias("n"))
+    return at_shares(ranks(df.select(stage, ms), [stage], ms), [stage], ms, {"median_ms": 0.5}, n=F.max("total"))
 
 
 def stage_latency_map(df: DataFrame, times: str, stages: list[str]) -> DataFrame:
     """Median per stage of a map of microseconds, in milliseconds; a listed stage missing from a map counts 0."""
     dense = F.map_concat(F.map_from_arrays(F.array(*map(F.lit, stages)), F.array(*(F.coalesce(F.try_element_at(times, F.lit(s)), F.lit(0).cast("bigint")) for s in stages))))
-    return df.select(F.explode(dense).alias("stage", "us")).groupBy("stage").agg(F.percentile(F.col("us") / 1000, 0.5).alias("median_ms"))
+    times_ms = df.select(F.explode(dense).alias("stage", "us")).select("stage", (F.col("us") / 1000).alias("ms"))
+    return at_shares(ranks(times_ms, ["stage"], "ms"), ["stage"], "ms", {"median_ms": 0.5})
 
 
 def fallback_counts(df: DataFrame, stage: str, fell_back: str) -> DataFrame:
@@ -145,7 +174,9 @@ def two_ratios(df: DataFrame, part: str, whole: str) -> DataFrame:
 
 
 def number_summary(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.min(value).alias("least"))
+    weighted = F.sum(F.col(value) * F.col("n")) / F.max("total")
+    ranked = ranks(df.filter(F.col(value).isNotNull()), [], value)
+    return at_shares(ranked, [], value, {"median": 0.5}, n=F.coalesce(F.max("total"), F.lit(0)), mean=weighted, most=F.max(value), least=F.min(value))
 
 
 def pipeline_rates(df: DataFrame, valid: Column, error: str, most: int = 10) -> DataFrame:
@@ -160,11 +191,37 @@ def leaf_count(nodes: DataFrame, doc: str, node: str, parent: str) -> DataFrame:
 
 
 def farthest_pair(points: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The two points of a group that are farthest apart (ties: the first pair in order)."""
-    a, b = points.select(*keys, F.col(order).alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay")), points.select(*keys, F.col(order).alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-    best = a.join(b, keys).filter("i < j").groupBy(*keys).agg(F.max(F.struct(d.alias("d"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("m"))
-    return best.select(*keys, (-F.col("m.i")).alias("i"), (-F.col("m.j")).alias("j"), F.col("m.d").alias("d2"))
+    """(keys, i, j, d2): the two points of a group that are farthest apart (ties: the first pair in order). Only corners of the convex hull are compared."""
+    kinds = dict(points.dtypes)
+
+    def hull(p: np.ndarray) -> np.ndarray:
+        """Rows (x, y, order) of the corners; p is sorted by x, y."""
+        sides = []
+        for side in (p, p[::-1]):
+            kept: list[np.ndarray] = []
+            for q in side:
+                while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (q[1] - kept[-2][1]) - (kept[-1][1] - kept[-2][1]) * (q[0] - kept[-2][0]) <= 0:
+                    kept.pop()
+                kept.append(q)
+            sides += kept[:-1]
+        return np.array(sides)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.sort_values(["x", "y", order]).drop_duplicates(["x", "y"])
+        if len(pdf) < 2:
+            return pd.DataFrame({c: [] for c in [*keys, "i", "j", "d2"]})
+        if len(first) == 1:
+            i, j, d = *sorted(pdf[order])[:2], 0.0
+        else:
+            p = first[["x", "y", order]].to_numpy(float)
+            p = hull(p) if len(p) > 3 else p
+            far = (p[:, None, 0] - p[None, :, 0]) ** 2 + (p[:, None, 1] - p[None, :, 1]) ** 2
+            d = far.max()
+            i, j = min(tuple(sorted((int(p[a, 2]), int(p[b, 2])))) for a, b in np.argwhere(far == d))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "i": [i], "j": [j], "d2": [d]})
+
+    narrow = points.select(*keys, order, "x", "y")
+    return narrow.groupBy(*keys).applyInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in keys) + f", i {kinds[order]}, j {kinds[order]}, d2 double")
 
 
 def type_coverage(df: DataFrame, doc: str, kind: str) -> DataFrame:

@@ -38,13 +38,21 @@ def stroke_shape(points: DataFrame, n: int = 32, doc: str = "sketch_id", stroke:
 
 
 def rule_features(points: DataFrame, doc: str = "sketch_id", stroke: str = "stroke_id", order: str = "seq") -> DataFrame:
-    """Closure, straightness and the share of its box that a stroke's polygon covers."""
+    """Closure, straightness, corners (tolerance: 6 % of the diagonal), the share of its box that a stroke's polygon covers, and turns in y (swings of 40 % of the height, and half a unit)."""
     from annomill.functions.numeric import shoelace
 
+    from .layouts import polyline_corners
+    from .windows import direction_turns
+
+    keys, whole = [doc, stroke], Window.partitionBy(doc, stroke)
+    w, h = F.max("x").over(whole) - F.min("x").over(whole), F.max("y").over(whole) - F.min("y").over(whole)
+    sized = points.withColumns({"__corner": 0.06 * F.greatest(F.hypot(w, h), F.lit(1e-6)), "__swing": F.greatest(0.4 * h, F.lit(0.5))})
     xy = F.array_sort(F.collect_list(F.struct(order, "x", "y")))
-    area = points.groupBy(doc, stroke).agg(xy.alias("p")).select(doc, stroke, shoelace(F.transform("p", lambda s: s["x"]), F.transform("p", lambda s: s["y"])).alias("area"))
-    g = stroke_geometry(points, doc, stroke, order).join(area, [doc, stroke])
-    return g.select(doc, stroke, "closure", "straightness", F.when(F.col("w") * F.col("h") > 0, F.col("area") / (F.col("w") * F.col("h"))).otherwise(0.0).alias("area_ratio"))
+    area = points.groupBy(*keys).agg(xy.alias("p")).select(*keys, shoelace(F.transform("p", lambda s: s["x"]), F.transform("p", lambda s: s["y"])).alias("area"))
+    g = stroke_geometry(points, doc, stroke, order)
+    for more in (area, polyline_corners(sized.select(*keys, order, "x", "y", "__corner"), keys, order, "__corner"), direction_turns(sized, keys, order, F.col("__swing"))):
+        g = g.join(more.hint("merge"), keys)
+    return g.select(*keys, "closure", "straightness", "corners", (F.col("area") / F.greatest(F.col("w") * F.col("h"), F.lit(1e-6))).alias("area_ratio"), "turns")
 
 
 def stroke_labels(strokes: DataFrame, groups: DataFrame, doc: str, group: str, types: list[str]) -> DataFrame:

@@ -209,14 +209,14 @@ def task_set(docs: DataFrame, doc: str, examples: DataFrame, *, k: int, seed: st
     return examples.select(F.lit("example").alias("source"), doc).unionByName(picked)
 
 
-def polyline_corners(points: DataFrame, keys: list[str], order: str, tolerance: float) -> DataFrame:
-    """(keys, corners): inner points that a line simplification keeps, within the tolerance. One stroke is one group."""
+def polyline_corners(points: DataFrame, keys: list[str], order: str, tolerance: float | str) -> DataFrame:
+    """(keys, corners): inner points that a line simplification keeps, within the tolerance (a number, or the column that has it). One stroke is one group."""
     import pandas as pd
 
     kinds = dict(points.dtypes)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(order)[["x", "y"]].to_numpy()
+        p, most = pdf.sort_values(order)[["x", "y"]].to_numpy(), pdf[tolerance].iloc[0] if isinstance(tolerance, str) else tolerance
         kept, stack = {0, len(p) - 1}, [(0, len(p) - 1)]
         while stack:
             i, j = stack.pop()
@@ -226,7 +226,7 @@ def polyline_corners(points: DataFrame, keys: list[str], order: str, tolerance:
             inner, span = p[i + 1 : j], max(((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5, 1e-12)
             away = abs((bx - ax) * (ay - inner[:, 1]) - (ax - inner[:, 0]) * (by - ay)) / span
             k = int(away.argmax())
-            if away[k] > tolerance:
+            if away[k] > most:
                 kept.add(i + 1 + k)
                 stack += [(i, i + 1 + k), (i + 1 + k, j)]
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "corners": [max(0, len(kept) - 2)]})
@@ -252,7 +252,7 @@ def finalize_children(nodes: DataFrame, doc: str, parent: str, order: str, *, mo
     return rows.unionByName(merged.select(doc, parent, F.lit(1).alias("place"), F.col("control").alias("type"), F.lit(1).alias("n"), "label"))
 
 
-def convert_documents(docs: DataFrame, doc: str, text: str, *, depth: int = 4, least: int = 3, most: int = 30) -> DataFrame:
+def convert_documents(docs: DataFrame, doc: str, text: str, *, least: int = 3, most: int = 30) -> DataFrame:
     """(doc, reason, leaves, spec): JSON hierarchies (componentLabel, bounds, text, resource-id, children) as canonical documents.
 
     Text that is no JSON has reason "error"; a document that a gate rejects has its reason and no spec.
@@ -262,7 +262,7 @@ def convert_documents(docs: DataFrame, doc: str, text: str, *, depth: int = 4, l
 
     get = lambda path, kind: F.try_variant_get("node", path, kind)
     side = [F.coalesce(get(f"$.bounds[{k}]", "double"), F.lit(0.0)) for k in range(4)]
-    nodes = flatten(docs, doc, text, depth=depth).select(
+    nodes = flatten(docs, doc, text).select(
         doc, "path", "depth", get("$.componentLabel", "string").alias("label"), get("$.text", "string").alias("text"), F.coalesce(get("$['resource-id']", "string"), F.lit("")).alias("hint"),
         side[0].alias("x"), side[1].alias("y"), (side[2] - side[0]).alias("w"), (side[3] - side[1]).alias("h"), get("$.children[0]", "variant").isNull().alias("is_leaf"),
     )

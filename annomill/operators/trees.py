@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 10
+from annomill.session import stored
 
 #: The order of keys in a canonical document, by the node's type, and the values that are left out.
 KEY_ORDER = {
@@ -22,27 +23,38 @@ KEY_ORDER = {
 DEFAULTS = {"text": {"s": "body"}, "btn": {"variant": "primary"}, "input": {"secure": False, "multiline": False}}
 
 
-def flatten(docs: DataFrame, doc: str, text: str, children: str = "children", depth: int = MAX_DEPTH) -> DataFrame:
-    """(doc, path, parent, ord, depth, node) of JSON documents: one variant_explode per level, up to the depth.
+def flatten(docs: DataFrame, doc: str, text: str, children: str = "children", depth: int | None = None) -> DataFrame:
+    """(doc, path, parent, ord, depth, node) of JSON documents, one variant_explode per level, down to the last level that has nodes (or to `depth`).
 
-    Text that is no JSON has no nodes. Each level is an explode of the one above; nothing is shuffled.
+    Text that is no JSON has no nodes. Each level is written and the next one made from it, so no level is parsed or exploded twice.
     """
-    level = docs.select(doc, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("ord"), F.lit(0).alias("depth"), F.try_parse_json(F.col(text)).alias("node")).filter("node IS NOT NULL")
-    found = level
-    for d in range(1, depth + 1):
-        level.createOrReplaceTempView("__level")
-        level = docs.sparkSession.sql(f"SELECT l.{doc}, concat(l.path, '/{children}/', e.pos) AS path, l.path AS parent, CAST(e.pos AS INT) AS ord, {d} AS depth, e.value AS node FROM __level l, LATERAL variant_explode(variant_get(l.node, '$.{children}', 'variant')) e")
+    spark = docs.sparkSession
+    level = stored(docs.select(doc, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("ord"), F.lit(0).alias("depth"), F.try_parse_json(F.col(text)).alias("node")).filter("node IS NOT NULL"), "level")
+    found, d = level, 0
+    while depth is None or d < depth:
+        d += 1
+        name = f"level_{uuid.uuid4().hex}"
+        level.createOrReplaceTempView(name)
+        below = spark.sql(f"SELECT l.{doc}, concat(l.path, '/{children}/', e.pos) AS path, l.path AS parent, CAST(e.pos AS INT) AS ord, {d} AS depth, e.value AS node FROM {name} l, LATERAL variant_explode(variant_get(l.node, '$.{children}', 'variant')) e")
+        spark.catalog.dropTempView(name)
+        level = stored(below, "level")
+        if level.isEmpty():
+            break
         found = found.unionByName(level)
     return found
 
 
 def splice_unlabelled(nodes: DataFrame, doc: str, label: str) -> DataFrame:
-    """Labelled nodes whose parent is the nearest labelled ancestor; wrappers without a label go."""
+    """Labelled nodes whose parent is the nearest labelled ancestor; wrappers without a label go.
+
+    A node looks for its own ancestors' paths, as many as it is deep, so no document's nodes are paired.
+    """
     named = nodes.filter(F.col(label).isNotNull())
-    above = named.select(doc, F.col("path").alias("up"))
-    on = named.join(above, doc, "left").filter(F.col("up").isNull() | F.col("path").startswith(F.concat("up", F.lit("/"))) | (F.col("up") == F.col("path")))
-    nearest = on.groupBy(doc, "path").agg(F.max_by("up", F.when(F.col("up") != F.col("path"), F.char_length("up"))).alias("parent"))
-    return named.drop("parent").join(nearest, [doc, "path"])
+    steps = F.split("path", "/")
+    above = named.select(doc, "path", F.explode(F.transform(F.sequence(F.lit(0), ((F.size(steps) - 1) / 2).cast("int")), lambda k: F.array_join(F.slice(steps, F.lit(1), 2 * k + 1), "/"))).alias("up")).filter("up != path")
+    known = named.select(doc, F.col("path").alias("up"))
+    nearest = above.join(known.hint("merge"), [doc, "up"]).groupBy(doc, "path").agg(F.max_by("up", F.char_length("up")).alias("parent"))
+    return named.drop("parent").join(nearest.hint("merge"), [doc, "path"], "left")
 
 
 def first_heading(nodes: DataFrame, doc: str, kind: str, value: str, heads: list[str]) -> DataFrame:
@@ -62,17 +74,17 @@ def detect_grid(nodes: DataFrame, doc: str, parent: str, signature: str, most: i
     return g.filter((F.col("n").between(2, most)) & (F.col("kinds") == 1)).select(doc, parent, "n")
 
 
-def signature(nodes: DataFrame, doc: str, kind: str, depth: int = MAX_DEPTH) -> DataFrame:
+def signature(nodes: DataFrame, doc: str, kind: str) -> DataFrame:
     """(doc, path, sig): the types of a subtree as a string, built from the lowest level up."""
     sig, out = None, None
-    for d in range(depth, -1, -1):
+    for d in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
         level = nodes.filter(F.col("depth") == d).select(doc, "path", "parent", "ord", kind)
         if sig is not None:
             below = sig.groupBy(doc, F.col("parent").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sig"))), lambda x: x["sig"]), ",").alias("sub"))
-            level = level.join(below, [doc, "path"], "left")
+            level = level.join(below.hint("merge"), [doc, "path"], "left")
         else:
             level = level.withColumn("sub", F.lit(None).cast("string"))
-        sig = level.select(doc, "path", "parent", "ord", F.when(F.col("sub").isNull(), F.col(kind)).otherwise(F.concat(F.col(kind), F.lit("("), F.col("sub"), F.lit(")"))).alias("sig"))
+        sig = stored(level.select(doc, "path", "parent", "ord", F.when(F.col("sub").isNull(), F.col(kind)).otherwise(F.concat(F.col(kind), F.lit("("), F.col("sub"), F.lit(")"))).alias("sig")), "signatures")
         out = sig if out is None else out.unionByName(sig)
     return out.select(doc, "path", "sig")
 

@@ -75,6 +75,7 @@ def dedupe_names(df: DataFrame, doc: str, order: str, title: str) -> DataFrame:
     base = F.left(F.coalesce(F.nullif(slug(F.col("shown")), F.lit("")), F.concat(F.lit("screen"), F.col("number").cast("string"))), F.lit(28))
     named = named.withColumn("base", base).withColumn("k", F.row_number().over(Window.partitionBy(doc, "base").orderBy(order)))
     named = named.withColumn("name", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string"))))
+    named = stored(named, "named")
     twice = named.filter("k > 1").select(doc, "name").join(named.filter("k = 1").select(doc, F.col("base").alias("name")).hint("merge"), [doc, "name"], "left_semi").select(doc).distinct()
     kinds = dict(df.dtypes)
 
@@ -187,11 +188,11 @@ def synthetic_time(strokes: DataFrame, doc: str, key: str, band: float, speed: f
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
-    """Places from 0 within each group, however large: rows are cut into ranges of the order, a range's rows are numbered in one task, and the ranges before are added.
+    """Places from 0 within each group (or in the whole table), however large: rows are cut into ranges of the order, a range's rows are numbered in one task, and the ranges before are added.
 
     The order's columns tell the rows of a group apart, else equal rows may swap places.
     """
-    ranged = stored(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    ranged = stored(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     before = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))  # a row per group and range
     base = before.withColumn("__base", F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)) - 1
@@ -249,3 +250,9 @@ def shuffle_take(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     from annomill.functions.numeric import hash32
 
     return df.orderBy(hash32(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
+def natural_sort(names: DataFrame, name: str) -> DataFrame:
+    """Names with places from 1: by what stands before a number at the end, then by the number."""
+    keyed = names.withColumns({"__stem": F.regexp_replace(name, r"[0-9]+$", ""), "__number": F.try_to_number(F.regexp_extract(name, r"([0-9]+)$", 1), F.lit("9" * 18))})
+    return numbered(keyed, [], ["__stem", "__number", name]).select(*names.columns, (F.col("place") + 1).alias("place"))

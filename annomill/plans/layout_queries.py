@@ -196,8 +196,8 @@ def tre_build_task_set(spark, sf):
     return L.task_set(docs, "frame_id", docs.join(urgent, "frame_id", "left_semi"), k=20, seed="task")
 
 
-CORNERS = """g AS (SELECT sketch_id, stroke_id, 1 AS i, max(seq) AS j, {tolerance} AS tol FROM {points} GROUP BY ALL),
-seg AS (SELECT * FROM g UNION ALL SELECT sketch_id, stroke_id, unnest([i, m.k]), unnest([m.k, j]), tol FROM (SELECT s.sketch_id, s.stroke_id, s.i, s.j, s.tol,
+CORNERS = """c0 AS (SELECT sketch_id, stroke_id, 1 AS i, max(seq) AS j, {tolerance} AS tol FROM {points} GROUP BY ALL),
+seg AS (SELECT * FROM c0 UNION ALL SELECT sketch_id, stroke_id, unnest([i, m.k]), unnest([m.k, j]), tol FROM (SELECT s.sketch_id, s.stroke_id, s.i, s.j, s.tol,
 max({{'d': abs((b.x - a.x) * (a.y - p.y) - (a.x - p.x) * (b.y - a.y)) / greatest(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), 1e-12), 'n': -p.seq, 'k': p.seq}}) AS m FROM seg s JOIN {points} a ON a.sketch_id = s.sketch_id AND a.stroke_id = s.stroke_id AND a.seq = s.i
 JOIN {points} b ON b.sketch_id = s.sketch_id AND b.stroke_id = s.stroke_id AND b.seq = s.j JOIN {points} p ON p.sketch_id = s.sketch_id AND p.stroke_id = s.stroke_id AND p.seq > s.i AND p.seq < s.j GROUP BY ALL) WHERE m.d > tol)"""
 
@@ -228,7 +228,7 @@ def tre_convert_documents(spark, sf):
     kid = F.struct("element_id", F.struct(F.coalesce(F.try_element_at(label, F.col("type")), F.lit("Other")).alias("componentLabel"), F.array(x, F.col("y"), x + F.col("w"), F.col("y") + F.col("h")).alias("bounds"), "text").alias("n"))
     docs = e.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(kid)), lambda k: k["n"]).alias("children"))
     root = F.struct(F.array(F.lit(0.0), F.lit(0.0), F.lit(360.0), F.when(F.col("frame_id") % 10 == 0, 300.0).otherwise(760.0)).alias("bounds"), "children")
-    found = L.convert_documents(docs.select("frame_id", F.to_json(root).alias("text")), "frame_id", "text", depth=1)
+    found = L.convert_documents(docs.select("frame_id", F.to_json(root).alias("text")), "frame_id", "text")
     return found.select("frame_id", "leaves", "reason", F.col("spec").isNotNull().alias("has_spec"))
 
 
@@ -255,5 +255,5 @@ def udf_flatten_tree(spark, sf):
     from .tree_queries import _spec
 
     L.flatten_udtf(spark)
-    S.elements_gold(spark, sf).groupBy("frame_id").agg(_spec().alias("text")).createOrReplaceTempView("__specs")
-    return spark.sql("SELECT frame_id, count(*) AS nodes FROM __specs, LATERAL flatten_tree(text) GROUP BY frame_id")
+    specs = S.elements_gold(spark, sf).groupBy("frame_id").agg(_spec().alias("text"))
+    return spark.sql("SELECT frame_id, count(*) AS nodes FROM {specs}, LATERAL flatten_tree(text) GROUP BY frame_id", specs=specs)

@@ -13,7 +13,9 @@ from annomill.sources import readers, writers
 from annomill.streaming import ingest
 
 from . import standins as S
+from .layout_queries import CORNERS
 from .registry import query
+from .window_queries import RESAMPLE, TURNS
 
 
 def _nested(spark, sf):
@@ -28,20 +30,20 @@ def _nested(spark, sf):
 
 @query("SELECT o_custkey AS doc, l_linenumber AS k, l_partkey AS part, l_quantity::INT AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def tre_flatten(spark, sf):
-    nodes = R.flatten(_nested(spark, sf), "doc", "text", depth=2)
+    nodes = R.flatten(_nested(spark, sf), "doc", "text")
     get = lambda k, t: F.try_variant_get("node", f"$.{k}", t).alias(k)
     return nodes.filter("depth = 2").select("doc", get("k", "int"), get("part", "long"), get("q", "int"))
 
 
 @query("SELECT o_custkey AS doc, 'customer' AS t, 1::BIGINT AS n FROM orders GROUP BY 1 UNION ALL SELECT o_custkey, 'order', count(*) FROM orders GROUP BY 1 UNION ALL SELECT o_custkey, 'line', count(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def tre_node_types(spark, sf):
-    nodes = R.flatten(_nested(spark, sf), "doc", "text", depth=2)
+    nodes = R.flatten(_nested(spark, sf), "doc", "text")
     return nodes.groupBy("doc", F.try_variant_get("node", "$.t", "string").alias("t")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey AS doc, count(*) AS lines, count(DISTINCT o_orderkey) AS orders FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(l_orderkey) > 0")
 def tre_splice_unlabelled(spark, sf):
-    nodes = R.flatten(_nested(spark, sf), "doc", "text", depth=2).withColumn("label", F.when(F.col("depth") != 1, F.try_variant_get("node", "$.t", "string"))).select("doc", "path", "parent", "depth", "label")
+    nodes = R.flatten(_nested(spark, sf), "doc", "text").withColumn("label", F.when(F.col("depth") != 1, F.try_variant_get("node", "$.t", "string"))).select("doc", "path", "parent", "depth", "label")
     lines = R.splice_unlabelled(nodes, "doc", "label").filter("label = 'line' AND parent = ''").groupBy("doc").agg(F.count("*").alias("n"), F.count_distinct(F.regexp_extract("path", "^(/children/\\d+)/", 1)).alias("with_lines"))
     orders = S.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.count("*").alias("orders"))
     return lines.join(orders, "doc").select("doc", (F.col("n") + F.col("orders") - F.col("with_lines")).alias("lines"), "orders")
@@ -49,15 +51,15 @@ def tre_splice_unlabelled(spark, sf):
 
 @query("SELECT o_custkey AS doc, min(o_orderkey)::VARCHAR AS title FROM orders GROUP BY 1")
 def tre_first_heading(spark, sf):
-    nodes = R.flatten(_nested(spark, sf), "doc", "text", depth=2).withColumns({"t": F.try_variant_get("node", "$.t", "string"), "v": F.try_variant_get("node", "$.k", "string")})
+    nodes = R.flatten(_nested(spark, sf), "doc", "text").withColumns({"t": F.try_variant_get("node", "$.t", "string"), "v": F.try_variant_get("node", "$.k", "string")})
     return R.first_heading(nodes.withColumn("path", F.lpad(F.col("ord").cast("string"), 6, "0")), "doc", "t", "v", ["order"])
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, coalesce('(' || repeat('line,', (count(l_orderkey) - 1)::INT) || 'line)', '') AS sub, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
 SELECT o_custkey AS doc, 'customer(' || string_agg('order' || CASE WHEN n > 0 THEN sub ELSE '' END, ',' ORDER BY o_orderkey) || ')' AS sig FROM o GROUP BY 1""")
 def tre_signature(spark, sf):
-    nodes = R.flatten(_nested(spark, sf), "doc", "text", depth=2).withColumn("t", F.try_variant_get("node", "$.t", "string"))
-    return R.signature(nodes, "doc", "t", depth=2).filter("path = ''").select("doc", "sig")
+    nodes = R.flatten(_nested(spark, sf), "doc", "text").withColumn("t", F.try_variant_get("node", "$.t", "string"))
+    return R.signature(nodes, "doc", "t").filter("path = ''").select("doc", "sig")
 
 
 @query("SELECT frame_id, 'switch' AS control, max(text) FILTER (type = 'text') AS label FROM elements_gold WHERE type IN ('text', 'switch') GROUP BY 1 HAVING count(*) = 2 AND count(*) FILTER (type = 'text') = 1", "elements_gold")
@@ -153,14 +155,24 @@ def feat_stroke_geometry(spark, sf):
     return g.select("sketch_id", "stroke_id", "n", *(F.round(c, 6).alias(c) for c in ("cx", "log_length", "closure", "straightness", "aspect")), "duration", "pause")
 
 
-@query()
+@query(f"""WITH {RESAMPLE.format(last=31)}, c AS (SELECT *, x - avg(x) OVER (PARTITION BY sketch_id, stroke_id) AS rx, y - avg(y) OVER (PARTITION BY sketch_id, stroke_id) AS ry,
+coalesce(lead(x) OVER w - x, 0) AS dx, coalesce(lead(y) OVER w - y, 0) AS dy FROM e WINDOW w AS (PARTITION BY sketch_id, stroke_id ORDER BY i)),
+u AS (SELECT *, CASE WHEN sqrt(dx ** 2 + dy ** 2) > 0 THEN sqrt(dx ** 2 + dy ** 2) ELSE 1 END AS size FROM c)
+SELECT sketch_id, stroke_id, count(*)::INT AS n, round(sum(abs(rx)), 3) AS spread_x, round(sum(abs(ry)), 3) AS spread_y, round(sum(dx / size), 3) AS way_x, round(sum(dy / size), 3) AS way_y, round(arg_min(rx, i), 3) AS first_x FROM u GROUP BY ALL""", "points")
 def feat_stroke_shape(spark, sf):
-    return X.stroke_shape(S.points(spark, sf)).select("sketch_id", "stroke_id", F.size("shape").alias("n"), F.round(F.aggregate("shape", F.lit(0.0), lambda a, s: a + s[0]), 4).alias("sum_x"))
+    total = lambda f: F.round(F.aggregate("shape", F.lit(0.0), lambda a, s: a + f(s)), 3)
+    return X.stroke_shape(S.points(spark, sf)).select(
+        "sketch_id", "stroke_id", F.size("shape").alias("n"), total(lambda s: F.abs(s[0])).alias("spread_x"), total(lambda s: F.abs(s[1])).alias("spread_y"), total(lambda s: s[2]).alias("way_x"), total(lambda s: s[3]).alias("way_y"),
+        F.round(F.col("shape")[0][0], 3).alias("first_x"),
+    )
 
 
-@query()
+@query(f"""WITH RECURSIVE {GEO[5:]}, pt AS (SELECT p.*, 0.06 * greatest(diag, 1e-6) AS tol, greatest(0.4 * (y1 - y0), 0.5) AS swing FROM points p JOIN f USING (sketch_id, stroke_id)), {TURNS.format(least='swing', points='pt')}, {CORNERS.format(points='pt', tolerance='max(tol)')},
+tu AS (SELECT sketch_id, stroke_id, arg_max(turns, k)::INT AS turns FROM r GROUP BY ALL), co AS (SELECT sketch_id, stroke_id, ((count(*) - 1) // 2)::INT AS corners FROM seg GROUP BY ALL),
+ar AS (SELECT sketch_id, stroke_id, CASE WHEN count(*) < 3 THEN 0 ELSE abs(sum(x * ny - nx * y)) / 2 END AS area FROM (SELECT sketch_id, stroke_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM points WINDOW w AS (PARTITION BY sketch_id, stroke_id ORDER BY seq)) GROUP BY ALL)
+SELECT sketch_id, stroke_id, round(CASE WHEN diag > 0 THEN gap / diag ELSE 0 END, 5) AS closure, round(CASE WHEN len > 0 THEN gap / len ELSE 1 END, 5) AS straightness, corners, round(area / greatest((x1 - x0) * (y1 - y0), 1e-6), 4) AS area_ratio, turns FROM f JOIN tu USING (sketch_id, stroke_id) JOIN co USING (sketch_id, stroke_id) JOIN ar USING (sketch_id, stroke_id)""", "points")
 def feat_rule_features(spark, sf):
-    return X.rule_features(S.points(spark, sf)).select("sketch_id", "stroke_id", *(F.round(c, 5).alias(c) for c in ("closure", "straightness", "area_ratio")))
+    return X.rule_features(S.points(spark, sf)).select("sketch_id", "stroke_id", F.round("closure", 5).alias("closure"), F.round("straightness", 5).alias("straightness"), "corners", F.round("area_ratio", 4).alias("area_ratio"), "turns")
 
 
 @query("SELECT element_id, list_position(['btn', 'input', 'text'], type) AS p, coalesce(list_position(['btn', 'input', 'text'], type) - 1, 3)::INT AS type_index FROM elements_gold".replace("list_position(['btn', 'input', 'text'], type) AS p, ", ""), "elements_gold")

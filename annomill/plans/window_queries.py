@@ -86,11 +86,14 @@ def win_arc_length(spark, sf):
     return W.arc_length(S.points(spark, sf), ["sketch_id", "stroke_id"], "seq").select("sketch_id", "stroke_id", "seq", F.round("length", 5).alias("length"))
 
 
-@query("""WITH d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM points WINDOW w AS (PARTITION BY sketch_id, stroke_id ORDER BY seq)),
+RESAMPLE = """d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM points WINDOW w AS (PARTITION BY sketch_id, stroke_id ORDER BY seq)),
 l AS (SELECT *, sum(step) OVER (PARTITION BY sketch_id, stroke_id ORDER BY seq) AS len FROM d), s AS (SELECT *, lag(len) OVER (PARTITION BY sketch_id, stroke_id ORDER BY seq) AS l0 FROM l),
-t AS (SELECT sketch_id, stroke_id, max(len) AS total, arg_min(x, seq) AS fx, arg_min(y, seq) AS fy FROM s GROUP BY ALL), w AS (SELECT *, least(total * i / 7, total) AS at0 FROM t, generate_series(0, 7) g(i)),
-h AS (SELECT w.*, s.l0, s.len, s.x0, s.y0, s.x, s.y, row_number() OVER (PARTITION BY w.sketch_id, w.stroke_id, i ORDER BY s.len) AS k FROM w LEFT JOIN s ON s.sketch_id = w.sketch_id AND s.stroke_id = w.stroke_id AND s.len > s.l0 AND at0 BETWEEN s.l0 AND s.len)
-SELECT sketch_id, stroke_id, i::INT AS i, round(coalesce(x0 + (at0 - l0) / (len - l0) * (x - x0), fx), 4) AS x, round(coalesce(y0 + (at0 - l0) / (len - l0) * (y - y0), fy), 4) AS y FROM h WHERE k = 1 AND (total = 0 OR l0 IS NOT NULL)""", "points")
+t AS (SELECT sketch_id, stroke_id, max(len) AS total, arg_min(x, seq) AS fx, arg_min(y, seq) AS fy FROM s GROUP BY ALL), w AS (SELECT *, least(total * i / {last}, total) AS at0 FROM t, generate_series(0, {last}) g(i)),
+h AS (SELECT w.*, s.l0, s.len, s.x0, s.y0, s.x, s.y, row_number() OVER (PARTITION BY w.sketch_id, w.stroke_id, i ORDER BY s.len) AS k FROM w LEFT JOIN s ON s.sketch_id = w.sketch_id AND s.stroke_id = w.stroke_id AND s.len > s.l0 AND at0 BETWEEN s.l0 AND s.len),
+e AS (SELECT sketch_id, stroke_id, i, coalesce(x0 + (at0 - l0) / (len - l0) * (x - x0), fx) AS x, coalesce(y0 + (at0 - l0) / (len - l0) * (y - y0), fy) AS y FROM h WHERE k = 1 AND (total = 0 OR l0 IS NOT NULL))"""
+
+
+@query(f"WITH {RESAMPLE.format(last=7)} SELECT sketch_id, stroke_id, i::INT AS i, round(x, 4) AS x, round(y, 4) AS y FROM e", "points")
 def win_resample(spark, sf):
     return W.resample(S.points(spark, sf), ["sketch_id", "stroke_id"], "seq", 8).select("sketch_id", "stroke_id", "i", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
@@ -183,14 +186,18 @@ def top_shuffle_take(spark, sf):
 
 @query("SELECT source, row_number() OVER (ORDER BY substr(source, 4)::INT)::INT AS place FROM (SELECT DISTINCT source FROM documents)")
 def top_natural_sort(spark, sf):
-    names = S.table(spark, sf, "documents").select("source").distinct()
-    listed = names.agg(F.array_sort(F.collect_list(F.struct(F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("n"), "source"))).alias("s"))
-    return listed.select(F.posexplode("s").alias("p", "x")).select("x.source", (F.col("p") + 1).alias("place"))
+    return W.natural_sort(S.table(spark, sf, "documents").select("source").distinct(), "source").select("source", F.col("place").cast("int").alias("place"))
+
+
+@query("SELECT c_custkey FROM customer ORDER BY ('0x' || substr(sha1('sample:' || c_custkey), 1, 8))::BIGINT, c_custkey LIMIT 25")
+def top_sample_n(spark, sf):
+    return W.shuffle_take(S.table(spark, sf, "customer"), "c_custkey", "sample", 25).select("c_custkey")
 
 
 @query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey)[:4]::VARCHAR AS kept FROM orders GROUP BY 1")
 def top_cap_children(spark, sf):
-    keys = S.table(spark, sf, "orders").groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 4).alias("k"))
+    first = W.top_per_group(S.table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 4)
+    keys = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
     return keys.select("o_custkey", F.concat(F.lit("["), F.array_join(F.transform("k", lambda x: x.cast("string")), ", "), F.lit("]")).alias("kept"))
 
 
