@@ -126,12 +126,13 @@ def gauss(seed: str, *key: Column | str) -> Column:
     return F.sqrt(-2 * F.ln(1 - uniform(seed + "/r", *key))) * F.cos(2 * F.pi() * uniform(seed + "/a", *key))
 
 
-def poisson(rate: float, u: Column, most: int = 20) -> Column:
-    """The inverse Poisson distribution function of a uniform draw."""
+def poisson(rate: float, u: Column) -> Column:
+    """The inverse Poisson distribution function of a uniform draw of 32 bits: numbers go on until no draw is left for a larger one."""
     import math
 
-    total, chain = 0.0, None
-    for k in range(most):
-        total += math.exp(-rate) * rate**k / math.factorial(k)
+    total, chain, k = 0.0, None, 0
+    while total < 1 - 2.0**-32:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else 1.0
         chain = (F if chain is None else chain).when(u < total, k)
-    return chain.otherwise(most)
+        k += 1
+    return chain.otherwise(k)

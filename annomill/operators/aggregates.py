@@ -126,7 +126,7 @@ def noise_offsets(pairs: DataFrame, unit: float) -> DataFrame:
 def miss_rates(gold: DataFrame, matched: DataFrame, key: str, kind: str) -> DataFrame:
     """Share of gold rows of each kind without a match."""
     hit = matched.select(key, F.lit(1).alias("__hit"))
-    return gold.join(hit, key, "left").groupBy(kind).agg(F.avg(F.col("__hit").isNull().cast("double")).alias("miss_rate"))
+    return gold.join(hit.hint("merge"), key, "left").groupBy(kind).agg(F.avg(F.col("__hit").isNull().cast("double")).alias("miss_rate"))
 
 
 def row_shares(counts: DataFrame, row: str, n: str = "n") -> DataFrame:

@@ -34,8 +34,8 @@ def new_keys_anti(keys: DataFrame, registry: DataFrame, on: list[str]) -> DataFr
 
 def unmatched(gold: DataFrame, pred: DataFrame, matched: DataFrame, gold_key: str, pred_key: str) -> DataFrame:
     """(kind, key): misses among gold and false positives among predictions."""
-    miss = gold.join(matched, gold_key, "left_anti").select(F.lit("miss").alias("kind"), F.col(gold_key).alias("key"))
-    extra = pred.join(matched, pred_key, "left_anti").select(F.lit("false_positive").alias("kind"), F.col(pred_key).alias("key"))
+    miss = gold.join(matched.hint("merge"), gold_key, "left_anti").select(F.lit("miss").alias("kind"), F.col(gold_key).alias("key"))
+    extra = pred.join(matched.hint("merge"), pred_key, "left_anti").select(F.lit("false_positive").alias("kind"), F.col(pred_key).alias("key"))
     return miss.unionByName(extra)
 
 
@@ -124,7 +124,7 @@ def containing_first(points: DataFrame, boxes: DataFrame, doc: str, key: str, bo
 def smallest_container(elements: DataFrame, cards: DataFrame, doc: str, key: str, card: str) -> DataFrame:
     """(doc, key, card): the tightest card that holds the element's centre and is larger than it."""
     e, c = Box.of(), Box.of("c_")
-    on = elements.join(prefixed(cards, "c_", [doc]), doc).filter(c.contains(e.cx, e.cy) & (c.area > e.area))
+    on = elements.join(prefixed(cards, "c_", [doc]).hint("merge"), doc).filter(c.contains(e.cx, e.cy) & (c.area > e.area))
     return on.groupBy(doc, key).agg(F.min_by("c_" + card, F.struct(c.area, F.col("c_" + card))).alias(card))
 
 
@@ -143,7 +143,7 @@ def overlap_words(words: DataFrame, zones: DataFrame, doc: str, zone: str, *, le
     w, z = Box.of("w_"), Box.of()
     grow = z.h / 3
     grown = Box(z.x - grow, z.y - grow, z.w + 2 * grow, z.h + 2 * grow)
-    return words.join(zones, doc).filter(overlap(w, grown) >= least * w.area)
+    return words.join(zones.hint("merge"), doc).filter(overlap(w, grown) >= least * w.area)
 
 
 def nearest_by_x(left: DataFrame, right: DataFrame, doc: str, key: str, most: float, value: str, ordinal: str, default: Column) -> DataFrame:
@@ -184,13 +184,13 @@ def neighbour_text(elements: DataFrame, texts: DataFrame, doc: str, key: str, te
 
 def method_grid(expected: DataFrame, results: DataFrame, on: list[str], value: str) -> DataFrame:
     """Every expected row with its result, "pending" where there is none."""
-    return expected.join(results, on, "left").withColumn("status", F.when(F.col(value).isNull(), "pending").otherwise("done"))
+    return expected.join(results.hint("merge"), on, "left").withColumn("status", F.when(F.col(value).isNull(), "pending").otherwise("done"))
 
 
 def attach_text(pred: DataFrame, gold: DataFrame, matched: DataFrame, pred_key: str, gold_key: str) -> DataFrame:
     """Predictions with the text of the gold element they match, else their own."""
-    found = matched.join(gold.select(gold_key, F.col("text").alias("gold_text")), gold_key).select(pred_key, "gold_text")
-    return pred.join(found, pred_key, "left").withColumn("text", F.coalesce("gold_text", "text")).drop("gold_text")
+    found = matched.join(gold.select(gold_key, F.col("text").alias("gold_text")).hint("merge"), gold_key).select(pred_key, "gold_text")
+    return pred.join(found.hint("merge"), pred_key, "left").withColumn("text", F.coalesce("gold_text", "text")).drop("gold_text")
 
 
 def same_line_pairs(strokes: DataFrame, doc: str, key: str, gap: float) -> DataFrame:
@@ -205,4 +205,4 @@ def same_line_pairs(strokes: DataFrame, doc: str, key: str, gap: float) -> DataF
 def step_to_stroke(steps: DataFrame, strokes: DataFrame, doc: str, key: str) -> DataFrame:
     """Strokes with the class and group of the drawing step that lists them; "shape" and -1 where none does."""
     listed = steps.select(doc, F.explode("strokes").alias(key), "cls", "grp")
-    return strokes.join(listed, [doc, key], "left").withColumns({"cls": F.coalesce("cls", F.lit("shape")), "grp": F.coalesce("grp", F.lit(-1))})
+    return strokes.join(listed.hint("merge"), [doc, key], "left").withColumns({"cls": F.coalesce("cls", F.lit("shape")), "grp": F.coalesce("grp", F.lit(-1))})

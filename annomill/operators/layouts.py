@@ -12,7 +12,7 @@ from annomill.session import stored
 
 from .aggregates import bbox_union, farthest_pair, multiset_f1, multiset_recall, pool_argmax
 from .joins import arrow_source, containing_first
-from .trees import average_linkage
+from .trees import average_linkage, tree_similarity
 from .windows import bands
 
 
@@ -35,7 +35,7 @@ def xy_cut(boxes: DataFrame, doc: str, key: str, rounds: int = 3, slack: float =
 
 def line_group(words: DataFrame, doc: str, key: str) -> DataFrame:
     """(doc, key, line): words by centre; a word joins the line whose first word's centre is within half the median height."""
-    med = words.groupBy(doc).agg((F.percentile("h", 0.5) / 2).alias("__m"))
+    med = words.groupBy(doc).agg((F.percentile("h", 0.5) / 2).alias("__m")).hint("merge")
     item = F.struct((F.col("y") + F.col("h") / 2).alias("c"), F.col("x").alias("x"), F.col(key).alias("id"), F.col("__m").alias("m"))
     start = F.struct(F.lit(-1).alias("line"), F.lit(float("-inf")).alias("first"), F.array().cast(f"array<struct<id:{dict(words.dtypes)[key]},line:int>>").alias("out"))
 
@@ -111,16 +111,17 @@ def eval_prompts(gold: DataFrame, recognized: DataFrame, specs: DataFrame, doc:
 def compose_samples(rows: DataFrame, peers: DataFrame, key: str) -> DataFrame:
     """(key, members): each row with its peers, itself first."""
     listed = peers.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "peer"))), lambda x: x["peer"]).alias("__p"))
-    return rows.select(key).join(listed, key, "left").select(key, F.concat(F.array(key), F.coalesce("__p", F.array().cast(f"array<{dict(rows.dtypes)[key]}>"))).alias("members"))
+    return rows.select(key).join(listed.hint("merge"), key, "left").select(key, F.concat(F.array(key), F.coalesce("__p", F.array().cast(f"array<{dict(rows.dtypes)[key]}>"))).alias("members"))
 
 
-def score_documents(gold: DataFrame, pred: DataFrame, docs: DataFrame, doc: str, *, valid: Column) -> DataFrame:
-    """Per document: schema_valid, type_f1, link_f1 (null if gold has no links), label_recall, screens_correct; an invalid or missing one scores 0.
+def score_documents(gold: DataFrame, pred: DataFrame, docs: DataFrame, doc: str, *, valid: Column, specs: tuple[str, str] | None = None) -> DataFrame:
+    """Per document: with specs (columns of docs with the gold and the predicted JSON) json_valid and tree_similarity; schema_valid, type_f1, link_f1 (null if gold has no links), label_recall, screens_correct; an invalid or missing one scores 0.
 
     gold, pred: node tables (doc, type, go, label, screen); docs: (doc, and what `valid` needs).
     """
     pick = lambda df, c: df.filter(F.col(c).isNotNull()).select(doc, F.col(c).alias("item"))
-    base = docs.select(doc, F.coalesce(valid, F.lit(False)).alias("ok"))
+    more = [F.try_parse_json(specs[1]).isNotNull().cast("double").alias("json_valid"), tree_similarity(F.col(specs[0]), F.col(specs[1])).alias("tree_similarity")] if specs else []
+    base = docs.select(doc, F.coalesce(valid, F.lit(False)).alias("ok"), *more)
     types = multiset_f1(pick(gold, "type"), pick(pred, "type"), docs, doc, "item").withColumnRenamed("f1", "type_f1")
     link = multiset_f1(pick(gold, "go"), pick(pred, "go"), docs, doc, "item").withColumnRenamed("f1", "link_f1")
     label = multiset_recall(pick(gold, "label"), pick(pred, "label"), docs, doc, "item").withColumnRenamed("recall", "label_recall")
@@ -129,7 +130,8 @@ def score_documents(gold: DataFrame, pred: DataFrame, docs: DataFrame, doc: str,
     out = base.join(types, doc).join(link, doc).join(label, doc).join(screens(gold, "__g"), doc, "left").join(screens(pred, "__p"), doc, "left").join(linked, doc, "left")
     zero = lambda c: F.when(F.col("ok"), F.col(c)).otherwise(0.0)
     same = F.when(F.col("ok") & F.col("__g").eqNullSafe(F.col("__p")), 1.0).otherwise(0.0)
-    return out.select(doc, F.col("ok").cast("double").alias("schema_valid"), zero("type_f1").alias("type_f1"), F.when(F.col("__links"), zero("link_f1")).alias("link_f1"), zero("label_recall").alias("label_recall"), same.alias("screens_correct"))
+    trees = ["json_valid", zero("tree_similarity").alias("tree_similarity")] if specs else []
+    return out.select(doc, *trees, F.col("ok").cast("double").alias("schema_valid"), zero("type_f1").alias("type_f1"), F.when(F.col("__links"), zero("link_f1")).alias("link_f1"), zero("label_recall").alias("label_recall"), same.alias("screens_correct"))
 
 
 def extract_slots(nodes: DataFrame, doc: str, height: Column | float, width: Column | float) -> DataFrame:
@@ -159,7 +161,7 @@ def sanitize_children(nodes: DataFrame, doc: str, parent: str, order: str, *, de
 
 def plan_steps(nodes: DataFrame, parts: DataFrame, doc: str, order: list[str]) -> DataFrame:
     """(doc, step, element_id, part): drawing steps in document order; parts: (type, part_no, part), a fixed table of the task."""
-    steps = nodes.join(F.broadcast(parts), "type")
+    steps = nodes.join(parts, "type")
     return steps.withColumn("step", F.row_number().over(Window.partitionBy(doc).orderBy(*order, "part_no"))).select(doc, "step", "element_id", "part")
 
 
@@ -169,9 +171,9 @@ def decode_elements(strokes: DataFrame, affinity: DataFrame, probabilities: Data
     strokes: doc, i, x, y, w, h; affinity: doc, i, j, p; probabilities: doc, i, type, p. A stroke without affinities is its own cluster.
     """
     found = average_linkage(affinity, doc, least)
-    clusters = strokes.join(found, [doc, "i"], "left").withColumn("cluster", F.coalesce("cluster", "i"))
-    kinds = pool_argmax(probabilities.join(clusters.select(doc, "i", "cluster"), [doc, "i"]), [doc, "cluster"], "type", "p").filter(F.col("type") != none)
-    return kinds.join(bbox_union(clusters, [doc, "cluster"]), [doc, "cluster"])
+    clusters = strokes.join(found.hint("merge"), [doc, "i"], "left").withColumn("cluster", F.coalesce("cluster", "i"))
+    kinds = pool_argmax(probabilities.join(clusters.select(doc, "i", "cluster").hint("merge"), [doc, "i"]), [doc, "cluster"], "type", "p").filter(F.col("type") != none)
+    return kinds.join(bbox_union(clusters, [doc, "cluster"]).hint("merge"), [doc, "cluster"])
 
 
 def arrow_ends(points: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -194,7 +196,7 @@ def build_layout(elements: DataFrame, doc: str, frame: str) -> DataFrame:
     cut = xy_cut(elements, frame, "element_id", rounds=1)
     row = F.regexp_extract("path", "^(y[0-9]+)?", 0)
     leaf = F.struct(F.col("type").alias("t"), F.col("text").alias("v"))
-    rows = elements.select(doc, frame, "element_id", "type", "text").join(cut, [frame, "element_id"]).withColumn("row", row)
+    rows = elements.select(doc, frame, "element_id", "type", "text").join(cut.hint("merge"), [frame, "element_id"]).withColumn("row", row)
     rows = rows.groupBy(doc, frame, "row").agg(F.array_sort(F.collect_list(F.struct("place", leaf.alias("n")))).alias("c"))
     kids = F.transform("c", lambda x: x["n"])
     node = F.when(F.size("c") == 1, F.to_json(kids[0])).otherwise(F.concat(F.lit('{"t":"row","c":'), F.to_json(kids), F.lit("}")))
@@ -276,7 +278,7 @@ def convert_documents(docs: DataFrame, doc: str, text: str, *, least: int = 3, m
     body = build_layout(typed.withColumnsRenamed({"path": "element_id"}).withColumn("frame", F.col(doc)), doc, "frame").select(doc, "spec")
     whole = F.concat(F.lit('{"v":1,"screens":[{"id":"s1","body":'), "spec", F.lit("}]}"))
     made = body.select(doc, canonical_json(whole).alias("spec"))
-    result = docs.select(doc).distinct().join(gated, doc, "left").join(made, doc, "left")
+    result = docs.select(doc).distinct().join(gated.hint("merge"), doc, "left").join(made.hint("merge"), doc, "left")
     return result.select(doc, F.coalesce("reason", F.lit("error")).alias("reason"), F.coalesce("leaves", F.lit(0)).alias("leaves"), "spec")
 
 

@@ -99,7 +99,7 @@ def structural_rules(values: DataFrame, domain: DataFrame) -> DataFrame:
 
     Unknown keys, integers out of range, strings too long or with control characters, values outside an enumeration.
     """
-    on = values.join(F.broadcast(domain.withColumn("__known", F.lit(True))), ["t", "key"], "left")  # the domain is a fixed table of the format
+    on = values.join(domain.withColumn("__known", F.lit(True)), ["t", "key"], "left")
     number = F.expr("try_cast(value AS bigint)")
     bad = {
         "unknown_key": F.col("__known").isNull(),
@@ -113,7 +113,7 @@ def structural_rules(values: DataFrame, domain: DataFrame) -> DataFrame:
 def missing_keys(nodes: DataFrame, values: DataFrame, domain: DataFrame) -> DataFrame:
     """(doc, path, key) of required keys that a node lacks."""
     required = domain.filter("required").select("t", "key")
-    return nodes.join(F.broadcast(required), "t").join(values.select("doc", "path", "key"), ["doc", "path", "key"], "left_anti").select("doc", "path", "key")
+    return nodes.join(required, "t").join(values.select("doc", "path", "key"), ["doc", "path", "key"], "left_anti").select("doc", "path", "key")
 
 
 def token_budget(df: DataFrame, prompt: str, completion: str, most: int) -> DataFrame:

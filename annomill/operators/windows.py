@@ -70,17 +70,16 @@ def dedupe_names(df: DataFrame, doc: str, order: str, title: str) -> DataFrame:
     matter; those documents alone are numbered row by row.
     """
     place = Window.partitionBy(doc).orderBy(order)
-    named = df.select(doc, order, F.when(F.coalesce(title, F.lit("")) != "", F.col(title)).alias("shown")).withColumn("number", F.row_number().over(place))
-    named = named.withColumn("shown", F.coalesce("shown", F.concat(F.lit("Screen "), F.col("number").cast("string"))))
-    base = F.left(F.coalesce(F.nullif(slug(F.col("shown")), F.lit("")), F.concat(F.lit("screen"), F.col("number").cast("string"))), F.lit(28))
-    named = named.withColumn("base", base).withColumn("k", F.row_number().over(Window.partitionBy(doc, "base").orderBy(order)))
-    named = named.withColumn("name", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string"))))
-    named = stored(named, "named")
-    twice = named.filter("k > 1").select(doc, "name").join(named.filter("k = 1").select(doc, F.col("base").alias("name")).hint("merge"), [doc, "name"], "left_semi").select(doc).distinct()
-    kinds = dict(df.dtypes)
-
-    plain = named.join(twice.hint("merge"), doc, "left_anti").select(doc, order, "name", F.left("shown", F.lit(40)).alias("title"))
-    rest = named.join(twice.hint("merge"), doc, "left_semi").select(doc, order, "base", F.left("shown", F.lit(40)).alias("title"))
+    named = df.select(doc, order, F.when(F.coalesce(title, F.lit("")) != "", F.col(title)).alias("__shown")).withColumn("__number", F.row_number().over(place))
+    named = named.withColumn("__shown", F.coalesce("__shown", F.concat(F.lit("Screen "), F.col("__number").cast("string"))))
+    base = F.left(F.coalesce(F.nullif(slug(F.col("__shown")), F.lit("")), F.concat(F.lit("screen"), F.col("__number").cast("string"))), F.lit(28))
+    named = named.withColumn("__base", base).withColumn("__turn", F.row_number().over(Window.partitionBy(doc, "__base").orderBy(order)))
+    named = stored(named.withColumn("__name", F.when(F.col("__turn") == 1, F.col("__base")).otherwise(F.concat_ws("_", "__base", F.col("__turn").cast("string")))), "named")
+    own = named.filter("__turn = 1").select(doc, F.col("__base").alias("__name"))
+    twice = named.filter("__turn > 1").select(doc, "__name").join(own.hint("merge"), [doc, "__name"], "left_semi").select(doc).distinct()
+    kinds, shown = dict(df.dtypes), F.left("__shown", F.lit(40)).alias("title")
+    plain = named.join(twice.hint("merge"), doc, "left_anti").select(doc, order, F.col("__name").alias("name"), shown)
+    rest = named.join(twice.hint("merge"), doc, "left_semi").select(doc, order, F.col("__base").alias("base"), shown)
     return plain.unionByName(rest.groupBy(doc).applyInPandas(lambda pdf: _numbered(pdf, doc, order), f"{doc} {kinds[doc]}, {order} {kinds[order]}, name string, title string"))
 
 

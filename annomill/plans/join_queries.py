@@ -95,6 +95,19 @@ def jn_greedy_match(spark, sf):
     return J.greedy_match(pairs, "sketch_id", "element_id", "p_element_id", "iou").select("sketch_id", "element_id", "p_element_id", F.round("iou", 6).alias("iou"))
 
 
+@query(f"""WITH RECURSIVE c AS (SELECT * FROM elements_pred UNION ALL SELECT sketch_id, frame_id, element_id + 50000, type, x + w / 4, y, w, h, text FROM elements_pred),
+p AS (SELECT g.sketch_id, g.element_id, p.element_id AS p_element_id, round(({IOU}) / {UNION}, 9) AS iou FROM elements_gold g JOIN c p ON g.sketch_id = p.sketch_id WHERE ({IOU}) / {UNION} >= 0.5),
+i AS (SELECT *, row_number() OVER (PARTITION BY sketch_id ORDER BY iou DESC, p_element_id DESC, element_id DESC) AS k FROM p),
+r AS (SELECT sketch_id, element_id, p_element_id, iou, k, true AS taken, [element_id] AS gs, [p_element_id] AS ps FROM i WHERE k = 1 UNION ALL SELECT sketch_id, element_id, p_element_id, iou, k, free, CASE WHEN free THEN list_append(gs, element_id) ELSE gs END, CASE WHEN free THEN list_append(ps, p_element_id) ELSE ps END
+FROM (SELECT i.*, gs, ps, NOT list_contains(gs, i.element_id) AND NOT list_contains(ps, i.p_element_id) AS free FROM r JOIN i ON i.sketch_id = r.sketch_id AND i.k = r.k + 1)) SELECT sketch_id, element_id, p_element_id, iou FROM r WHERE taken""", "elements_gold", "elements_pred")
+def jn_greedy_contended(spark, sf):
+    """Each predicted box stands twice, the second a quarter of its width further right."""
+    pred = S.elements_pred(spark, sf)
+    twice = pred.unionByName(pred.withColumns({"element_id": F.col("element_id") + 50_000, "x": F.col("x") + F.col("w") / 4}))
+    pairs = J.iou_pairs(S.elements_gold(spark, sf), twice, "sketch_id").withColumn("iou", F.round("iou", 9))
+    return J.greedy_match(pairs, "sketch_id", "element_id", "p_element_id", "iou")
+
+
 @query("SELECT e.sketch_id, element_id, frame_id AS in_frame, y + h / 2 <= 760 AS inside FROM elements_gold e", "elements_gold")
 def jn_containing_first(spark, sf):
     f = S.frames(spark, sf).select("sketch_id", F.col("frame_id").alias("in_frame"), "ord", F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fw").alias("w"), F.col("fh").alias("h"))

@@ -113,16 +113,29 @@ def _nodes(df):
     return df.select("sketch_id", "type", F.when(F.col("type") == "btn", (F.col("frame_id") % 3).cast("string")).alias("go"), F.col("text").alias("label"), F.col("frame_id").alias("screen"))
 
 
-SCORES = """WITH d AS (SELECT DISTINCT sketch_id, sketch_id % 6 <> 0 AS ok FROM frames), g AS (SELECT sketch_id, type, count(*) AS n FROM elements_gold GROUP BY ALL), p AS (SELECT sketch_id, type, count(*) AS n FROM elements_pred GROUP BY ALL),
-b AS (SELECT sketch_id, sum(least(coalesce(g.n, 0), coalesce(p.n, 0))) AS c, sum(coalesce(g.n, 0)) + sum(coalesce(p.n, 0)) AS t FROM g FULL JOIN p USING (sketch_id, type) GROUP BY 1),
-s AS (SELECT d.sketch_id, (SELECT count(DISTINCT frame_id) FROM elements_gold e WHERE e.sketch_id = d.sketch_id) AS sg, (SELECT count(DISTINCT frame_id) FROM elements_pred e WHERE e.sketch_id = d.sketch_id) AS sp FROM d)"""
+def bag_sql(name: str, item: str, where: str) -> str:
+    """common, n_gold and n_pred of a bag per sketch."""
+    one = lambda t, n: f"SELECT sketch_id, {item} AS item, count(*) AS {n} FROM {t} WHERE {where} GROUP BY ALL"
+    return f"{name} AS (SELECT sketch_id, sum(least(coalesce(g, 0), coalesce(p, 0))) AS c, sum(coalesce(g, 0)) AS g, sum(coalesce(p, 0)) AS p FROM ({one('elements_gold', 'g')}) FULL JOIN ({one('elements_pred', 'p')}) USING (sketch_id, item) GROUP BY 1)"
 
 
-@query(f"{SCORES} SELECT d.sketch_id, ok::INT::DOUBLE AS schema_valid, round(CASE WHEN ok THEN CASE WHEN coalesce(t, 0) = 0 THEN 1 ELSE 2 * c / t END ELSE 0 END, 9)::DOUBLE AS type_f1, CASE WHEN ok AND sg = sp THEN 1 ELSE 0 END::DOUBLE AS screens_correct FROM d LEFT JOIN b USING (sketch_id) JOIN s USING (sketch_id)", "frames", "elements_gold", "elements_pred")
+LETTER = "chr((65 + list_position(['" + "', '".join(S.TYPES) + "'], CASE WHEN element_id % 11 = 0 THEN 'divider' ELSE type END))::INT)"
+SCORES = f"""WITH d AS (SELECT DISTINCT sketch_id, sketch_id % 6 <> 0 AS ok FROM elements_gold), {bag_sql('b', 'type', 'true')}, {bag_sql('k', 'frame_id % 3', "type = 'btn'")}, {bag_sql('t', 'text', 'text IS NOT NULL')},
+gt AS (SELECT sketch_id, count(DISTINCT frame_id) AS frames, string_agg({LETTER}, '' ORDER BY element_id) AS s FROM elements_gold GROUP BY 1), pt AS (SELECT sketch_id, count(DISTINCT frame_id) AS frames, string_agg({LETTER}, '' ORDER BY element_id) AS s FROM elements_pred GROUP BY 1)
+SELECT d.sketch_id, (pt.s IS NOT NULL)::INT::DOUBLE AS json_valid, ok::INT::DOUBLE AS schema_valid, round(CASE WHEN NOT ok OR pt.s IS NULL THEN 0 ELSE 1 - levenshtein(gt.s, pt.s) / (greatest(len(gt.s), len(pt.s)) + 1) END, 9) AS tree_similarity,
+round(CASE WHEN ok THEN CASE WHEN b.g + b.p = 0 THEN 1 ELSE 2 * b.c / (b.g + b.p) END ELSE 0 END, 9)::DOUBLE AS type_f1, round(CASE WHEN coalesce(k.g, 0) = 0 THEN NULL WHEN ok THEN 2 * k.c / (k.g + k.p) ELSE 0 END, 9)::DOUBLE AS link_f1,
+round(CASE WHEN NOT ok THEN 0 WHEN coalesce(t.g, 0) = 0 THEN 1 ELSE t.c / t.g END, 9)::DOUBLE AS label_recall, CASE WHEN ok AND gt.frames IS NOT DISTINCT FROM pt.frames THEN 1 ELSE 0 END::DOUBLE AS screens_correct
+FROM d JOIN b USING (sketch_id) LEFT JOIN k USING (sketch_id) LEFT JOIN t USING (sketch_id) JOIN gt USING (sketch_id) LEFT JOIN pt USING (sketch_id)"""
+
+
+@query(SCORES, "elements_gold", "elements_pred")
 def ag_score_documents(spark, sf):
-    docs = S.frames(spark, sf).select("sketch_id").distinct()
-    found = L.score_documents(_nodes(S.elements_gold(spark, sf)), _nodes(S.elements_pred(spark, sf)), docs, "sketch_id", valid=F.col("sketch_id") % 6 != 0)
-    return found.select("sketch_id", "schema_valid", F.round("type_f1", 9).alias("type_f1"), "screens_correct")
+    from .tree_queries import _spec
+
+    gold, pred = S.elements_gold(spark, sf), S.elements_pred(spark, sf)
+    specs = gold.groupBy("sketch_id").agg(_spec().alias("gold_spec")).join(pred.groupBy("sketch_id").agg(_spec().alias("pred_spec")).hint("merge"), "sketch_id", "left")
+    found = L.score_documents(_nodes(gold), _nodes(pred), specs, "sketch_id", valid=F.col("sketch_id") % 6 != 0, specs=("gold_spec", "pred_spec"))
+    return found.select("sketch_id", *(F.round(c, 9).alias(c) for c in found.columns if c != "sketch_id"))
 
 
 HIERARCHY = """h AS (SELECT frame_id, element_id, k, row_number() OVER (PARTITION BY frame_id ORDER BY k) AS place, x - fx AS x, y, w / CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS w, h,
@@ -182,7 +195,9 @@ def ag_arrow_ends(spark, sf):
     return L.arrow_ends(p.select("sketch_id", "stroke_id", "seq", "x", "y", "is_end"), ["sketch_id", "stroke_id"], "seq")
 
 
-@query()
+@query(f"""WITH RECURSIVE {xy_sql('frame_id', 1)}, c AS (SELECT e.sketch_id, e.frame_id, regexp_extract(path, '^(y[0-9]+)?', 0) AS row, place, '{{"t":"' || type || '"' || CASE WHEN text IS NULL THEN '' ELSE ',"v":"' || text || '"' END || '}}' AS n FROM elements_gold e JOIN cut USING (frame_id, element_id)),
+r AS (SELECT sketch_id, frame_id, row, CASE WHEN count(*) = 1 THEN any_value(n) ELSE '{{"t":"row","c":[' || string_agg(n, ',' ORDER BY place) || ']}}' END AS n FROM c GROUP BY ALL)
+SELECT sketch_id, frame_id, '{{"t":"col","c":[' || string_agg(n, ',' ORDER BY row) || ']}}' AS spec FROM r GROUP BY ALL""", "elements_gold")
 def tre_build_layout(spark, sf):
     return L.build_layout(S.elements_gold(spark, sf), "sketch_id", "frame_id")
 
@@ -207,15 +222,16 @@ def fn_polyline_corners(spark, sf):
     return L.polyline_corners(S.points(spark, sf), ["sketch_id", "stroke_id"], "seq", 10.0)
 
 
-@query("SELECT conv_id, count(*) AS pairs FROM conversations WHERE role = 'assistant' GROUP BY 1")
+@query("""WITH p AS (SELECT *, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prompt FROM conversations)
+SELECT conv_id, turn, sha256(prompt) AS prompt_sha256, sha256(text) AS completion_sha256, len(regexp_extract_all(prompt, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]'))::INT AS n_tokens FROM p WHERE role = 'assistant'""")
 def smp_chat_pairs(spark, sf):
     """Prompt and completion of each assistant turn: the turns before it, and itself."""
     from pyspark.sql import Window
 
     c = S.table(spark, sf, "conversations")
     before = F.collect_list(F.concat_ws(": ", "role", "text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    pairs = c.withColumn("prompt", F.array_join(before, "\n")).filter("role = 'assistant'").withColumn("n", token_count(F.col("prompt")))
-    return pairs.groupBy("conv_id").agg(F.count("*").alias("pairs"))
+    pairs = c.withColumn("prompt", F.array_join(before, "\n")).filter("role = 'assistant'")
+    return pairs.select("conv_id", "turn", F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2("text", 256).alias("completion_sha256"), token_count(F.col("prompt")).alias("n_tokens"))
 
 
 @query("""WITH c AS (SELECT frame_id, count(*) AS n, count(*) FILTER (type IN ('text', 'btn', 'input', 'img', 'icon', 'check', 'switch')) AS typed FROM elements_gold GROUP BY 1)

@@ -194,6 +194,12 @@ def smp_augment_documents(spark, sf):
     return P.augment_children(S.elements_gold(spark, sf), [("radio", 0.4), ("fab", 0.2)], doc="sketch_id", order="element_id", kind="type", seed="a", most=10).select("sketch_id", "type", "ord")
 
 
+@query(f"""WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c, generate_subscripts(string_split(p_name, ''), 1) - 1 AS i FROM part), u AS (SELECT *, {U("'t:' || p_partkey || ':' || i")} AS u, substr('abcdefghijklmnopqrstuvwxyz', (floor({U("'t/c:' || p_partkey || ':' || i")} * 26) + 1)::INT, 1) AS o FROM c)
+SELECT p_partkey, string_agg(CASE WHEN u < 0.1 THEN '' WHEN u < 0.2 THEN o WHEN u < 0.3 THEN c || o ELSE c END, '' ORDER BY i) AS noisy FROM u GROUP BY 1""")
+def fn_typo(spark, sf):
+    return S.table(spark, sf, "part").select("p_partkey", P.typo(F.col("p_name"), 0.3, "t", F.col("p_partkey")).alias("noisy"))
+
+
 @query(f"""WITH g AS (SELECT sketch_id, frame_id, ord, count(*) OVER (PARTITION BY sketch_id) AS n FROM frames),
 c AS (SELECT sketch_id, frame_id, element_id, row_number() OVER (PARTITION BY sketch_id, frame_id ORDER BY ('0x' || substr(sha1('l:' || element_id), 1, 8))::BIGINT, element_id) AS k FROM elements_gold WHERE type IN ('btn', 'card', 'text')),
 p AS (SELECT c.*, ord, n FROM c JOIN g USING (sketch_id, frame_id) WHERE n > 1 AND (k = 1 OR (k = 2 AND {U("'l/two:' || sketch_id || ':' || frame_id")} < 0.5)))

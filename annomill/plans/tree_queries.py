@@ -109,7 +109,7 @@ def udf_tree_similarity(spark, sf):
     e = S.elements_gold(spark, sf)
     pairs = e.groupBy("frame_id").agg(_spec(0).alias("a"), _spec(3).alias("b"))
     distinct = pairs.select("a", "b").distinct().withColumn("similarity", R.tree_similarity("a", "b"))
-    return pairs.join(distinct, ["a", "b"]).select("frame_id", "similarity")
+    return pairs.join(distinct.hint("merge"), ["a", "b"]).select("frame_id", "similarity")
 
 
 @query("SELECT event_id, (props->>'k')::INT AS k FROM events")
@@ -195,13 +195,14 @@ def feat_pad_batches(spark, sf):
     return padded.select("sketch_id", "stroke_id", F.size("padded").alias("padded"), F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("own"))
 
 
-@query("SELECT doc_id, lang AS split, n_chars FROM documents")
+@query("SELECT doc_id, lang AS split, n_chars, sha256(text) AS text_sha256 FROM documents")
 def src_shards_round_trip(spark, sf):
     """Documents written as compressed JSON shards by language, and the shards of all languages read again."""
     path = shared_dir(spark, "shards")
-    docs = S.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("split"), "n_chars")
+    docs = S.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("split"), "n_chars", "text")
     writers.write_shards(docs, path, "split", ["doc_id"], 200)
-    return spark.read.schema("doc_id long, split string, n_chars long").option("basePath", path).json(path).select("doc_id", "split", "n_chars")
+    back = spark.read.schema("doc_id long, split string, n_chars long, text string").option("basePath", path).json(path)
+    return back.select("doc_id", "split", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en'")
@@ -225,6 +226,82 @@ def src_lookup_csv(spark, sf):
     return readers.read_lookup_csv(spark, path, "c_custkey long, c_name string")
 
 
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN 'error' ELSE 'ok' END AS reason, CASE WHEN s_suppkey % 10 <> 0 THEN s_name END AS name FROM supplier")
+def src_documents(spark, sf):
+    """A file per supplier, some of which are no JSON."""
+    path = shared_dir(spark, "documents")
+    text = F.when(F.col("s_suppkey") % 10 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("s_name").alias("name"))))
+    S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("value")).repartition("id").write.partitionBy("id").text(path)
+    return readers.read_documents(spark, path, r"id=(\d+)/").select("id", "reason", F.try_variant_get("doc", "$.name", "string").alias("name"))
+
+
+@query("SELECT p_partkey::VARCHAR || '.json' AS name, p_name AS part FROM part")
+def src_bundle(spark, sf):
+    """Parts zipped by a hash of their key; an archive is a text row whose line separator is the zero byte it ends with."""
+    path = shared_dir(spark, "bundles")
+    parts = S.table(spark, sf, "part").select("p_partkey", F.to_json(F.struct("p_name")).alias("text"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import zipfile
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for k, t in zip(pdf["p_partkey"], pdf["text"], strict=True):
+                z.writestr(f"{k}.json", t)
+        return pd.DataFrame({"zip": [held.getvalue()[:-1]]})
+
+    bundles = max(1, parts.count() // 200)
+    zipped = parts.withColumn("bundle", F.pmod(F.xxhash64("p_partkey"), F.lit(bundles))).groupBy("bundle").applyInPandas(work, "zip binary")
+    zipped.select(F.col("zip").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    return readers.read_bundle(spark, path, "part-*").select("name", F.get_json_object("text", "$.p_name").alias("part"))
+
+
+@query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT -1, NULL")
+def src_blobs(spark, sf):
+    """Suppliers' rows as files, the files' names as records, and one record without a file."""
+    path = shared_dir(spark, "blobs")
+    S.table(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").cast("string").alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    where = F.col("_metadata.file_path")
+    records = spark.read.option("recursiveFileLookup", True).text(path).select(F.regexp_extract(where, r"s_nationkey=(\d+)/", 1).cast("long").alias("s_nationkey"), F.substring_index(where, "/", -2).alias("file")).distinct()
+    records = records.unionByName(spark.createDataFrame([(-1, "none")], records.schema))
+    blobs = readers.read_blobs(spark, records, path, "file", parts=2)
+    lines = F.size(F.split(F.rtrim(F.col("blob").cast("string"), F.lit("\n")), "\n"))
+    return blobs.groupBy("s_nationkey").agg(F.sum(F.when(F.col("blob").isNotNull(), lines)).alias("n"))
+
+
+@query("SELECT l.kind, l.flag, r.n, CASE WHEN n IS NULL THEN 'pending' ELSE 'done' END AS status FROM (SELECT kind, flag FROM (SELECT DISTINCT event_type AS kind FROM events), (SELECT DISTINCT l_returnflag AS flag FROM lineitem)) l LEFT JOIN (SELECT event_type AS kind, CASE event_id % 2 WHEN 0 THEN 'A' ELSE 'N' END AS flag, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY ALL) r USING (kind, flag)")
+def src_results(spark, sf):
+    """Results of some methods as JSON rows, read against the whole grid."""
+    path = shared_dir(spark, "results")
+    e = S.table(spark, sf, "events")
+    e.filter("event_type <> 'view'").groupBy(F.col("event_type").alias("kind"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("N").alias("flag")).agg(F.count("*").alias("n")).write.json(path)
+    kinds, flags = e.select(F.col("event_type").alias("kind")).distinct(), S.table(spark, sf, "lineitem").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
+    grid = kinds.join(F.broadcast(flags)).select("kind", F.explode("flags").alias("flag"))  # one row: the set of flags
+    return readers.read_results(spark, path, "kind string, flag string, n long", grid, ["kind", "flag"], "n")
+
+
+@query("SELECT element_id, type FROM elements_pred", "elements_gold", "elements_pred")
+def src_eval_inputs(spark, sf):
+    gold, recognized = shared_dir(spark, "gold"), shared_dir(spark, "recognized")
+    for df, path in ((S.elements_gold(spark, sf), gold), (S.elements_pred(spark, sf), recognized)):
+        writers.write_rows(df.select("element_id", "type"), path)
+    return readers.read_eval_inputs(spark, gold, recognized, "recognized", "element_id long, type string")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def snk_stats(spark, sf):
+    path = shared_dir(spark, "stats")
+    writers.write_stats(S.table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")), path, "documents", "all")
+    return spark.read.schema("lang string, n long").json(f"{path}/documents_all")
+
+
+@query("""WITH l AS (SELECT lang, count(*) AS n, sum(n_chars) / count(*) AS mean FROM documents GROUP BY 1) SELECT line FROM (SELECT unnest(['## Documents', '', '| lang | n | mean |', '|---|---|---|']) AS line UNION ALL SELECT '| ' || lang || ' | ' || n || ' | ' || printf('%.3f', mean) || ' |' FROM l)""")
+def snk_report(spark, sf):
+    figures = S.table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), (F.sum("n_chars") / F.count("*")).alias("mean"))
+    return spark.createDataFrame([(x,) for x in writers.render_report(figures, "Documents", ["lang"]).split("\n")], "line string")
+
+
 @query("SELECT lang, count(*) AS n FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 30 GROUP BY 1")
 def snk_export_eval(spark, sf):
     path = shared_dir(spark, "eval")
@@ -272,25 +349,26 @@ def udf_token_count(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", T.token_count(F.col("text")).alias("n"))
 
 
-def _log_files(spark, sf, parts: int = 3) -> tuple[str, str]:
-    """The run log as files that are written one period after another, as a stream finds them."""
+def _log_files(spark, sf, parts: int = 3) -> tuple[str, str, int]:
+    """The run log as files that are written one period after another, as a stream finds them: path, schema and files a period. A device's rows of a period are in one file."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_dir(spark, "log")
     log = S.run_log(spark, sf)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = log.select(at.alias("t")).approxQuantile("t", [k / parts for k in range(1, parts)], 0.01)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         period = log if low is None else log.filter(at > int(low))
-        (period if high is None else period.filter(at <= int(high))).coalesce(1).write.mode("append").parquet(path)
-    return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
+        (period if high is None else period.filter(at <= int(high))).repartition(files, "device").write.mode("append").parquet(path)
+    return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema), files
 
 
 @query("SELECT kind, count(*) AS n, count(DISTINCT device) AS devices FROM run_log WHERE kind <> 'info' GROUP BY 1", "run_log")
 def str_ingest_records(spark, sf):
-    path, schema = _log_files(spark, sf)
+    path, schema, files = _log_files(spark, sf)
     out = shared_dir(spark, "ingest")
     for k in ("good", "bad", "registry"):  # the folders are there before the first batch
         spark.createDataFrame([], "batch int").write.parquet(f"{out}/{k}/batch=-1")
-    ingest.ingest_records(ingest.event_stream(spark, path, schema), f"{out}/good", f"{out}/bad", f"{out}/registry", f"{out}/checkpoint", [("info", F.col("kind") == "info")], "device").awaitTermination()
+    ingest.ingest_records(ingest.event_stream(spark, path, schema, files), f"{out}/good", f"{out}/bad", f"{out}/registry", f"{out}/checkpoint", [("info", F.col("kind") == "info")], "device").awaitTermination()
     good = spark.read.schema(f"{schema}, split string, batch int").parquet(f"{out}/good").filter("batch >= 0")
     return good.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("device").alias("devices"))
 
@@ -302,7 +380,7 @@ def str_ingest_upsert(spark, sf):
     e.repartitionByRange(3, "event_id").write.parquet(path)
     stream = ingest.ingest_upsert(ingest.event_stream(spark, path, "user_id long, event_id long, value double"), f"{out}/table", f"{out}/checkpoint", "user_id", "event_id")
     stream.awaitTermination()
-    return spark.read.parquet(f"{out}/table/v={stream.lastProgress['batchId']}")
+    return writers.latest(spark.read.schema("user_id long, event_id long, value double").parquet(f"{out}/table").select("user_id", "event_id", "value"), "user_id", "event_id")
 
 
 @query("""WITH l AS (SELECT *, sum((kind = 'launch')::INT) OVER (PARTITION BY device ORDER BY ts) AS life FROM run_log), n AS (SELECT * FROM l QUALIFY life = max(life) OVER (PARTITION BY device)),
@@ -310,9 +388,9 @@ v AS (SELECT *, sum(CASE WHEN kind = 'start' THEN 1 WHEN kind IN ('end', 'fail')
 SELECT device, step, (arg_max(level, ts) - least(0, min(level)))::INT AS open FROM v GROUP BY ALL HAVING arg_max(level, ts) > least(0, min(level))""", "run_log")
 def str_unfinished_steps(spark, sf):
     """The open steps after the last batch of a device, from a stream in time order."""
-    path, schema = _log_files(spark, sf)
+    path, schema, files = _log_files(spark, sf)
     out = shared_dir(spark, "steps")
-    found = ingest.unfinished_steps(ingest.event_stream(spark, path, schema))
+    found = ingest.unfinished_steps(ingest.event_stream(spark, path, schema, files))
 
     def keep(df, number):
         df.write.mode("overwrite").parquet(f"{out}/table/batch={number}")

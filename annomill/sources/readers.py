@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(id, doc, reason): one JSON document per file, id the number of the file's name; a file that is no JSON has reason "error"."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(\d+)\.json$", 1).cast("long").alias("id"), F.try_parse_json("value").alias("doc"))
+def read_documents(spark: SparkSession, path: str, number: str = r"(\d+)\.json$") -> DataFrame:
+    """(id, doc, reason): one JSON document per file, id the number in the file's path; a file that is no JSON has reason "error"."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", number, 1).cast("long").alias("id"), F.try_parse_json("value").alias("doc"))
     return files.withColumn("reason", F.when(F.col("doc").isNull(), "error").otherwise("ok"))
 
 
@@ -31,9 +31,9 @@ def read_shards(spark: SparkSession, path: str, split: str, schema: str) -> Data
     return spark.read.schema(schema + ", split string").option("basePath", path).json(path).filter(F.col("split") == split)
 
 
-def read_bundle(spark: SparkSession, path: str) -> DataFrame:
+def read_bundle(spark: SparkSession, path: str, names: str = "*.zip") -> DataFrame:
     """(bundle, name, text) of the JSON members of zip files; a file that is no zip has a null name. One archive is one task's work."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path).select("path", "content")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -49,10 +49,10 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(work, "bundle string, name string, text string")
 
 
-def read_blobs(spark: SparkSession, records: DataFrame, path: str, name: str) -> DataFrame:
-    """Records with the bytes of the file they name; null where there is none."""
-    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.substring_index("path", "/", -1).alias(name), F.col("content").alias("blob"))
-    return records.join(blobs, name, "left")
+def read_blobs(spark: SparkSession, records: DataFrame, path: str, name: str, parts: int = 1) -> DataFrame:
+    """Records with the bytes of the file they name, by so many last parts of its path; null where there is none."""
+    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.substring_index("path", "/", -parts).alias(name), F.col("content").alias("blob"))
+    return records.join(blobs.hint("merge"), name, "left")
 
 
 def read_results(spark: SparkSession, path: str, schema: str, expected: DataFrame, on: list[str], value: str) -> DataFrame:
@@ -69,8 +69,14 @@ def read_eval_inputs(spark: SparkSession, gold: str, recognized: str, kind: str,
     return spark.read.schema(schema).json(gold if kind == "gold" else recognized)
 
 
-def read_params(values: dict[str, object]) -> dict[str, tuple[float, float]]:
-    """Ranges from a tree of scalars and [low, high] pairs, by dotted names."""
+def read_params(values: dict[str, object], dataset: str | None = None) -> dict[str, tuple[float, float]]:
+    """Ranges from a tree of scalars and [low, high] pairs, by dotted names. A dataset's own values, under "datasets", replace the common ones."""
+    own = values.get("datasets", {})
+    values = {k: v for k, v in values.items() if k != "datasets"}
+    if dataset is not None:
+        if dataset not in own:
+            raise ValueError(f"no parameters for {dataset}; there are {sorted(own)}")
+        return read_params(values) | read_params(own[dataset])
     out: dict[str, tuple[float, float]] = {}
     for k, v in values.items():
         if isinstance(v, dict):

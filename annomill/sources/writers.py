@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,14 +48,20 @@ def write_new(df: DataFrame, path: str, key: str) -> None:
 
 def upsert(df: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the latest."""
-    both = df.unionByName(new)
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return both.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+    return latest(df.unionByName(new), key, order)
+
+
+def latest(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key: the latest, by a partial aggregation (ties: the largest row)."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct(order, *(c for c in rest if c != order))).alias("r")).select(*(F.col(key) if c == key else F.col("r")[c].alias(c) for c in df.columns))
 
 
 def render_report(df: DataFrame, title: str, order: list[str], most: int = 1000) -> str:
-    """A small table of figures as Markdown."""
-    rows = df.orderBy(*order).limit(most).collect()
+    """A small table of figures as Markdown; a table of more than `most` rows is an error."""
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
     show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([f"## {title}", "", *lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)])

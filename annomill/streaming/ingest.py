@@ -34,12 +34,14 @@ def ingest_records(stream: DataFrame, good: str, bad: str, registry: str, checkp
 
 
 def ingest_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    """Keeps the latest row of each key. Each batch writes a new version of the table; readers take the last whole one."""
-    from annomill.sources.writers import upsert
+    """Keeps the latest row of each key: each batch writes its own keys' latest rows under its number, and writers.latest merges when the table is read.
+
+    So a batch's work follows the batch, not the table, and a batch that runs again overwrites itself.
+    """
+    from annomill.sources.writers import latest
 
     def one(df: DataFrame, number: int) -> None:
-        before = df.sparkSession.read.schema(df.schema).parquet(f"{path}/v={number - 1}") if number else df.limit(0)
-        upsert(before, df, key, order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        latest(df, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -71,6 +73,6 @@ def stage_metrics(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def event_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """Parquet files of a folder as a stream, so many a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

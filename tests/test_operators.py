@@ -13,6 +13,7 @@ from annomill.functions import text as T
 from annomill.operators import aggregates as A
 from annomill.operators import features as X
 from annomill.operators import joins as J
+from annomill.operators import layouts as L
 from annomill.operators import records as R
 from annomill.operators import sampling as P
 from annomill.operators import trees
@@ -242,3 +243,115 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def plain_linkage(p, least):
+    """Clusters by mean affinity, each pair looked at anew."""
+    clusters = [[k] for k in sorted({x for pair in p for x in pair})]
+    mean = lambda a, b: sum(p.get((min(i, j), max(i, j)), 0.0) for i in a for j in b) / (len(a) * len(b))
+    while len(clusters) > 1:
+        v, a, b = max((mean(clusters[a], clusters[b]), -a, -b) for a in range(len(clusters)) for b in range(a + 1, len(clusters)))
+        if v <= least:
+            break
+        clusters[-a] += clusters.pop(-b)
+    return {k: min(c) for c in clusters for k in c}
+
+
+def test_linkage_and_decoding_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs, strokes, kinds, want = [], [], [], set()
+    for doc in range(12):
+        n = rng.randint(2, 14)
+        p = {(i, j): round(rng.random(), 6) for i in range(n) for j in range(i + 1, n)}
+        pairs += [(doc, i, j, v) for (i, j), v in p.items()]
+        boxes = {i: (float(rng.randint(0, 50)), float(rng.randint(0, 50)), float(rng.randint(1, 9)), float(rng.randint(1, 9))) for i in range(n)}
+        strokes += [(doc, i, *b) for i, b in boxes.items()]
+        probability = {(i, t): rng.random() for i in range(n) for t in ("btn", "none", "text")}
+        kinds += [(doc, i, t, v) for (i, t), v in probability.items()]
+        of = plain_linkage(p, 0.5)
+        for c in set(of.values()):
+            own = [i for i in of if of[i] == c]
+            sums = {t: sum(probability[i, t] for i in own) for t in ("btn", "none", "text")}
+            kind = max(sorted(sums), key=lambda t: sums[t])
+            if kind != "none":
+                x, y = min(boxes[i][0] for i in own), min(boxes[i][1] for i in own)
+                want.add((doc, c, kind, round(sums[kind], 6), x, y, max(boxes[i][0] + boxes[i][2] for i in own) - x, max(boxes[i][1] + boxes[i][3] for i in own) - y))
+    affinity = spark.createDataFrame(pairs, "doc int, i int, j int, p double")
+    found = {(r.doc, r.i): r.cluster for r in trees.average_linkage(affinity, "doc").collect()}
+    assert found == {(d, k): c for d in range(12) for k, c in plain_linkage({(i, j): v for e, i, j, v in pairs if e == d}, 0.5).items()}
+    got = L.decode_elements(spark.createDataFrame(strokes, "doc int, i int, x double, y double, w double, h double"), affinity, spark.createDataFrame(kinds, "doc int, i int, type string, p double"), "doc")
+    assert {(r.doc, r.cluster, r.type, round(r.score, 6), r.x, r.y, r.w, r.h) for r in got.collect()} == want
+
+
+def test_hierarchies_of_any_depth(spark):
+    deep = "null"
+    for k in range(25, -1, -1):
+        deep = f'{{"l":{k if k % 5 == 0 else "null"},"children":[{deep}]}}' if k < 25 else f'{{"l":{k}}}'
+    nodes = trees.flatten(spark.createDataFrame([(1, deep), (2, '{"l":7}'), (3, None)], "doc int, text string"), "doc", "text").withColumn("l", F.try_variant_get("node", "$.l", "int"))
+    assert {r.doc: r.n for r in nodes.groupBy("doc").agg(F.max("depth").alias("n")).collect()} == {1: 25, 2: 0}
+    named = {(r.doc, r.l): r.parent for r in trees.splice_unlabelled(nodes, "doc", "l").collect()}
+    path = lambda k: "/children/0" * k
+    assert named == {(1, 0): None, (2, 7): None} | {(1, k): path(k - 5) for k in range(5, 26, 5)}
+    sig = {r.path: r.sig for r in trees.signature(nodes.withColumn("t", F.lit("x")), "doc", "t").filter("doc = 1").collect()}
+    assert sig[""] == "x(" * 25 + "x" + ")" * 25
+
+
+def test_picking_goes_on_beyond_a_pool(spark):
+    docs = spark.range(300).selectExpr("id", "array(concat('t', id % 3)) AS kinds")
+    few = [r.id for r in L.greedy_diverse(docs, "id", "kinds", k=60, pool=7, seed="s", luck=0.3).orderBy("place").collect()]
+    assert len(few) == 60 == len(set(few))
+    assert few == [r.id for r in L.greedy_diverse(docs, "id", "kinds", k=60, pool=1000, seed="s", luck=0.3).orderBy("place").collect()]
+    assert L.greedy_diverse(docs, "id", "kinds", k=400, pool=50, seed="s", luck=0.0).count() == 12
+
+
+def test_slots(spark):
+    rows = [(1, "/0", 1, "Toolbar", None, 0.0, 10.0, 100.0, 10.0), (1, "/0/0", 2, "Icon", "menu", 0.0, 10.0, 5.0, 5.0), (1, "/1", 3, "Toolbar", None, 0.0, 12.0, 9.0, 9.0), (1, "/2", 4, "Bottom Navigation", None, 0.0, 180.0, 100.0, 20.0), (1, "/2/0", 5, "Icon", "add", 80.0, 180.0, 10.0, 10.0), (1, "/3", 6, "Icon", "add", 80.0, 160.0, 10.0, 10.0), (1, "/4", 7, "Text", None, 0.0, 50.0, 9.0, 9.0)]
+    found = L.extract_slots(spark.createDataFrame(rows, "d int, path string, place int, label string, icon string, x double, y double, w double, h double"), "d", 200.0, 100.0)
+    assert [r.slot for r in found.orderBy("place").collect()] == ["appbar", "appbar", "body", "bottomnav", "fab", "body", "body"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 500])
+def test_ranks_against_sorted_lists(spark, n):
+    rows = [(k % 3, float((k * k) % 7)) for k in range(n)] + [(9, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    want = {g: sorted(v for h, v in rows if h == g and v is not None) for g in {g for g, _ in rows[:-1]}}
+    line = lambda v, q: v[int(q * (len(v) - 1))] + (q * (len(v) - 1) % 1) * (v[min(len(v) - 1, int(q * (len(v) - 1)) + 1)] - v[int(q * (len(v) - 1))])
+    got = {r.g: r for r in A.quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 1.0}).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[g][k] - line(v, q)) < 1e-9 for g, v in want.items() for k, q in (("a", 0.1), ("b", 0.5), ("c", 1.0)))
+    assert {r.g: r["median"] for r in A.upper_median(df.filter("v IS NOT NULL"), ["g"], "v").collect()} == {g: v[len(v) // 2] for g, v in want.items()}
+    placed = W.numbered(df.filter("v IS NOT NULL").withColumn("k", F.monotonically_increasing_id()), ["g"], ["v", "k"]).collect()
+    assert {(r.g, r.place) for r in placed} == {(g, i) for g, v in want.items() for i in range(len(v))}
+    assert all(want[r.g][r.place] == r.v for r in placed)
+
+
+def test_farthest_pair_against_all_pairs(spark):
+    import random
+
+    rng, rows = random.Random(2), []
+    for g in range(40):
+        side = rng.choice([1, 3, 20])
+        rows += [(g, k, float(rng.randint(0, side)), float(rng.randint(0, side if g % 4 else 0))) for k in range(rng.randint(1, 25))]
+    want = {}
+    for g in range(40):
+        p = [r[1:] for r in rows if r[0] == g]
+        best = max((((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, -a[0], -b[0]) for a in p for b in p if a[0] < b[0]), default=None)
+        if best:
+            want[g] = (-best[1], -best[2], best[0])
+    found = {r.g: (r.i, r.j, r.d2) for r in A.farthest_pair(spark.createDataFrame(rows, "g int, k int, x double, y double"), ["g"], "k").collect()}
+    assert found == want
+
+
+def test_parameters_of_a_dataset():
+    values = {"a": {"b": 1}, "c": [1, 2], "datasets": {"x": {"c": 5}, "y": {}}}
+    assert readers.read_params(values, "x") == {"a.b": (1.0, 1.0), "c": (5.0, 5.0)}
+    assert readers.read_params(values, "y") == readers.read_params(values) == {"a.b": (1.0, 1.0), "c": (1.0, 2.0)}
+    with pytest.raises(ValueError, match="no parameters"):
+        readers.read_params(values, "z")
+
+
+def test_a_report_is_whole_or_an_error(spark):
+    with pytest.raises(ValueError, match="at most 3"):
+        writers.render_report(spark.range(4).toDF("n"), "T", ["n"], most=3)
