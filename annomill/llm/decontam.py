@@ -3,8 +3,10 @@
 Words are lower-case runs of letters and digits. A Bloom filter of the items' n-grams, of a fixed size however many there
 are, goes to every task, so only n-grams of documents that may be an item's become rows. Every n-gram of an item is a seed,
 however often it stands in the corpus, so a document is judged the same in a corpus of any size; an n-gram's places in a
-document become one row before the join. Documents and items that share an n-gram are aligned, unless the document's words
-around the seeds hold too few of the item's for the score: there the best local alignment scores 1 for a match and -1/2
+zone of a document (1,024 words) become one row before the join. Documents and items that share an n-gram are aligned zone by
+zone: over the stretch that the item would fill around the zone's seeds, and an item's length more on either side, which no
+alignment of the score leaves. So a far stray seed doesn't make a whole text be read. Where the words there are too few of the
+item's for the score nothing is aligned. The best local alignment scores 1 for a match and -1/2
 for a mismatch or gap, and the score over the item's number of words tells a copy, edited or not. A copy without n words in
 a row left unedited has no seed and is not found.
 
@@ -26,6 +28,8 @@ from .textkit import window_hashes, word_hashes, word_spans
 
 U = np.uint64
 BLOOM_BITS, PIECE = 24, 1 << 19
+#: Words of a document that are one zone, and slots of the table of documents to fetch, which bounds its size.
+ZONE, SLOTS = 1024, 1 << 20
 #: Each byte as it counts: letters and digits lowered, all else white space; bytes of other letters as they are.
 BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -92,6 +96,17 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     return best, *end
 
 
+def merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending regions, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(regions):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, least: float = 0.5) -> DataFrame:
     """(doc_id, mark, item_id, score, first_word, last_word) of documents that hold an item, whole or edited; mark is a hash of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
@@ -113,29 +128,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, least: float =
                     yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(place[k]), pa.array(h[k].view(np.int64))], names=["doc_id", "mark", "at", "h"])
 
     hits = stored(docs.mapInArrow(look, "doc_id long, mark long, at long, h long"), "hits")
-    spans = stored(hits.groupBy("doc_id", "mark", "h").agg(F.min("at").alias("first"), F.max("at").alias("last")), "spans")
+    spans = stored(hits.groupBy("doc_id", "mark", "h", F.floor(F.col("at") / ZONE).alias("zone")).agg(F.min("at").alias("first"), F.max("at").alias("last")), "spans")
     chosen = seeds.select("h", "item", F.col("mark").alias("item_mark"), "place", "words")
     low, high = F.min(F.col("first") - F.col("place")), F.max(F.col("last") - F.col("place") + F.col("words"))
-    pairs = spans.join(chosen.hint("merge"), "h").groupBy("doc_id", "mark", "item", "item_mark").agg(low.alias("low"), high.alias("high"), F.max("words").alias("words"))
+    zones = spans.join(chosen.hint("merge"), "h").groupBy("doc_id", "mark", "item", "item_mark", "zone").agg(low.alias("low"), high.alias("high"), F.max("words").alias("words"))
+    pairs = zones.groupBy("doc_id", "mark", "item", "item_mark").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("regions"), F.max("words").alias("words"))
     texts = items.select(F.col("item").alias("id"), F.col("mark").alias("of"), F.col("text").alias("item_text"))
     with_item = pairs.join(texts.hint("merge"), F.col("item").eqNullSafe(F.col("id")) & (F.col("item_mark") == F.col("of")))
-    wanted = with_item.select(F.col("doc_id").alias("in_doc"), F.col("mark").alias("in_mark"), F.col("item").alias("item_id"), "item_text", "low", "high", "words")
-    found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("in_doc")) & (docs["mark"] == F.col("in_mark"))).select("doc_id", "mark", "text", "item_id", "item_text", "low", "high", "words")
+    wanted = with_item.select(F.col("doc_id").alias("in_doc"), F.col("mark").alias("in_mark"), F.col("item").alias("item_id"), "item_text", "regions", "words")
+    wanted = stored(wanted, "wanted")
+    slot_of = lambda d, m: F.pmod(F.xxhash64(d, m), F.lit(SLOTS)).cast("int").alias("slot")
+    #: texts without a hit stay where they are: the broadcast table has SLOTS rows at most
+    near = docs.withColumn("slot", slot_of("doc_id", "mark")).join(F.broadcast(wanted.select(slot_of("in_doc", "in_mark")).distinct()), "slot", "left_semi").drop("slot")
+    found = near.join(wanted.hint("shuffle_hash"), near["doc_id"].eqNullSafe(F.col("in_doc")) & (near["mark"] == F.col("in_mark"))).select("doc_id", "mark", "text", "item_id", "item_text", "regions", "words")
     schema = "doc_id long, mark long, item_id long, score double, first_word long, last_word long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, mark, text, item_id, item_text, low, high, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                slack = max(2, count // 2)
-                first = max(0, low - slack)
-                words, sought = text_words(text)[first : high + slack], text_words(item_text)
-                if np.isin(sought, words).sum() < least * len(sought):  # no more words than these can match
-                    continue
-                score, i, j = align(sought, words)
-                if score >= least * len(sought):
-                    _, _, back = align(sought[:i][::-1], words[:j][::-1])
-                    rows.append((doc, mark, item_id, score / len(sought), first + j - back, first + j - 1))
+            for doc, mark, text, item_id, item_text, regions, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                slack, whole, sought, best = max(2, count), text_words(text), text_words(item_text), None
+                for region in merged([(max(0, r["low"] - slack), r["high"] + slack) for r in regions]):
+                    words = whole[region[0] : region[1]]
+                    if np.isin(sought, words).sum() < least * len(sought):  # no more words than these can match
+                        continue
+                    score, i, j = align(sought, words)
+                    if score >= least * len(sought) and (best is None or score > best[0]):
+                        _, _, back = align(sought[:i][::-1], words[:j][::-1])
+                        best = (score, region[0] + j - back, region[0] + j - 1)
+                if best:
+                    rows.append((doc, mark, item_id, best[0] / len(sought), *best[1:]))
             if rows:
                 yield batch(schema, **dict(zip(("doc_id", "mark", "item_id", "score", "first_word", "last_word"), zip(*rows, strict=True), strict=True)))
 

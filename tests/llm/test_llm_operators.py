@@ -626,3 +626,93 @@ def test_chat_ranks_branches(spark):
     found = chat.conversations(spark.createDataFrame(data, "tree_id long, node_id long, parent_id long, role string, text string, score double"), keep=3).collect()
     assert [(r.rank, r.leaf, r.n_turns) for r in sorted(found, key=lambda r: r.rank)] == [(1, 23, 4), (2, 33, 4), (3, 43, 4)]
     assert chat.parse_turns(next(r.text for r in found if r.rank == 2)) == [("user", "root"), ("assistant", "3-1"), ("assistant", "3-2"), ("assistant", "3-3")]
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Every pair that reaches the score around four shared words is found, and none that doesn't reach it anywhere; also over zones, with few words in use."""
+    rng = np.random.default_rng(21)
+    few = [f"v{k}" for k in range(6)]
+    items = [" ".join(rng.choice(few, int(rng.integers(5, 30)))) for _ in range(12)]
+    data = []
+    for k in range(60):
+        w = rng.choice(few, int(rng.integers(3, 60))).tolist()
+        if k % 3 == 0:  # a long text with an edited copy far inside, or over the edge of a zone
+            item = items[k % 12].split()
+            cut = [x for x in item if rng.random() > 0.15]
+            w = [f"u{i}" for i in range(int(rng.choice([10, 1020, 3000])))] + w[:8] + cut + [f"t{i}" for i in range(2000)] + item[:4]
+        data.append((k, " ".join(w)))
+    whole, around = {}, {}
+    for d, t in data:
+        words = decontam.text_words(t)
+        for k, x in enumerate(items):
+            sought = decontam.text_words(x)
+            n = len(sought)
+            seeds = {j - i for i in range(n - 3) for j in range(len(words) - 3) if (sought[i : i + 4] == words[j : j + 4]).all()}
+            if seeds:
+                whole[d, k] = decontam.align(sought, words)[0] / n
+                around[d, k] = max(decontam.align(sought, words[max(0, s - n) : s + 2 * n])[0] for s in seeds) / n
+    found = decontam.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): r.score for r in found.collect()}
+    assert {p for p, s in around.items() if s >= 0.5} <= set(found) <= {p for p, s in whole.items() if s >= 0.5} and len(found) > 30
+    assert all(around[p] - 1e-9 <= s <= whole[p] + 1e-9 for p, s in found.items())
+
+
+def test_every_query_runs_on_its_tables(spark):
+    """The registered queries themselves, with their parameters: columns, one row a document, and the contracts' fixed rules."""
+    from annomill.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    scored = {r.doc_id: r for r in QUERIES["op1_toxicity"](spark, sf).collect()}
+    assert set(scored) == set(docs) and all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for d, r in scored.items())
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [(scored[d].predicted, t) for d, t in labels.items() if d in scored and scored[d].held_out and t is not None]
+    assert sum(p == t for p, t in judged) >= 0.85 * len(judged)
+    chats = {r.conv_id: r for r in QUERIES["op4_chat"](spark, sf).collect()}
+    said = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        said[r.conv_id].append((r.turn, r.role, r.text or ""))
+    odd = "\\### Assistant: </turn> ok"
+    said[-7] = [(0, "user", odd), (1, "assistant", odd)]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert set(chats) == set(said)
+    for c, turns in said.items():
+        turns.sort()
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        r = chats[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), sha("".join(f"{x}\n{t}\n" for _, x, t in turns)), len(loss), sha(loss))
+    e = tokens.Encoder(BYTE)
+    ids = {d: np.append(np.frombuffer(e.whole(t or ""), "<u2"), 0).astype("<u4") for d, t in docs.items()}
+    pieces = defaultdict(list)
+    for r in QUERIES["op2_packing"](spark, sf).collect():
+        pieces[r.doc_id].append(r)
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.offset + r.length <= 1024
+    assert {d: sum(r.length for r in p) for d, p in pieces.items()} == {d: len(x) for d, x in ids.items()}
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    last = {}
+    for p, h in pages.items():
+        last[h] = max(last.get(h, p), p)
+    want = {(p, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if last[h] == p else "revisit", None if last[h] == p else last[h]) for p, h in pages.items()}
+    assert {tuple(r) for r in QUERIES["op8_warc"](spark, sf).collect()} == want
+    order, start, want = sorted(docs), 0, {}
+    w = tokens.Encoder(WORD)
+    for d in order:
+        x = np.append(np.frombuffer(w.whole(docs[d] or ""), "<u2"), 2).astype("<u4")
+        want[d] = (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op9_bitplane"](spark, sf).collect()} == want
+    prints = {r.doc_id: r.fingerprint for r in QUERIES["op10_simhash"](spark, sf).collect()}
+    assert prints == {d: f"{brute_print(t):016x}" for d, t in docs.items()}
+    gone = Counter(tuple(words(t)[i : i + 35]) for t in docs.values() for i in range(len(words(t)) - 34))
+    for r in QUERIES["op7_substring"](spark, sf).collect():
+        x, off = words(docs[r.doc_id]), set()
+        for i in range(len(x) - 34):
+            if gone[tuple(x[i : i + 35])] > 1:
+                off |= set(range(i, i + 35))
+        assert (r.n_words, r.n_removed) == (len(x), len(off))
+    trees = {r.doc_id: r for r in QUERIES["op3_merkle"](spark, sf).collect()}
+    for d, x in zip(order, order[1:] + order[:1], strict=True):
+        t, r = docs[d] or "", trees[d]
+        e3 = plain_edit(t, docs[x] or "")
+        assert (r.n_chars, r.edited_sha256) == (len(t), sha(e3)) and (r.near_next == 1) == (t == (docs[x] or "")) and (r.near_edited == 1) == (t == e3)
+    assert QUERIES["op5_decontamination"](spark, sf).count() > 0 and QUERIES["op6_line_dedup"](spark, sf).count() == len(docs)
