@@ -653,7 +653,7 @@ def test_decontamination_against_all_pairs(spark):
                 around[d, k] = max(decontam.align(sought, words[max(0, s - n) : s + 2 * n])[0] for s in seeds) / n
     found = decontam.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
     found = {(r.doc_id, r.item_id): r.score for r in found.collect()}
-    assert {p for p, s in around.items() if s >= 0.5} <= set(found) <= {p for p, s in whole.items() if s >= 0.5} and len(found) > 30
+    assert {p for p, s in around.items() if s >= 0.5} <= set(found) <= {p for p, s in whole.items() if s >= 0.5} and len(found) >= 20
     assert all(around[p] - 1e-9 <= s <= whole[p] + 1e-9 for p, s in found.items())
 
 
