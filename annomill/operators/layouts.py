@@ -170,12 +170,102 @@ def decode_elements(strokes: DataFrame, affinity: DataFrame, probabilities: Data
 
     strokes: doc, i, x, y, w, h; affinity: doc, i, j, p; probabilities: doc, i, type, p. A stroke without affinities is its own cluster.
     """
-    found = average_linkage(affinity, doc, least)
-    clusters = strokes.join(found.hint("merge"), [doc, "i"], "left").withColumn("cluster", F.coalesce("cluster", "i"))
+    clusters = _clusters(strokes, affinity, doc, least)
     kinds = pool_argmax(probabilities.join(clusters.select(doc, "i", "cluster").hint("merge"), [doc, "i"]), [doc, "cluster"], "type", "p").filter(F.col("type") != none)
     return kinds.join(bbox_union(clusters, [doc, "cluster"]).hint("merge"), [doc, "cluster"])
 
 
+def _clusters(strokes: DataFrame, affinity: DataFrame, doc: str, least: float) -> DataFrame:
+    found = average_linkage(affinity, doc, least)
+    return stored(strokes.join(found.hint("merge"), [doc, "i"], "left").withColumn("cluster", F.coalesce("cluster", "i")), "clusters")
+
+
+def decode_sketch(strokes: DataFrame, points: DataFrame, affinity: DataFrame, classes: DataFrame, types: DataFrame, doc: str, *, none: str = "none", least: float = 0.5) -> DataFrame:
+    """(doc, kind, cluster, type, frame, score, x, y, w, h, tx, ty, hx, hy): frames, arrows and elements of each sketch.
+
+    strokes: doc, i, x, y, w, h; points: doc, i, seq, x, y, is_end; classes and types: doc, i, type, p. A cluster is what its strokes'
+    summed class says: a frame, an arrow with tail and head, or else an element of its summed type (noise goes). An element's
+    score is the mean of its strokes' best type, its frame the first that holds its centre. Where a sketch has elements and no frame, the
+    ink of its elements is one, with no cluster.
+    """
+    clusters = _clusters(strokes, affinity, doc, least)
+    keys, of = [doc, "cluster"], clusters.select(doc, "i", "cluster").hint("merge")
+    pooled = lambda p: pool_argmax(p.join(of, [doc, "i"]), keys, "type", "p")
+    kind = F.when(F.col("type") == "frame", "frame").when(F.col("type") == "arrow", "arrow").otherwise("element")
+    boxes = bbox_union(clusters, keys).join(pooled(classes).select(*keys, kind.alias("kind")).hint("merge"), keys)
+    best = types.groupBy(doc, "i").agg(F.max("p").alias("p")).join(of, [doc, "i"]).groupBy(*keys).agg(F.avg("p").alias("score"))
+    named = pooled(types).drop("score").join(best.hint("merge"), keys)
+    boxes = stored(boxes.join(named.hint("merge"), keys, "left").filter((F.col("kind") != "element") | (F.col("type") != none)), "decoded")
+    elements = boxes.filter("kind = 'element'")
+    drawn = boxes.filter("kind = 'frame'")
+    bare = elements.join(drawn.select(doc).distinct().hint("merge"), doc, "left_anti")
+    ink = bbox_union(bare, [doc]).withColumn("cluster", F.lit(None).cast(dict(boxes.dtypes)["cluster"]))
+    frames = drawn.select(doc, "cluster", *"xywh").unionByName(ink.select(doc, "cluster", *"xywh"))
+    numbered = frames.withColumn("ord", F.row_number().over(Window.partitionBy(doc).orderBy("cluster")) - 1)
+    b = Box.of()
+    within = containing_first(elements.select(*keys, b.cx.alias("px"), b.cy.alias("py")), numbered, doc, "cluster", "ord", "ord").filter("inside").select(*keys, F.col("ord").alias("frame"))
+    inked = points.join(of, [doc, "i"]).join(boxes.filter("kind = 'arrow'").select(*keys).hint("merge"), keys, "left_semi")
+    ends = arrow_ends(inked.withColumn("at", F.struct("i", "seq")).withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))), keys, "at")
+    columns = [doc, "kind", "cluster", "type", "frame", "score", *"xywh", "tx", "ty", "hx", "hy"]
+    empty = lambda df: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("int" if c == "frame" else "string" if c in ("type", "kind") else "double").alias(c) for c in columns))
+    made = elements.join(within.hint("merge"), keys, "left")
+    arrows = boxes.filter("kind = 'arrow'").drop("type", "score").join(ends.hint("merge"), keys, "left")
+    return empty(made).unionByName(empty(arrows)).unionByName(empty(numbered.withColumn("kind", F.lit("frame")).withColumn("frame", F.col("ord"))))
+
+
+def finalize_tree(nodes: DataFrame, doc: str) -> DataFrame:
+    """(doc, json): each tree put together from its lowest level up, with what belongs together made one node.
+
+    nodes: doc, path, parent, ord, depth, type, label, leaf; leaf is the JSON of a node without children. In a row a text beside a switch or check
+    becomes its label, an only child stands alone, and two to four equal cards are a grid; elsewhere neighbours that are containers
+    with one signature are a list of n. Signatures are types, nested. A level is one aggregation and one join.
+    """
+    done = None
+    for d in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        level = nodes.filter(F.col("depth") == d)
+        kids = F.array().cast("array<struct<ord:int,t:string,sig:string,js:string,label:string>>")
+        if done is not None:
+            below = done.groupBy(doc, F.col("parent").alias("path")).agg(F.array_sort(F.collect_list(F.struct("ord", "t", "sig", "js", "label"))).alias("__kids"))
+            level = level.join(below.hint("merge"), [doc, "path"], "left")
+            kids = F.coalesce("__kids", kids)
+        level = level.withColumn("kids", kids).withColumn("node", F.when(F.size("kids") == 0, F.struct(F.col("type").alias("t"), F.col("type").alias("sig"), F.col("leaf").alias("js"), F.col("label").alias("label"))).when(F.col("type") == "row", _row_node(F.col("kids"))).otherwise(_column_node(F.col("type"), F.col("kids"))))
+        done = stored(level.select(doc, "path", "parent", F.col("ord").cast("int").alias("ord"), "node.*"), "level")
+    return done.select(doc, F.col("js").alias("json"))
+
+
+def _node(t: Column, sig: Column, js: Column) -> Column:
+    return F.struct(t.alias("t"), sig.alias("sig"), js.alias("js"), F.lit(None).cast("string").alias("label"))
+
+
+def _list(kids: Column, part: str, sep: str = ",") -> Column:
+    return F.array_join(F.transform(kids, lambda k: k[part]), sep)
+
+
+def _row_node(kids: Column) -> Column:
+    n, first = F.size(kids), F.element_at(kids, 1)
+    control = F.get(F.filter(kids, lambda k: k["t"].isin("switch", "check")), F.lit(0))
+    labelled = (n == 2) & (F.size(F.filter(kids, lambda k: k["t"] == "text")) == 1) & control.isNotNull()
+    grid = n.between(2, 4) & F.forall(kids, lambda k: (k["t"] == "card") & (k["sig"] == first["sig"]))
+    return (
+        F.when(n == 1, F.struct(first["t"].alias("t"), first["sig"].alias("sig"), first["js"].alias("js"), first["label"].alias("label")))
+        .when(labelled, _node(control["t"], control["t"], F.to_json(F.struct(control["t"].alias("t"), F.get(F.filter(kids, lambda k: k["t"] == "text"), F.lit(0))["label"].alias("label")))))
+        .when(grid, _node(F.lit("grid"), F.concat(F.lit("grid("), first["sig"], F.lit(")")), F.concat(F.lit('{"t":"grid","cols":'), n.cast("string"), F.lit(',"n":'), n.cast("string"), F.lit(',"item":'), first["js"], F.lit("}"))))
+        .otherwise(_node(F.lit("row"), F.concat(F.lit("row("), _list(kids, "sig"), F.lit(")")), F.concat(F.lit('{"t":"row","c":['), _list(kids, "js"), F.lit("]}"))))
+    )
+
+
+def _column_node(kind: Column, kids: Column) -> Column:
+    """Runs are found by place: a kid starts one unless it is a container like the one before."""
+    places = F.sequence(F.lit(1), F.size(kids))
+    at = lambda i: F.element_at(kids, i)
+    starts = F.filter(places, lambda i: (i == 1) | ~at(i)["t"].isin("card", "row", "col") | (at(i)["sig"] != F.get(kids, i - 2)["sig"]))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(kids) + 1))
+    runs = F.zip_with(starts, ends, lambda i, j: F.struct(at(i).alias("k"), (j - i).alias("n")))
+    shown = F.transform(runs, lambda r: F.when(r["n"] == 1, r["k"]["js"]).otherwise(F.concat(F.lit('{"t":"list","n":'), r["n"].cast("string"), F.lit(',"item":'), r["k"]["js"], F.lit("}"))))
+    sigs = F.transform(runs, lambda r: F.when(r["n"] == 1, r["k"]["sig"]).otherwise(F.concat(F.lit("list("), r["k"]["sig"], F.lit(")"))))
+    return _node(kind, F.concat(kind, F.lit("("), F.array_join(sigs, ","), F.lit(")")), F.concat(F.lit('{"t":"'), kind, F.lit('","c":['), F.array_join(shown, ","), F.lit("]}")))
+
+
 def arrow_ends(points: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, tx, ty, hx, hy): the two farthest points; the head is the one with more stroke ends within a fifth of their distance.
 

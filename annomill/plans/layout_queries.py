@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annomill.functions.numeric import uniform
@@ -176,14 +177,55 @@ def tre_plan_steps(spark, sf):
     return L.plan_steps(S.elements_gold(spark, sf), parts, "sketch_id", ["element_id"])
 
 
-@query()
+def _affinity(spark, sf):
+    """All pairs of a sketch's strokes: over one half within three classes, under one half between them."""
+    ids = S.points(spark, sf).select("sketch_id", F.col("stroke_id").alias("i")).distinct()
+    noise = 0.3 * uniform("link", F.col("sketch_id"), F.col("i"), F.col("j"))
+    pairs = ids.join(ids.select("sketch_id", F.col("i").alias("j")).hint("merge"), "sketch_id").filter("i < j")
+    return pairs.withColumn("p", F.when(F.col("i") % 3 == F.col("j") % 3, 0.6 + noise).otherwise(0.1 + noise))
+
+
+def _drawn(ids, seed: str, kinds: list[str]):
+    return ids.withColumn("type", F.explode(F.array(*map(F.lit, kinds)))).withColumn("p", uniform(seed, F.col("sketch_id"), F.col("i"), F.col("type")))
+
+
+CLUSTERS = """s AS (SELECT sketch_id, stroke_id, min(x) AS x, min(y) AS y, max(x) AS x1, max(y) AS y1, count(*) AS n FROM points GROUP BY ALL), o AS (SELECT *, min(stroke_id) OVER (PARTITION BY sketch_id, stroke_id % 3) AS cluster FROM s)"""
+
+
+@query(f"WITH {CLUSTERS} SELECT sketch_id, stroke_id AS i, cluster FROM o WHERE sketch_id IN (SELECT sketch_id FROM s GROUP BY 1 HAVING count(*) > 1)", "points")
+def tre_group_strokes(spark, sf):
+    from annomill.operators.trees import average_linkage
+
+    return average_linkage(_affinity(spark, sf), "sketch_id")
+
+
+def pooled_sql(name: str, seed: str, kinds: list[str]) -> str:
+    """The kind with the largest sum of draws of each cluster, and the mean of its strokes' largest draws."""
+    u = f"('0x' || substr(sha1('{seed}:' || sketch_id || ':' || stroke_id || ':' || t), 1, 8))::BIGINT / 4294967296"
+    return f"""{name}_p AS (SELECT sketch_id, cluster, stroke_id, t, {u} AS p FROM o, (SELECT unnest({kinds}) AS t)), {name}_s AS (SELECT sketch_id, cluster, t, sum(p) AS p FROM {name}_p GROUP BY ALL),
+{name} AS (SELECT sketch_id, cluster, t, (SELECT avg(m) FROM (SELECT max(p) AS m FROM {name}_p q WHERE q.sketch_id = {name}_s.sketch_id AND q.cluster = {name}_s.cluster GROUP BY stroke_id)) AS score FROM {name}_s QUALIFY row_number() OVER (PARTITION BY sketch_id, cluster ORDER BY p DESC, t) = 1)"""
+
+
+@query(f"""WITH {CLUSTERS}, {pooled_sql('c', 'class', ['arrow', 'frame', 'shape', 'text'])}, {pooled_sql('k', 'kind', ['btn', 'none', 'text'])},
+x AS (SELECT sketch_id, cluster, round(min(x), 1) AS x, round(min(y), 1) AS y, round(max(x1) - min(x), 1) AS w, round(max(y1) - min(y), 1) AS h FROM o GROUP BY ALL),
+d AS (SELECT x.*, CASE WHEN c.t IN ('frame', 'arrow') THEN c.t ELSE 'element' END AS kind, k.t AS type, k.score FROM x JOIN c USING (sketch_id, cluster) JOIN k USING (sketch_id, cluster)),
+e AS (SELECT * FROM d WHERE kind = 'element' AND type <> 'none'), f0 AS (SELECT sketch_id, cluster, x, y, w, h FROM d WHERE kind = 'frame' UNION ALL
+SELECT sketch_id, NULL, round(min(x), 1), round(min(y), 1), round(max(x + w) - min(x), 1), round(max(y + h) - min(y), 1) FROM e WHERE sketch_id NOT IN (SELECT sketch_id FROM d WHERE kind = 'frame') GROUP BY 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY sketch_id ORDER BY cluster) - 1 AS ord FROM f0),
+n AS (SELECT e.sketch_id, e.cluster, min(ord) AS frame FROM e JOIN f ON f.sketch_id = e.sketch_id AND e.x + e.w / 2 BETWEEN f.x AND f.x + f.w AND e.y + e.h / 2 BETWEEN f.y AND f.y + f.h GROUP BY ALL),
+p AS (SELECT p.sketch_id, o.cluster, p.stroke_id, p.seq, p.x, p.y, p.seq IN (1, o.n) AS is_end, row_number() OVER (PARTITION BY p.sketch_id, o.cluster ORDER BY p.stroke_id, p.seq) AS at FROM points p JOIN o ON o.sketch_id = p.sketch_id AND o.stroke_id = p.stroke_id JOIN d ON d.sketch_id = p.sketch_id AND d.cluster = o.cluster AND d.kind = 'arrow'),
+far AS (SELECT a.sketch_id, a.cluster, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM p a JOIN p b ON a.sketch_id = b.sketch_id AND a.cluster = b.cluster AND a.at < b.at QUALIFY row_number() OVER (PARTITION BY a.sketch_id, a.cluster ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 DESC, a.at, b.at) = 1),
+v AS (SELECT far.*, count(*) FILTER (sqrt((p.x - ax) ** 2 + (p.y - ay) ** 2) < 0.2 * sqrt(d2)) > count(*) FILTER (sqrt((p.x - bx) ** 2 + (p.y - b_y) ** 2) < 0.2 * sqrt(d2)) AS swap FROM far LEFT JOIN p ON p.sketch_id = far.sketch_id AND p.cluster = far.cluster AND p.is_end GROUP BY ALL)
+SELECT sketch_id, 'element' AS kind, cluster, type, frame::INT AS frame, round(score, 6) AS score, x, y, w, h, NULL::DOUBLE AS tx, NULL::DOUBLE AS ty, NULL::DOUBLE AS hx, NULL::DOUBLE AS hy FROM e LEFT JOIN n USING (sketch_id, cluster)
+UNION ALL SELECT sketch_id, 'arrow', cluster, NULL, NULL, NULL, x, y, w, h, CASE WHEN swap THEN bx ELSE ax END, CASE WHEN swap THEN b_y ELSE ay END, CASE WHEN swap THEN ax ELSE bx END, CASE WHEN swap THEN ay ELSE b_y END FROM d LEFT JOIN v USING (sketch_id, cluster) WHERE kind = 'arrow'
+UNION ALL SELECT sketch_id, 'frame', cluster, NULL, ord, NULL, x, y, w, h, NULL, NULL, NULL, NULL FROM f""", "points")
 def tre_decode_elements(spark, sf):
-    p = S.points(spark, sf)
-    strokes = p.groupBy("sketch_id", F.col("stroke_id").alias("i")).agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    p = S.points(spark, sf).withColumnRenamed("stroke_id", "i")
+    p = p.withColumn("is_end", (F.col("seq") == 1) | (F.col("seq") == F.count("*").over(Window.partitionBy("sketch_id", "i"))))
+    strokes = p.groupBy("sketch_id", "i").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
     ids = strokes.select("sketch_id", "i")
-    pairs = ids.join(ids.select("sketch_id", F.col("i").alias("j")), "sketch_id").filter("i < j").withColumn("p", uniform("link", F.col("sketch_id"), F.col("i"), F.col("j")))
-    kinds = ids.withColumn("type", F.explode(F.array(*map(F.lit, ["btn", "none", "text"])))).withColumn("p", uniform("kind", F.col("sketch_id"), F.col("i"), F.col("type")))
-    return L.decode_elements(strokes, pairs, kinds, "sketch_id").select("sketch_id", "cluster", "type", F.round("score", 6).alias("score"), "x", "y", "w", "h")
+    found = L.decode_sketch(strokes, p.select("sketch_id", "i", "seq", "x", "y", "is_end"), _affinity(spark, sf), _drawn(ids, "class", ["arrow", "frame", "shape", "text"]), _drawn(ids, "kind", ["btn", "none", "text"]), "sketch_id")
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("""WITH d AS (SELECT a.sketch_id, a.stroke_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM points a JOIN points b ON a.sketch_id = b.sketch_id AND a.stroke_id = b.stroke_id AND a.seq < b.seq
@@ -226,8 +268,6 @@ def fn_polyline_corners(spark, sf):
 SELECT conv_id, turn, sha256(prompt) AS prompt_sha256, sha256(text) AS completion_sha256, len(regexp_extract_all(prompt, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]'))::INT AS n_tokens FROM p WHERE role = 'assistant'""")
 def smp_chat_pairs(spark, sf):
     """Prompt and completion of each assistant turn: the turns before it, and itself."""
-    from pyspark.sql import Window
-
     c = S.table(spark, sf, "conversations")
     before = F.collect_list(F.concat_ws(": ", "role", "text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
     pairs = c.withColumn("prompt", F.array_join(before, "\n")).filter("role = 'assistant'")
@@ -259,6 +299,27 @@ def tre_finalize(spark, sf):
     return L.finalize_children(e, "sketch_id", "frame_id", "element_id")
 
 
+@query("""WITH l AS (SELECT frame_id, k // 4 AS g, k, ['card', 'text', 'switch', 'card'][((frame_id + k) % 4 + 1)::INT] AS t FROM (SELECT *, element_id % 100000 AS k FROM elements_gold)),
+j AS (SELECT *, ['row', 'card', 'row'][(g % 3 + 1)::INT] AS p, '{"t":"' || t || '","label":"n' || k || '"}' AS js FROM l),
+n AS (SELECT frame_id, g, any_value(p) AS p, count(*) AS n, list(t ORDER BY k) AS ts, list(js ORDER BY k) AS js, max('n' || k) FILTER (t = 'text') AS label, max(t) FILTER (t = 'switch') AS control, count(*) FILTER (t = 'text') AS texts FROM j GROUP BY frame_id, g),
+m AS (SELECT frame_id, g, CASE WHEN p = 'card' THEN 'card(' || array_to_string(s.sigs, ',') || ')' WHEN n = 1 THEN ts[1] WHEN n = 2 AND texts = 1 AND control IS NOT NULL THEN control WHEN n <= 4 AND len([x FOR x IN ts IF x <> 'card']) = 0 THEN 'grid(card)' ELSE 'row(' || array_to_string(ts, ',') || ')' END AS sig,
+CASE WHEN p = 'card' THEN '{"t":"card","c":[' || array_to_string(s.parts, ',') || ']}' WHEN n = 1 THEN js[1] WHEN n = 2 AND texts = 1 AND control IS NOT NULL THEN '{"t":"' || control || '","label":"' || label || '"}' WHEN n <= 4 AND len([x FOR x IN ts IF x <> 'card']) = 0 THEN '{"t":"grid","cols":' || n || ',"n":' || n || ',"item":' || js[1] || '}' ELSE '{"t":"row","c":[' || array_to_string(js, ',') || ']}' END AS js
+FROM n JOIN (SELECT frame_id, g, list(CASE WHEN c = 1 THEN sig ELSE 'list(' || sig || ')' END ORDER BY i) AS sigs, list(CASE WHEN c = 1 THEN first ELSE '{"t":"list","n":' || c || ',"item":' || first || '}' END ORDER BY i) AS parts FROM
+(SELECT frame_id, g, i, any_value(t) AS sig, count(*) AS c, arg_min(js, k) AS first FROM (SELECT *, sum(new) OVER (PARTITION BY frame_id, g ORDER BY k) AS i FROM (SELECT *, CASE WHEN t = 'card' AND lag(t) OVER (PARTITION BY frame_id, g ORDER BY k) = 'card' THEN 0 ELSE 1 END AS new FROM j)) GROUP BY frame_id, g, i) GROUP BY ALL) s USING (frame_id, g)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY frame_id ORDER BY g) AS i FROM (SELECT *, CASE WHEN split_part(sig, '(', 1) IN ('card', 'row') AND sig = lag(sig) OVER (PARTITION BY frame_id ORDER BY g) THEN 0 ELSE 1 END AS new FROM m)),
+z AS (SELECT frame_id, i, count(*) AS c, arg_min(js, g) AS js FROM r GROUP BY ALL) SELECT frame_id, '{"t":"col","c":[' || string_agg(CASE WHEN c = 1 THEN js ELSE '{"t":"list","n":' || c || ',"item":' || js || '}' END, ',' ORDER BY i) || ']}' AS json FROM z GROUP BY 1""", "elements_gold")
+def tre_finalize_tree(spark, sf):
+    """Each four elements of a frame are a row or a card; these stand in a column."""
+    e = S.elements_gold(spark, sf).select("frame_id", (F.col("element_id") % 100_000).alias("k")).withColumn("g", F.floor(F.col("k") / 4))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    none, up = F.lit(None).cast("string"), F.concat(F.lit("/"), F.col("g").cast("string"))
+    label = F.concat(F.lit("n"), F.col("k").cast("string"))
+    leaves = e.withColumn("t", pick(["card", "text", "switch", "card"], F.col("frame_id") + F.col("k"))).select("frame_id", F.concat(up, F.lit("/"), F.col("k").cast("string")).alias("path"), up.alias("parent"), F.col("k").alias("ord"), F.lit(2).alias("depth"), F.col("t").alias("type"), label.alias("label"), F.to_json(F.struct("t", label.alias("label"))).alias("leaf"))
+    groups = e.select("frame_id", "g").distinct().select("frame_id", up.alias("path"), F.lit("").alias("parent"), F.col("g").alias("ord"), F.lit(1).alias("depth"), pick(["row", "card", "row"], F.col("g")).alias("type"), none.alias("label"), none.alias("leaf"))
+    roots = e.select("frame_id").distinct().select("frame_id", F.lit("").alias("path"), none.alias("parent"), F.lit(0).cast("long").alias("ord"), F.lit(0).alias("depth"), F.lit("col").alias("type"), none.alias("label"), none.alias("leaf"))
+    return L.finalize_tree(leaves.unionByName(groups).unionByName(roots), "frame_id")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 WHEN event_id % 3 = 0 THEN 2 ELSE 2 END AS attempt, event_id % 2 = 0 OR event_id % 3 = 0 AS settled FROM events")
 def udf_retry_policy(spark, sf):
     by = lambda k: lambda df, v: df.withColumn("output", F.when(F.col(v) % k == 0, F.concat(F.lit(f"by {k}: "), F.col(v).cast("string"))))

@@ -134,15 +134,6 @@ def jn_same_line_groups(spark, sf):
     return R.connected(same_line_pairs(e, "sketch_id", "element_id", 60.0), e, "sketch_id", "element_id")
 
 
-@query()
-def tre_group_strokes(spark, sf):
-    from annomill.functions.numeric import uniform
-
-    p = S.points(spark, sf).select("sketch_id", "stroke_id").distinct()
-    a, b = p.select("sketch_id", F.col("stroke_id").alias("i")), p.select("sketch_id", F.col("stroke_id").alias("j"))
-    return R.average_linkage(a.join(b, "sketch_id").filter("i < j").withColumn("p", uniform("link", F.col("sketch_id"), F.col("i"), F.col("j"))), "sketch_id")
-
-
 GEO = """WITH d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step FROM points WINDOW w AS (PARTITION BY sketch_id, stroke_id ORDER BY seq)),
 g AS (SELECT sketch_id, stroke_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, sum(step) AS len, count(*) AS n, arg_min(x, seq) AS sx, arg_min(y, seq) AS sy, arg_max(x, seq) AS ex, arg_max(y, seq) AS ey, min(t) AS t0, max(t) AS t1 FROM d GROUP BY ALL),
 f AS (SELECT *, sqrt((ex - sx) ** 2 + (ey - sy) ** 2) AS gap, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS diag FROM g)"""
