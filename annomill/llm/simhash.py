@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, pieces, raw, stored
+from .common import fresh, parts, pieces, raw, stored
 from .graph import components
 from .textkit import mix, window_hashes, word_hashes, word_spans
 
@@ -353,6 +353,11 @@ def _dealt(leaves: DataFrame, plan: Plan) -> DataFrame:
 TASK = ["trie", "node", "one", "two"]
 
 
+def _by_task(rows: DataFrame) -> DataFrame:
+    """Walks are long for their bytes, so Spark must not put many into one partition because these are few."""
+    return rows.repartition(parts(rows.sparkSession, 0, 1), *TASK)
+
+
 def _sorted(table: pa.Table, plan: Plan, trie: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     full = _words(table.column("fp").to_pylist(), plan.words)
     keys = _keys(full, plan.orders[trie])
@@ -377,7 +382,7 @@ def links(leaves: DataFrame, bits: int) -> DataFrame:
         walk(keys, full, plan, trie, found)
         return _forest(table, found.group)
 
-    return _dealt(leaves, plan).groupBy(*TASK).applyInArrow(work, "u binary, v binary")
+    return _by_task(_dealt(leaves, plan)).groupBy(*TASK).applyInArrow(work, "u binary, v binary")
 
 
 def similar_links(prints: DataFrame, leaves: DataFrame, similarity: float) -> DataFrame:
@@ -398,9 +403,9 @@ def similar_links(prints: DataFrame, leaves: DataFrame, similarity: float) -> Da
         walk(keys, full, plan, trie, found)
         return _forest(table, found.group)
 
-    marked = stored(_dealt(leaves, plan).groupBy(*TASK).applyInArrow(mark, "trie int, node long, one long, two long, fp binary"), "marked")
+    marked = stored(_by_task(_dealt(leaves, plan)).groupBy(*TASK).applyInArrow(mark, "trie int, node long, one long, two long, fp binary"), "marked")
     sets = prints.groupBy("fp").agg(F.min("shingles").alias("shingles"))  # copies are one row before the shuffle
-    return marked.join(sets.hint("merge"), "fp").select(*TASK, "fp", "shingles").groupBy(*TASK).applyInArrow(check, "u binary, v binary")
+    return _by_task(marked.join(sets.hint("merge"), "fp").select(*TASK, "fp", "shingles")).groupBy(*TASK).applyInArrow(check, "u binary, v binary")
 
 
 def _leaves(prints: DataFrame) -> DataFrame:
