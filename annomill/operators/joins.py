@@ -97,9 +97,16 @@ def iou_pairs(gold: DataFrame, pred: DataFrame, doc: str, *, least: float = 0.5,
 
 
 def greedy_match(pairs: DataFrame, doc: str, gold: str, pred: str, score: str, keep: list[str] = ()) -> DataFrame:
-    """One-to-one matches per document, best score first (ties: larger pred, then larger gold), with further columns of the pairs."""
+    """One-to-one matches per document, best score first (ties: larger pred, then larger gold), with further columns of the pairs.
+
+    A pair whose sides are in no other pair is a match at once; only the others go through the fold.
+    """
+    from pyspark.sql import Window
+
+    alone = [F.count("*").over(Window.partitionBy(doc, k)) == 1 for k in (gold, pred)]
+    pairs = pairs.withColumn("__free", alone[0] & alone[1])
     pair = F.struct(F.col(score).alias("s"), F.col(pred).alias("p"), F.col(gold).alias("g"), *keep)
-    ordered = F.reverse(F.array_sort(F.collect_list(pair)))
+    ordered = F.reverse(F.array_sort(F.collect_list(F.when(~F.col("__free"), pair))))
     kind = dict(pairs.dtypes)
     more = "".join(f",{c}:{kind[c]}" for c in keep)
     empty = F.array().cast(f"array<struct<s:{kind[score]},p:{kind[pred]},g:{kind[gold]}{more}>>")
@@ -107,7 +114,7 @@ def greedy_match(pairs: DataFrame, doc: str, gold: str, pred: str, score: str, k
     def step(acc: Column, x: Column) -> Column:
         return F.when(F.exists(acc, lambda a: (a["p"] == x["p"]) | (a["g"] == x["g"])), acc).otherwise(F.concat(acc, F.array(x)))
 
-    found = pairs.groupBy(doc).agg(ordered.alias("o")).withColumn("m", F.aggregate("o", empty, step))
+    found = pairs.groupBy(doc).agg(ordered.alias("o"), F.collect_list(F.when(F.col("__free"), pair)).alias("f")).withColumn("m", F.concat("f", F.aggregate("o", empty, step)))
     return found.select(doc, F.explode("m").alias("m")).select(doc, F.col("m.g").alias(gold), F.col("m.p").alias(pred), F.col("m.s").alias(score), *(F.col("m")[c].alias(c) for c in keep))
 
 

@@ -12,8 +12,9 @@ from .join_queries import PAIRS
 from .registry import query
 
 
-def _matched(spark, sf):
-    pairs = J.iou_pairs(S.elements_gold(spark, sf), S.elements_pred(spark, sf), "sketch_id")
+def _matched(spark, sf, both=None):
+    gold, pred = both or S.elements_both(spark, sf)
+    pairs = J.iou_pairs(gold, pred, "sketch_id")
     return J.greedy_match(pairs, "sketch_id", "element_id", "p_element_id", "iou", ["type", "p_type", *"xywh", *("p_" + c for c in "xywh")])
 
 
@@ -59,7 +60,8 @@ def ag_label_pool(spark, sf):
 SELECT round(tp / np, 9) AS precision, round(tp / ng, 9) AS recall, round(2 * tp / (np + ng), 9) AS f1 FROM n""", "elements_gold", "elements_pred")
 def ag_detection_prf(spark, sf):
     docs = lambda df, n: df.groupBy("sketch_id").agg(F.count("*").alias(n))
-    counts = docs(S.elements_gold(spark, sf), "gold").join(docs(S.elements_pred(spark, sf), "pred"), "sketch_id", "full").join(docs(_matched(spark, sf), "tp"), "sketch_id", "left").na.fill(0)
+    gold, pred = S.elements_both(spark, sf)
+    counts = docs(gold, "gold").join(docs(pred, "pred"), "sketch_id", "full").join(docs(_matched(spark, sf, (gold, pred)), "tp").hint("merge"), "sketch_id", "left").na.fill(0)
     return A.prf(counts, "tp", "pred", "gold").select(*(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
@@ -110,7 +112,8 @@ def ag_noise_offsets(spark, sf):
 
 @query(f"SELECT g.type, round(avg(CASE WHEN a.element_id IS NULL THEN 1 ELSE 0 END), 9) AS miss_rate FROM elements_gold g LEFT JOIN ({PAIRS}) a ON a.element_id = g.element_id GROUP BY g.type", "elements_gold", "elements_pred")
 def ag_measure_noise_misses(spark, sf):
-    found = A.miss_rates(S.elements_gold(spark, sf), _matched(spark, sf), "element_id", "type")
+    gold, pred = S.elements_both(spark, sf)
+    found = A.miss_rates(gold, _matched(spark, sf, (gold, pred)), "element_id", "type")
     return found.select("type", F.round("miss_rate", 9).alias("miss_rate"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annomill.functions.numeric import hash_bucket
+from annomill.session import stored
 
 #: Element types in the order of their indices, and those that carry text.
 TYPES = ["btn", "input", "text", "heading", "para", "img", "icon", "menu", "avatar", "check", "radio", "switch", "divider", "card", "appbar", "bottomnav", "fab", "listmark"]
@@ -36,9 +37,9 @@ def elements_gold(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def elements_pred(spark: SparkSession, sf: str) -> DataFrame:
+def elements_pred(spark: SparkSession, sf: str, gold: DataFrame | None = None) -> DataFrame:
     """Gold with misses, confusions and shifts, and one false positive in some frames."""
-    g = elements_gold(spark, sf)
+    g = elements_gold(spark, sf) if gold is None else gold
     b = lambda p, c="element_id": hash_bucket(F.concat(F.lit(p), F.col(c).cast("string")))
     index = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))
     kept = g.filter(b("m:") >= 8).withColumn("type", F.when(b("c:") < 8, F.element_at(F.array(*map(F.lit, TYPES)), (index % 18 + 1).cast("int"))).otherwise(F.col("type")))
@@ -47,6 +48,12 @@ def elements_pred(spark: SparkSession, sf: str) -> DataFrame:
     return kept.unionByName(false)
 
 
+def elements_both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Gold and predicted elements for queries that read them several times: each is made once and read from files."""
+    gold = stored(elements_gold(spark, sf), "gold")
+    return gold, stored(elements_pred(spark, sf, gold), "pred")
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
     """A stroke per user and day, its points in time order."""
     e = table(spark, sf, "events")
