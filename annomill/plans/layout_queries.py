@@ -218,7 +218,7 @@ far AS (SELECT a.sketch_id, a.cluster, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b
 v AS (SELECT far.*, count(*) FILTER (sqrt((p.x - ax) ** 2 + (p.y - ay) ** 2) < 0.2 * sqrt(d2)) > count(*) FILTER (sqrt((p.x - bx) ** 2 + (p.y - b_y) ** 2) < 0.2 * sqrt(d2)) AS swap FROM far LEFT JOIN p ON p.sketch_id = far.sketch_id AND p.cluster = far.cluster AND p.is_end GROUP BY ALL)
 SELECT sketch_id, 'element' AS kind, cluster, type, frame::INT AS frame, round(score, 6) AS score, x, y, w, h, NULL::DOUBLE AS tx, NULL::DOUBLE AS ty, NULL::DOUBLE AS hx, NULL::DOUBLE AS hy FROM e LEFT JOIN n USING (sketch_id, cluster)
 UNION ALL SELECT sketch_id, 'arrow', cluster, NULL, NULL, NULL, x, y, w, h, CASE WHEN swap THEN bx ELSE ax END, CASE WHEN swap THEN b_y ELSE ay END, CASE WHEN swap THEN ax ELSE bx END, CASE WHEN swap THEN ay ELSE b_y END FROM d LEFT JOIN v USING (sketch_id, cluster) WHERE kind = 'arrow'
-UNION ALL SELECT sketch_id, 'frame', cluster, NULL, ord, NULL, x, y, w, h, NULL, NULL, NULL, NULL FROM f""", "points")
+UNION ALL SELECT sketch_id, 'frame', cluster, NULL, ord::INT, NULL, x, y, w, h, NULL, NULL, NULL, NULL FROM f""", "points")
 def tre_decode_elements(spark, sf):
     p = S.points(spark, sf).withColumnRenamed("stroke_id", "i")
     p = p.withColumn("is_end", (F.col("seq") == 1) | (F.col("seq") == F.count("*").over(Window.partitionBy("sketch_id", "i"))))

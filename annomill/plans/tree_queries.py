@@ -248,7 +248,7 @@ def src_bundle(spark, sf):
     return readers.read_bundle(spark, path, "part-*").select("name", F.get_json_object("text", "$.p_name").alias("part"))
 
 
-@query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT -1, NULL")
+@query("SELECT s_nationkey::BIGINT AS s_nationkey, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT -1, NULL")
 def src_blobs(spark, sf):
     """Suppliers' rows as files, the files' names as records, and one record without a file."""
     path = shared_dir(spark, "blobs")

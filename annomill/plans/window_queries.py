@@ -135,7 +135,7 @@ def win_synthetic_time(spark, sf):
     return W.synthetic_time(e, "sketch_id", "element_id", 80.0, 0.5, 120.0).select("sketch_id", "element_id", F.round("start", 6).alias("start"))
 
 
-@query("SELECT doc_id, (k // 500)::INT AS shard, k::INT AS place FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents)")
+@query("SELECT doc_id, (k // 500)::INT AS shard, k AS place FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents)")
 def win_shard_index(spark, sf):
     return W.shard_index(S.table(spark, sf, "documents"), "lang", ["doc_id"], 500).select("doc_id", "shard", "place")
 
