@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -316,23 +320,36 @@ def snk_upsert_by_id(spark, sf):
     return writers.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", "event_id")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'rules' ELSE 'model' END AS engine, event_id % 4 = 0 AS fell_back FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'repair' ELSE 'strict' END AS engine, event_id % 4 = 0 AS fell_back, props->>'k' AS output FROM events")
 def udf_with_fallback(spark, sf):
-    def model(v):
-        if v % 4 == 0:
-            raise ValueError("no answer")
-        return str(v)
+    """A strict parser, and one that looks for the value where the text is cut off."""
+
+    def strict(text):
+        return str(json.loads(text)["k"])
+
+    def repair(text):
+        return re.search(r'"k"\s*:\s*(-?\d+)', text)[1]
 
-    rows = R.with_fallback(S.table(spark, sf, "events").select("event_id"), [("model", model), ("rules", str)], "event_id")
-    return rows.select("event_id", "engine", "fell_back")
+    cut = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
+    rows = R.with_fallback(S.table(spark, sf, "events").select("event_id", cut.alias("text")), [("strict", strict), ("repair", repair)], "text")
+    return rows.select("event_id", "engine", "fell_back", "output")
 
 
-@query("SELECT event_id, round(value * 2, 6) AS twice FROM events")
+@query(f"{GEO} SELECT sketch_id, stroke_id, round(1 / (1 + exp(-(2 * CASE WHEN diag > 0 THEN gap / diag ELSE 0 END - CASE WHEN len > 0 THEN gap / len ELSE 1 END + 0.1 * ln(len + 1)))), 6) AS score FROM f", "points")
 def udf_score_batches(spark, sf):
+    """A linear model over stroke features, batch by batch."""
+
     def make():
-        return lambda pdf: pd.DataFrame({"event_id": pdf["event_id"], "twice": (pdf["value"] * 2).round(6)})
+        weights = np.array([2.0, -1.0, 0.1])
+
+        def score(pdf: pd.DataFrame) -> pd.DataFrame:
+            z = pdf[["closure", "straightness", "log_length"]].to_numpy() @ weights
+            return pdf[["sketch_id", "stroke_id"]].assign(score=(1 / (1 + np.exp(-z))).round(6))
+
+        return score
 
-    return R.score_batches(S.table(spark, sf, "events").select("event_id", "value"), make, "event_id long, twice double")
+    features = X.stroke_geometry(S.points(spark, sf)).select("sketch_id", "stroke_id", "closure", "straightness", "log_length")
+    return R.score_batches(features, make, "sketch_id long, stroke_id long, score double")
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]'))::INT AS n FROM documents")
