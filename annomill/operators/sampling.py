@@ -86,13 +86,17 @@ def clean_mix(df: DataFrame, key: str, split: str, seed: str) -> DataFrame:
     return df.withColumn("strength", F.when(F.col(split) != "train", 1.0).when(u < 0.2, 0.0).otherwise(0.5 + uniform(seed + "/s", F.col(key))))
 
 
-def augment_children(nodes: DataFrame, extra: list[tuple[str, float]], *, doc: str, order: str, kind: str, seed: str, most: int = 40) -> DataFrame:
-    """(doc, ord, kind): each extra kind is appended to a document at its rate; then places are counted anew, up to `most`."""
+def augment_children(nodes: DataFrame, extra: list[tuple[str, float]], *, doc: str, order: str, kind: str, seed: str, most: int = 40, swap: tuple[str, str, float] | None = None) -> DataFrame:
+    """(doc, ord, kind): each extra kind is appended to a document at its rate, and with swap (old, new, rate) a document's nodes of
+    one kind become another at its rate; then places are counted anew, up to `most`."""
     docs = nodes.select(doc).distinct()
-    rows = nodes.select(doc, F.col(order).cast("long").alias("__o"), F.col(kind).alias(kind))
+    rows = nodes.select(doc, F.lit(0).alias("__late"), F.col(order).cast("long").alias("__o"), F.col(kind).alias(kind))
+    if swap:
+        old, new, rate = swap
+        rows = rows.withColumn(kind, F.when((F.col(kind) == old) & (uniform(f"{seed}/{old}-{new}", F.col(doc)) < rate), new).otherwise(F.col(kind)))
     for k, (name, rate) in enumerate(extra):
-        rows = rows.unionByName(docs.filter(uniform(f"{seed}/{name}", F.col(doc)) < rate).select(doc, F.lit((1 << 40) + k).alias("__o"), F.lit(name).alias(kind)))
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(doc).orderBy("__o", kind)) - 1).filter(F.col("ord") < most).drop("__o")
+        rows = rows.unionByName(docs.filter(uniform(f"{seed}/{name}", F.col(doc)) < rate).select(doc, F.lit(k + 1).alias("__late"), F.lit(0).cast("long").alias("__o"), F.lit(name).alias(kind)))
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(doc).orderBy("__late", "__o", kind)) - 1).filter(F.col("ord") < most).drop("__o", "__late")
 
 
 def add_links(nodes: DataFrame, screens: DataFrame, *, doc: str, key: str, screen: str, kinds: list[str], seed: str) -> DataFrame:

@@ -188,10 +188,10 @@ def smp_clean_mix(spark, sf):
     return P.clean_mix(docs, "doc_id", "split", "m").select("doc_id", F.round("strength", 8).alias("strength"))
 
 
-@query(f"""WITH e AS (SELECT sketch_id, element_id AS o, type FROM elements_gold UNION ALL SELECT DISTINCT sketch_id, 1099511627776, 'radio' FROM elements_gold WHERE {U(chr(39) + 'a/radio:' + chr(39) + ' || sketch_id')} < 0.4 UNION ALL SELECT DISTINCT sketch_id, 1099511627777, 'fab' FROM elements_gold WHERE {U(chr(39) + 'a/fab:' + chr(39) + ' || sketch_id')} < 0.2)
-SELECT sketch_id, type, ord::INT AS ord FROM (SELECT *, row_number() OVER (PARTITION BY sketch_id ORDER BY o, type) - 1 AS ord FROM e) WHERE ord < 10""", "elements_gold")
+@query(f"""WITH e AS (SELECT sketch_id, 0 AS late, element_id AS o, CASE WHEN type = 'card' AND {U(chr(39) + 'a/card-grid:' + chr(39) + ' || sketch_id')} < 0.3 THEN 'grid' ELSE type END AS type FROM elements_gold UNION ALL SELECT DISTINCT sketch_id, 1, 0, 'radio' FROM elements_gold WHERE {U(chr(39) + 'a/radio:' + chr(39) + ' || sketch_id')} < 0.4 UNION ALL SELECT DISTINCT sketch_id, 2, 0, 'fab' FROM elements_gold WHERE {U(chr(39) + 'a/fab:' + chr(39) + ' || sketch_id')} < 0.2)
+SELECT sketch_id, type, ord::INT AS ord FROM (SELECT *, row_number() OVER (PARTITION BY sketch_id ORDER BY late, o, type) - 1 AS ord FROM e) WHERE ord < 10""", "elements_gold")
 def smp_augment_documents(spark, sf):
-    return P.augment_children(S.elements_gold(spark, sf), [("radio", 0.4), ("fab", 0.2)], doc="sketch_id", order="element_id", kind="type", seed="a", most=10).select("sketch_id", "type", "ord")
+    return P.augment_children(S.elements_gold(spark, sf), [("radio", 0.4), ("fab", 0.2)], doc="sketch_id", order="element_id", kind="type", seed="a", most=10, swap=("card", "grid", 0.3)).select("sketch_id", "type", "ord")
 
 
 @query(f"""WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c, generate_subscripts(string_split(p_name, ''), 1) - 1 AS i FROM part), u AS (SELECT *, {U("'t:' || p_partkey || ':' || i")} AS u, substr('abcdefghijklmnopqrstuvwxyz', (floor({U("'t/c:' || p_partkey || ':' || i")} * 26) + 1)::INT, 1) AS o FROM c)
