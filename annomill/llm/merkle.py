@@ -54,14 +54,18 @@ def _zeros(h: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(np.bitwise_count(low - U(1)), most).astype(np.int8)
 
 
-def levels(points: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(digest, end) of the nodes of each level, from code points (level 0) to whole texts, of several texts that end at these places."""
+def levels(points: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(digest, end, number of children) of the nodes of each level, from runs (level 1) to whole texts, of several texts that end at these places."""
     n = len(points)
     x = mix(points.astype(U) + U(1))
-    around = x.copy()
-    place = np.arange(n) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
+    around, starts = x.copy(), np.append(0, ends[:-1])
     for k in (1, 2, 3):
-        around[k:] += np.where(place[k:] >= k, x[:-k], U(0)) * U(2 * k + 1)
+        before = x[:-k] * U(2 * k + 1)
+        for i in range(k):  # the first places of a text have nothing of the text before around them
+            at = starts + i
+            at = at[(at < ends) & (at >= k)] - k
+            before[at] = 0
+        around[k:] += before
     strength = _zeros(mix(around), PARAGRAPH - 1)
     #: a paragraph ends with the last of its line feeds
     feed = points == 10
@@ -70,22 +74,29 @@ def levels(points: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.nd
     paragraph = _digests(x, BYTE_BASE, np.append(0, stops[:-1] + 1), stops + 1) if len(stops) else x[:0]
     strength[stops] = PARAGRAPH + _zeros(paragraph, TOP - PARAGRAPH - 1)
     strength[ends[ends > 0] - 1] = TOP
-    out, digest, end = [(x, np.arange(1, n + 1))], x, np.arange(1, n + 1)
+    out, digest, end = [], x, np.arange(1, n + 1)
     for k in range(1, TOP + 1):
-        strong = strength[end - 1] >= k
-        if k not in (PARAGRAPH, TOP):
+        strong = strength >= k
+        cut = np.flatnonzero(strong)
+        size = np.diff(cut, prepend=-1)
+        long = np.flatnonzero(size > 2 * FEW) if k not in (PARAGRAPH, TOP) else cut[:0]
+        if len(long):  # cut by fours
+            more = (size[long] - 1) // FEW
+            step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+            strong[np.repeat(cut[long] - size[long], more) + FEW * (step + 1)] = True
             cut = np.flatnonzero(strong)
             size = np.diff(cut, prepend=-1)
-            place = np.arange(len(end)) - np.repeat(cut - size + 1, size)
-            strong |= (np.repeat(size, size) > 2 * FEW) & (place % FEW == FEW - 1)
-        cut = np.flatnonzero(strong)
-        if len(cut) < len(end):
-            begin = np.append(0, cut[:-1] + 1)
-            digest, end = np.where(begin == cut, digest[cut], _digests(digest, WORD_BASE, begin, cut + 1)), end[cut]  # an only child stands for its parent
-        out.append((digest, end))
+        begin = cut - size + 1
+        digest, end, strength = np.where(size == 1, digest[cut], _digests(digest, WORD_BASE, begin, cut + 1)), end[cut], strength[cut]  # an only child stands for its parent
+        out.append((digest, end, size))
     return out
 
 
+def _bits(length: np.ndarray) -> np.ndarray:
+    """The least k with 2^k >= length."""
+    return np.frexp(np.maximum(length, 1) - 0.5)[1].astype(np.int64) * (length > 1)
+
+
 def _text(b: bytes) -> str:
     return base64.b64encode(b, b"-_").decode().rstrip("=")
 
@@ -100,32 +111,36 @@ def fingerprints(texts: list[str]) -> list[str]:
     at = np.cumsum([0, *map(len, texts)])
     tree, n = levels(points, at[1:]), len(texts)
     second = _digests(points.astype(U), BYTE_BASE ^ 0x5DEECE66C, at[:-1], at[1:])
-    #: of each node: text, place, length, its parent's length, whether it is of the lowest level
-    found, bottom = [], (tree[1][1], np.diff(tree[1][1], prepend=0))
-    for k in range(1, TOP + 1):
-        digest, end = tree[k]
-        length = np.diff(end, prepend=0)
-        above = np.diff(tree[k + 1][1], prepend=0)[np.searchsorted(tree[k + 1][1], end)] if k < TOP else np.full(len(end), 1 << 62)
-        own = (length < above) | (k == TOP)
-        found.append(np.stack([np.searchsorted(at, end[own] - length[own], "right") - 1, end[own] - length[own], length[own], above[own], bottom[1][np.searchsorted(bottom[0], end[own])] == length[own], digest[own].view(np.int64)], axis=1))
-    text, start, length, above, lowest, digest = np.concatenate(found).T
-    #: leaves of a text are the largest nodes of at most 2^grain code points; their number by grain
-    small, large = np.ceil(np.log2(length)).astype(np.int64), np.minimum(np.ceil(np.log2(above)).astype(np.int64), 62)
-    change = np.zeros((n, 64), np.int64)
-    np.add.at(change, (text, np.where(lowest, 0, small)), 1)
-    np.add.at(change, (text, large), -1)
-    grain = np.argmax(np.cumsum(change, axis=1) <= LEAVES, axis=1)
+    sizes = np.diff(at)
+    #: leaves of a text are the largest nodes of at most 2^grain code points; there are LEAVES at most, so 2^grain is not under a 64th of it
+    least = np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) / LEAVES)), 0).astype(np.int64)
+    #: of each node that may be kept: text, place, length, the least grains at which it and its parent are whole, whether it is of the lowest level
+    found, lengths = [], [np.diff(end, prepend=0) for _, end, _ in tree]
+    place = np.repeat(np.arange(n), sizes)
+    bottom = np.zeros(len(points) + 1, np.int32)
+    bottom[tree[0][1]] = lengths[0]
+    for k, (digest, end, _) in enumerate(tree):
+        length, top = lengths[k], k + 1 == len(tree)
+        large = np.full(len(end), 62) if top else np.repeat(_bits(lengths[k + 1]), tree[k + 1][2])
+        above = np.full(len(end), 1 << 62) if top else np.repeat(lengths[k + 1], tree[k + 1][2])
+        d = place[end - 1]
+        own = np.flatnonzero((length < above) & (large > least[d]))
+        found.append((d[own], end[own] - length[own], length[own], _bits(length[own]), large[own], bottom[end[own]] == length[own], digest[own].view(np.int64)))
+    text, start, length, small, large, lowest, digest = (np.concatenate(x) for x in zip(*found, strict=True))
+    change = np.bincount(text * 64 + np.where(lowest, 0, small), minlength=n * 64) - np.bincount(text * 64 + large, minlength=n * 64)
+    enough = (np.cumsum(change.reshape(n, 64), axis=1) <= LEAVES) & (np.arange(64) >= least[:, None])
+    grain = np.argmax(enough, axis=1)
     kept = large > grain[text]
     text, start, length, digest, leaf = text[kept], start[kept], length[kept], digest[kept], (lowest | (small <= grain[text]))[kept]
     order = np.lexsort((-length, start, text))
     first = np.searchsorted(text[order], np.arange(n + 1))
-    sizes, digests = ((length << 1) | leaf)[order].astype("<u4"), digest[order].astype("<u2")
+    shown, digests = ((length << 1) | leaf)[order].astype("<u4"), digest[order].astype("<u2")
     top, full = np.zeros(n, np.int64), first[1:] > first[:-1]
     top[full] = digest[order][first[:-1][full]]
     out = []
     for d in range(n):
         root = hashlib.blake2b(top[d : d + 1].tobytes() + second[d : d + 1].tobytes() + len(texts[d]).to_bytes(8, "little"), digest_size=16).digest()
-        size = sizes[first[d] : first[d + 1]]
+        size = shown[first[d] : first[d + 1]]
         wide = len(texts[d]) >= 1 << 15
         out.append(_text(root) + "." + _text(bytes([int(grain[d]), wide]) + size.astype("<u4" if wide else "<u2").tobytes() + digests[first[d] : first[d + 1]].tobytes()))
     return out
@@ -139,30 +154,24 @@ class Tree:
         data = _bytes(rest)
         self.grain, kind = data[0], "<u4" if data[1] else "<u2"
         n = (len(data) - 2) // (6 if data[1] else 4)
-        sizes = np.frombuffer(data, kind, n, 2).tolist()
-        digests = np.frombuffer(data, "<u2", n, len(data) - 2 * n).tolist()
-        self.nodes, at = [], 0
-        for size, digest in zip(sizes, digests, strict=True):
-            self.nodes.append((at, size >> 1, bool(size & 1), digest))
-            at += (size >> 1) * (size & 1)
-        self.length = at
-
-    def keys(self) -> Counter:
-        return Counter((n, d) for _, n, _, d in self.nodes)
-
-    def common(self, keys: Counter, grain: int) -> tuple[list[tuple[int, int, int]], list[bool]]:
-        """The leaves (place, length, digest) at a grain, and which of them lie below a branch whose key is among these."""
-        left, leaves, same, until = Counter(keys), [], [], 0
-        skip = 0
-        for at, n, leaf, digest in self.nodes:
+        size, digest = np.frombuffer(data, kind, n, 2).astype(np.int64), np.frombuffer(data, "<u2", n, len(data) - 2 * n).astype(np.int64)
+        ends = np.cumsum((size >> 1) * (size & 1))
+        self.length = int(ends[-1]) if n else 0
+        #: a node's place, length, whether a leaf, and its key of length and digest
+        self.at, self.size, self.leaf, self.key = ends - (size >> 1) * (size & 1), size >> 1, (size & 1).astype(bool), (size >> 1) << 16 | digest
+
+    def common(self, other: np.ndarray, grain: int) -> tuple[list[tuple[int, int, int]], list[bool]]:
+        """The leaves (place, length, key) at a grain, and which of them lie below a branch whose key is among the others."""
+        left, leaves, same, until, skip = Counter(other.tolist()), [], [], 0, 0
+        for at, n, leaf, key in zip(self.at.tolist(), self.size.tolist(), self.leaf.tolist(), self.key.tolist(), strict=True):
             if at < skip:
                 continue
             end = leaf or n <= 1 << grain
-            if at >= until and not end and left[n, digest] > 0:
-                left[n, digest] -= 1
+            if at >= until and not end and left[key] > 0:
+                left[key] -= 1
                 until = at + n
             if end:
-                leaves.append((at, n, digest))
+                leaves.append((at, n, key))
                 same.append(at < until)
                 skip = at + n
         return leaves, same
@@ -174,8 +183,10 @@ def differing(a: Tree, b: Tree) -> tuple[list[tuple[int, int]], list[tuple[int,
     if a.root == b.root:
         return [], []
     grain = max(a.grain, b.grain)
-    sides = [a.common(b.keys(), grain), b.common(a.keys(), grain)]
-    couples = [[x for x in zip([None, *(d[1:] for d in leaves)], [*(d[1:] for d in leaves), None], strict=True)] for leaves, _ in sides]
+    if not np.intersect1d(a.key, b.key).size:  # no branch and no leaf in common
+        return [(0, a.length)] * (a.length > 0), [(0, b.length)] * (b.length > 0)
+    sides = [a.common(b.key, grain), b.common(a.key, grain)]
+    couples = [list(zip([None, *(d[2] for d in leaves)], [*(d[2] for d in leaves), None], strict=True)) for leaves, _ in sides]
     out = []
     for (leaves, same), own, other in zip(sides, couples, couples[::-1], strict=True):
         left, hit = Counter(other), []
@@ -193,9 +204,9 @@ def differing(a: Tree, b: Tree) -> tuple[list[tuple[int, int]], list[tuple[int,
     return out[0], out[1]
 
 
-def likeness(one: str, two: str) -> float:
+def likeness(one: str | Tree, two: str | Tree) -> float:
     """0 (nothing in common) to 1 (equal, and only then)."""
-    a, b = Tree(one), Tree(two)
+    a, b = (x if isinstance(x, Tree) else Tree(x) for x in (one, two))
     if a.root == b.root:
         return 1.0
     left = [sum(j - i for i, j in r) for r in differing(a, b)]
@@ -239,7 +250,8 @@ def pairs(docs: DataFrame) -> DataFrame:
         changed = [edited(t, x) for t, x in zip(texts, [*texts[1:], following], strict=True)]
         raw = [t.encode() for t in changed]
         prints, after = fingerprints([*texts, following]), fingerprints(changed)
-        return batch(schema, doc_id=[d for d, _ in held], n_chars=[len(t) for t in texts], edited_sha256=[hashlib.sha256(b).hexdigest() for b in raw], fingerprint=prints[:-1], edited_fingerprint=after, near_edited=[likeness(a, b) for a, b in zip(prints, after, strict=False)], near_next=[likeness(a, b) for a, b in zip(prints, prints[1:], strict=False)])
+        trees = [Tree(p) for p in prints]
+        return batch(schema, doc_id=[d for d, _ in held], n_chars=[len(t) for t in texts], edited_sha256=[hashlib.sha256(b).hexdigest() for b in raw], fingerprint=prints[:-1], edited_fingerprint=after, near_edited=[likeness(a, b) for a, b in zip(trees, after, strict=False)], near_next=[likeness(a, b) for a, b in zip(trees, trees[1:], strict=False)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
