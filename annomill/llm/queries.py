@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, decontam, line_dedup, merkle, packing, simhash, substring, toxicity, warc
+from . import bitplane, chat, decontam, line_dedup, merkle, packing, resampling, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens with their lexical neighbours."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@query()
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against the benchmark's word n-grams; 5 % of those with 20 words are drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, table(spark, sf_dir, "benchmark"), buckets=10_000, percent=5, least_words=20, seed=42, text=False)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
