@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, decontam, line_dedup, merkle, packing, resampling, simhash, substring, toxicity, warc
+from . import bitplane, chat, decontam, langid, line_dedup, merkle, packing, resampling, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,12 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = resampling.resample(docs, table(spark, sf_dir, "benchmark"), buckets=10_000, percent=5, least_words=20, seed=42, text=False)
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; texts and languages are learnt only from rows whose crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
