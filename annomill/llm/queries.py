@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, chat, decontam, langid, line_dedup, merkle, packing, resampling, simhash, substring, toxicity, warc
+from . import bitplane, chat, decontam, langid, line_dedup, merkle, packing, resampling, simhash, substring, toxicity, turns, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,9 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = langid.fit(docs, ~held_out)
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a hash of its turns, and the cheapest edits that mend it."""
+    return turns.report(turns.blocks(turns.judged(turns.damage(table(spark, sf_dir, "conversations")))))
