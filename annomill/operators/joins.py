@@ -1,4 +1,4 @@
-"""Joins. Spatial joins keep an equality on the document, so they shuffle by document and never become nested loops."""
+"""Joins. Boxes of a document meet through grid cells (spatial.meeting), so that neither a pair of tables nor one document makes all pairs."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annomill.functions.numeric import Box, covered_by, dist_to_box, hash32, iou, overlap
+from annomill.session import stored
+
+from .spatial import extent, meeting, nearest, point
 
 
 def lookup_left(df: DataFrame, lookup: DataFrame, key: str, value: str, default: str) -> DataFrame:
@@ -91,9 +94,8 @@ def prefixed(df: DataFrame, prefix: str, but: list[str]) -> DataFrame:
 def iou_pairs(gold: DataFrame, pred: DataFrame, doc: str, *, least: float = 0.5, pad: float = 2.0) -> DataFrame:
     """Gold and predicted boxes of a document with their padded IoU, from `least` on; predictions' columns get p_."""
     g, p = Box.of(), Box.of("p_")
-    both = gold.join(prefixed(pred, "p_", [doc]), doc)
-    near = (p.x - pad < g.x + g.w + pad) & (g.x - pad < p.x + p.w + pad) & (p.y - pad < g.y + g.h + pad) & (g.y - pad < p.y + p.h + pad)
-    return both.filter(near).withColumn("iou", iou(g, p, pad)).filter(F.col("iou") >= least)
+    near = meeting(gold, prefixed(pred, "p_", [doc]), doc, extent(g, pad), extent(p, pad))
+    return near.withColumn("iou", iou(g, p, pad)).filter(F.col("iou") >= least)
 
 
 def greedy_match(pairs: DataFrame, doc: str, gold: str, pred: str, score: str, keep: list[str] = ()) -> DataFrame:
@@ -120,18 +122,19 @@ def greedy_match(pairs: DataFrame, doc: str, gold: str, pred: str, score: str, k
 
 def containing_first(points: DataFrame, boxes: DataFrame, doc: str, key: str, box: str, ordinal: str) -> DataFrame:
     """(doc, key, box, inside): of the boxes that hold the point (px, py) the first in order, else the nearest one."""
-    b = Box.of("b_")
-    on = points.join(prefixed(boxes, "b_", [doc]), doc)
-    inside = b.contains(F.col("px"), F.col("py"))
-    far = F.when(inside, F.col("b_" + ordinal).cast("double")).otherwise(dist_to_box(F.col("px"), F.col("py"), b))
-    best = on.groupBy(doc, key).agg(F.min(F.struct((~inside).alias("out"), far.alias("far"), F.col("b_" + ordinal).alias("o"), F.col("b_" + box).alias("id"))).alias("m"))
-    return best.select(doc, key, F.col("m.id").alias(box), (~F.col("m.out")).alias("inside"))
+    b, x, y, o = Box.of("b_"), F.col("px"), F.col("py"), F.col("b_" + ordinal)
+    marked = prefixed(boxes, "b_", [doc])
+    held = meeting(points.select(doc, key, "px", "py"), marked, doc, point(x, y), extent(b))
+    first = stored(held.groupBy(doc, key).agg(F.min_by("b_" + box, F.struct(o, F.col("b_" + box))).alias(box)), "inside")
+    rest = points.select(doc, key, "px", "py").join(first.hint("merge"), [doc, key], "left_anti")
+    near = nearest(rest, marked, doc, key, x, y, b, [o, F.col("b_" + box)], ["b_" + box])
+    return first.withColumn("inside", F.lit(True)).unionByName(near.select(doc, key, F.col("b_" + box).alias(box), F.lit(False).alias("inside")))
 
 
 def smallest_container(elements: DataFrame, cards: DataFrame, doc: str, key: str, card: str) -> DataFrame:
     """(doc, key, card): the tightest card that holds the element's centre and is larger than it."""
     e, c = Box.of(), Box.of("c_")
-    on = elements.join(prefixed(cards, "c_", [doc]).hint("merge"), doc).filter(c.contains(e.cx, e.cy) & (c.area > e.area))
+    on = meeting(elements, prefixed(cards, "c_", [doc]), doc, point(e.cx, e.cy), extent(c)).filter(c.contains(e.cx, e.cy) & (c.area > e.area))
     return on.groupBy(doc, key).agg(F.min_by("c_" + card, F.struct(c.area, F.col("c_" + card))).alias(card))
 
 
@@ -140,7 +143,7 @@ def arrow_source(arrows: DataFrame, elements: DataFrame, doc: str, arrow: str, k
     e = Box.of()
     x, y = F.col("tx"), F.col("ty")
     inside, far = e.contains(x, y, 0.04 * unit), dist_to_box(x, y, e)
-    on = arrows.join(elements, doc).filter(inside | (far < 0.15 * unit))
+    on = meeting(arrows, elements, doc, point(x, y, 0.15 * unit), extent(e)).filter(inside | (far < 0.15 * unit))
     rank = F.struct((~inside).alias("out"), F.when(inside, e.area).otherwise(far).alias("by"), F.col(key).alias("id"))
     return on.groupBy(doc, arrow).agg(F.min_by(key, rank).alias(key))
 
@@ -150,13 +153,16 @@ def overlap_words(words: DataFrame, zones: DataFrame, doc: str, zone: str, *, le
     w, z = Box.of("w_"), Box.of()
     grow = z.h / 3
     grown = Box(z.x - grow, z.y - grow, z.w + 2 * grow, z.h + 2 * grow)
-    return words.join(zones.hint("merge"), doc).filter(overlap(w, grown) >= least * w.area)
+    return meeting(words, zones, doc, extent(w), extent(grown)).filter(overlap(w, grown) >= least * w.area)
 
 
 def nearest_by_x(left: DataFrame, right: DataFrame, doc: str, key: str, most: float, value: str, ordinal: str, default: Column) -> DataFrame:
     """(doc, key, value): the first right row, in order, whose r_cx lies within `most` of cx; else the default."""
-    on = left.join(right, doc, "left").withColumn("near", F.abs(F.col("cx") - F.col("r_cx")) < most)
-    return on.groupBy(doc, key).agg(F.min(F.when(F.col("near"), F.struct(ordinal, value))).alias("m"), F.first(default).alias("d")).select(doc, key, F.coalesce(F.col("m")[value], F.col("d")).alias(value))
+    zero = F.lit(0.0)
+    across = lambda c, reach: (F.col(c) - reach, zero, F.col(c) + reach, zero)
+    on = meeting(left.select(doc, key, "cx"), right, doc, across("cx", most), across("r_cx", 0.0)).filter(F.abs(F.col("cx") - F.col("r_cx")) < most)
+    first = on.groupBy(doc, key).agg(F.min(F.struct(ordinal, value)).alias("m"))
+    return left.select(doc, key, default.alias("d")).join(first.hint("merge"), [doc, key], "left").select(doc, key, F.coalesce(F.col("m")[value], F.col("d")).alias(value))
 
 
 def band_members(elements: DataFrame, doc: str, key: str, low: float, high: float, most: int) -> DataFrame:
@@ -171,13 +177,14 @@ def band_members(elements: DataFrame, doc: str, key: str, low: float, high: floa
 def covered_anti(small: DataFrame, large: DataFrame, doc: str, key: str, *, share: float = 0.8) -> DataFrame:
     """Small boxes that don't lie inside a large one of the document by that share."""
     s, b = Box.of(), Box.of("l_")
-    hidden = small.join(prefixed(large, "l_", [doc]), doc).filter(covered_by(s, b) >= share).select(doc, key).distinct()
-    return small.join(hidden, [doc, key], "left_anti")
+    hidden = meeting(small.select(doc, key, *"xywh"), prefixed(large.select(doc, *"xywh"), "l_", [doc]), doc, extent(s), extent(b)).filter(covered_by(s, b) >= share).select(doc, key).distinct()
+    return small.join(hidden.hint("merge"), [doc, key], "left_anti")
 
 
 def mark_to_row(marks: DataFrame, rows: DataFrame, doc: str, mark: str, row: str, slack: float) -> DataFrame:
     """(doc, mark, row): the first row, in order, whose y-band with slack holds the mark's centre cy."""
-    on = marks.join(rows, doc).filter(F.col("cy").between(F.col("y0") - slack, F.col("y1") + slack))
+    zero = F.lit(0.0)
+    on = meeting(marks.select(doc, mark, "cy"), rows.select(doc, row, "y0", "y1"), doc, (zero, F.col("cy"), zero, F.col("cy")), (zero, F.col("y0") - slack, zero, F.col("y1") + slack))
     return on.groupBy(doc, mark).agg(F.min(row).alias(row))
 
 
@@ -185,7 +192,8 @@ def neighbour_text(elements: DataFrame, texts: DataFrame, doc: str, key: str, te
     """(doc, key, text): the nearest text box above that overlaps in x, no further than the gap."""
     e, t = Box.of(), Box.of("t_")
     away = e.y - t.y - t.h
-    on = elements.join(prefixed(texts, "t_", [doc]), doc).filter((away >= 0) & (away <= gap) & (t.x < e.x + e.w) & (e.x < t.x + t.w))
+    near = meeting(elements, prefixed(texts, "t_", [doc]), doc, (e.x, e.y - gap, e.x + e.w, e.y), extent(t))
+    on = near.filter((away >= 0) & (away <= gap) & (t.x < e.x + e.w) & (e.x < t.x + t.w))
     return on.groupBy(doc, key).agg(F.min_by("t_" + text, F.struct(away, F.col("t_" + text))).alias(text))
 
 
@@ -203,7 +211,8 @@ def attach_text(pred: DataFrame, gold: DataFrame, matched: DataFrame, pred_key:
 def same_line_pairs(strokes: DataFrame, doc: str, key: str, gap: float) -> DataFrame:
     """Pairs a < b of boxes on one line: their y-ranges overlap by half the lower height, and the gap in x is small."""
     a, b = Box.of("a_"), Box.of("b_")
-    on = prefixed(strokes, "a_", [doc]).join(prefixed(strokes, "b_", [doc]), doc).filter(F.col("a_" + key) < F.col("b_" + key))
+    wide = (a.x - gap, a.y, a.x + a.w + gap, a.y + a.h)
+    on = meeting(prefixed(strokes, "a_", [doc]), prefixed(strokes, "b_", [doc]), doc, wide, extent(b)).filter(F.col("a_" + key) < F.col("b_" + key))
     common = F.least(a.y + a.h, b.y + b.h) - F.greatest(a.y, b.y)
     apart = F.greatest(a.x, b.x) - F.least(a.x + a.w, b.x + b.w)
     return on.filter((common >= 0.5 * F.least(a.h, b.h)) & (apart < gap)).select(doc, F.col("a_" + key).alias("a"), F.col("b_" + key).alias("b"))
