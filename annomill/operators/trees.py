@@ -124,55 +124,145 @@ def canonical_json(text: Column | str) -> Column:
     return work(text)
 
 
-def _labels(text: str) -> tuple[list[str], list[int]]:
-    """Labels in postorder and, for each node, the place of its leftmost leaf."""
-    labels, left = [], []
-
-    def walk(node) -> int:
-        first = None
-        for child in node.get("c") or ([node["item"]] if "item" in node else []) or []:
-            place = walk(child)
-            first = place if first is None else first
-        first = len(labels) if first is None else first
-        labels.append("/".join(str(node[k]) for k in ("t", "s", "variant", "name") if k in node))
-        left.append(first)
-        return first
-
-    walk(json.loads(text))
-    return labels, left
-
-
-def tree_distance(a: str, b: str) -> tuple[int, int]:
-    """Ordered tree edit distance with unit costs, and the larger tree's size."""
-    (x, xl), (y, yl) = _labels(a), _labels(b)
-    roots = lambda left: [i for i in range(len(left)) if left[i] not in left[i + 1 :]]
+#: What a label has besides the type, and the value where it isn't stated.
+STYLED = {"text": ("s", "body"), "btn": ("variant", "primary"), "icon": ("name", None)}
+
+
+#: Mean length of rows from which arrays are faster than lists.
+LONG = 48
+
+
+def _below(node: dict) -> tuple[str, list]:
+    """A node's label and what lies below it; a whole document is app, screens, and each screen's slots."""
+    if "screens" in node and "t" not in node:
+        return "app", [{"t": "screen", "slots": x} for x in node["screens"]]
+    kind = node["t"]
+    if "slots" in node:
+        screen = node["slots"]
+        bar = [{"t": "appbar", "c": screen["appbar"].get("icons", [])}] if "appbar" in screen else []
+        nav = [{"t": "bottomnav", "c": [{"t": "navitem"} for _ in screen["bottomnav"]["items"]]}] if "bottomnav" in screen else []
+        return "screen", [*bar, {"t": "body", "c": [screen["body"]]}, *nav, *([{"t": "fab"}] if "fab" in screen else [])]
+    name, usual = STYLED.get(kind, (None, None))
+    return f"{kind}:{node.get(name, usual)}" if name else str(kind), node.get("c") or ([node["item"]] if "item" in node else [])
+
+
+class _Tree:
+    """Labels in postorder and, for each node, the place of its first leaf; read the other way round where that is asked for."""
+
+    def __init__(self, root: dict, names: dict[str, int]):
+        label, kids = [], []
+        todo = [(root, -1)]
+        while todo:  # parents before children, the last child first
+            node, up = todo.pop()
+            own, below = _below(node)
+            label.append(names.setdefault(own, len(names)))
+            kids.append([])
+            if up >= 0:
+                kids[up].append(len(label) - 1)
+            todo.extend((x, len(label) - 1) for x in below)
+        n = len(label)
+        self.size = n
+        self.label, self.first = np.array(label[::-1]), np.zeros(n, np.int64)
+        for k in range(n - 1, -1, -1):  # the walk above, reversed, is the postorder
+            self.first[n - 1 - k] = self.first[n - 1 - kids[k][-1]] if kids[k] else n - 1 - k
+        self.mirror = None
+        if n:
+            order, stack = [], [0]
+            while stack:
+                k = stack.pop()
+                order.append(k)
+                stack.extend(kids[k])
+            place = {k: n - 1 - i for i, k in enumerate(order)}
+            self.mirror = np.array([label[k] for k in reversed(order)]), np.zeros(n, np.int64)
+            for k in reversed(range(n)):
+                self.mirror[1][place[k]] = self.mirror[1][place[kids[k][0]]] if kids[k] else place[k]
+
+    def way(self, mirrored: bool) -> tuple[np.ndarray, np.ndarray]:
+        return self.mirror if mirrored else (self.label, self.first)
+
+    def roots(self, mirrored: bool) -> np.ndarray:
+        """The last node on each path of first children."""
+        first = self.way(mirrored)[1]
+        return np.sort(len(first) - 1 - np.unique(first[::-1], return_index=True)[1])
+
+    def work(self, mirrored: bool) -> int:
+        first, r = self.way(mirrored)[1], self.roots(mirrored)
+        return int((r - first[r] + 1).sum())
+
+
+def tree_distance(a: dict, b: dict) -> tuple[int, int]:
+    """Ordered tree edit distance with unit costs, and the larger tree's size.
+
+    No way is shorter than the difference of sizes or of bags of labels, nor longer than renaming where shapes are equal:
+    where these meet, nothing is computed. Else the forests of each pair of paths' last nodes are compared row by row,
+    along first or along last children, whichever is less work; on arrays where rows are long enough to gain by it.
+    """
+    names: dict[str, int] = {}
+    one, other = _Tree(a, names), _Tree(b, names)
+    n = max(one.size, other.size)
+    bags = [np.bincount(t.label, minlength=len(names)) for t in (one, other)]
+    least = n - int(np.minimum(*bags).sum())
+    if one.size == other.size and (one.first == other.first).all() and int((one.label != other.label).sum()) == least:
+        return least, n
+    mirrored = one.work(True) * other.work(True) < one.work(False) * other.work(False)
+    (x, xf), (y, yf) = one.way(mirrored), other.way(mirrored)
+    if other.work(mirrored) < LONG * len(other.roots(mirrored)):
+        return _short_rows(*(v.tolist() for v in (x, xf, y, yf, one.roots(mirrored), other.roots(mirrored)))), n
+    dist = np.zeros((len(x), len(y)), np.int64)
+    for i in one.roots(mirrored):
+        for j in other.roots(mirrored):
+            lo, at = yf[j], np.arange(yf[j], j + 1)
+            steps = np.arange(len(at) + 1)
+            rows = np.zeros((i - xf[i] + 2, len(at) + 1), np.int64)
+            rows[0] = steps
+            spine, back = yf[at] == lo, yf[at] - lo
+            for s in range(xf[i], i + 1):
+                p = s - xf[i] + 1
+                whole = rows[xf[s] - xf[i], back] + dist[s, lo : j + 1]
+                if xf[s] == xf[i]:
+                    whole = np.where(spine, rows[p - 1, :-1] + (y[at] != x[s]), whole)
+                row = np.empty_like(steps)
+                row[0] = p
+                row[1:] = np.minimum(rows[p - 1, 1:] + 1, whole)
+                rows[p] = np.minimum.accumulate(row - steps) + steps
+                if xf[s] == xf[i]:
+                    dist[s, at[spine]] = rows[p, 1:][spine]
+    return int(dist[-1, -1]), n
+
+
+def _short_rows(x: list[int], xf: list[int], y: list[int], yf: list[int], one: list[int], other: list[int]) -> int:
+    """The same on lists."""
     dist = [[0] * len(y) for _ in x]
-    for i in roots(xl):
-        for j in roots(yl):
-            m, n = i - xl[i] + 2, j - yl[j] + 2
-            f = [[0] * n for _ in range(m)]
-            for p in range(1, m):
-                f[p][0] = p
-            for q in range(1, n):
-                f[0][q] = q
-            for p in range(1, m):
-                for q in range(1, n):
-                    s, t = p + xl[i] - 1, q + yl[j] - 1
-                    if xl[s] == xl[i] and yl[t] == yl[j]:
-                        f[p][q] = min(f[p - 1][q] + 1, f[p][q - 1] + 1, f[p - 1][q - 1] + (x[s] != y[t]))
-                        dist[s][t] = f[p][q]
-                    else:
-                        f[p][q] = min(f[p - 1][q] + 1, f[p][q - 1] + 1, f[xl[s] - xl[i]][yl[t] - yl[j]] + dist[s][t])
-    return dist[-1][-1], max(len(x), len(y))
+    for i in one:
+        for j in other:
+            lo, top = yf[j], xf[i]
+            rows = [list(range(j - lo + 2))]
+            for s in range(top, i + 1):
+                before, from_s, row = rows[-1], dist[s], [len(rows)]
+                jump, spine, label = rows[xf[s] - top], xf[s] == top, x[s]
+                last = len(rows)
+                for q in range(lo, j + 1):
+                    k = q - lo
+                    on_both = spine and yf[q] == lo
+                    way = before[k] + (y[q] != label) if on_both else jump[yf[q] - lo] + from_s[q]
+                    last = min(way, before[k + 1] + 1, last + 1)
+                    if on_both:
+                        from_s[q] = last
+                    row.append(last)
+                rows.append(row)
+    return dist[-1][-1]
 
 
 def tree_similarity(a: Column | str, b: Column | str) -> Column:
-    """1 less the edit distance over the larger size; 0 where a side is missing or no JSON. Give it distinct pairs."""
+    """1 less the edit distance over the larger size, for whole documents or single nodes. Give it distinct pairs.
+
+    0 where a side is missing, no JSON, nested deeper than the JSON reader goes, or no tree of nodes with a type t.
+    """
 
     def one(s, t):
         try:
-            d, n = tree_distance(s, t)
-        except (TypeError, ValueError, AttributeError):
+            d, n = tree_distance(json.loads(s), json.loads(t))
+        except (TypeError, ValueError, AttributeError, KeyError, RecursionError):
             return 0.0
         return 1 - d / n
 

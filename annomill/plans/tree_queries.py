@@ -116,6 +116,40 @@ def udf_tree_similarity(spark, sf):
     return pairs.join(distinct.hint("merge"), ["a", "b"]).select("frame_id", "similarity")
 
 
+def _documents(elements):
+    """(sketch_id, spec): a whole document a sketch: a screen a frame with its elements in a column; icons also stand in the screen's bar, and checks in its navigation."""
+    leaf = F.struct("element_id", F.struct(F.col("type").alias("t"), F.when(F.col("type") == "icon", F.col("name")).alias("name"), F.when(F.col("frame_id") % 2 == 0, "body").alias("s"), F.col("text").alias("v")).alias("n"))
+    screens = elements.groupBy("sketch_id", "frame_id").agg(F.transform(F.array_sort(F.collect_list(leaf)), lambda x: x["n"]).alias("c"))
+    screens = screens.withColumn("c", F.filter("c", lambda n: n["t"].isNotNull()))
+    of = lambda kind: F.filter("c", lambda n: n["t"] == kind)
+    bar = F.when(F.size(of("icon")) > 0, F.struct(F.lit("appbar").alias("t"), of("icon").alias("icons")))
+    nav = F.when(F.size(of("check")) > 0, F.struct(F.lit("bottomnav").alias("t"), F.transform(of("check"), lambda n: F.struct(n["v"].alias("label"))).alias("items")))
+    screen = F.struct("frame_id", F.struct(F.col("frame_id").cast("string").alias("id"), bar.alias("appbar"), F.struct(F.lit("col").alias("t"), F.col("c")).alias("body"), nav.alias("bottomnav")).alias("s"))
+    docs = screens.groupBy("sketch_id").agg(F.transform(F.array_sort(F.collect_list(screen)), lambda x: x["s"]).alias("screens"))
+    return docs.select("sketch_id", F.to_json(F.struct(F.lit(1).alias("v"), "screens")).alias("spec"))
+
+
+@query("""WITH e AS (SELECT sketch_id, frame_id, type, sha1('gone:' || element_id) < '2' AS gone, element_id % 11 = 0 AS bare FROM elements_gold),
+s AS (SELECT sketch_id, frame_id, count(*) AS n, count(*) FILTER (type = 'icon') AS icons, count(*) FILTER (type = 'check') AS checks, count(*) FILTER (gone AND type NOT IN ('icon', 'check', 'divider')) AS less, count(*) FILTER (bare AND NOT gone AND type NOT IN ('icon', 'check', 'divider')) AS other FROM e GROUP BY ALL),
+t AS (SELECT sketch_id, 1 + sum(3 + n + (icons > 0)::INT + icons + (checks > 0)::INT + checks) AS size, sum(less + other) AS d FROM s GROUP BY 1) SELECT sketch_id, round(1 - d / size, 9)::DOUBLE AS similarity FROM t""", "elements_gold")
+def udf_spec_similarity(spark, sf):
+    """Whole documents against themselves without some elements and with some as dividers, which no shorter way than that can mend. Icons and checks stay, so the bars do, and dividers."""
+    e = S.elements_gold(spark, sf).withColumn("name", F.concat(F.lit("i"), (F.col("element_id") % 5).cast("string")))
+    kept = F.col("type").isin("icon", "check")
+    gone = F.sha1(F.concat(F.lit("gone:"), F.col("element_id").cast("string"))) < "2"
+    shown = e.filter(kept | (F.col("type") == "divider") | ~gone).withColumn("type", F.when((F.col("element_id") % 11 == 0) & ~kept, "divider").otherwise(F.col("type")))
+    all_screens = e.select("sketch_id", "frame_id").distinct()
+    pred = _documents_with(all_screens, shown)
+    pairs = _documents(e).join(pred.withColumnRenamed("spec", "pred").hint("merge"), "sketch_id")
+    return pairs.select("sketch_id", F.round(R.tree_similarity("spec", "pred"), 9).alias("similarity"))
+
+
+def _documents_with(screens, elements):
+    """Documents whose screens are all there, those without elements too."""
+    empty = screens.join(elements.select("sketch_id", "frame_id").distinct().hint("merge"), ["sketch_id", "frame_id"], "left_anti")
+    return _documents(elements.select("sketch_id", "frame_id", "element_id", "type", "name", "text").unionByName(empty.select("sketch_id", "frame_id", F.lit(None).cast("long").alias("element_id"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("text"))))
+
+
 @query("SELECT event_id, (props->>'k')::INT AS k FROM events")
 def prj_repair_text_json(spark, sf):
     """Text around, a trailing comma or a missing bracket is mended."""

@@ -141,7 +141,7 @@ def test_tree_edit_distance():
     leaf = lambda t: {"t": t}
     a = {"t": "col", "c": [leaf("text"), {"t": "row", "c": [leaf("btn"), leaf("img")]}]}
     b = {"t": "col", "c": [leaf("text"), leaf("btn"), leaf("icon")]}
-    dist = lambda x, y: trees.tree_distance(json.dumps(x), json.dumps(y))
+    dist = lambda x, y: trees.tree_distance(x, y)
     assert dist(a, a) == (0, 5) and dist(a, b) == (2, 5) and dist(leaf("a"), leaf("b")) == (1, 1)
 
 
