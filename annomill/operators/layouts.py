@@ -10,7 +10,8 @@ from annomill.functions.text import prompt_text, token_count
 
 from annomill.session import stored
 
-from .aggregates import bbox_union, farthest_pair, multiset_f1, multiset_recall, pool_argmax
+from .aggregates import at_shares, bbox_union, farthest_pair, multiset_f1, multiset_recall, pool_argmax, ranks
+from .folds import carried
 from .joins import arrow_source, containing_first
 from .trees import average_linkage, tree_similarity
 from .windows import bands
@@ -34,18 +35,18 @@ def xy_cut(boxes: DataFrame, doc: str, key: str, rounds: int = 3, slack: float =
 
 
 def line_group(words: DataFrame, doc: str, key: str) -> DataFrame:
-    """(doc, key, line): words by centre; a word joins the line whose first word's centre is within half the median height."""
-    med = words.groupBy(doc).agg((F.percentile("h", 0.5) / 2).alias("__m")).hint("merge")
-    item = F.struct((F.col("y") + F.col("h") / 2).alias("c"), F.col("x").alias("x"), F.col(key).alias("id"), F.col("__m").alias("m"))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(float("-inf")).alias("first"), F.array().cast(f"array<struct<id:{dict(words.dtypes)[key]},line:int>>").alias("out"))
-
-    def step(a: Column, i: Column) -> Column:
-        same = (a["line"] >= 0) & (i["c"] - a["first"] <= i["m"])
-        line = F.when(same, a["line"]).otherwise(a["line"] + 1)
-        return F.struct(line.alias("line"), F.when(same, a["first"]).otherwise(i["c"]).alias("first"), F.concat(a["out"], F.array(F.struct(i["id"].alias("id"), line.alias("line")))).alias("out"))
-
-    folded = words.join(med, doc).groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("items")).select(doc, F.aggregate("items", start, step)["out"].alias("out"))
-    return folded.select(doc, F.explode("out").alias("o")).select(doc, F.col("o.id").alias(key), F.col("o.line").alias("line"))
+    """(doc, key, line): words by centre; a word joins the line whose first word's centre is within half the median height. A word without a place stays in the line before it."""
+    half = ranks(words, [doc], "h")
+    med = stored(at_shares(half, [doc], "h", {"__m": 0.5}).select(doc, (F.col("__m") / 2).alias("__m")), "median")
+
+    def step(state, c, m):
+        line, first = state
+        if c is None or m is None:
+            return (max(line, 0), first), (max(line, 0),)
+        return (state, (line,)) if line >= 0 and c - first <= m else ((line + 1, c), (line + 1,))
+
+    rows = words.select(doc, key, "x", (F.col("y") + F.col("h") / 2).alias("__c")).join(med, doc, "left")
+    return carried(rows, [doc], ["__c", "x", key], ["__c", "__m"], {"line": "int"}, lambda: (-1, float("-inf")), step).select(doc, key, "line")
 
 
 def greedy_diverse(docs: DataFrame, key: str, kinds: str, *, k: int, seed: str, pool: int = 400, enough: int = 4, luck: float = 0.3) -> DataFrame:

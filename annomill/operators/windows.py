@@ -1,4 +1,4 @@
-"""Window operators and order-dependent folds. Folds run inside one document's array, so no document is split."""
+"""Window operators and order-dependent folds. Folds carry a small state over sorted rows (folds.carried), so no document is held whole."""
 
 from __future__ import annotations
 
@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from annomill.functions.text import slug
 from annomill.session import stored
 
+from .folds import carried, folded
+
 
 def bands(df: DataFrame, doc: str, key: str, low: str, high: str, slack: Column, keep: list[str] = ()) -> DataFrame:
     """(doc, key, band, n_bands) and kept columns: sorted by low; a new band starts when the reach of the band before, less low, is within the slack.
 
     The reach is the running maximum of high within a band and starts again with it, so this is a fold, not a running window.
+    A row without a low or a slack stays in the band before it (the first one at the start), one without a high doesn't move the reach.
     """
-    kinds = dict(df.dtypes)
-    held = F.struct(F.col(key), *keep)
-    item = F.struct(F.col(low).alias("lo"), F.col(key).alias("id"), F.col(high).alias("hi"), slack.alias("s"), held.alias("r"))
-    row = ",".join(f"{c}:{kinds[c]}" for c in (key, *keep))
-    start = F.struct(F.lit(-1).alias("band"), F.lit(float("-inf")).alias("reach"), F.array().cast(f"array<struct<r:struct<{row}>,band:int>>").alias("out"))
+    rows = df.select(doc, key, *keep, F.col(low).cast("double").alias("__lo"), F.col(high).cast("double").alias("__hi"), slack.cast("double").alias("__slack"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = a["reach"] - x["lo"] <= x["s"]
-        band = F.when(new, a["band"] + 1).otherwise(a["band"])
-        return F.struct(band.alias("band"), F.when(new, x["hi"]).otherwise(F.greatest(a["reach"], x["hi"])).alias("reach"), F.concat(a["out"], F.array(F.struct(x["r"].alias("r"), band.alias("band")))).alias("out"))
+    def step(state, lo, hi, slack):
+        band, reach = state
+        high = float("-inf") if hi is None else hi
+        if lo is None or slack is None:
+            return (max(band, 0), max(reach, high)), (max(band, 0),)
+        if reach - lo <= slack:
+            return (band + 1, high), (band + 1,)
+        return (band, max(reach, high)), (band,)
 
-    folded = df.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("items")).select(doc, F.aggregate("items", start, step).alias("a"))
-    return folded.select(doc, F.explode("a.out").alias("o"), (F.col("a.band") + 1).alias("n_bands")).select(doc, "o.r.*", F.col("o.band").alias("band"), "n_bands")
+    found = carried(rows, [doc], ["__lo", key], ["__lo", "__hi", "__slack"], {"band": "int"}, lambda: (-1, float("-inf")), step)
+    return found.withColumn("n_bands", F.max("band").over(Window.partitionBy(doc)) + 1).select(doc, key, *keep, "band", "n_bands")
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -49,18 +52,19 @@ def group_runs_capped(df: DataFrame, keys: list[str], order: list[str], value: s
 
 
 def row_group(df: DataFrame, doc: str, key: str) -> DataFrame:
-    """(doc, key, row): sorted by y; an element joins the last row if it overlaps it by half the lower height, and the row grows."""
-    item = F.struct(F.col("y").alias("y"), F.col("x").alias("x"), F.col(key).alias("id"), F.col("h").alias("h"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(float("inf")).alias("y0"), F.lit(float("-inf")).alias("y1"), F.array().cast(f"array<struct<id:{dict(df.dtypes)[key]},row:int>>").alias("out"))
+    """(doc, key, row): sorted by y; an element joins the last row if it overlaps it by half the lower height, and the row grows.
 
-    def step(a: Column, i: Column) -> Column:
-        common = F.least(a["y1"], i["y"] + i["h"]) - F.greatest(a["y0"], i["y"])
-        joins = (a["row"] >= 0) & (common > 0.5 * F.least(i["h"], a["y1"] - a["y0"]))
-        row = F.when(joins, a["row"]).otherwise(a["row"] + 1)
-        return F.struct(row.alias("row"), F.when(joins, F.least(a["y0"], i["y"])).otherwise(i["y"]).alias("y0"), F.when(joins, F.greatest(a["y1"], i["y"] + i["h"])).otherwise(i["y"] + i["h"]).alias("y1"), F.concat(a["out"], F.array(F.struct(i["id"].alias("id"), row.alias("row")))).alias("out"))
+    Elements without a y come first; one without a y or a height is in row 0 or the row before it, and doesn't grow it.
+    """
+    def step(state, y, h):
+        row, y0, y1 = state
+        if y is None or h is None:
+            return (max(row, 0), y0, y1), (max(row, 0),)
+        if row >= 0 and min(y1, y + h) - max(y0, y) > 0.5 * min(h, y1 - y0):
+            return (row, min(y0, y), max(y1, y + h)), (row,)
+        return (row + 1, y, y + h), (row + 1,)
 
-    folded = df.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("items")).select(doc, F.aggregate("items", start, step)["out"].alias("out"))
-    return folded.select(doc, F.explode("out").alias("o")).select(doc, F.col("o.id").alias(key), F.col("o.row").alias("row"))
+    return carried(df.select(doc, key, "x", "y", "h"), [doc], ["y", "x", key], ["y", "h"], {"row": "int"}, lambda: (-1, 0.0, 0.0), step).select(doc, key, "row")
 
 
 def dedupe_names(df: DataFrame, doc: str, order: str, title: str) -> DataFrame:
@@ -135,18 +139,21 @@ def resample(points: DataFrame, keys: list[str], order: str, n: int) -> DataFram
 
 
 def direction_turns(points: DataFrame, keys: list[str], order: str, least: Column) -> DataFrame:
-    """Changes of direction in y, ignoring swings under `least`; the anchor moves with each counted swing."""
-    item = F.struct(F.col(order).alias("o"), F.col("y").alias("y"), least.alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("sign"), F.lit(0).alias("turns"))
-
-    def step(a: Column, p: Column) -> Column:
-        d = p["y"] - a["anchor"]
-        moved = F.abs(d) >= p["s"]
-        sign = F.signum(d).cast("int")
-        turned = moved & (a["sign"] != 0) & (sign != a["sign"])
-        return F.struct(F.when(a["anchor"].isNull() | moved | ((sign == a["sign"]) & (a["sign"] != 0)), p["y"]).otherwise(a["anchor"]).alias("anchor"), F.when(a["anchor"].isNull(), 0).when(moved, sign).otherwise(a["sign"]).alias("sign"), (a["turns"] + F.coalesce(turned, F.lit(False)).cast("int")).alias("turns"))
-
-    return points.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("p")).select(*keys, F.aggregate("p", start, step)["turns"].alias("turns"))
+    """Changes of direction in y, ignoring swings under `least`; the anchor moves with each counted swing. Points without a y don't count."""
+    def step(state, y, least):
+        anchor, sign, turns = state
+        if y is None:
+            return state
+        if anchor is None:
+            return y, 0, turns
+        d = y - anchor
+        way = (d > 0) - (d < 0)
+        if least is not None and abs(d) >= least:
+            return y, way, turns + (sign != 0 and way != sign)
+        return (y if way == sign and sign else anchor), sign, turns
+
+    rows = points.select(*keys, order, "y", least.alias("__least"))
+    return folded(rows, keys, [order], ["y", "__least"], {"turns": "int"}, lambda: (None, 0, 0), step, lambda state: state[2:])
 
 
 def gap_groups(df: DataFrame, doc: str, order: list[str], low: str, high: str, gap: float) -> DataFrame:
