@@ -1,7 +1,7 @@
 """Folds over rows in order: partitions are sorted by Spark, and one small state is carried from row to row of a group.
 
-Only a group's state is held, never its rows, so a document of any length is read once, in linear time; sorting spills to
-disk like any other sort. Rows keep all their columns. A group is one task's work, as each step needs the one before.
+Of carried() and folded() only a group's state is held, never its rows, so a document of any length is read once, in
+linear time; sorting spills to disk like any other sort. A group is one task's work, as each step needs the one before.
 """
 
 from __future__ import annotations
@@ -69,3 +69,32 @@ def folded(df: DataFrame, keys: list[str], order: list, inputs: list[str], outpu
         yield sent()
 
     return _sorted(df.select(*kept), keys, order).mapInArrow(work, StructType(fields))
+
+
+def grouped(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], outputs: dict[str, str], make: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """Rows of keys and outputs: make(rows) of each group's inputs, in order. A group's inputs are held, so it is for small groups; very many of them share a batch."""
+    fields = [*(df.schema[k] for k in keys), *_kinds(df, outputs)]
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, done = None, [], []
+
+        def sent() -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else ([] for _ in types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.name for f in fields])
+
+        for b in batches:
+            for key, row in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), zip(*(b.column(c).to_pylist() for c in inputs), strict=True), strict=True):
+                if held and key != group:
+                    done.extend((*group, *r) for r in make(held))
+                    held = []
+                    if len(done) > 10_000:
+                        yield sent()
+                        done = []
+                group = key
+                held.append(row)
+        if held:
+            done.extend((*group, *r) for r in make(held))
+        yield sent()
+
+    return _sorted(df.select(*dict.fromkeys([*keys, *inputs, *order])), keys, order).mapInArrow(work, StructType(fields))

@@ -120,12 +120,15 @@ def greedy_match(pairs: DataFrame, doc: str, gold: str, pred: str, score: str, k
     return found.select(doc, F.explode("m").alias("m")).select(doc, F.col("m.g").alias(gold), F.col("m.p").alias(pred), F.col("m.s").alias(score), *(F.col("m")[c].alias(c) for c in keep))
 
 
-def containing_first(points: DataFrame, boxes: DataFrame, doc: str, key: str, box: str, ordinal: str) -> DataFrame:
-    """(doc, key, box, inside): of the boxes that hold the point (px, py) the first in order, else the nearest one."""
+def containing_first(points: DataFrame, boxes: DataFrame, doc: str, key: str, box: str, ordinal: str, *, else_nearest: bool = True) -> DataFrame:
+    """(doc, key, box, inside): of the boxes that hold the point (px, py) the first in order, else the nearest one, or no row."""
     b, x, y, o = Box.of("b_"), F.col("px"), F.col("py"), F.col("b_" + ordinal)
     marked = prefixed(boxes, "b_", [doc])
     held = meeting(points.select(doc, key, "px", "py"), marked, doc, point(x, y), extent(b))
-    first = stored(held.groupBy(doc, key).agg(F.min_by("b_" + box, F.struct(o, F.col("b_" + box))).alias(box)), "inside")
+    first = held.groupBy(doc, key).agg(F.min_by("b_" + box, F.struct(o, F.col("b_" + box))).alias(box))
+    if not else_nearest:
+        return first.withColumn("inside", F.lit(True))
+    first = stored(first, "inside")
     rest = points.select(doc, key, "px", "py").join(first.hint("merge"), [doc, key], "left_anti")
     near = nearest(rest, marked, doc, key, x, y, b, [o, F.col("b_" + box)], ["b_" + box])
     return first.withColumn("inside", F.lit(True)).unionByName(near.select(doc, key, F.col("b_" + box).alias(box), F.lit(False).alias("inside")))

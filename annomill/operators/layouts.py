@@ -204,7 +204,7 @@ def decode_sketch(strokes: DataFrame, points: DataFrame, affinity: DataFrame, cl
     frames = drawn.select(doc, "cluster", *"xywh").unionByName(ink.select(doc, "cluster", *"xywh"))
     numbered = frames.withColumn("ord", F.row_number().over(Window.partitionBy(doc).orderBy("cluster")) - 1)
     b = Box.of()
-    within = containing_first(elements.select(*keys, b.cx.alias("px"), b.cy.alias("py")), numbered, doc, "cluster", "ord", "ord").filter("inside").select(*keys, F.col("ord").alias("frame"))
+    within = containing_first(elements.select(*keys, b.cx.alias("px"), b.cy.alias("py")), numbered, doc, "cluster", "ord", "ord", else_nearest=False).select(*keys, F.col("ord").alias("frame"))
     inked = points.join(of, [doc, "i"]).join(boxes.filter("kind = 'arrow'").select(*keys).hint("merge"), keys, "left_semi")
     ends = arrow_ends(inked.withColumn("at", F.struct("i", "seq")).withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))), keys, "at")
     columns = [doc, "kind", "cluster", "type", "frame", "score", *"xywh", "tx", "ty", "hx", "hy"]
