@@ -244,6 +244,35 @@ def tre_build_layout(spark, sf):
     return L.build_layout(S.elements_gold(spark, sf), "sketch_id", "frame_id")
 
 
+#: What stands for types whose place in a document depends on others.
+PLAIN = {"appbar": "heading", "bottomnav": "text", "fab": "btn", "radio": "check", "menu": "icon"}
+BUILT = f"""WITH e AS (SELECT sketch_id, frame_id, element_id, (y / 100)::INT AS r, x, h, text, CASE {" ".join(f"WHEN type = '{k}' THEN '{v}'" for k, v in PLAIN.items())} ELSE type END AS type, CASE WHEN type = 'menu' THEN 'menu' ELSE 'circle' END AS icon FROM elements_gold),
+n AS (SELECT * REPLACE (CASE WHEN type <> 'heading' THEN text END AS text), CASE type WHEN 'btn' THEN '{{"t":"btn","label":"' || coalesce(text, 'Button') || '"}}' WHEN 'input' THEN '{{"t":"input","label":"' || coalesce(text, 'Input') || CASE WHEN regexp_matches(coalesce(text, ''), 'pass|pin|secret|otp', 'i') THEN '","secure":true}}' WHEN h > 54 THEN '","multiline":true}}' ELSE '"}}' END
+WHEN 'text' THEN '{{"t":"text","v":"' || coalesce(text, 'Text') || '"}}' WHEN 'heading' THEN '{{"t":"text","v":"' || 'Heading' || '","s":"' || CASE WHEN h > 36 THEN 'h1' ELSE 'h2' END || '"}}' WHEN 'para' THEN '{{"t":"para","lines":2}}' WHEN 'img' THEN '{{"t":"img","h":' || floor(100 * h / 760 + 0.5)::INT || '}}'
+WHEN 'icon' THEN '{{"t":"icon","name":"circle"}}' WHEN 'avatar' THEN '{{"t":"avatar"}}' WHEN 'check' THEN '{{"t":"check","label":"' || coalesce(text, 'Option') || '"}}' WHEN 'switch' THEN '{{"t":"switch","label":"' || coalesce(text, 'Setting') || '"}}' WHEN 'divider' THEN '{{"t":"divider"}}' WHEN 'card' THEN '{{"t":"card","c":[{{"t":"spacer"}}]}}' END AS js,
+CASE type WHEN 'text' THEN 'text:body' WHEN 'heading' THEN 'text:' || CASE WHEN h > 36 THEN 'h1' ELSE 'h2' END WHEN 'card' THEN 'card(spacer())' ELSE type END AS sig FROM e),
+rows AS (SELECT sketch_id, frame_id, r, count(js) AS k, count(*) FILTER (type = 'listmark') AS marks, count(*) FILTER (type = 'card') AS cards, string_agg(js, ',' ORDER BY x, element_id) AS js, string_agg(sig, ',' ORDER BY x, element_id) FILTER (js IS NOT NULL) AS sig FROM n GROUP BY ALL HAVING count(js) > 0),
+made AS (SELECT sketch_id, frame_id, r, CASE WHEN marks > 0 THEN 'list' WHEN k = 1 THEN CASE WHEN cards = 1 THEN 'card' ELSE 'leaf' END WHEN cards = 2 THEN 'grid' ELSE 'row' END AS kind, CASE WHEN marks > 0 THEN '{{"t":"list","n":3,"item":' || js || '}}' WHEN k = 1 THEN js WHEN cards = 2 THEN js ELSE '{{"t":"row","c":[' || js || ']}}' END AS js,
+CASE WHEN marks > 0 THEN 'list(' || sig || ')' WHEN k = 1 THEN sig WHEN cards = 2 THEN 'grid' ELSE 'row(' || sig || ')' END AS sig FROM rows),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY frame_id ORDER BY r) AS run FROM (SELECT *, CASE WHEN kind IN ('card', 'row', 'grid') AND sig = lag(sig) OVER (PARTITION BY frame_id ORDER BY r) THEN 0 ELSE 1 END AS new FROM made)),
+nodes AS (SELECT sketch_id, frame_id, run, CASE WHEN any_value(kind) = 'grid' THEN '{{"t":"grid","cols":2,"n":' || 2 * count(*) || ',"item":{{"t":"card","c":[{{"t":"spacer"}}]}}}}' WHEN count(*) > 1 THEN '{{"t":"list","n":' || count(*) || ',"item":' || arg_min(js, r) || '}}' ELSE any_value(js) END AS js, count(*) > 1 OR any_value(kind) IN ('grid', 'list') AS whole FROM runs GROUP BY ALL),
+body AS (SELECT sketch_id, frame_id, CASE WHEN count(*) = 1 AND any_value(whole) THEN any_value(js) ELSE '{{"t":"col","c":[' || string_agg(js, ',' ORDER BY run) || ']}}' END AS body FROM nodes GROUP BY ALL),
+s AS (SELECT f.sketch_id, f.ord, '{{"id":"screen_' || (f.ord + 1) || '","title":"Screen ' || (f.ord + 1) || '","body":' || coalesce(body, '{{"t":"col","c":[{{"t":"spacer"}}]}}') || '}}' AS s FROM frames f LEFT JOIN body USING (sketch_id, frame_id))
+SELECT sketch_id, '{{"v":1,"screens":[' || string_agg(s, ',' ORDER BY ord) || ']}}' AS spec FROM s GROUP BY 1"""
+
+
+@query(BUILT, "frames", "elements_gold")
+def tre_build_spec(spark, sf):
+    """Whole documents of sketches; headings have no text here, so screens have no names of their own."""
+    from annomill.operators.layout_builder import build_spec
+
+    swap = F.create_map(*(F.lit(x) for p in PLAIN.items() for x in p))
+    e = S.elements_gold(spark, sf).withColumn("type", F.coalesce(F.try_element_at(swap, F.col("type")), F.col("type")))
+    e = e.withColumns({"frame": F.col("frame_id"), "n": F.lit(2), "text": F.when(F.col("type") != "heading", F.col("text"))})
+    frames = _frames(spark, sf).withColumnRenamed("frame_id", "frame")
+    return build_spec(e, frames, _arrows(spark, sf).filter(F.lit(False)), "sketch_id")
+
+
 @query(f"""WITH RECURSIVE t AS (SELECT frame_id, list(DISTINCT type) AS kinds, count(*) AS leaves FROM elements_gold GROUP BY 1), {diverse_sql('SELECT frame_id, kinds FROM t WHERE leaves BETWEEN 4 AND 10', 'task', 20)}
 SELECT 'example' AS source, frame_id FROM t JOIN orders ON o_orderkey = frame_id WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'sampled', frame_id FROM picked""", "elements_gold")
 def tre_build_task_set(spark, sf):
