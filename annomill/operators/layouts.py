@@ -17,21 +17,30 @@ from .trees import average_linkage, tree_similarity
 from .windows import bands
 
 
-def xy_cut(boxes: DataFrame, doc: str, key: str, rounds: int = 3, slack: float = 0.15) -> DataFrame:
-    """(doc, key, path, place): each round cuts every region into bands of y, and what stays whole into bands of x.
+def xy_cut(boxes: DataFrame, doc: str, key: str, rounds: int | None = None, slack: float = 0.15) -> DataFrame:
+    """(doc, key, path, place): regions are cut into bands of y, then of x, and so on, until nothing splits (or for so many rounds of both).
 
-    The path tells the nested bands ("y1x0" is the first column of the second row); place is the reading order. Boxes that
-    overlap too much to be cut share a path and are read by (y, x).
+    The path tells the nested bands ("y001x000" is the first column of the second row); place is the reading order. Only
+    regions that the last cut split go on, as one that neither axis splits never will be. Boxes that overlap too much to be
+    cut share a path and are read by (y, x).
     """
     now = boxes.select(doc, key, "x", "y", "w", "h").withColumns({"path": F.lit(""), "x1": F.col("x") + F.col("w"), "y1": F.col("y") + F.col("h")})
-    for k in range(2 * rounds):
+    done, k = None, 0
+    while True:
         axis, size = ("y", "h") if k % 2 == 0 else ("x", "w")
         region = F.concat_ws("|", F.col(doc).cast("string"), "path")
         found = bands(now.withColumn("region", region), "region", key, axis, axis + "1", slack * F.col(size), [c for c in now.columns if c != key])
-        cut = F.when(F.col("n_bands") > 1, F.concat("path", F.lit(axis), F.lpad(F.col("band").cast("string"), 3, "0"))).otherwise(F.col("path"))
-        now = found.withColumn("path", cut).drop("region", "band", "n_bands")
+        number = F.col("band").cast("string")
+        number = F.when(F.col("band") < 1000, F.lpad(number, 3, "0")).otherwise(F.concat(F.lit("z"), F.lpad(number, 10, "0")))  # in order for any number of bands
+        cut = stored(found.withColumn("__split", F.col("n_bands") > 1).withColumn("path", F.when(F.col("__split"), F.concat("path", F.lit(axis), number)).otherwise(F.col("path"))).drop("region", "band", "n_bands"), "cut")
+        goes_on = F.col("__split") | F.lit(k == 0)
+        rest = cut.filter(~goes_on).drop("__split")
+        done = rest if done is None else done.unionByName(rest)
+        now, k = cut.filter(goes_on).drop("__split"), k + 1
+        if k == (rounds and 2 * rounds) or now.isEmpty():
+            break
     place = F.row_number().over(Window.partitionBy(doc).orderBy("path", "y", "x", key))
-    return now.select(doc, key, "path", place.alias("place"))
+    return done.unionByName(now).select(doc, key, "path", place.alias("place"))
 
 
 def line_group(words: DataFrame, doc: str, key: str) -> DataFrame:

@@ -41,6 +41,12 @@ def win_xy_cut(spark, sf):
     return L.xy_cut(S.elements_gold(spark, sf), "frame_id", "element_id", rounds=2)
 
 
+@query(f"WITH RECURSIVE {xy_sql('sketch_id', 7)} SELECT sketch_id, element_id, path, place::INT AS place FROM cut", "elements_gold")
+def win_xy_cut_whole(spark, sf):
+    """Until nothing splits; whole sketches here, of at most three frames of seven elements."""
+    return L.xy_cut(S.elements_gold(spark, sf), "sketch_id", "element_id")
+
+
 @query("""WITH RECURSIVE m AS (SELECT frame_id, quantile_cont(h, 0.5) / 2 AS m FROM elements_gold GROUP BY 1), i AS (SELECT frame_id, element_id, y + h / 2 AS c, m, row_number() OVER (PARTITION BY frame_id ORDER BY y + h / 2, x, element_id) AS k FROM elements_gold JOIN m USING (frame_id)),
 r AS (SELECT frame_id, element_id, k, 0 AS line, c AS first FROM i WHERE k = 1 UNION ALL SELECT i.frame_id, i.element_id, i.k, CASE WHEN i.c - first <= m THEN line ELSE line + 1 END, CASE WHEN i.c - first <= m THEN first ELSE i.c END FROM r JOIN i ON i.frame_id = r.frame_id AND i.k = r.k + 1)
 SELECT frame_id, element_id, line::INT AS line FROM r""", "elements_gold")
@@ -317,6 +323,43 @@ def tre_convert_documents(spark, sf):
     return found.select("frame_id", "leaves", "reason", F.col("spec").isNotNull().alias("has_spec"))
 
 
+LABELS = {"text": "Text", "heading": "Text", "btn": "Text Button", "input": "Input", "img": "Image", "icon": "Icon", "check": "Checkbox", "switch": "On/Off Switch"}
+WHOLE = f"""WITH e AS (SELECT frame_id, element_id, (y / 100)::INT AS r, x, h, type, coalesce(nullif(split_part(text, ' ', 1), ''), '') AS text, CASE {" ".join(f"WHEN type = '{k}' THEN '{v}'" for k, v in LABELS.items())} ELSE 'Slider' END AS label FROM elements_gold),
+m AS (SELECT frame_id, quantile_cont(h, 0.5) AS med FROM (SELECT frame_id, h FROM e WHERE label = 'Text' AND text <> '' UNION ALL SELECT frame_id, 30 FROM frames) GROUP BY 1),
+t AS (SELECT e.*, CASE WHEN h / med >= 1.8 THEN 'h1' WHEN h / med >= 1.35 THEN 'h2' WHEN h / med <= 0.75 THEN 'caption' END AS style FROM e JOIN m USING (frame_id)),
+n AS (SELECT *, CASE label WHEN 'Text' THEN CASE WHEN text <> '' THEN '{{"t":"text","v":"' || text || '"' || coalesce(',"s":"' || style || '"', '') || '}}' END WHEN 'Text Button' THEN CASE WHEN text <> '' THEN '{{"t":"btn","label":"' || text || '"}}' END
+WHEN 'Input' THEN '{{"t":"input","label":"' || CASE WHEN text <> '' THEN text ELSE 'Email' END || '"}}' WHEN 'Image' THEN '{{"t":"img","h":' || round_even(100 * h / 760, 0)::INT || '}}' WHEN 'Icon' THEN '{{"t":"icon","name":"bell"}}'
+WHEN 'Checkbox' THEN '{{"t":"check","label":"' || CASE WHEN text <> '' THEN text ELSE 'Option' END || '"}}' WHEN 'On/Off Switch' THEN '{{"t":"switch","label":"' || CASE WHEN text <> '' THEN text ELSE 'Setting' END || '"}}' END AS js,
+CASE label WHEN 'Text' THEN 'text' || coalesce(style, 'body') || '()' WHEN 'Text Button' THEN 'btn()' WHEN 'Input' THEN 'input()' WHEN 'Image' THEN 'img()' WHEN 'Icon' THEN 'icon()' WHEN 'Checkbox' THEN 'check()' ELSE 'switch()' END AS sig FROM t),
+rows AS (SELECT frame_id, r, count(*) AS k, count(*) FILTER (label = 'Text') AS texts, max(label) FILTER (label IN ('Checkbox', 'On/Off Switch')) AS control, max(text) FILTER (label = 'Text') AS said, string_agg(js, ',' ORDER BY x) AS js, string_agg(sig, ',' ORDER BY x) AS sig FROM n WHERE js IS NOT NULL GROUP BY ALL),
+w AS (SELECT frame_id, r, k = 2 AND NOT (texts = 1 AND control IS NOT NULL) AS is_row, CASE WHEN k = 1 THEN js WHEN texts = 1 AND control IS NOT NULL THEN '{{"t":"' || CASE control WHEN 'Checkbox' THEN 'check' ELSE 'switch' END || '","label":"' || said || '"}}' ELSE '{{"t":"row","c":[' || js || ']}}' END AS js, CASE WHEN k = 1 THEN sig WHEN texts = 1 AND control IS NOT NULL THEN 'control' ELSE 'row(' || sig || ')' END AS sig, CASE WHEN k = 1 OR (texts = 1 AND control IS NOT NULL) THEN 1 ELSE 2 END AS leaves FROM rows),
+u AS (SELECT *, sum(new) OVER (PARTITION BY frame_id ORDER BY r) AS run FROM (SELECT *, CASE WHEN is_row AND sig = lag(sig) OVER (PARTITION BY frame_id ORDER BY r) THEN 0 ELSE 1 END AS new FROM w)),
+d AS (SELECT frame_id, run, count(*) > 1 AS listed, CASE WHEN count(*) > 1 THEN '{{"t":"list","n":' || count(*) || ',"item":' || arg_min(js, r) || '}}' ELSE any_value(js) END AS js, any_value(leaves) AS leaves FROM u GROUP BY ALL),
+b AS (SELECT frame_id, CASE WHEN count(*) = 1 AND any_value(listed) THEN any_value(js) ELSE '{{"t":"col","c":[' || string_agg(js, ',' ORDER BY run) || ']}}' END AS body, sum(leaves) AS leaves FROM d GROUP BY 1),
+o AS (SELECT frame_id, body, CASE WHEN frame_id % 10 = 0 THEN 'not_portrait' WHEN frame_id % 10 = 1 THEN 'overlay' WHEN body IS NULL THEN 'empty_body' WHEN leaves + 1 < 3 THEN 'too_few' ELSE 'ok' END AS reason, leaves FROM frames LEFT JOIN b USING (frame_id))
+SELECT frame_id, reason, CASE WHEN reason = 'ok' THEN '{{"v":1,"screens":[{{"id":"screen","title":"Order ' || frame_id % 97 || '","appbar":{{"t":"appbar","title":"Order ' || frame_id % 97 || '","icons":[{{"t":"icon","name":"search"}}]}},"body":' || body || '}}]}}' END AS spec FROM o"""
+
+
+@query(WHOLE, "frames", "elements_gold")
+def tre_convert_whole(spark, sf):
+    """Hierarchies with a toolbar and wrappers around each three elements; some are wide, some have a drawer."""
+    from annomill.operators.hierarchies import convert
+
+    e = S.elements_gold(spark, sf)
+    label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in LABELS.items() for x in p)), F.col("type")), F.lit("Slider"))
+    box = lambda *v: F.array(*(c.cast("int") if not isinstance(c, int) else F.lit(c) for c in v))
+    x = F.col("x") - F.col("fx")
+    part = F.struct(label.alias("componentLabel"), box(x, F.col("y"), x + F.col("w"), F.col("y") + F.col("h")).alias("bounds"), F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1)).alias("text"), F.lit("notifications").alias("iconClass"), F.lit("android.widget.Button").alias("class"), F.lit("com.x:id/edit_text_email").alias("resource-id"))
+    wraps = e.groupBy("frame_id", F.floor(F.col("element_id") % 100_000 / 3).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("element_id", part.alias("n")))), lambda k: k["n"]).alias("children"))
+    held = wraps.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "children"))), lambda k: F.struct(k["children"].alias("children"))).alias("wraps"))
+    docs = S.frames(spark, sf).select("frame_id").join(held.hint("merge"), "frame_id", "left")
+    bar = F.concat(F.lit('{"componentLabel":"Toolbar","bounds":[0,0,360,5],"children":[{"componentLabel":"Text","bounds":[40,0,200,30],"text":"Order '), (F.col("frame_id") % 97).cast("string"), F.lit('"},{"componentLabel":"Icon","bounds":[300,0,330,5],"iconClass":"search"}]}'))
+    drawer = F.when(F.col("frame_id") % 10 == 1, ',{"componentLabel":"Drawer","bounds":[0,0,100,760]}').otherwise("")
+    rest = F.coalesce(F.to_json("wraps"), F.lit("[]"))
+    root = F.concat(F.lit('{"bounds":[0,0,360,'), F.when(F.col("frame_id") % 10 == 0, "300").otherwise("760"), F.lit('],"children":['), bar, drawer, F.when(F.length(rest) > 2, F.concat(F.lit(","), F.substring(rest, F.lit(2), F.length(rest) - 2))).otherwise(""), F.lit("]}"))
+    return convert(docs.select("frame_id", root.alias("text")), "frame_id", "text").select("frame_id", "reason", "spec")
+
+
 @query("""WITH e AS (SELECT sketch_id, frame_id, element_id, CASE WHEN element_id % 3 <> 0 THEN 'card' ELSE type END AS type, text FROM elements_gold),
 m AS (SELECT sketch_id, frame_id, max(type) FILTER (type IN ('switch', 'check')) AS control, max(text) FILTER (type = 'text') AS label FROM e GROUP BY ALL HAVING count(*) = 2 AND count(*) FILTER (type = 'text') = 1 AND count(*) FILTER (type IN ('switch', 'check')) = 1),
 p AS (SELECT *, CASE WHEN type IN ('card', 'row', 'col') THEN type ELSE type || '#' || element_id END AS sig FROM e WHERE (sketch_id, frame_id) NOT IN (SELECT sketch_id, frame_id FROM m)),
