@@ -303,28 +303,46 @@ def connected(pairs: DataFrame, nodes: DataFrame, doc: str, key: str) -> DataFra
 
 
 def average_linkage(affinity: DataFrame, doc: str, least: float = 0.5) -> DataFrame:
-    """(doc, i, cluster) from pair affinities (doc, i, j, p): the two clusters with the largest mean affinity above the limit join, until none is left."""
+    """(doc, i, cluster) from pair affinities (doc, i, j, p): the two clusters with the largest mean affinity above the limit join, until none is left.
+
+    Pairs that aren't there count 0, pairs given both ways are added. A cluster is named by its least member. No join brings
+    clusters nearer to a third than both were, so each chain of nearest neighbours ends in two clusters that the full
+    search would join as well: they join at once, and a cluster whose nearest is within the limit is done. Only neighbours
+    are kept, so memory follows the pairs given. Of equally near clusters the last in the chain comes first, then the least.
+    """
     kind = dict(affinity.dtypes)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.array(sorted({*pdf["i"], *pdf["j"]}))
-        total = np.zeros((len(ids), len(ids)))  # affinities summed between clusters; a pair that isn't there counts 0
-        total[np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])] = pdf["p"]
-        total = np.triu(total + np.tril(total, -1).T, 1)
-        size, cluster = np.ones(len(ids)), np.arange(len(ids))
-        while len(ids) > 1:
-            mean = total / (size[:, None] * size)
-            a, b = np.unravel_index(mean.argmax(), mean.shape)
-            if mean[a, b] <= least:
-                break
-            both = total + total.T
-            joined = both[a] + both[b]
-            joined[[a, b]] = 0
-            total[a, a + 1 :], total[:a, a] = joined[a + 1 :], joined[:a]
-            total[b, :], total[:, b] = 0, 0
-            size[a] += size[b]
-            cluster[cluster == b] = a
-        return pd.DataFrame({doc: pdf[doc].iloc[0], "i": ids, "cluster": ids[cluster]})
+        pdf = pdf[pdf["i"] != pdf["j"]].drop_duplicates(["i", "j"], keep="last")
+        near: dict = {k: {} for k in sorted({*pdf["i"], *pdf["j"]})}
+        for i, j, p in zip(pdf["i"], pdf["j"], pdf["p"], strict=True):
+            near[i][j] = near[j][i] = near[i].get(j, 0.0) + p
+        ids, size, root, chain = list(near), dict.fromkeys(near, 1), {k: k for k in near}, []
+        while near:
+            if not chain:
+                chain.append(next(iter(near)))
+            c, before = chain[-1], chain[-2] if len(chain) > 1 else None
+            best = max(((t / (size[c] * size[n]), n == before) for n, t in near[c].items()), default=(least, False))
+            if best[0] <= least:
+                for n in near.pop(c):
+                    del near[n][c]
+                chain.pop()
+            elif not best[1]:
+                chain.append(min(n for n, t in near[c].items() if t / (size[c] * size[n]) == best[0]))
+            else:
+                a, b = min(c, before), max(c, before)
+                for n, t in near.pop(b).items():
+                    del near[n][b]
+                    if n != a:
+                        near[a][n] = near[n][a] = near[a].get(n, 0.0) + t
+                size[a] += size[b]
+                root[b] = a
+                del chain[-2:]
+        found = []
+        for k in ids:  # a root is less than what it roots, so it is known by then
+            root[k] = root[root[k]] if root[k] != k else k
+            found.append(root[k])
+        return pd.DataFrame({doc: [pdf[doc].iloc[0]] * len(ids), "i": ids, "cluster": found}) if ids else pd.DataFrame({doc: [], "i": [], "cluster": []})
 
     return affinity.groupBy(doc).applyInPandas(work, f"{doc} {kind[doc]}, i {kind['i']}, cluster {kind['i']}")
 

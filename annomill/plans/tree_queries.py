@@ -150,6 +150,24 @@ def _documents_with(screens, elements):
     return _documents(elements.select("sketch_id", "frame_id", "element_id", "type", "name", "text").unionByName(empty.select("sketch_id", "frame_id", F.lit(None).cast("long").alias("element_id"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("text"))))
 
 
+@query("""WITH c AS (SELECT frame_id, element_id, '{"t":"text","v":"' || type || element_id % 100 || '"}' AS n FROM elements_gold), d AS (SELECT frame_id, list(n ORDER BY element_id) AS ns, count(*) AS k FROM c GROUP BY 1),
+b AS (SELECT frame_id, frame_id % 8 AS m, k, '{"t":"col","c":[' || array_to_string(ns, ',') || ']}' AS body, CASE WHEN frame_id % 8 = 3 THEN array_to_string(ns, ',') END AS cs FROM d)
+SELECT frame_id, CASE WHEN m = 7 THEN NULL ELSE '{"v":1,"screens":[{"id":"s' || frame_id || '","title":"Frame","body":' || CASE WHEN m = 6 THEN '{"t":"list","n":2,"item":' || body || '}' ELSE body END || '}]}' END AS spec,
+CASE m WHEN 0 THEN '' WHEN 1 THEN 'stripped text around JSON' WHEN 2 THEN 'removed trailing commas' WHEN 3 THEN 'closed unbalanced brackets' WHEN 4 THEN 'dropped unknown keys on col|dropped node of unknown type' WHEN 5 THEN 'removed links to missing screens' WHEN 6 THEN 'unwrapped nested list' ELSE 'not JSON' END AS fixes FROM b""", "elements_gold")
+def prj_repair_documents(spark, sf):
+    """Each frame's texts as a document: whole, amid prose, with commas too many, cut off, with odd keys and nodes, dead links, repeats in repeats, or none at all."""
+    from annomill.operators.repair import repair_specs
+
+    m = F.col("frame_id") % 8
+    text = F.concat(F.lit('{"t":"text","v":"'), "type", (F.col("element_id") % 100).cast("string"), F.lit('"'), F.when(m == 5, ',"go":"nowhere"}').otherwise("}"))
+    docs = S.elements_gold(spark, sf).groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element_id", text.alias("n")))), lambda x: x["n"]), ",").alias("ns"))
+    body = F.concat(F.lit('{"t":"col",'), F.when(m == 4, '"colour":1,"c":[{"t":"map"},').otherwise('"c":['), "ns", F.when(m == 2, ",]}").otherwise("]}"))
+    body = F.when(m == 6, F.concat(F.lit('{"t":"list","n":2,"item":{"t":"list","n":3,"item":'), body, F.lit("}}"))).otherwise(body)
+    whole = F.concat(F.lit('{"v":1,"screens":[{"id":"s'), F.col("frame_id").cast("string"), F.lit('","title":"Frame","body":'), body, F.when(m == 3, "").otherwise("}]}"))
+    raw = F.when(m == 1, F.concat(F.lit("Sure:\n"), whole, F.lit("\nDone."))).when(m == 7, F.lit("I can't draw that.")).otherwise(whole)
+    return repair_specs(docs.select("frame_id", raw.alias("raw")), "frame_id", "raw").select("frame_id", "spec", F.array_join("fixes", "|").alias("fixes"))
+
+
 @query("SELECT event_id, (props->>'k')::INT AS k FROM events")
 def prj_repair_text_json(spark, sf):
     """Text around, a trailing comma or a missing bracket is mended."""
