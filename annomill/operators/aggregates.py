@@ -116,8 +116,8 @@ def mean_defined(df: DataFrame, *metrics: str) -> DataFrame:
     return df.agg(*(x for m in metrics for x in (F.avg(m).alias(m), F.count(m).alias("n_" + m))))
 
 
-def noise_offsets(pairs: DataFrame, unit: float) -> DataFrame:
-    """Population deviation of box offsets over matched pairs, relative to the unit."""
+def noise_offsets(pairs: DataFrame, unit: Column | float) -> DataFrame:
+    """Population deviation of box offsets over matched pairs, relative to the unit (a number, or each pair's frame width)."""
     diff = [(F.col("p_" + k) - F.col(k)) / unit for k in "xywh"]
     values = F.explode(F.array(*diff)).alias("d")
     return pairs.select(values).agg(F.stddev_pop("d").alias("box_std"))
@@ -129,6 +129,20 @@ def miss_rates(gold: DataFrame, matched: DataFrame, key: str, kind: str) -> Data
     return gold.join(hit.hint("merge"), key, "left").groupBy(kind).agg(F.avg(F.col("__hit").isNull().cast("double")).alias("miss_rate"))
 
 
+def false_positives(pred: DataFrame, matched: DataFrame, both: DataFrame, doc: str, key: str, kind: str) -> DataFrame:
+    """(kind, n, share, per_sketch) of predictions without a match, in documents that have both sides (a table of their numbers).
+
+    share is the kind's part of all false positives, per_sketch all of them over the number of such documents, so that the
+    report has the same number in each row. No row where there are none.
+    """
+    here = both.select(doc).distinct()
+    extra = pred.select(doc, key, kind).join(here.hint("merge"), doc, "left_semi").join(matched.select(key).hint("merge"), key, "left_anti")
+    counts = extra.groupBy(kind).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row a kind by now
+    sketches = here.agg(F.count("*").alias("__sketches"))
+    return counts.withColumn("share", F.col("n") / total).join(F.broadcast(sketches)).select(kind, "n", "share", (total / F.col("__sketches")).alias("per_sketch"))
+
+
 def row_shares(counts: DataFrame, row: str, n: str = "n") -> DataFrame:
     """Each count's share of its row's total."""
     return counts.withColumn("p", F.col(n) / F.sum(n).over(Window.partitionBy(row)))
@@ -140,6 +154,14 @@ def pool_argmax(probabilities: DataFrame, group: list[str], kind: str, p: str) -
     return sums.groupBy(*group).agg(F.min_by(kind, F.struct(-F.col("s"), F.col(kind))).alias(kind), F.max("s").alias("score"))
 
 
+def class_vote(hits: DataFrame, key: list[str], group: str, kind: str, at: str, *, least: float = 0.5, hit: str = "hit") -> DataFrame:
+    """(key, vote, kind): the group by majority_vote, and the most common class of the hits within it (ties: the one seen first); null for noise."""
+    groups = majority_vote(hits, key, group, at, least=least, hit=hit)
+    counts = hits.filter(hit).groupBy(*key, F.col(group).cast("string").alias("vote"), kind).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    best = counts.groupBy(*key, "vote").agg(F.max_by(kind, F.struct(F.col("n"), -F.col("first"))).alias(kind))
+    return groups.join(best.hint("merge"), [*key, "vote"], "left").select(*key, "vote", kind)
+
+
 def majority_vote(hits: DataFrame, key: list[str], group: str, at: str, *, least: float = 0.5, hit: str = "hit") -> DataFrame:
     """Most common group among hits (ties: the one seen first); "noise" under that share of hits."""
     counts = hits.groupBy(*key, group).agg(F.count_if(F.col(hit)).alias("n"), F.min(F.when(F.col(hit), F.col(at))).alias("first"), F.count("*").alias("all"))

@@ -80,6 +80,32 @@ def corrupt_elements(elements: DataFrame, rates: DataFrame, confusions: DataFram
     return kept.select(*elements.columns)
 
 
+def missing_text(elements: DataFrame, *, key: str, seed: str, rate: float) -> DataFrame:
+    """Texts go at the rate."""
+    return elements.withColumn("text", F.when(uniform(seed + "/gone", F.col(key)) >= rate, F.col("text")))
+
+
+def add_false_positives(elements: DataFrame, frames: DataFrame, mix: DataFrame, *, doc: str, seed: str, per_sketch: float, first: int = 10_000) -> DataFrame:
+    """elements and invented ones: of each sketch with frames a Poisson number, each in a frame and of a type drawn by hash.
+
+    frames: doc, frame_id, ord (from 0), x, y, w, h; mix: (type, p), the shares of types. An invented element is 0.04 to 0.2 of the
+    frame wide and four tenths as high, in the frame's first nine tenths across; its element_id counts from `first`. Without
+    types nothing is added. Columns besides are null.
+    """
+    counts = frames.groupBy(doc).agg(F.count("*").alias("__frames"))
+    some = with_poisson(counts.filter("__frames > 0"), per_sketch, seed + "/fp", doc)
+    draw = lambda what: uniform(f"{seed}/fp/{what}", F.col(doc), F.col("event"))
+    typed = weighted_choice(some.withColumn("__any", F.lit(0)), mix.select(F.lit(0).alias("__any"), F.col("type").alias("kind"), F.col("p").alias("share")), "__any", "kind", "share", draw("type")).filter("chosen IS NOT NULL")
+    placed = typed.withColumn("ord", F.floor(draw("frame") * F.col("__frames")).cast("long"))
+    at = frames.select(doc, F.col("ord").cast("long").alias("ord"), "frame_id", *(F.col(c).alias("__" + c) for c in "xywh"))
+    size = 0.04 + 0.16 * draw("size")
+    made = placed.join(at.hint("merge"), [doc, "ord"]).select(
+        doc, "frame_id", (F.lit(first) + F.col("event")).cast("long").alias("element_id"), F.col("chosen").alias("type"), (F.col("__x") + 0.9 * draw("x") * F.col("__w")).alias("x"), (F.col("__y") + 0.95 * draw("y") * F.col("__h")).alias("y"),
+        (size * F.col("__w")).alias("w"), (size * F.col("__w") * 0.4).alias("h"),
+    )
+    return elements.unionByName(made.select(*(F.col(c) if c in made.columns else F.lit(None).cast(t).alias(c) for c, t in elements.dtypes)))
+
+
 def clean_mix(df: DataFrame, key: str, split: str, seed: str) -> DataFrame:
     """Strength of each row: in training 0 for a fifth of rows and else 0.5 to 1.5; 1 in other splits."""
     u = uniform(seed, F.col(key))

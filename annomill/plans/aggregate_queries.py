@@ -122,6 +122,33 @@ def ag_measure_noise_confusion(spark, sf):
     return A.row_shares(A.confusion(_matched(spark, sf), "type", "p_type"), "type").select("type", "p_type", "n", F.round("p", 9).alias("p"))
 
 
+@query(f"""WITH f AS (SELECT p.type FROM elements_pred p WHERE element_id NOT IN (SELECT p_element_id FROM ({PAIRS})) AND sketch_id IN (SELECT sketch_id FROM elements_gold)), n AS (SELECT count(DISTINCT sketch_id) AS n FROM elements_gold WHERE sketch_id IN (SELECT sketch_id FROM elements_pred))
+SELECT type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9)::DOUBLE AS share, round(sum(count(*)) OVER () / (SELECT n FROM n), 9)::DOUBLE AS per_sketch FROM f GROUP BY type""", "elements_gold", "elements_pred")
+def ag_measure_noise_extras(spark, sf):
+    gold, pred = S.elements_both(spark, sf)
+    both = gold.select("sketch_id").distinct().join(pred.select("sketch_id").distinct().hint("merge"), "sketch_id")
+    found = A.false_positives(pred.withColumnRenamed("element_id", "p_element_id"), _matched(spark, sf, (gold, pred)), both, "sketch_id", "p_element_id", "type")
+    return found.select("type", "n", F.round("share", 9).alias("share"), F.round("per_sketch", 9).alias("per_sketch"))
+
+
+@query(f"""WITH m AS (SELECT g.x AS gx, g.y AS gy, g.w AS gw, g.h AS gh, p.x, p.y, p.w, p.h, CASE WHEN f.ord = 1 THEN 400 ELSE fw END AS fw FROM ({PAIRS}) a JOIN elements_gold g ON a.element_id = g.element_id JOIN elements_pred p ON a.p_element_id = p.element_id JOIN frames f ON f.frame_id = g.frame_id)
+SELECT round(stddev_pop(d), 8) AS box_std FROM (SELECT unnest([x - gx, y - gy, w - gw, h - gh]) / fw AS d FROM m)""", "frames", "elements_gold", "elements_pred")
+def ag_noise_offsets_by_frame(spark, sf):
+    """Offsets over each frame's own width; second frames are wider."""
+    wide = S.frames(spark, sf).select("sketch_id", F.col("frame_id").alias("__f"), F.when(F.col("ord") == 1, 400.0).otherwise(F.col("fw")).alias("fw"))
+    pairs = _matched(spark, sf).withColumn("__f", F.floor(F.col("element_id") / 100_000))
+    return A.noise_offsets(pairs.join(wide.hint("merge"), ["sketch_id", "__f"]), F.col("fw")).select(F.round("box_std", 8).alias("box_std"))
+
+
+@query("""WITH h AS (SELECT *, props->>'k' AS k, event_id % 5 < 3 AS hit FROM events), c AS (SELECT user_id, event_type, count(*) FILTER (hit) AS n, min(event_id) FILTER (hit) AS first, count(*) AS a FROM h GROUP BY ALL), t AS (SELECT user_id, sum(n) AS n, sum(a) AS a FROM c GROUP BY 1),
+b AS (SELECT user_id, event_type FROM c WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) = 1), v AS (SELECT t.user_id, CASE WHEN n / a < 0.5 THEN 'noise' ELSE event_type END AS vote FROM t LEFT JOIN b USING (user_id)),
+k AS (SELECT user_id, event_type, event_id % 3 AS kind, count(*) AS n, min(event_id) AS first FROM h WHERE hit GROUP BY user_id, event_type, event_id % 3 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY n DESC, first) = 1)
+SELECT v.user_id, vote, kind FROM v LEFT JOIN k ON k.user_id = v.user_id AND k.event_type = v.vote""")
+def ag_class_vote(spark, sf):
+    hits = S.table(spark, sf, "events").withColumns({"hit": F.col("event_id") % 5 < 3, "kind": F.col("event_id") % 3})
+    return A.class_vote(hits, ["user_id"], "event_type", "kind", "event_id")
+
+
 @query("WITH s AS (SELECT user_id, event_type, sum(event_id % 7) AS s FROM events GROUP BY ALL) SELECT user_id, event_type, s::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_type) AS k FROM s) WHERE k = 1")
 def ag_pool_argmax(spark, sf):
     return A.pool_argmax(S.table(spark, sf, "events").withColumn("p", F.col("event_id") % 7), ["user_id"], "event_type", "p")

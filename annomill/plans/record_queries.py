@@ -182,6 +182,20 @@ def smp_corrupt_elements(spark, sf):
     return found.select("element_id", "type", *(F.round(k, 4).alias(k) for k in "xywh"))
 
 
+@query(f"""WITH k AS (SELECT sketch_id, count(*) AS frames, {U(chr(39) + 'x/fp:' + chr(39) + ' || sketch_id')} AS u FROM frames GROUP BY 1),
+n AS (SELECT sketch_id, frames, CASE WHEN u < exp(-0.5) THEN 0 WHEN u < exp(-0.5) * 1.5 THEN 1 WHEN u < exp(-0.5) * 1.625 THEN 2 WHEN u < exp(-0.5) * (1.625 + 0.125 / 6) THEN 3 WHEN u < exp(-0.5) * (1.625 + 0.125 / 6 + 0.0625 / 24) THEN 4 ELSE 5 END AS n FROM k), e AS (SELECT sketch_id, frames, unnest(range(n)) AS event FROM n),
+d AS (SELECT e.*, floor({U(chr(39) + 'x/fp/frame:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} * frames)::BIGINT AS ord, CASE WHEN {U(chr(39) + 'x/fp/type:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} < 0.25 THEN 'icon' ELSE 'text' END AS type, 0.04 + 0.16 * {U(chr(39) + 'x/fp/size:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} AS size, {U(chr(39) + 'x/fp/x:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} AS ux, {U(chr(39) + 'x/fp/y:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} AS uy FROM e)
+SELECT sketch_id, frame_id, element_id, type, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h, CASE WHEN {U(chr(39) + 'x/gone:' + chr(39) + ' || element_id')} >= 0.05 THEN text END AS text FROM elements_gold
+UNION ALL SELECT d.sketch_id, frame_id, 10000 + event, type, round(fx + 0.9 * ux * fw, 4), round(fy + 0.95 * uy * fh, 4), round(size * fw, 4), round(size * fw * 0.4, 4), NULL FROM d JOIN frames f ON f.sketch_id = d.sketch_id AND f.ord = d.ord""", "frames", "elements_gold")
+def smp_false_positives(spark, sf):
+    """Elements of whole sketches with some texts gone and some elements that nobody drew."""
+    e = S.elements_gold(spark, sf).drop("fx")
+    frames = S.frames(spark, sf).select("sketch_id", "frame_id", "ord", *(F.col("f" + c).alias(c) for c in "xywh"))
+    mix = spark.createDataFrame([("text", 0.75), ("icon", 0.25)], "type string, p double")
+    found = P.add_false_positives(P.missing_text(e, key="element_id", seed="x", rate=0.05), frames, mix, doc="sketch_id", seed="x", per_sketch=0.5)
+    return found.select("sketch_id", "frame_id", "element_id", "type", *(F.round(c, 4).alias(c) for c in "xywh"), "text")
+
+
 @query(f"SELECT doc_id, CASE WHEN lang <> 'en' THEN 1 WHEN {U(chr(39) + 'm:' + chr(39) + ' || doc_id')} < 0.2 THEN 0 ELSE round(0.5 + {U(chr(39) + 'm/s:' + chr(39) + ' || doc_id')}, 8) END::DOUBLE AS strength FROM documents")
 def smp_clean_mix(spark, sf):
     docs = S.table(spark, sf, "documents").withColumn("split", F.when(F.col("lang") == "en", "train").otherwise("val"))

@@ -120,13 +120,13 @@ def win_line_count(spark, sf):
     return W.line_count(S.elements_gold(spark, sf), "sketch_id", "y", 18.0)
 
 
-@query("""WITH RECURSIVE p AS (SELECT frame_id, element_id, x, y, row_number() OVER (PARTITION BY frame_id ORDER BY y, x, element_id) AS k FROM elements_gold WHERE x - fx < 100 AND element_id % 5 <> 0),
+@query("""WITH RECURSIVE p AS (SELECT frame_id, element_id, x, y, row_number() OVER (PARTITION BY frame_id ORDER BY y, x, element_id) AS k FROM elements_gold WHERE x - fx < 100),
 i AS (SELECT p.*, coalesce(abs(q.x - p.x) < 18 AND abs(r.x - p.x) < 18 AND r.y - p.y < 250, false) AS good FROM p LEFT JOIN p q ON q.frame_id = p.frame_id AND q.k = p.k + 1 LEFT JOIN p r ON r.frame_id = p.frame_id AND r.k = p.k + 2),
 f AS (SELECT frame_id, element_id, k, good AS taken, CASE WHEN good THEN k + 2 ELSE 0 END AS used FROM i WHERE k = 1 UNION ALL
 SELECT i.frame_id, i.element_id, i.k, i.k > used AND good, CASE WHEN i.k > used AND good THEN i.k + 2 ELSE used END FROM f JOIN i ON i.frame_id = f.frame_id AND i.k = f.k + 1) SELECT frame_id, element_id FROM f WHERE taken""", "elements_gold")
 def win_triples(spark, sf):
-    """The left column of each frame, with gaps."""
-    return W.triples(S.elements_gold(spark, sf).filter("x - fx < 100 AND element_id % 5 <> 0"), "frame_id", "element_id", 18.0, 250.0)
+    """The left column of each frame."""
+    return W.triples(S.elements_gold(spark, sf).filter("x - fx < 100"), "frame_id", "element_id", 18.0, 250.0)
 
 
 @query("SELECT sketch_id, element_id, round(coalesce(sum(w / 0.5 + 120) OVER (PARTITION BY sketch_id ORDER BY floor(y / 80), x, element_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS start FROM elements_gold", "elements_gold")
