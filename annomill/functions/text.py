@@ -64,6 +64,12 @@ def list_mark(s: Column) -> Column:
     return F.when(digits != "", F.greatest(F.lit(1), F.least(F.lit(50), digits.cast("int"))))
 
 
+def repeat_count(kind: Column, text: Column, readings: Column | None = None) -> Column:
+    """How often an element repeats: the mark in its text, else in one of its first three readings; 3 for a mark that can't be read; null for no mark."""
+    others = [list_mark(F.get(readings, F.lit(k))) for k in range(3)] if readings is not None else []
+    return F.coalesce(list_mark(text), *others, F.when(kind == "listmark", F.lit(3)))
+
+
 def secret_hint(s: Column) -> Column:
     return F.coalesce(s.rlike(SECRET), F.lit(False))
 

@@ -25,6 +25,23 @@ def stroke_geometry(points: DataFrame, doc: str = "sketch_id", stroke: str = "st
     )
 
 
+def scaled_geometry(geometry: DataFrame, units: DataFrame, doc: str = "sketch_id", stroke: str = "stroke_id") -> DataFrame:
+    """(doc, stroke, geometry): 16 numbers of each stroke for a model, in the sketch's own origin and unit.
+
+    geometry: stroke_geometry(); units: doc, ox, oy, unit (aggregates.sketch_unit). In order: centre, size, length, closure,
+    straightness, points, duration, pause, minutes, first point, last point, aspect; long-tailed ones as logarithms.
+    """
+    on = geometry.join(units.select(doc, "ox", "oy", "unit").hint("merge"), doc)
+    x, y = (lambda c: (F.col(c) - F.col("ox")) / F.col("unit")), (lambda c: (F.col(c) - F.col("oy")) / F.col("unit"))
+    time = lambda c: F.log1p(F.greatest(F.col(c), F.lit(0)) / 100)
+    thin = lambda c: F.col(c) + 1e-3
+    values = [
+        x("cx"), y("cy"), F.col("w") / F.col("unit"), F.col("h") / F.col("unit"), F.log1p(10 * F.expm1("log_length") / F.col("unit")), F.col("closure"), F.col("straightness"), F.log1p("n") / 6,
+        time("duration"), time("pause"), F.col("minutes"), x("sx"), y("sy"), x("ex"), y("ey"), F.ln(thin("w") / thin("h")) / 4,
+    ]
+    return on.select(doc, stroke, F.array(*(v.cast("double") for v in values)).alias("geometry"))
+
+
 def stroke_shape(points: DataFrame, n: int = 32, doc: str = "sketch_id", stroke: str = "stroke_id", order: str = "seq") -> DataFrame:
     """(doc, stroke, shape): n times (x, y, dx, dy): places relative to the centre and unit directions."""
     even = resample(points, [doc, stroke], order, n)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -372,24 +373,37 @@ def score_batches(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 def with_fallback(df: DataFrame, engines: list[tuple[str, object]], value: str) -> DataFrame:
-    """Columns output, engine, fell_back, error: each row by the first engine whose function doesn't fail."""
-    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+    """Columns output, engine, stage, fell_back, error, elapsed_ms: each row by the first engine whose function doesn't fail.
 
-    schema = StructType([*df.schema.fields, StructField("output", StringType()), StructField("engine", StringType()), StructField("fell_back", BooleanType()), StructField("error", StringType())])
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for v in pdf[value]:
-                error = None
-                for k, (name, f) in enumerate(engines):
+    A batch goes through the first engine, and what fails through the next one, and so on. stage counts engines from 0 (null
+    where all fail), error is the last failure before, elapsed_ms the time of all engines tried.
+    """
+    import time
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+
+    made = {"output": StringType(), "engine": StringType(), "stage": IntegerType(), "fell_back": BooleanType(), "error": StringType(), "elapsed_ms": DoubleType()}
+    df = df.drop(*made)
+    schema = StructType([*df.schema.fields, *(StructField(n, t) for n, t in made.items())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = b.column(value).to_pylist()
+            rows = [[None, None, None, True, None, 0.0] for _ in values]
+            left = range(len(values))
+            for k, (name, f) in enumerate(engines):
+                failed = []
+                for i in left:
+                    began = time.perf_counter()
                     try:
-                        rows.append((f(v), name, k > 0, error))
-                        break
+                        rows[i][:4] = f(values[i]), name, k, k > 0
                     except Exception as e:  # an engine's failure is a row's result
-                        error = f"{name}: {e}"
-                else:
-                    rows.append((None, None, True, error))
-            yield pdf.assign(**dict(zip(("output", "engine", "fell_back", "error"), zip(*rows, strict=True), strict=True)) if rows else {k: [] for k in ("output", "engine", "fell_back", "error")})
-
-    return df.mapInPandas(work, schema)
+                        rows[i][4] = f"{name}: {e}"
+                        failed.append(i)
+                    rows[i][5] += 1000 * (time.perf_counter() - began)
+                left = failed
+            columns = zip(*rows, strict=True) if rows else ([] for _ in made)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, to_arrow_type(t)) for c, t in zip(columns, made.values(), strict=True))], names=[*b.schema.names, *made])
+
+    return df.mapInArrow(work, schema)

@@ -263,6 +263,16 @@ def fn_list_mark(spark, sf):
     return S.table(spark, sf, "events").select("event_id", T.list_mark(F.concat(F.lit(" x "), (F.col("event_id") % 120).cast("string"))).alias("n"))
 
 
+@query("""SELECT element_id, CASE WHEN type = 'btn' THEN (element_id % 50)::INT + 1 WHEN type = 'listmark' AND element_id % 2 = 0 THEN least(50, greatest(1, element_id % 60))::INT WHEN type = 'listmark' THEN 3 END AS n FROM elements_gold""", "elements_gold")
+def fn_repeat_count(spark, sf):
+    """Buttons marked in their text, list marks read at the third try or not at all."""
+    e = S.elements_gold(spark, sf)
+    mark = F.concat(F.lit("x"), (F.col("element_id") % F.when(F.col("type") == "btn", 50).otherwise(60) + F.when(F.col("type") == "btn", 1).otherwise(0)).cast("string"))
+    text = F.when(F.col("type") == "btn", mark).otherwise(F.lit("oops"))
+    readings = F.when((F.col("type") == "listmark") & (F.col("element_id") % 2 == 0), F.array(F.lit("o"), F.lit("?"), mark, F.lit("x7"))).otherwise(F.array(F.lit("o"), F.lit("?"), F.lit("!"), F.lit("x7")))
+    return e.select("element_id", T.repeat_count(F.col("type"), text, readings).alias("n"))
+
+
 @query("SELECT item_id, regexp_matches(text, '(?i)pass|pin|secret|otp') AS secret FROM benchmark")
 def fn_secret_hint(spark, sf):
     return S.table(spark, sf, "benchmark").select("item_id", T.secret_hint(F.col("text")).alias("secret"))

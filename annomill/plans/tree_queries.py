@@ -202,6 +202,19 @@ def feat_stroke_geometry(spark, sf):
     return g.select("sketch_id", "stroke_id", "n", *(F.round(c, 6).alias(c) for c in ("cx", "log_length", "closure", "straightness", "aspect")), "duration", "pause")
 
 
+@query(f"""{GEO}, u AS (SELECT sketch_id, coalesce(fx, ix) AS ox, coalesce(fy, iy) AS oy, greatest(coalesce(fu, iu), 0.001) AS unit FROM (SELECT sketch_id, min(x) AS ix, min(y) AS iy, (max(y) - min(y)) / 2 AS iu FROM points GROUP BY 1) LEFT JOIN (SELECT sketch_id, min(fx) AS fx, min(fy) AS fy, quantile_cont(fh, 0.5) / 2 AS fu FROM frames GROUP BY 1) USING (sketch_id)),
+p AS (SELECT *, coalesce(t0 - lag(t1) OVER w, 0) AS pause, (t0 - first(t0) OVER w) / 60000 AS minutes FROM f WINDOW w AS (PARTITION BY sketch_id ORDER BY stroke_id))
+SELECT sketch_id, stroke_id, unnest(range(16))::INT AS k, unnest([round(v, 5) FOR v IN [((x0 + x1) / 2 - ox) / unit, ((y0 + y1) / 2 - oy) / unit, (x1 - x0) / unit, (y1 - y0) / unit, ln(1 + 10 * len / unit), CASE WHEN diag > 0 THEN gap / diag ELSE 0 END, CASE WHEN len > 0 THEN gap / len ELSE 1 END, ln(1 + n) / 6,
+ln(1 + greatest(t1 - t0, 0) / 100), ln(1 + greatest(pause, 0) / 100), minutes, (sx - ox) / unit, (sy - oy) / unit, (ex - ox) / unit, (ey - oy) / unit, ln((x1 - x0 + 0.001) / (y1 - y0 + 0.001)) / 4]]) AS v FROM p JOIN u USING (sketch_id)""", "frames", "points")
+def feat_scaled_geometry(spark, sf):
+    from annomill.operators.aggregates import sketch_unit
+
+    points = S.points(spark, sf)
+    frames = S.frames(spark, sf).select("sketch_id", F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fh").alias("h"))
+    found = X.scaled_geometry(X.stroke_geometry(points), sketch_unit(frames, points, "sketch_id"))
+    return found.select("sketch_id", "stroke_id", F.posexplode("geometry").alias("k", "v")).withColumn("v", F.round("v", 5))
+
+
 @query(f"""WITH {RESAMPLE.format(last=31)}, c AS (SELECT *, x - avg(x) OVER (PARTITION BY sketch_id, stroke_id) AS rx, y - avg(y) OVER (PARTITION BY sketch_id, stroke_id) AS ry,
 coalesce(lead(x) OVER w - x, 0) AS dx, coalesce(lead(y) OVER w - y, 0) AS dy FROM e WINDOW w AS (PARTITION BY sketch_id, stroke_id ORDER BY i)),
 u AS (SELECT *, CASE WHEN sqrt(dx ** 2 + dy ** 2) > 0 THEN sqrt(dx ** 2 + dy ** 2) ELSE 1 END AS size FROM c)

@@ -355,3 +355,18 @@ def test_parameters_of_a_dataset():
 def test_a_report_is_whole_or_an_error(spark):
     with pytest.raises(ValueError, match="at most 3"):
         writers.render_report(spark.range(4).toDF("n"), "T", ["n"], most=3)
+
+
+def test_fallback_goes_on_with_what_failed(spark):
+    def first(v):
+        return str(10 // v)
+
+    def second(v):
+        return {0: "zero"}[v]
+
+    rows = spark.createDataFrame([(2,), (0,), (None,)], "v int").withColumn("stage", F.lit("x"))
+    got = {r.v: r for r in trees.with_fallback(rows, [("first", first), ("second", second)], "v").collect()}
+    assert got[2].output == "5" and (got[2].engine, got[2].stage, got[2].fell_back, got[2].error) == ("first", 0, False, None)
+    assert got[0].output == "zero" and (got[0].engine, got[0].stage, got[0].fell_back) == ("second", 1, True) and got[0].error.startswith("first:")
+    assert got[None].output is None and (got[None].engine, got[None].stage, got[None].fell_back) == (None, None, True) and got[None].error.startswith("second:")
+    assert all(r.elapsed_ms >= 0 for r in got.values())
