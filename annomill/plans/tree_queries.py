@@ -150,6 +150,26 @@ def _documents_with(screens, elements):
     return _documents(elements.select("sketch_id", "frame_id", "element_id", "type", "name", "text").unionByName(empty.select("sketch_id", "frame_id", F.lit(None).cast("long").alias("element_id"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("text"))))
 
 
+@query("""WITH d AS (SELECT frame_id, frame_id % 9 AS m, count(*) AS k, min(element_id % 100000) AS first FROM elements_gold GROUP BY 1)
+SELECT frame_id, code, path FROM (SELECT frame_id, CASE m WHEN 1 THEN 'schema' WHEN 2 THEN 'bad_go' WHEN 3 THEN 'nesting' WHEN 4 THEN 'dup_id' WHEN 5 THEN 'schema' WHEN 6 THEN 'schema' WHEN 7 THEN 'schema' WHEN 8 THEN 'depth' END AS code,
+CASE m WHEN 1 THEN ['/screens/0/body/colour'] WHEN 2 THEN [('/screens/0/body/c/' || i || '/go') FOR i IN range(k)] WHEN 3 THEN ['/screens/0/body/item'] WHEN 4 THEN ['/screens/1/id'] WHEN 5 THEN ['/screens/0/body/n'] WHEN 6 THEN [('/screens/0/body/c/' || i || '/s') FOR i IN range(k)] WHEN 7 THEN ['/'] WHEN 8 THEN [('/screens/0/body/c/0/c/0/c/0/c/0/c/0/c/0/c/0/c/0/c/0/c/' || i) FOR i IN range(k)] ELSE []::VARCHAR[] END AS paths FROM d), unnest(paths) p(path)""", "elements_gold")
+def prj_validate_documents(spark, sf):
+    """Each frame's texts as a document with one kind of fault: an unknown key, links to no screen, repeats in repeats, equal ids, a number out of range, a word outside an enumeration, no JSON, too deep a body."""
+    from annomill.operators.spec_rules import validate_specs
+
+    m = F.col("frame_id") % 9
+    more = F.when(m == 2, ',"go":"nowhere"').when(m == 6, ',"s":"huge"').otherwise("")
+    text = F.concat(F.lit('{"t":"text","v":"'), "type", F.lit('"'), more, F.lit("}"))
+    docs = S.elements_gold(spark, sf).groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element_id", text.alias("n")))), lambda x: x["n"]), ",").alias("ns"))
+    body = F.concat(F.lit('{"t":"col",'), F.when(m == 1, '"colour":1,"c":[').otherwise('"c":['), "ns", F.lit("]}"))
+    listed = lambda n, b: F.concat(F.lit(f'{{"t":"list","n":{n},"item":'), b, F.lit("}"))
+    deep = F.concat(F.lit('{"t":"col","c":[' * 9), body, F.lit("]}" * 9))
+    body = F.when(m == 3, listed(2, listed(3, body))).when(m == 5, listed(51, body)).when(m == 8, deep).otherwise(body)
+    screen = F.concat(F.lit('{"id":"a","title":"Frame","body":'), body, F.lit("}"))
+    whole = F.concat(F.lit('{"v":1,"screens":['), screen, F.when(m == 4, ',{"id":"a","title":"Again","body":{"t":"spacer"}}').otherwise(""), F.when(m == 7, "").otherwise("]}"))
+    return validate_specs(docs.select("frame_id", whole.alias("spec")), "frame_id", "spec").select(F.col("doc").alias("frame_id"), "code", "path")
+
+
 @query("""WITH c AS (SELECT frame_id, element_id, '{"t":"text","v":"' || type || element_id % 100 || '"}' AS n FROM elements_gold), d AS (SELECT frame_id, list(n ORDER BY element_id) AS ns, count(*) AS k FROM c GROUP BY 1),
 b AS (SELECT frame_id, frame_id % 8 AS m, k, '{"t":"col","c":[' || array_to_string(ns, ',') || ']}' AS body, CASE WHEN frame_id % 8 = 3 THEN array_to_string(ns, ',') END AS cs FROM d)
 SELECT frame_id, CASE WHEN m = 7 THEN NULL ELSE '{"v":1,"screens":[{"id":"s' || frame_id || '","title":"Frame","body":' || CASE WHEN m = 6 THEN '{"t":"list","n":2,"item":' || body || '}' ELSE body END || '}]}' END AS spec,
