@@ -283,9 +283,9 @@ def arrow_ends(points: DataFrame, keys: list[str], order: str) -> DataFrame:
     """
     far = farthest_pair(points, keys, order)
     ends = lambda c, p: points.select(*keys, F.col(order).alias(c), F.col("x").alias(p + "x"), F.col("y").alias(p + "y"))
-    both = far.join(ends("i", "a"), [*keys, "i"]).join(ends("j", "b"), [*keys, "j"])
+    both = far.join(ends("i", "a").hint("merge"), [*keys, "i"]).join(ends("j", "b").hint("merge"), [*keys, "j"])
     close = lambda p: F.hypot(F.col("x") - F.col(p + "x"), F.col("y") - F.col(p + "y")) < 0.2 * F.sqrt("d2")
-    votes = both.join(points.filter("is_end").select(*keys, "x", "y"), keys, "left").groupBy(*keys, "ax", "ay", "bx", "by").agg(F.count_if(close("a")).alias("na"), F.count_if(close("b")).alias("nb"))
+    votes = both.join(points.filter("is_end").select(*keys, "x", "y").hint("merge"), keys, "left").groupBy(*keys, "ax", "ay", "bx", "by").agg(F.count_if(close("a")).alias("na"), F.count_if(close("b")).alias("nb"))
     swap = F.col("na") > F.col("nb")
     pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
     return votes.select(*keys, pick("ax", "bx").alias("tx"), pick("ay", "by").alias("ty"), pick("bx", "ax").alias("hx"), pick("by", "ay").alias("hy"))

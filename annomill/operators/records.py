@@ -97,9 +97,9 @@ def validate_nodes(nodes: DataFrame, doc: str, structural: list[tuple[str, Colum
 def structural_rules(values: DataFrame, domain: DataFrame) -> DataFrame:
     """Issues of exploded (doc, path, t, key, value) against a domain table (t, key, kind, least, most).
 
-    Unknown keys, integers out of range, strings too long or with control characters, values outside an enumeration.
+    Unknown keys, integers out of range, strings too long or with control characters. spec_rules.validate_specs has all rules.
     """
-    on = values.join(domain.withColumn("__known", F.lit(True)), ["t", "key"], "left")
+    on = values.join(domain.withColumn("__known", F.lit(True)).hint("merge"), ["t", "key"], "left")
     number = F.expr("try_cast(value AS bigint)")
     bad = {
         "unknown_key": F.col("__known").isNull(),
@@ -113,7 +113,7 @@ def structural_rules(values: DataFrame, domain: DataFrame) -> DataFrame:
 def missing_keys(nodes: DataFrame, values: DataFrame, domain: DataFrame) -> DataFrame:
     """(doc, path, key) of required keys that a node lacks."""
     required = domain.filter("required").select("t", "key")
-    return nodes.join(required, "t").join(values.select("doc", "path", "key"), ["doc", "path", "key"], "left_anti").select("doc", "path", "key")
+    return nodes.join(required.hint("merge"), "t").join(values.select("doc", "path", "key").hint("merge"), ["doc", "path", "key"], "left_anti").select("doc", "path", "key")
 
 
 def token_budget(df: DataFrame, prompt: str, completion: str, most: int) -> DataFrame:

@@ -91,16 +91,11 @@ def _spec(shift: int = 0):
     return F.to_json(F.struct(F.lit("col").alias("t"), F.transform(F.array_sort(F.collect_list(child)), lambda x: x["n"]).alias("c")))
 
 
-@query("""SELECT frame_id, '{"t":"col","c":[' || string_agg('{"t":"' || type || '"' || CASE WHEN text IS NOT NULL THEN ',"v":"' || text || '"' ELSE '' END || CASE WHEN type = 'text' THEN '' ELSE ',"s":"body"' END || '}', ',' ORDER BY element_id) || ']}' AS canonical FROM (SELECT element_id, frame_id, text, CASE WHEN element_id % 11 = 0 THEN 'divider' ELSE type END AS type FROM elements_gold) GROUP BY 1""", "elements_gold")
+@query("""SELECT frame_id, '{"t":"col","c":[' || string_agg('{"t":"' || type || '"' || CASE WHEN type = 'text' THEN '' ELSE ',"s":"body"' END || CASE WHEN text IS NOT NULL THEN ',"v":"' || text || '"' ELSE '' END || '}', ',' ORDER BY element_id) || ']}' AS canonical FROM (SELECT element_id, frame_id, text, CASE WHEN element_id % 11 = 0 THEN 'divider' ELSE type END AS type FROM elements_gold) GROUP BY 1""", "elements_gold")
 def prj_canonicalize(spark, sf):
-    """Keys a type doesn't know stay, after those it does; the default style of texts goes."""
+    """Keys a type doesn't know stay, in alphabetical order after those it does; the default style of texts goes."""
     specs = S.elements_gold(spark, sf).groupBy("frame_id").agg(_spec().alias("text"))
-    return specs.select("frame_id", R.canonical_json("text").alias("raw")).select("frame_id", _stable("raw").alias("canonical"))
-
-
-def _stable(c: str):
-    """Unknown keys v and s in the order v, s."""
-    return F.regexp_replace(c, r'"s":"body","v":("[^"]*")', r'"v":$1,"s":"body"')
+    return specs.select("frame_id", R.canonical_json("text").alias("canonical"))
 
 
 LETTER = "chr((65 + list_position(['" + "', '".join(S.TYPES) + "'], {kind}))::INT)"
