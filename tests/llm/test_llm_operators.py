@@ -519,6 +519,41 @@ def test_decontamination_finds_parts_of_an_item_that_is_copied_often(spark):
     assert found[0] == 1.0 and found[200] >= 0.5 and found[201] >= 0.5
 
 
+def test_decontamination_seeds_are_rare_where_a_stretch_has_anything_rare(spark):
+    rng = np.random.default_rng(11)
+    phrase = "choose the best answer from the options listed below"
+    items = [(k, f"{prose(12, rng)} {phrase} {prose(15, rng)}") for k in range(30)] + [(40, phrase), (41, "a b"), (42, ""), (None, f"{phrase} x y"), (43, "same words in two items here"), (44, "same words in two items here")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    plain = {k: decontam.text_words(t) for k, t in items}
+    texts = table.select(F.col("item_id").alias("item"), F.xxhash64("text").alias("mark"), "text").distinct()
+    found = {}
+    for r in decontam.rare(decontam.item_grams(texts, 4), 4, 0.5).collect():
+        found.setdefault(r.item, set()).add(r.place)
+    grams = {k: [tuple(w[i : i + 4]) for i in range(len(w) - 3)] or [tuple(w)] for k, w in plain.items() if len(w)}
+    holders = {}
+    for k, gs in grams.items():
+        for g in gs:
+            holders.setdefault(g, set()).add(dict(items)[k])
+    for k, gs in grams.items():  # each stretch of half the words, its rarest n-grams
+        often, width = [len(holders[g]) for g in gs], min(len(gs), max(1, -(-len(plain[k]) // 2) - 3))
+        wanted = {j for i in range(len(gs) - width + 1) for j in range(i, i + width) if often[j] == min(often[i : i + width])}
+        assert found.pop(k) == wanted, k
+    assert not found
+    phrases = decontam.rare(decontam.item_grams(texts.filter("item < 30"), 4), 4, 0.5).filter("place BETWEEN 12 AND 17")
+    assert phrases.count() == 0
+
+
+def test_decontamination_with_a_phrase_that_all_share(spark):
+    rng = np.random.default_rng(12)
+    phrase = "choose the best answer from the options listed below"
+    items = [(k, f"{prose(12, rng)} {phrase} {prose(15, rng)}") for k in range(80)]
+    data = [(k, f"{prose(100, rng)} {phrase} {prose(60, rng)}") for k in range(200)]
+    data += [(1000 + k, f"{prose(50, rng)} {items[k][1]} {phrase}") for k in range(70)] + [(2000, " ".join(t for _, t in items[:70]))]
+    found = decontam.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.score == 1.0} == {(1000 + k, k) for k in range(70)} | {(2000, k) for k in range(70)}
+    assert all(r.doc_id >= 1000 for r in found)
+
+
 def test_alignment_against_plain_smith_waterman():
     for _ in range(30):
         a, b = RNG.integers(0, 4, 12).astype(np.uint64), RNG.integers(0, 4, 25).astype(np.uint64)
