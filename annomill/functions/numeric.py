@@ -136,3 +136,17 @@ def poisson(rate: float, u: Column) -> Column:
         chain = (F if chain is None else chain).when(u < total, k)
         k += 1
     return chain.otherwise(k)
+
+
+def poisson_of(rate: Column, u: Column, largest: float) -> Column:
+    """As poisson, for a rate of each row of at most `largest`."""
+    import math
+
+    k, left = 1, 1 - math.exp(-largest)
+    while left > 2.0**-33:
+        left -= math.exp(k * math.log(largest) - largest - math.lgamma(k + 1))
+        k += 1
+    first = F.exp(-rate)
+    start = F.struct(first.alias("p"), first.alias("total"), F.lit(0).alias("n"))
+    step = lambda a, j: F.struct((a["p"] * rate / j).alias("p"), (a["total"] + a["p"] * rate / j).alias("total"), (a["n"] + (u >= a["total"]).cast("int")).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda a: a["n"])

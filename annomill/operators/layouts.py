@@ -13,7 +13,8 @@ from annomill.session import stored
 from .aggregates import at_shares, bbox_union, farthest_pair, multiset_f1, multiset_recall, pool_argmax, ranks
 from .folds import carried
 from .joins import arrow_source, containing_first
-from .trees import average_linkage, tree_similarity
+from .sampling import clean_mix, noisy_copy
+from .trees import average_linkage, canonical_json, tree_similarity
 from .windows import bands
 
 
@@ -112,6 +113,31 @@ def build_sft(prompts: DataFrame, completions: DataFrame, doc: str, most: int) -
     return both.withColumn("status", F.when(F.col("n_tokens") > most, "too_long").otherwise("fits"))
 
 
+def sft_pairs(elements: DataFrame, frames: DataFrame, arrows: DataFrame, specs: DataFrame, doc: str, *, noise: dict, seed: str, most: int = 2016, first: dict[str, int] | None = None) -> DataFrame:
+    """(doc, split, prompt, completion, n_tokens, status): the prompt of a noisy copy of each document's elements, and its canonical document.
+
+    specs: (doc, split, spec). In training a fifth of the documents stay clean and the others' noise has a strength of 0.5 to 1.5; elsewhere it
+    is 1. status: too_long for more than `most` tokens, else clean or noisy. first: of these splits only so many documents, the
+    smallest numbers. noise: as in sampling.noisy_copy. A document without frames has no prompt and no pair; nor has one whose spec is no JSON.
+    """
+    kept = specs.select(doc, "split", "spec")
+    for split, n in (first or {}).items():
+        kept = kept.filter(F.coalesce(F.col("split") != split, F.lit(True))).unionByName(kept.filter(F.col("split") == split).orderBy(doc).limit(n))
+    kept = stored(clean_mix(kept, doc, "split", seed), "strengths")
+    noisy = noisy_copy(elements, frames, kept, noise, doc=doc, key="element_id", seed=seed)
+    prompts = format_elements(stored(noisy.drop("frame_id"), "noisy"), frames, arrows, doc)
+    done = kept.select(doc, "split", "strength", canonical_json("spec").alias("completion")).filter("completion IS NOT NULL")
+    both = prompts.join(done.hint("merge"), doc).withColumn("n_tokens", token_count(F.col("prompt")) + token_count(F.col("completion")))
+    status = F.when(F.col("n_tokens") > most, "too_long").when(F.col("strength") == 0, "clean").otherwise("noisy")
+    return both.select(doc, "split", "prompt", "completion", "n_tokens", status.alias("status"))
+
+
+def sft_report(pairs: DataFrame) -> DataFrame:
+    """(split, examples, too_long, clean, noisy): how many pairs of each split are examples, and what they are."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("too_long", "clean", "noisy")]
+    return pairs.groupBy("split").agg(F.count_if(F.col("status") != "too_long").alias("examples"), *counts)
+
+
 def eval_prompts(gold: DataFrame, recognized: DataFrame, specs: DataFrame, doc: str) -> DataFrame:
     """Prompts of both conditions with the gold document; recognised rows without one are left out."""
     tagged = gold.withColumn("condition", F.lit("gold")).unionByName(recognized.withColumn("condition", F.lit("recognizer")))

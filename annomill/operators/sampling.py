@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annomill.functions.numeric import gauss, hash32, hash_bucket, poisson, uniform
+from annomill.functions.numeric import gauss, hash32, hash_bucket, poisson, poisson_of, uniform
 
 
 def split_by_entity(df: DataFrame, entity: str, train: int = 80, val: int = 10) -> DataFrame:
@@ -51,7 +51,7 @@ def with_poisson(df: DataFrame, rate: float, seed: str, key: str) -> DataFrame:
     return df.withColumn("__n", n).filter("__n > 0").withColumn("event", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
 
 
-def typo(text: Column, rate: float, seed: str, key: Column) -> Column:
+def typo(text: Column, rate: float | Column, seed: str, key: Column) -> Column:
     """Each character deleted, replaced or followed by another, each at a third of the rate."""
     letters = "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,17 +85,26 @@ def missing_text(elements: DataFrame, *, key: str, seed: str, rate: float) -> Da
     return elements.withColumn("text", F.when(uniform(seed + "/gone", F.col(key)) >= rate, F.col("text")))
 
 
-def add_false_positives(elements: DataFrame, frames: DataFrame, mix: DataFrame, *, doc: str, seed: str, per_sketch: float, first: int = 10_000) -> DataFrame:
+def add_false_positives(elements: DataFrame, frames: DataFrame, mix: DataFrame | dict, *, doc: str, seed: str, per_sketch: float | Column, largest: float | None = None, first: int = 10_000) -> DataFrame:
     """elements and invented ones: of each sketch with frames a Poisson number, each in a frame and of a type drawn by hash.
 
-    frames: doc, frame_id, ord (from 0), x, y, w, h; mix: (type, p), the shares of types. An invented element is 0.04 to 0.2 of the
+    frames: doc, frame_id, ord (from 0), x, y, w, h; mix: (type, p), the shares of types, as a table or types with their weights;
+    per_sketch: the mean, or of the sketch's frames' columns, at most `largest`. An invented element is 0.04 to 0.2 of the
     frame wide and four tenths as high, in the frame's first nine tenths across; its element_id counts from `first`. Without
     types nothing is added. Columns besides are null.
     """
-    counts = frames.groupBy(doc).agg(F.count("*").alias("__frames"))
-    some = with_poisson(counts.filter("__frames > 0"), per_sketch, seed + "/fp", doc)
     draw = lambda what: uniform(f"{seed}/fp/{what}", F.col(doc), F.col("event"))
-    typed = weighted_choice(some.withColumn("__any", F.lit(0)), mix.select(F.lit(0).alias("__any"), F.col("type").alias("kind"), F.col("p").alias("share")), "__any", "kind", "share", draw("type")).filter("chosen IS NOT NULL")
+    if isinstance(per_sketch, Column):
+        counts = frames.groupBy(doc).agg(F.count("*").alias("__frames"), F.max(per_sketch).alias("__rate"))
+        number = poisson_of(F.col("__rate"), uniform(seed + "/fp", F.col(doc)), largest)
+        some = counts.withColumn("__n", number).filter("__n > 0").withColumn("event", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n", "__rate")
+    else:
+        counts = frames.groupBy(doc).agg(F.count("*").alias("__frames"))
+        some = with_poisson(counts.filter("__frames > 0"), per_sketch, seed + "/fp", doc)
+    if isinstance(mix, dict):
+        typed = some.withColumn("chosen", _by_share(mix, draw("type")))
+    else:
+        typed = weighted_choice(some.withColumn("__any", F.lit(0)), mix.select(F.lit(0).alias("__any"), F.col("type").alias("kind"), F.col("p").alias("share")), "__any", "kind", "share", draw("type")).filter("chosen IS NOT NULL")
     placed = typed.withColumn("ord", F.floor(draw("frame") * F.col("__frames")).cast("long"))
     at = frames.select(doc, F.col("ord").cast("long").alias("ord"), "frame_id", *(F.col(c).alias("__" + c) for c in "xywh"))
     size = 0.04 + 0.16 * draw("size")
@@ -106,6 +115,43 @@ def add_false_positives(elements: DataFrame, frames: DataFrame, mix: DataFrame,
     return elements.unionByName(made.select(*(F.col(c) if c in made.columns else F.lit(None).cast(t).alias(c) for c, t in elements.dtypes)))
 
 
+def noisy_copy(elements: DataFrame, frames: DataFrame, strengths: DataFrame, noise: dict, *, doc: str, key: str, seed: str, strongest: float = 1.5) -> DataFrame:
+    """elements as a recogniser with these errors would read them, each document at its own strength, which scales every rate (0: nothing changes).
+
+    elements: doc, frame_id, key (a number), type, x, y, w, h, text; frames: doc, frame_id, ord (from 0), x, y, w, h; strengths: (doc, strength), of at most
+    `strongest`; a document without one has strength 0. noise: miss_rate (type to rate), confusion (type to types and their weights),
+    box_offset_std (share of the frame's width), missing_text, cer, false_positives_per_sketch, false_positive_types (types and their weights);
+    it grows with the types alone. A text that typing errors leave nothing of stays as it was.
+    """
+    drawn = lambda what: uniform(f"{seed}/{what}", F.col(doc), F.col(key))
+    wide = frames.select(doc, "frame_id", F.col("w").alias("__wide"))
+    rows = elements.join(strengths.select(doc, F.col("strength").alias("__s")).hint("merge"), doc, "left").join(wide.hint("merge"), [doc, "frame_id"], "left").withColumn("__s", F.coalesce("__s", F.lit(0.0)))
+    missed = F.coalesce(*(F.when(F.col("type") == t, p) for t, p in noise["miss_rate"].items()), F.lit(0.0))
+    rows = rows.filter(drawn("miss") >= F.col("__s") * missed)
+    swaps = [F.when(F.col("type") == t, _by_share(w, drawn("type"))) for t, w in noise["confusion"].items() if w]
+    swapped = F.when(drawn("swap") < F.col("__s"), F.coalesce(*swaps, F.lit(None).cast("string")))
+    shift = F.col("__s") * noise["box_offset_std"] * F.coalesce("__wide", F.lit(360.0))
+    moved = {c: F.col(c) + shift * gauss(f"{seed}/{c}", F.col(doc), F.col(key)) for c in "xywh"}
+    typed = F.coalesce(F.nullif(F.trim(typo(F.col("text"), F.col("__s") * noise["cer"], seed + "/text", F.concat_ws(":", doc, key))), F.lit("")), F.col("text"))
+    text = F.when(drawn("gone") >= F.col("__s") * noise["missing_text"], typed)
+    rows = rows.withColumns({"type": F.coalesce(swapped, F.col("type")), "x": moved["x"], "y": moved["y"], "w": F.greatest(F.lit(1.0), moved["w"]), "h": F.greatest(F.lit(0.0), moved["h"]), "text": F.when(F.col("__s") == 0, F.col("text")).otherwise(text)})
+    rows, rate = rows.select(*elements.columns), noise["false_positives_per_sketch"]
+    if not rate or not noise["false_positive_types"]:
+        return rows
+    known = frames.join(strengths.select(doc, "strength").hint("merge"), doc)
+    return add_false_positives(rows, known, noise["false_positive_types"], doc=doc, seed=seed, per_sketch=F.col("strength") * rate, largest=strongest * rate)
+
+
+def _by_share(weights: dict[str, float], u: Column) -> Column:
+    """A key of the weights by its share, for a draw."""
+    whole, total, out = sum(weights.values()), 0.0, F
+    for name, w in list(weights.items())[:-1]:
+        total += w
+        out = out.when(u < total / whole, name)
+    last = F.lit(list(weights)[-1])
+    return last if out is F else out.otherwise(last)
+
+
 def clean_mix(df: DataFrame, key: str, split: str, seed: str) -> DataFrame:
     """Strength of each row: in training 0 for a fifth of rows and else 0.5 to 1.5; 1 in other splits."""
     u = uniform(seed, F.col(key))
