@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -337,10 +340,111 @@ def task_set(docs: DataFrame, doc: str, examples: DataFrame, *, k: int, seed: st
     return examples.select(F.lit("example").alias("source"), doc).unionByName(picked)
 
 
+#: Most repeats, options and tabs of a drawable document; words and characters of its labels, options and tabs.
+REPEATS, OPTIONS, TABS = 6, 4, 4
+WORDS = {"label": (3, 20), "option": (2, 14), "tab": (1, 10)}
+
+
+def _drawable(n, key: str | None = None):
+    """A part of a document as a drawing can show it: icons are circles but for the menu, labels short, repeats, options and tabs few."""
+    if isinstance(n, list):
+        few = {"options": OPTIONS, "items": TABS}.get(key, len(n))
+        return [_brief(x, "option") if key == "options" else _drawable(x, "tab" if key == "items" else None) for x in n[:few]]
+    if not isinstance(n, dict):
+        return n
+    kind = "tab" if key == "tab" else n.get("t")
+    out = {k: _brief(v, "tab" if kind == "tab" else "label") if k in ("label", "v", "title") and isinstance(v, str) else _drawable(v, k if (k, kind) in (("options", "radio"), ("items", "bottomnav")) else None) for k, v in n.items()}
+    if kind in ("list", "grid"):
+        out["n"] = min(out["n"], REPEATS)
+    icon = {"icon": "name", "tab": "icon", "fab": "icon"}.get(kind)
+    if icon:
+        out[icon] = "add" if kind == "fab" else "menu" if kind == "icon" and out["name"] == "menu" else "circle"
+    return out
+
+
+def _brief(s: str, what: str) -> str:
+    words, letters = WORDS[what]
+    return " ".join(s.split()[:words])[:letters].rstrip()
+
+
+def _told(spec: dict) -> tuple[list, int, list]:
+    """Titles of a document's screens (the bar's, else the first heading's, else none), leaves of the first body, and kinds of nodes."""
+    kinds, titles, leaves = set(), [], 0
+    for k, screen in enumerate(spec["screens"]):
+        found, level = screen["appbar"]["title"] if "appbar" in screen else None, [screen["body"]]
+        while level:
+            heads = [n["v"] for n in level if n["t"] == "text" and n.get("s") in ("h1", "h2")]
+            found = heads[0] if found is None and heads else found
+            leaves += sum(k == 0 and not (n.get("c") or "item" in n) for n in level)
+            level = [x for n in level for x in [*n.get("c", []), *([n["item"]] if "item" in n else [])]]
+        titles.append(found)
+    todo = [spec]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, dict) and "t" in n:
+            kinds.add(n["t"])
+        todo += n.values() if isinstance(n, dict) else n if isinstance(n, list) else []
+    return titles, leaves, sorted(kinds)
+
+
+def drawable_documents(docs: DataFrame, doc: str, spec: str) -> DataFrame:
+    """(doc, drawable, titles, leaves, kinds): each document as a drawing can show it; a text that is no document has none of these."""
+    def one(text):
+        try:
+            made = _drawable(json.loads(text))
+            return json.dumps(made, ensure_ascii=False), *_told(made)
+        except (TypeError, ValueError, KeyError, AttributeError, RecursionError):
+            return None, None, None, None
+
+    @F.pandas_udf("drawable string, titles array<string>, leaves int, kinds array<string>")
+    def work(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["drawable", "titles", "leaves", "kinds"]).astype({"leaves": "Int32"})
+
+    return docs.select(doc, work(spec).alias("d")).select(doc, "d.*")
+
+
+def task_documents(docs: DataFrame, examples: DataFrame, doc: str, spec: str, *, k: int, seed: str) -> DataFrame:
+    """(source, doc, spec): drawing tasks, which are all valid examples, and k of the documents, picked for kinds of nodes still rare.
+
+    Documents are made drawable; those with 4 to 10 leaves on the first screen get screen names by the naming rule (their links stay as they
+    are) and must be valid then. Examples keep their names. Specs are canonical. Document numbers are distinct and not null.
+    """
+    from .spec_rules import validate_specs
+    from .windows import dedupe_names
+
+    def valid(made: DataFrame) -> DataFrame:
+        bad = validate_specs(made, doc, "spec").select(F.col("doc").alias(doc)).distinct()
+        return made.join(bad.hint("merge"), doc, "left_anti")
+
+    plain = drawable_documents(examples, doc, spec).filter("drawable IS NOT NULL")
+    plain = valid(stored(plain.select(doc, canonical_json("drawable").alias("spec")), "examples"))
+    some = stored(drawable_documents(docs, doc, spec).filter("drawable IS NOT NULL AND leaves BETWEEN 4 AND 10"), "drawable")
+    screens = stored(some.select(doc, F.posexplode("titles").alias("ord", "title")), "titles")
+    names = dedupe_names(screens, doc, "ord", "title").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("ord", "name", "title"))).alias("names"))
+    named = some.join(names.hint("merge"), doc).select(doc, "kinds", canonical_json(renamed("drawable", "names")).alias("spec"))
+    good = stored(valid(stored(named, "named")), "good")
+    picked = stored(greedy_diverse(good, doc, "kinds", k=k, seed=seed).select(doc), "picked")
+    chosen = good.join(picked.hint("merge"), doc).select(F.lit("sampled").alias("source"), doc, "spec")
+    return plain.select(F.lit("example").alias("source"), doc, "spec").unionByName(chosen)
+
+
+def renamed(spec: str, names: str) -> Column:
+    """A document's JSON with its screens' ids and titles from an array of (ord, name, title)."""
+    @F.pandas_udf("string")
+    def work(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for text, some in zip(texts, lists, strict=True):
+            made = json.loads(text)
+            for screen, x in zip(made["screens"], some, strict=True):
+                screen |= {"id": x["name"], "title": x["title"]}
+            out.append(json.dumps(made, ensure_ascii=False))
+        return pd.Series(out, dtype=object)
+
+    return work(spec, names)
+
+
 def polyline_corners(points: DataFrame, keys: list[str], order: str, tolerance: float | str) -> DataFrame:
     """(keys, corners): inner points that a line simplification keeps, within the tolerance (a number, or the column that has it). One stroke is one group."""
-    import pandas as pd
-
     kinds = dict(points.dtypes)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -115,7 +115,7 @@ def canonical_json(text: Column | str) -> Column:
     def one(s):
         try:
             return json.dumps(_canonical(json.loads(s)), ensure_ascii=False, separators=(",", ":"))
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
 
     @F.pandas_udf("string")
