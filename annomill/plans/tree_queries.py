@@ -466,9 +466,9 @@ def str_ingest_upsert(spark, sf):
     path, out = shared_dir(spark, "events"), shared_dir(spark, "upsert")
     e = S.table(spark, sf, "events").select("user_id", "event_id", "value")
     e.repartitionByRange(3, "event_id").write.parquet(path)
-    stream = ingest.ingest_upsert(ingest.event_stream(spark, path, "user_id long, event_id long, value double"), f"{out}/table", f"{out}/checkpoint", "user_id", "event_id")
+    stream = ingest.ingest_upsert(ingest.event_stream(spark, path, "user_id long, event_id long, value double"), f"{out}/table", f"{out}/checkpoint", "user_id", "event_id", fan=2)
     stream.awaitTermination()
-    return writers.latest(spark.read.schema("user_id long, event_id long, value double").parquet(f"{out}/table").select("user_id", "event_id", "value"), "user_id", "event_id")
+    return ingest.read_upserted(spark, f"{out}/table", "user_id long, event_id long, value double", "user_id", "event_id", fan=2)
 
 
 @query("""WITH l AS (SELECT *, sum((kind = 'launch')::INT) OVER (PARTITION BY device ORDER BY ts) AS life FROM run_log), n AS (SELECT * FROM l QUALIFY life = max(life) OVER (PARTITION BY device)),
