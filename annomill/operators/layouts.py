@@ -504,7 +504,7 @@ def convert_documents(docs: DataFrame, doc: str, text: str, *, least: int = 3, m
     gated = gate_documents(named, doc, least=least, most=most)
     good = gated.filter("reason = 'ok'").select(doc)
     leaves = named.filter("is_leaf").join(good, doc, "left_semi")
-    typed = leaves.withColumn("type", type_leaves(F.col("label"), F.coalesce("text", F.lit("")), F.col("hint"), F.col("w"), F.col("h"), F.col("root_h"))).filter("type IS NOT NULL")
+    typed = leaves.withColumn("type", type_leaves(F.col("label"), F.coalesce("text", F.lit("")), F.lit(""), F.col("w"), F.col("h"), F.col("root_h"))).filter("type IS NOT NULL")
     body = build_layout(typed.withColumnsRenamed({"path": "element_id"}).withColumn("frame", F.col(doc)), doc, "frame").select(doc, "spec")
     whole = F.concat(F.lit('{"v":1,"screens":[{"id":"s1","body":'), "spec", F.lit("}]}"))
     made = body.select(doc, canonical_json(whole).alias("spec"))

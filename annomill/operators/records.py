@@ -43,16 +43,23 @@ def map_vocab(c: Column, words: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(table, c), F.lit(default))
 
 
-def type_leaves(label: Column, text: Column, hint: Column, w: Column, h: Column, full_h: Column) -> Column:
-    """Node type of a leaf from its label, text, id and size."""
-    name = F.lower(label)
+def type_leaves(label: Column, text: Column, cls: Column, w: Column, h: Column, full_h: Column) -> Column:
+    """Node type of a leaf from its label, text, class and size; a button of a class that is none is a link (null and empty classes are not looked at)."""
+    name, no_button = F.lower(label), F.coalesce((cls != "") & ~cls.contains("Button"), F.lit(False))
     return (
-        F.when(name.contains("text") & (F.char_length(text) > 40), "para").when(name.contains("text") & ~name.contains("button") & ~name.contains("input"), "text")
+        F.when(name.contains("button") & no_button, F.when(F.char_length(text) > 40, "para").otherwise("link"))
+        .when(name.contains("text") & (F.char_length(text) > 40), "para").when(name.contains("text") & ~name.contains("button") & ~name.contains("input"), "text")
         .when(name.contains("button"), "btn").when(name.contains("input"), "input").when(name.contains("image") & (w == h) & (h < 0.1 * full_h), "avatar")
         .when(name.contains("image"), "img").when(name.contains("icon"), "icon").when(name.contains("checkbox"), "check").when(name.contains("switch"), "switch")
     )
 
 
+def input_kind(hint: Column, text: Column, h: Column, full_h: Column) -> Column:
+    """secure for an input whose id or text speaks of a pass or pin, multiline for a tall one, else null; nulls say nothing."""
+    said = F.lower(F.concat_ws(" ", hint, text))
+    return F.when(said.contains("pass") | said.contains("pin"), "secure").when(h > 0.12 * full_h, "multiline")
+
+
 def para_lines(text: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(6), F.ceil(F.char_length(text) / LINE_CHARS))).cast("int")
 

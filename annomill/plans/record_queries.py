@@ -36,6 +36,18 @@ def prj_type_leaves(spark, sf):
     return S.elements_gold(spark, sf).select("element_id", R.type_leaves(label, F.col("text"), F.lit(""), F.col("w"), F.col("h"), F.lit(760.0)).alias("kind"))
 
 
+@query("""WITH t AS (SELECT element_id, type, CASE WHEN element_id % 3 = 0 THEN 'AppCompatButton' ELSE 'TextView' END AS cls, CASE element_id % 5 WHEN 0 THEN 'user_Password' WHEN 1 THEN 'pin_code' ELSE 'field' END || ' ' || lower(coalesce(text, '')) AS hint, coalesce(text, '') AS text, h FROM elements_gold)
+SELECT element_id, CASE WHEN type = 'input' THEN 'input' WHEN type = 'btn' AND cls = 'TextView' THEN 'link' WHEN type = 'btn' THEN 'btn' END AS kind, CASE WHEN type = 'input' THEN CASE WHEN regexp_matches(lower(hint), 'pass|pin') THEN 'secure' WHEN h > 0.12 * 600 THEN 'multiline' END END AS input FROM t""", "elements_gold")
+def prj_link_and_input_kinds(spark, sf):
+    """Buttons of a text's class are links; inputs are secure by id or text, else multiline by height."""
+    e = S.elements_gold(spark, sf)
+    label = R.map_vocab(F.col("type"), {"btn": "Text Button", "input": "Input"}, "Other")
+    cls = F.when(F.col("element_id") % 3 == 0, "AppCompatButton").otherwise("TextView")
+    hint = F.when(F.col("element_id") % 5 == 0, "user_Password").when(F.col("element_id") % 5 == 1, "pin_code").otherwise("field")
+    kind = R.type_leaves(label, F.coalesce("text", F.lit("")), cls, F.col("w"), F.col("h"), F.lit(600.0))
+    return e.select("element_id", kind.alias("kind"), F.when(F.col("type") == "input", R.input_kind(hint, F.col("text"), F.col("h"), F.lit(600.0))).alias("input"))
+
+
 @query("SELECT element_id, CASE WHEN r >= 1.8 THEN 'h1' WHEN r >= 1.35 THEN 'h2' WHEN r <= 0.75 THEN 'caption' ELSE 'body' END AS style FROM (SELECT element_id, h / quantile_cont(h, 0.5) OVER (PARTITION BY sketch_id) AS r FROM elements_gold)", "elements_gold")
 def prj_bucket_by_ratio(spark, sf):
     return R.bucket_by_ratio(S.elements_gold(spark, sf), "sketch_id", "h", 19.0).select("element_id", "style")
