@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annomill.session import stored
 
+from .folds import grouped
+
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
     """Counts, the most frequent first (ties: by key)."""
@@ -212,38 +213,58 @@ def leaf_count(nodes: DataFrame, doc: str, node: str, parent: str) -> DataFrame:
     return nodes.join(parents, [doc, node], "left_anti").groupBy(doc).agg(F.count("*").alias("leaves"))
 
 
+def _hull(p: np.ndarray) -> np.ndarray:
+    """Rows of the corners of the convex hull; p is sorted by its first two columns, x and y."""
+    sides = []
+    for side in (p, p[::-1]):
+        kept: list[np.ndarray] = []
+        for q in side:
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (q[1] - kept[-2][1]) - (kept[-1][1] - kept[-2][1]) * (q[0] - kept[-2][0]) <= 0:
+                kept.pop()
+            kept.append(q)
+        sides += kept[:-1]
+    return np.array(sides)
+
+
+def farthest(points: list[tuple[float, float]]) -> tuple[int, int, float] | None:
+    """Places and squared distance of the two points that are farthest apart (ties: the first pair). Of many points only corners of the convex hull are compared, one with all at a time."""
+    if len(points) < 2:
+        return None
+    if len(points) <= 24:
+        best = (0, 1, -1.0)
+        for i, (x, y) in enumerate(points):
+            for j in range(i + 1, len(points)):
+                u, v = points[j]
+                d = (x - u) * (x - u) + (y - v) * (y - v)
+                if d > best[2]:
+                    best = (i, j, d)
+        return best
+    first: dict[tuple, int] = {}
+    for k, at in enumerate(points):
+        first.setdefault(at, k)
+    if len(first) == 1:
+        return 0, 1, 0.0
+    p = np.column_stack([np.array(list(first), float), list(first.values())])
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    p = _hull(p) if len(p) > 3 else p
+    most, pair = -1.0, (0, 1)
+    for q in p:
+        d2 = (p[:, 0] - q[0]) ** 2 + (p[:, 1] - q[1]) ** 2
+        own = min((min(int(q[2]), int(k)), max(int(q[2]), int(k))) for k in p[d2 == d2.max(), 2])
+        most, pair = max((most, pair), (float(d2.max()), own), key=lambda m: (m[0], (-m[1][0], -m[1][1])))
+    return *pair, most
+
+
 def farthest_pair(points: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys, i, j, d2): the two points of a group that are farthest apart (ties: the first pair in order). Only corners of the convex hull are compared."""
-    kinds = dict(points.dtypes)
-
-    def hull(p: np.ndarray) -> np.ndarray:
-        """Rows (x, y, order) of the corners; p is sorted by x, y."""
-        sides = []
-        for side in (p, p[::-1]):
-            kept: list[np.ndarray] = []
-            for q in side:
-                while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (q[1] - kept[-2][1]) - (kept[-1][1] - kept[-2][1]) * (q[0] - kept[-2][0]) <= 0:
-                    kept.pop()
-                kept.append(q)
-            sides += kept[:-1]
-        return np.array(sides)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.sort_values(["x", "y", order]).drop_duplicates(["x", "y"])
-        if len(pdf) < 2:
-            return pd.DataFrame({c: [] for c in [*keys, "i", "j", "d2"]})
-        if len(first) == 1:
-            i, j, d = *sorted(pdf[order])[:2], 0.0
-        else:
-            p = first[["x", "y", order]].to_numpy(float)
-            p = hull(p) if len(p) > 3 else p
-            far = (p[:, None, 0] - p[None, :, 0]) ** 2 + (p[:, None, 1] - p[None, :, 1]) ** 2
-            d = far.max()
-            i, j = min(tuple(sorted((int(p[a, 2]), int(p[b, 2])))) for a, b in np.argwhere(far == d))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "i": [i], "j": [j], "d2": [d]})
-
-    narrow = points.select(*keys, order, "x", "y")
-    return narrow.groupBy(*keys).applyInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in keys) + f", i {kinds[order]}, j {kinds[order]}, d2 double")
+    """(keys, i, j, d2): the two points of a group that are farthest apart (ties: the first pair in order). Points without an x or y don't count."""
+    kind = dict(points.dtypes)[order]
+
+    def make(rows: list[tuple]) -> list[tuple]:
+        far = farthest([r[1:] for r in rows])
+        return [(rows[far[0]][0], rows[far[1]][0], far[2])] if far else []
+
+    whole = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return grouped(whole, keys, [order], [order, "x", "y"], {"i": kind, "j": kind, "d2": "double"}, make)
 
 
 def type_coverage(df: DataFrame, doc: str, kind: str) -> DataFrame:
