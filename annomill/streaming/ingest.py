@@ -115,21 +115,33 @@ def _standing(level: int, number: int, fan: int, whole) -> list[tuple[int, int]]
     return [x for r in _parts(level, number, fan) for x in _standing(*r, fan, whole)]
 
 
+def _since_launch(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
+    """Of unsorted parts the rows not before their last launch."""
+    last = max((t for p in parts for t in p.loc[p["kind"] == "launch", "ts"]), default=None)
+    return parts if last is None else [p[p["ts"] >= last] for p in parts]
+
+
 def unfinished_steps(stream: DataFrame) -> DataFrame:
-    """(device, steps, open): after each batch, for each device in it, the steps open since its last launch and how often. State is one small map per device."""
+    """(device, steps, open): after each batch, for each device in it, the steps open since its last launch and how often. State is one small map per device.
+
+    A device's rows of a batch may come in several parts, each in any order: they are put together, then sorted by time
+    (equal times by kind, then step). Of rows before a launch none is kept.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         steps, counts = map(list, state.get) if state.exists else ([], [])
         opened = dict(zip(steps, counts, strict=True))
+        rows: list[pd.DataFrame] = []
         for pdf in batches:
-            for kind, step in zip(*(pdf.sort_values("ts")[c] for c in ("kind", "step")), strict=True):
-                if kind == "launch":
-                    opened = {}
-                elif kind == "start":
-                    opened[step] = opened.get(step, 0) + 1
-                elif kind in ("end", "fail") and opened.get(step, 0):
-                    opened[step] -= 1
+            rows = _since_launch([*rows, pdf[["ts", "kind", "step"]]])
+        for kind, step in zip(*(pd.concat(rows).sort_values(["ts", "kind", "step"])[c] for c in ("kind", "step")), strict=True):
+            if kind == "launch":
+                opened = {}
+            elif kind == "start":
+                opened[step] = opened.get(step, 0) + 1
+            elif kind in ("end", "fail") and opened.get(step, 0):
+                opened[step] -= 1
         opened = {k: v for k, v in opened.items() if v}
         state.update((list(opened), list(opened.values())))
         yield pd.DataFrame({"device": [key[0]], "steps": [list(opened)], "open": [list(opened.values())]})
