@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from annomill.session import stored
 
+from .folds import folded
+
 #: The order of keys in a canonical document, by the node's type, and the values that are left out.
 KEY_ORDER = {
     "spec": ["v", "screens"], "screen": ["id", "title", "appbar", "body", "bottomnav", "fab"], "appbar": ["t", "title", "icons"], "bottomnav": ["t", "items"],
@@ -281,26 +283,23 @@ def nest(lines: DataFrame, keys: list[str], order: list[str], fields: list[str],
 
 
 def connected(pairs: DataFrame, nodes: DataFrame, doc: str, key: str) -> DataFrame:
-    """(doc, key, component) of links a, b inside documents: union-find per document, which bounds a group's size."""
+    """(doc, key, component) of links a, b inside documents: union-find per document, which holds a document's nodes and none of its links. Very many documents share a batch."""
     both = nodes.select(doc, F.col(key).alias("a"), F.col(key).alias("b")).unionByName(pairs.select(doc, "a", "b"))
-    kind = dict(nodes.dtypes)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = {k: k for k in pdf["a"]}
+    kind = dict(nodes.dtypes)[key]
 
-        def find(k):
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
+    def find(root: dict, k):
+        while root.setdefault(k, k) != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
 
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-        keys = sorted(root)
-        return pd.DataFrame({doc: pdf[doc].iloc[0], key: keys, "component": [find(k) for k in keys]})
+    def step(root: dict, a, b) -> dict:
+        x, y = find(root, a), find(root, b)
+        root[max(x, y)] = min(x, y)
+        return root
 
-    return both.groupBy(doc).applyInPandas(work, f"{doc} {kind[doc]}, {key} {kind[key]}, component {kind[key]}")
+    found = folded(both, [doc], [], ["a", "b"], {"found": f"array<struct<k:{kind},c:{kind}>>"}, dict, step, lambda root: ([{"k": k, "c": find(root, k)} for k in root],))
+    return found.select(doc, F.explode("found").alias("f")).select(doc, F.col("f.k").alias(key), F.col("f.c").alias("component"))
 
 
 def average_linkage(affinity: DataFrame, doc: str, least: float = 0.5) -> DataFrame:

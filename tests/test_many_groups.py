@@ -48,3 +48,19 @@ def test_corners_of_small_and_large_groups(spark):
     found = L.polyline_corners(df, ["g"], "k", "most")
     assert {r.g: r.corners for r in found.collect()} == {g: _simplified([r[2:4] for r in rows if r[0] == g], g % 7) for g in range(40)}
     assert "InPandas" not in _plan(found)
+
+
+def test_connected_documents_share_batches(spark):
+    from annomill.operators.trees import connected
+
+    rng = random.Random(5)
+    nodes = [(d, k) for d in range(50) for k in range(rng.choice([1, 2, 40]))]
+    size = {d: sum(1 for n in nodes if n[0] == d) for d in range(50)}
+    pairs = [(d, *sorted(rng.sample(range(size[d]), 2))) for d in range(50) if size[d] > 1 for _ in range(size[d] // 2)]
+    want = {n: n[1] for n in nodes}
+    for _ in range(50):
+        for d, a, b in pairs:
+            want[d, a] = want[d, b] = min(want[d, a], want[d, b])
+    found = connected(spark.createDataFrame(pairs, "d int, a int, b int"), spark.createDataFrame(nodes, "d int, k int"), "d", "k")
+    assert {(r.d, r.k): r.component for r in found.collect()} == want
+    assert "InPandas" not in _plan(found)
