@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from annomill.functions import numeric as N
@@ -14,6 +16,8 @@ from .registry import query
 from .standins import bucket_sql
 
 U = lambda key: f"(('0x' || substr(sha1({key}), 1, 8))::BIGINT / 4294967296)"
+#: The inverse Poisson distribution function of mean one half of a draw u of 32 bits: beyond 9 events no such draw is left.
+POISSON_HALF = "CASE " + " ".join(f"WHEN u < exp(-0.5) * ({' + '.join(f'pow(0.5, {i}) / {math.factorial(i)}' for i in range(k + 1))}) THEN {k}" for k in range(12)) + " ELSE 12 END"
 
 
 @query("""WITH n AS (SELECT sketch_id, element_id, w, h, type IN ('fab') AS over, text FROM elements_gold), c AS (SELECT sketch_id, count(*) AS leaves, count(*) FILTER (over) AS overlays, count(*) FILTER (coalesce(text, '') <> '') AS texts FROM n GROUP BY 1)
@@ -175,7 +179,7 @@ def smp_weighted_choice(spark, sf):
     return P.weighted_choice(docs, weights, "k", "kind", "p", N.uniform("w", F.col("doc_id"))).select("doc_id", "chosen")
 
 
-@query(f"WITH u AS (SELECT frame_id, {U(chr(39) + 'p:' + chr(39) + ' || frame_id')} AS u FROM frames), n AS (SELECT frame_id, CASE WHEN u < exp(-0.5) THEN 0 WHEN u < exp(-0.5) * 1.5 THEN 1 WHEN u < exp(-0.5) * 1.625 THEN 2 WHEN u < exp(-0.5) * (1.625 + 0.125 / 6) THEN 3 WHEN u < exp(-0.5) * (1.625 + 0.125 / 6 + 0.0625 / 24) THEN 4 ELSE 5 END AS n FROM u) SELECT frame_id, unnest(range(n))::INT AS event FROM n", "frames")
+@query(f"WITH u AS (SELECT frame_id, {U(chr(39) + 'p:' + chr(39) + ' || frame_id')} AS u FROM frames), n AS (SELECT frame_id, {POISSON_HALF} AS n FROM u) SELECT frame_id, unnest(range(n))::INT AS event FROM n", "frames")
 def smp_poisson_k(spark, sf):
     return P.with_poisson(S.frames(spark, sf).select("frame_id"), 0.5, "p", "frame_id")
 
@@ -195,7 +199,7 @@ def smp_corrupt_elements(spark, sf):
 
 
 @query(f"""WITH k AS (SELECT sketch_id, count(*) AS frames, {U(chr(39) + 'x/fp:' + chr(39) + ' || sketch_id')} AS u FROM frames GROUP BY 1),
-n AS (SELECT sketch_id, frames, CASE WHEN u < exp(-0.5) THEN 0 WHEN u < exp(-0.5) * 1.5 THEN 1 WHEN u < exp(-0.5) * 1.625 THEN 2 WHEN u < exp(-0.5) * (1.625 + 0.125 / 6) THEN 3 WHEN u < exp(-0.5) * (1.625 + 0.125 / 6 + 0.0625 / 24) THEN 4 ELSE 5 END AS n FROM k), e AS (SELECT sketch_id, frames, unnest(range(n)) AS event FROM n),
+n AS (SELECT sketch_id, frames, {POISSON_HALF} AS n FROM k), e AS (SELECT sketch_id, frames, unnest(range(n)) AS event FROM n),
 d AS (SELECT e.*, floor({U(chr(39) + 'x/fp/frame:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} * frames)::BIGINT AS ord, CASE WHEN {U(chr(39) + 'x/fp/type:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} < 0.25 THEN 'icon' ELSE 'text' END AS type, 0.04 + 0.16 * {U(chr(39) + 'x/fp/size:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} AS size, {U(chr(39) + 'x/fp/x:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} AS ux, {U(chr(39) + 'x/fp/y:' + chr(39) + ' || sketch_id || ' + chr(39) + ':' + chr(39) + ' || event')} AS uy FROM e)
 SELECT sketch_id, frame_id, element_id, type, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h, CASE WHEN {U(chr(39) + 'x/gone:' + chr(39) + ' || element_id')} >= 0.05 THEN text END AS text FROM elements_gold
 UNION ALL SELECT d.sketch_id, frame_id, 10000 + event, type, round(fx + 0.9 * ux * fw, 4), round(fy + 0.95 * uy * fh, 4), round(size * fw, 4), round(size * fw * 0.4, 4), NULL FROM d JOIN frames f ON f.sketch_id = d.sketch_id AND f.ord = d.ord""", "frames", "elements_gold")
