@@ -171,9 +171,10 @@ def majority_vote(hits: DataFrame, key: list[str], group: str, at: str, *, least
 
 
 def bbox_union(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The box around boxes x, y, w, h, rounded to a tenth."""
-    low = {k: F.min(k) for k in "xy"}
-    return df.groupBy(*keys).agg(F.round(low["x"], 1).alias("x"), F.round(low["y"], 1).alias("y"), F.round(F.max(F.col("x") + F.col("w")) - low["x"], 1).alias("w"), F.round(F.max(F.col("y") + F.col("h")) - low["y"], 1).alias("h"))
+    """The box around boxes x, y, w, h, rounded to a tenth, halves up. What binary sums and differences add beyond six places doesn't count."""
+    low, tenth = {k: F.min(k) for k in "xy"}, lambda v: F.round(F.round(v, 6), 1)
+    side = lambda at, size: tenth(F.max(F.col(at) + F.col(size)) - low[at]).alias(size)
+    return df.groupBy(*keys).agg(tenth(low["x"]).alias("x"), tenth(low["y"]).alias("y"), side("x", "w"), side("y", "h"))
 
 
 def stage_latency(df: DataFrame, stage: str, ms: str) -> DataFrame:
