@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import arc_length, lag_pause, resample
+from .windows import arc_length, lag_pause, resampled
 
 
 def stroke_geometry(points: DataFrame, doc: str = "sketch_id", stroke: str = "stroke_id", order: str = "seq") -> DataFrame:
@@ -44,14 +44,17 @@ def scaled_geometry(geometry: DataFrame, units: DataFrame, doc: str = "sketch_id
 
 def stroke_shape(points: DataFrame, n: int = 32, doc: str = "sketch_id", stroke: str = "stroke_id", order: str = "seq") -> DataFrame:
     """(doc, stroke, shape): n times (x, y, dx, dy): places relative to the centre and unit directions."""
-    even = resample(points, [doc, stroke], order, n)
-    w = Window.partitionBy(doc, stroke).orderBy("i")
-    whole = Window.partitionBy(doc, stroke)
-    dx, dy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
-    even = even.withColumns({"rx": F.col("x") - F.avg("x").over(whole), "ry": F.col("y") - F.avg("y").over(whole), "dx": F.coalesce(dx, F.lit(0.0)), "dy": F.coalesce(dy, F.lit(0.0))})
-    size = F.when(F.hypot("dx", "dy") > 0, F.hypot("dx", "dy")).otherwise(1.0)
-    item = F.struct("i", "rx", "ry", (F.col("dx") / size).alias("ux"), (F.col("dy") / size).alias("uy"))
-    return even.groupBy(doc, stroke).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: F.array(s["rx"], s["ry"], s["ux"], s["uy"])).alias("shape"))
+    even = resampled(points, [doc, stroke], order, n)
+    mean = lambda c: F.aggregate(F.col("even")[c], F.lit(0.0), lambda a, v: a + v, lambda a: a / n)
+
+    def item(s: Column, i: Column, mid: Column) -> Column:
+        after = F.get("even", i + 1)
+        dx, dy = F.coalesce(after["x"] - s["x"], F.lit(0.0)), F.coalesce(after["y"] - s["y"], F.lit(0.0))
+        size = F.when(F.hypot(dx, dy) > 0, F.hypot(dx, dy)).otherwise(1.0)
+        return F.array(s["x"] - mid["x"], s["y"] - mid["y"], dx / size, dy / size)
+
+    middle = F.array(F.struct(mean("x").alias("x"), mean("y").alias("y")))  # of one, so that it is counted once for all items
+    return even.select(doc, stroke, F.transform(middle, lambda mid: F.transform("even", lambda s, i: item(s, i, mid)))[0].alias("shape"))
 
 
 def rule_features(points: DataFrame, doc: str = "sketch_id", stroke: str = "stroke_id", order: str = "seq") -> DataFrame:
