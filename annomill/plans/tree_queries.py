@@ -306,7 +306,9 @@ def src_documents(spark, sf):
     """A file per supplier, some of which are no JSON."""
     path = shared_dir(spark, "documents")
     text = F.when(F.col("s_suppkey") % 10 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("s_name").alias("name"))))
-    S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("value")).repartition("id").write.partitionBy("id").text(path)
+    rows = S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("value"))
+    # few bytes but many files: a stated number of tasks isn't joined to one, and each moves its own files into place
+    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("id").text(path)
     return readers.read_documents(spark, path, r"id=(\d+)/").select("id", "reason", F.try_variant_get("doc", "$.name", "string").alias("name"))
 
 
