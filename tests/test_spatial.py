@@ -83,3 +83,20 @@ def test_one_document_of_100_000_boxes(spark):
     found = J.iou_pairs(grid, moved, "doc")
     assert found.filter("id = p_id").count() == n - 1 and found.count() == n - 1
     assert J.same_line_pairs(grid, "doc", "id", 3.0).count() == n - math.ceil(n / side)
+
+
+def test_small_documents_meet_without_cells(spark, tables, monkeypatch):
+    """Documents of few boxes and of many meet alike, side by side; without large documents each side is shuffled once, and grouping by document shuffles nothing more."""
+    from annomill.operators import spatial
+
+    one, other = tables[0], J.prefixed(tables[1], "p_", ["doc"])
+    found, near = {}, {}
+    points = one.select("doc", "id", F.col("x").alias("px"), F.col("y").alias("py"))
+    for few in (0, 50, 1000):
+        monkeypatch.setattr(spatial, "FEW", few)
+        met = meeting(one, other, "doc", extent(Box.of()), extent(Box.of("p_")))
+        found[few] = sorted((r.id, r.p_id) for r in met.collect())
+        near[few] = sorted(map(tuple, J.containing_first(points, tables[1].withColumnRenamed("id", "frame"), "doc", "id", "frame", "frame").collect()))
+    assert found[0] == found[50] == found[1000] and near[0] == near[50] == near[1000] and len(near[0]) > 200
+    plan = met.groupBy("doc", "id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
