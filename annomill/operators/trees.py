@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,8 +132,8 @@ def canonical_json(text: Column | str) -> Column:
 STYLED = {"text": ("s", "body"), "btn": ("variant", "primary"), "icon": ("name", None)}
 
 
-#: Mean length of rows from which arrays are faster than lists.
-LONG = 48
+#: Mean length of rows from which arrays are faster than lists; most pairs of leaves that are compared as sequences at once.
+LONG, SHORT = 48, 1 << 14
 
 
 def _below(node: dict) -> tuple[str, list]:
@@ -149,20 +150,61 @@ def _below(node: dict) -> tuple[str, list]:
     return f"{kind}:{node.get(name, usual)}" if name else str(kind), node.get("c") or ([node["item"]] if "item" in node else [])
 
 
+def _walked(root: dict, names: dict[str, int]) -> tuple[list[int], list[list[int]]]:
+    """Each node's label and children, parents before children, the last child first."""
+    label, kids = [], []
+    todo = [(root, -1)]
+    while todo:
+        node, up = todo.pop()
+        own, below = _below(node)
+        label.append(names.setdefault(own, len(names)))
+        kids.append([])
+        if up >= 0:
+            kids[up].append(len(label) - 1)
+        todo.extend((x, len(label) - 1) for x in below)
+    return label, kids
+
+
+def _sequence_distance(a: list[int], b: list[int]) -> int:
+    """Edit distance of two sequences with unit costs."""
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    row = list(range(len(b) + 1))
+    for p, x in enumerate(a):
+        diagonal, row[0] = p, p + 1
+        last = p + 1
+        for q, y in enumerate(b, 1):
+            up = row[q]
+            last = min(diagonal + (x != y), up + 1, last + 1)
+            diagonal, row[q] = up, last
+    return row[-1]
+
+
+def _one_way(one: tuple, other: tuple, most: int) -> int | None:
+    """What one way of changing a tree into the other costs, if no more than `most`: children in their places, or as sequences where all are leaves."""
+    (x, below_x), (y, below_y) = one, other
+    cost, todo = 0, [(0, 0)]
+    while todo and cost <= most:
+        i, j = todo.pop()
+        cost += x[i] != y[j]
+        p, q = below_x[i], below_y[j]
+        if len(p) * len(q) <= SHORT and not any(below_x[k] for k in p) and not any(below_y[k] for k in q):
+            cost += _sequence_distance([x[k] for k in p], [y[k] for k in q])
+        elif len(p) == len(q):
+            todo.extend(zip(p, q, strict=True))
+        else:
+            return None
+    return cost if cost <= most else None
+
+
 class _Tree:
     """Labels in postorder and, for each node, the place of its first leaf; read the other way round where that is asked for."""
 
-    def __init__(self, root: dict, names: dict[str, int]):
-        label, kids = [], []
-        todo = [(root, -1)]
-        while todo:  # parents before children, the last child first
-            node, up = todo.pop()
-            own, below = _below(node)
-            label.append(names.setdefault(own, len(names)))
-            kids.append([])
-            if up >= 0:
-                kids[up].append(len(label) - 1)
-            todo.extend((x, len(label) - 1) for x in below)
+    def __init__(self, label: list[int], kids: list[list[int]]):
         n = len(label)
         self.size = n
         self.label, self.first = np.array(label[::-1]), np.zeros(n, np.int64)
@@ -196,15 +238,20 @@ class _Tree:
 def tree_distance(a: dict, b: dict) -> tuple[int, int]:
     """Ordered tree edit distance with unit costs, and the larger tree's size.
 
-    No way is shorter than the difference of sizes or of bags of labels, nor longer than renaming where shapes are equal:
-    where these meet, nothing is computed. Else the forests of each pair of paths' last nodes are compared row by row,
+    No way is shorter than the difference of sizes or of bags of labels, nor longer than children changed in their places:
+    where these meet, that is all, and leaves below equal roots are sequences. Else the forests of each pair of paths' last nodes are compared row by row,
     along first or along last children, whichever is less work; on arrays where rows are long enough to gain by it.
     """
     names: dict[str, int] = {}
-    one, other = _Tree(a, names), _Tree(b, names)
-    n = max(one.size, other.size)
-    bags = [np.bincount(t.label, minlength=len(names)) for t in (one, other)]
-    least = n - int(np.minimum(*bags).sum())
+    walks = _walked(a, names), _walked(b, names)
+    (x, below_x), (y, below_y) = walks
+    n = max(len(x), len(y))
+    if x[0] == y[0] and len(x) * len(y) <= SHORT and len(below_x[0]) == len(x) - 1 and len(below_y[0]) == len(y) - 1:
+        return _sequence_distance(x[1:], y[1:]), n  # equal roots always stay, and all below are leaves
+    least = n - (Counter(x) & Counter(y)).total()
+    if _one_way(*walks, least) is not None:
+        return least, n
+    one, other = _Tree(*walks[0]), _Tree(*walks[1])
     if one.size == other.size and (one.first == other.first).all() and int((one.label != other.label).sum()) == least:
         return least, n
     mirrored = one.work(True) * other.work(True) < one.work(False) * other.work(False)

@@ -111,3 +111,17 @@ def test_large_documents_take_seconds():
     other["screens"][0]["body"]["c"][3:9] = [leaf() for _ in range(9)]
     d, n = R.tree_distance(wide, other)
     assert 0 < d <= 75 and n == 404
+
+
+def test_leaves_and_children_in_their_places_need_no_full_search(monkeypatch):
+    """Where bounds meet, or all below equal roots are leaves, the distance is known without comparing forests; it is the same as by the full search."""
+    flat = lambda n: {"t": "col", "c": [leaf() for _ in range(n)]}
+    less = lambda n: {"t": n["t"], "c": [x for k, x in enumerate(n["c"]) if k % 4]}
+    bodies = [flat(int(n)) for n in RNG.integers(0, 14, 40)]
+    pairs = [*zip(bodies, bodies[1:], strict=False), *(({"t": "row", "c": [a, b]}, {"t": "row", "c": [less(a), b]}) for a, b in zip(bodies, bodies[1:], strict=False))]
+    monkeypatch.setattr(R, "_one_way", lambda *_: None)
+    monkeypatch.setattr(R, "SHORT", -1)
+    full = [R.tree_distance(a, b) for a, b in pairs]
+    monkeypatch.undo()
+    monkeypatch.setattr(R, "_Tree", None)  # the full search would fail
+    assert [R.tree_distance(a, b) for a, b in pairs] == full
