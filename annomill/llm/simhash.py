@@ -19,6 +19,11 @@ for to meet 96 % of pairs at the similarity: 2 tries for one node, 8 at 0.2 mill
 These are candidates: a first walk marks leaves that have one (a pair counts only in the first trie where it meets), the
 marked leaves get their shingle sets, and a second walk in the same nodes links pairs whose sets reach the similarity.
 
+rest(): the pairs that no trie meets, exactly. Shingles are put in one order for all texts, those that a sample of texts has
+often behind; two sets of the similarity share one of their first n - ceil(similarity * n) + 1 shingles. Texts of different
+components that share such a shingle, and whose sizes allow the similarity, are compared by their whole sets. The sample
+shapes the order alone, and any order finds all pairs; near copies that the tries linked are one component and make no pairs.
+
 Equal fingerprints are one leaf, so exact copies make no pairs. A task links what it found as a forest, and node pairs that
 are linked already aren't walked, so a group of near copies costs about as much as its leaves and no link between
 components is lost. A node of more than MOST leaves is cut into salts, and tasks take two salts at a time.
@@ -36,16 +41,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, parts, pieces, raw, stored
+from .common import forget, fresh, parts, pieces, raw, stored
 from .graph import components
 from .textkit import mix, window_hashes, word_hashes, word_spans
 
 U = np.uint64
 #: Leaves of a node, on average and at most; leaf pairs and node pairs held at once; leaf pairs compared at once; salts of a component; bytes of text at once.
 NODE, MOST, HELD, FEW, SALTS, PIECE = 1 << 13, 1 << 15, 1 << 18, 64, 32, 1 << 19
+#: Of rest(): texts sampled for the order of shingles, texts of these that make a shingle a frequent one, frequent ones kept, slots of the table of fingerprints to fetch.
+SAMPLED, OFTEN, FREQUENT, SLOTS = 5000, 4, 1 << 18, 1 << 20
 #: Of similar(): 64-bit words of a fingerprint, bits that may differ, bits after the equal ones and how many of these may differ, share of pairs to meet.
 WIDE, FAR, NEXT, NEXT_BITS, MEET = 4, 60, 14, 3, 0.96
 
@@ -408,6 +415,86 @@ def similar_links(prints: DataFrame, leaves: DataFrame, similarity: float) -> Da
     return _by_task(marked.join(sets.hint("merge"), "fp").select(*TASK, "fp", "shingles")).groupBy(*TASK).applyInArrow(check, "u binary, v binary")
 
 
+def _frequent(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles that most of a sample's texts have, ascending, and how many have each. It only orders shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                h, times = np.unique(np.concatenate(list(shingle_sets(b.column(0).slice(i, 500), shingle))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLED))) == 0).select("text").distinct()
+    counts = some.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, times = found["h"].to_numpy().view(U), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], times[order]
+
+
+def first_shingles(h: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a set's distinct hashes, ascending, the first in the common order, one of which any set of the similarity shares."""
+    if not len(h):
+        return h
+    known, times = frequent
+    most = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    often = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        often = np.where(known[at] == h, times[at], 0)
+    return h[np.argsort(often, kind="stable")[:most]]
+
+
+def rest(docs: DataFrame, prints: DataFrame, leaves: DataFrame, near: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(u, v) over column fp: all pairs whose sets have the similarity and that near, links (u, v), leaves in different components.
+
+    Shingles are dealt as 48 bits of their hash, texts as 40 bits (ids): what meets by chance is told apart by the whole sets.
+    """
+    n = leaves.count()
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n, shingle))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                first = [first_shingles(h, similarity, frequent.value) for h in shingle_sets(part.column(1), shingle)]
+                owner = np.repeat(np.arange(len(first)), [len(h) for h in first])
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(first) >> U(16)).view(np.int64)), part.column(0).take(pa.array(owner))], names=["h", "id"])
+
+    short = lambda mark: F.shiftrightunsigned(mark, 24).alias("id")
+    rows = docs.select(short(F.xxhash64("text")), F.col("text").cast("string")).mapInArrow(work, "h long, id long")
+    dealt = rows.repartition(parts(docs.sparkSession, n, 2000), "h")
+    several = lambda df, c: df.withColumns({"a": F.min(c).over(Window.partitionBy("h")), "b": F.max(c).over(Window.partitionBy("h"))}).filter("a != b")
+    shared = stored(several(dealt, "id").select("h", "id").distinct(), "shared")
+    roots = components(near).withColumnRenamed("node", "fp")
+    sizes = prints.select(short(F.col("mark")), "fp", (F.octet_length("shingles") / 4).cast("long").alias("size")).distinct()
+    named = stored(sizes.join(roots.hint("merge"), "fp", "left").select("id", "fp", "size", F.xxhash64(F.coalesce("root", "fp")).alias("root")), "named")
+    mixed = stored(several(shared.join(named.select("id", "root").distinct().hint("merge"), "id"), "root").select("h", "id").distinct(), "mixed")
+    forget(shared)
+    places = stored(mixed.join(named.hint("merge"), "id").select("h", "fp", "root", "size").distinct(), "places")
+    one, two = (places.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("fp", "root", "size"))) for k in (1, 2))
+    fits = F.least("size_1", "size_2") >= F.greatest("size_1", "size_2") * similarity - 1
+    met = one.join(two.hint("merge"), "h").filter(F.col("fp_1") < F.col("fp_2")).filter("root_1 != root_2").filter(fits)
+    #: sets share at most what their first shingles do and all later ones of either; 2 more for hashes that fall together
+    most = F.col("n") + F.ceil(F.greatest("size_1", "size_2") * similarity) + 2
+    counted = met.groupBy("fp_1", "fp_2", "size_1", "size_2").agg(F.count("*").alias("n"))
+    pairs = stored(counted.filter(most >= (F.col("size_1") + F.col("size_2")) * (similarity / (1 + similarity))).select("fp_1", "fp_2").distinct(), "pairs")
+    slot = F.pmod(F.xxhash64("fp"), F.lit(SLOTS)).cast("int").alias("slot")
+    asked = pairs.select(F.explode(F.array("fp_1", "fp_2")).alias("fp")).select(slot).distinct()
+    few = prints.select("fp", "shingles", slot).join(F.broadcast(asked), "slot", "left_semi")  # asked has SLOTS rows at most
+    sets = stored(few.groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+    one, two = (sets.select(F.col("fp").alias(f"fp_{k}"), F.col("shingles").alias(f"set_{k}")) for k in (1, 2))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            k = np.array([jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= similarity for x, y in pairs], bool)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(k)), b.column(1).filter(pa.array(k))], names=["u", "v"])
+
+    both = pairs.join(one.hint("merge"), "fp_1").join(two.hint("merge"), "fp_2")
+    return both.select("fp_1", "fp_2", "set_1", "set_2").mapInArrow(check, "u binary, v binary")
+
+
 def _leaves(prints: DataFrame) -> DataFrame:
     """(fp, least): least is (doc_id is null, doc_id, mark) of the fingerprint's first document."""
     return stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("least")), "leaves")
@@ -438,7 +525,8 @@ def deduplicate(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
     text. Documents are near-duplicates if their sets of shingles have the similarity, or over others that are."""
     prints = stored(fingerprints(docs, shingle=shingle, sets=True), "fingerprints")
     leaves = _leaves(prints)
-    single, _, groups = grouped(leaves, similar_links(prints, leaves, similarity))
+    near = stored(similar_links(prints, leaves, similarity), "near")
+    single, _, groups = grouped(leaves, near.unionByName(rest(docs, prints, leaves, near, similarity, shingle)))
     firsts, own, mark = single.select("least").unionByName(groups.select("least")), fresh(docs, "near_id"), fresh(docs, "near_mark")
     kept = stored(firsts.select(F.coalesce("least.doc_id", F.lit(-(2**63))).alias(own), F.col("least.mark").alias(mark)), "kept")
     keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), mark: F.xxhash64("text")})
