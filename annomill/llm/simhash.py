@@ -21,8 +21,8 @@ marked leaves get their shingle sets, and a second walk in the same nodes links
 
 rest(): the pairs that no trie meets, exactly. Shingles are put in one order for all texts, those that a sample of texts has
 often behind; two sets of the similarity share one of their first n - ceil(similarity * n) + 1 shingles. Texts of different
-components that share such a shingle, and whose sizes allow the similarity, are compared by their whole sets. The sample
-shapes the order alone, and any order finds all pairs; near copies that the tries linked are one component and make no pairs.
+components that share such a shingle, and whose sizes allow the similarity, are compared by their whole sets. The sample, a
+tenth of the texts so that the texts that share a shingle held to be rare don't grow with the table, shapes the order alone, and any order finds all pairs; near copies that the tries linked are one component and make no pairs.
 
 Equal fingerprints are one leaf, so exact copies make no pairs. A task links what it found as a forest, and node pairs that
 are linked already aren't walked, so a group of near copies costs about as much as its leaves and no link between
@@ -51,8 +51,8 @@ from .textkit import mix, window_hashes, word_hashes, word_spans
 U = np.uint64
 #: Leaves of a node, on average and at most; leaf pairs and node pairs held at once; leaf pairs compared at once; salts of a component; bytes of text at once.
 NODE, MOST, HELD, FEW, SALTS, PIECE = 1 << 13, 1 << 15, 1 << 18, 64, 32, 1 << 19
-#: Of rest(): texts sampled for the order of shingles, texts of these that make a shingle a frequent one, frequent ones kept, slots of the table of fingerprints to fetch.
-SAMPLED, OFTEN, FREQUENT, SLOTS = 5000, 4, 1 << 18, 1 << 20
+#: Of rest(): texts sampled for the order of shingles at least, and one in so many at least, texts of these that make a shingle a frequent one, frequent ones kept, slots of the table of fingerprints to fetch.
+SAMPLED, SHARE, OFTEN, FREQUENT, SLOTS = 5000, 10, 2, 1 << 20, 1 << 20
 #: Of similar(): 64-bit words of a fingerprint, bits that may differ, bits after the equal ones and how many of these may differ, share of pairs to meet.
 WIDE, FAR, NEXT, NEXT_BITS, MEET = 4, 60, 14, 3, 0.96
 
@@ -424,7 +424,7 @@ def _frequent(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.nda
                 h, times = np.unique(np.concatenate(list(shingle_sets(b.column(0).slice(i, 500), shingle))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "n"])
 
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLED))) == 0).select("text").distinct()
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, min(SHARE, n // SAMPLED)))) == 0).select("text").distinct()
     counts = some.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     found = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     h, times = found["h"].to_numpy().view(U), found["n"].to_numpy()
