@@ -59,3 +59,13 @@ def test_searches_find_the_best_of_all(spark, monkeypatch, block):
         s[[i for i, (_, b) in enumerate(rows) if b == rows[k][1]]] = 0
         want = np.sort(s[s > 0])[::-1][: packing.BEST]
         assert np.allclose(sorted(found.get(pivot[rows[k][1]], []), reverse=True), want)
+
+
+def test_copies_of_one_text_have_a_pivot_whatever_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIVOTS", 2)
+    monkeypatch.setattr(packing, "EVERY", 7)
+    for k in range(3):  # hashes of which some aren't divisible
+        rows = [(7 * i, blob([k, k + 1])) for i in range(30)]
+        tokens, df, n, mean = table(spark, rows)
+        found = packing.route(tokens, df, n, mean, 1.0, 10).collect()
+        assert sorted(r.doc_id for r in found) == [d for d, _ in rows] and {r.shard for r in found} == {0, 1, 2}
